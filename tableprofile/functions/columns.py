@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,42 +67,81 @@ def position_of(df: DataFrame, name: str) -> int:
     return df.columns.index(name)
 
 
-def is_missing(df: DataFrame, name: str) -> Column:
+# Expressions that are needed once per column are built as SQL text: one call to the JVM each,
+# where the same expression put together from Column operators takes dozens.
+
+
+def quoted(name: str) -> str:
+    """The name as a SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """The value as a SQL string constant."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def missing_sql(df: DataFrame, name: str) -> str:
     """True for NULL and, in float columns, for NaN."""
-    col = ref(name)
+    col = quoted(name)
     if isinstance(df.schema[name].dataType, _FRACTIONS):
-        return col.isNull() | F.isnan(col)
-    return col.isNull()
+        return f"({col} IS NULL OR isnan({col}))"
+    return f"({col} IS NULL)"
 
 
-def known(df: DataFrame, name: str) -> Column:
+def known_sql(df: DataFrame, name: str) -> str:
     """The column with NaN turned into NULL, so aggregates skip both."""
-    col = ref(name)
-    if isinstance(df.schema[name].dataType, _FRACTIONS):
-        return F.nanvl(col, F.lit(None).cast(df.schema[name].dataType))
-    return col
+    data_type = df.schema[name].dataType
+    if isinstance(data_type, _FRACTIONS):
+        return f"nanvl({quoted(name)}, CAST(NULL AS {data_type.simpleString()}))"
+    return quoted(name)
 
 
-def numeric(df: DataFrame, name: str) -> Column:
+def number_sql(df: DataFrame, name: str) -> str:
     """A number column as double with NaN turned into NULL."""
-    col = known(df, name)
-    if isinstance(df.schema[name].dataType, T.DoubleType):
-        return col
-    return col.cast("double")
+    value = known_sql(df, name)
+    return value if df.schema[name].dataType == T.DoubleType() else f"CAST({value} AS DOUBLE)"
+
+
+def head_sql(df: DataFrame, name: str) -> str:
+    """The fields every row about a column starts with."""
+    return f"'position', {df.columns.index(name)}, 'column', {text(name)}"
+
+
+def is_missing(df: DataFrame, name: str) -> Column:
+    return F.expr(missing_sql(df, name))
+
+
+def known(df: DataFrame, name: str) -> Column:
+    return F.expr(known_sql(df, name))
+
+
+def numeric(df: DataFrame, name: str) -> Column:
+    return F.expr(number_sql(df, name))
+
+
+def array_sql(items: Iterable[str]) -> str:
+    return "array(" + ", ".join(items) + ")"
+
+
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """The table with the single value of a one-row table as a column, by scalar subquery."""
+    return df.select("*", row.scalar().alias(name))
 
 
 def numeric_frame(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Only the given number columns, as doubles without NaN."""
-    return df.select(*[numeric(df, n).alias(n) for n in names])
+    return df.selectExpr(*[f"{number_sql(df, n)} AS {quoted(n)}" for n in names])
 
 
 def fixed2(col: Column) -> Column:
-    """Text with two decimals and no grouping; exact ties go to the even digit."""
-    return F.format_number(col, "0.00")
+    """Text with two decimals."""
+    return fixed(col, 2)
 
 
 def fixed(col: Column, digits: int) -> Column:
-    return F.format_number(col, "0." + "0" * digits)
+    """Text with fixed decimals and no grouping; exact ties go to the even digit."""
+    return F.call_function("format_number", col, F.lit("0." + "0" * digits))
 
 
 def share_pct(part: Column, total: Column) -> Column:
@@ -110,14 +149,23 @@ def share_pct(part: Column, total: Column) -> Column:
     return F.try_divide(part * F.lit(100.0), total)
 
 
-def one_row(spark, *cols: Column) -> DataFrame:
-    """A one-row table of constants."""
-    return spark.range(1).select(*cols)
+def one_row(spark: SparkSession, *cols: Column) -> DataFrame:
+    """A one-row table of the given values."""
+    return spark.sql("SELECT 1 AS one").select(*cols)
 
 
-def literal_rows(spark, rows: Sequence[tuple], ddl: str) -> DataFrame:
-    """A table of schema facts known to the driver (at most one row per column)."""
-    return spark.createDataFrame(list(rows), schema=ddl)
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A table of facts known to the driver (about one row per column), as a local relation."""
+    fields = T.StructType.fromDDL(ddl).fields
+    if not rows:
+        nulls = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {quoted(f.name)}" for f in fields)
+        return spark.sql(f"SELECT {nulls} WHERE false")
+    values = ", ".join(
+        "(" + ", ".join(text(v) if isinstance(v, str) else repr(v) for v in row) + ")" for row in rows
+    )
+    names = [quoted(f.name) for f in fields]
+    typed = ", ".join(f"CAST({n} AS {f.dataType.simpleString()}) AS {n}" for n, f in zip(names, fields))
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def union_rows(parts: Sequence[DataFrame]) -> DataFrame:

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprofile.functions.columns import (
+    array_sql,
     columns_of,
+    head_sql,
     literal_rows,
-    numeric,
-    position_of,
-    ref,
+    number_sql,
     require_columns,
-    share_pct,
+    with_row,
 )
-from tableprofile.operators.quantiles import fence_row, quantile_columns
+from tableprofile.operators.quantiles import fence_row, quantile_row
 from tableprofile.operators.roles import split_roles
 
 SKEW_LIMIT = 1.0
@@ -29,14 +29,11 @@ def _chosen(df: DataFrame, names: Sequence[str] | None) -> list[str]:
     return columns_of(df, "number") if names is None else require_columns(df, names, "number")
 
 
-def _head(df: DataFrame, name: str) -> list[Column]:
-    return [F.lit(position_of(df, name)).alias("position"), F.lit(name).alias("column")]
-
-
 def describe(df: DataFrame, names: Sequence[str] | None = None, mode: str = "exact") -> DataFrame:
     """``(position, column, count, mean, std, min, p25, p50, p75, max)`` of the number columns.
 
-    One scan: all columns share one aggregate, whose single row is unfolded to a row per column.
+    All columns share one aggregate, whose single row is unfolded to a row per column. Quartiles
+    come from an aggregate of their own, so that the moments stay in generated code.
     """
     names = _chosen(df, names)
     if not names:
@@ -46,24 +43,22 @@ def describe(df: DataFrame, names: Sequence[str] | None = None, mode: str = "exa
             "position int, column string, count bigint, mean double, std double, min double,"
             " p25 double, p50 double, p75 double, max double",
         )
-    quartiles = quantile_columns(df, names, mode=mode)
-    rows = []
+    moments = []
     for name in names:
-        value, q = numeric(df, name), quartiles[name]
-        rows.append(
-            F.struct(
-                *_head(df, name),
-                F.count(value).alias("count"),
-                F.avg(value).alias("mean"),
-                F.stddev_samp(value).alias("std"),
-                F.min(value).alias("min"),
-                q[0].alias("p25"),
-                q[1].alias("p50"),
-                q[2].alias("p75"),
-                F.max(value).alias("max"),
-            )
+        v = number_sql(df, name)
+        moments.append(
+            f"named_struct({head_sql(df, name)}, 'count', count({v}), 'mean', avg({v}),"
+            f" 'std', stddev_samp({v}), 'min', min({v}), 'max', max({v}))"
         )
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    rows = df.selectExpr(array_sql(moments) + " AS rows")
+    return (
+        with_row(rows, quantile_row(df, names, mode=mode), "q")
+        .selectExpr("inline(arrays_zip(rows, q))")
+        .selectExpr(
+            *["rows." + f for f in ("position", "column", "count", "mean", "std", "min")],
+            *["q[0] AS p25", "q[1] AS p50", "q[2] AS p75", "rows.max"],
+        )
+    )
 
 
 def column_summary(df: DataFrame, name: str, mode: str = "exact") -> DataFrame:
@@ -78,30 +73,25 @@ def quartiles_iqr(
 ) -> DataFrame:
     """``(position, column, q1, median, q3, iqr, lower, upper)``."""
     names = _chosen(df, names)
-    rows = [F.struct(*_head(df, n), ref(n)["*"] if False else ref(n).alias("f")) for n in names]
+    heads = array_sql(f"named_struct({head_sql(df, n)})" for n in names)
     return (
         fence_row(df, names, mode)
-        .select(F.inline(F.array(*rows)))
-        .select("position", "column", "f.*")
+        .selectExpr(f"{heads} AS h", "f")
+        .selectExpr("inline(arrays_zip(h, f))")
+        .selectExpr("h.position", "h.column", "f.*")
     )
 
 
 def outlier_counts(df: DataFrame, names: Sequence[str], mode: str = "exact") -> DataFrame:
-    """One row: ``n_rows`` and, per column, the number of values outside its fences.
-
-    Second scan of the table; the fences are one-row scalar subqueries.
-    """
-    fences = fence_row(df, names, mode)
-    bounds = fences.select(F.struct(*[ref(n) for n in names]).alias("f")).scalar()
-    flags = [
-        (
-            (numeric(df, n) < bounds.getField(n)["lower"])
-            | (numeric(df, n) > bounds.getField(n)["upper"])
-        ).alias(n)
-        for n in names
-    ]
-    return df.select(*flags).agg(
-        F.count(F.lit(1)).alias("n_rows"), *[F.count_if(ref(n)).alias(n) for n in names]
+    """One row: ``n_rows`` and ``outliers``, an array with the number of values outside the fences
+    per column. Second scan of the columns; the fences are a scalar subquery."""
+    values = df.selectExpr(*[f"{number_sql(df, n)} AS v{i}" for i, n in enumerate(names)])
+    return with_row(values, fence_row(df, names, mode), "f").selectExpr(
+        "count(1) AS n_rows",
+        array_sql(
+            f"count_if(v{i} < f[{i}].lower OR v{i} > f[{i}].upper)" for i in range(len(names))
+        )
+        + " AS outliers",
     )
 
 
@@ -130,16 +120,12 @@ def outlier_summary(
             [],
             "position int, column string, outlier_count bigint, outlier_pct double",
         )
-    rows = [
-        F.struct(
-            *_head(df, n),
-            ref(n).alias("outlier_count"),
-            F.round(share_pct(ref(n), F.col("n_rows")), 2).alias("outlier_pct"),
-        )
-        for n in names
-    ]
-    # The row count has a name of its own beside the columns' counts.
-    out = outlier_counts(df, names, mode).select(F.inline(F.array(*rows)))
+    rows = array_sql(
+        f"named_struct({head_sql(df, n)}, 'outlier_count', outliers[{i}],"
+        f" 'outlier_pct', round(try_divide(100D * outliers[{i}], n_rows), 2))"
+        for i, n in enumerate(names)
+    )
+    out = outlier_counts(df, names, mode).selectExpr(f"inline({rows})")
     if variant == "advice":
         return out.where((F.col("outlier_count") > 0) & (F.col("outlier_pct") > OUTLIER_PCT_LIMIT))
     if variant == "insight":
@@ -147,31 +133,27 @@ def outlier_summary(
     return out
 
 
-def sample_skewness(value: Column) -> Column:
-    """Aggregate: bias-corrected skewness; NULL below three values, 0 for a constant column."""
-    n = F.count(value).cast("double")
-    flat = F.var_pop(value) * n < F.lit(MOMENT_NOISE)
-    return F.when(
-        n >= 3,
-        F.when(flat, F.lit(0.0)).otherwise(
-            F.skewness(value) * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
-        ),
+def sample_skewness(v: str) -> str:
+    """SQL aggregate: bias-corrected skewness; NULL below three values, 0 for a constant column."""
+    n = f"DOUBLE(count({v}))"
+    corrected = f"skewness({v}) * try_divide(sqrt({n} * ({n} - 1)), {n} - 2)"
+    return (
+        f"CASE WHEN {n} >= 3 THEN CASE WHEN var_pop({v}) * {n} < {MOMENT_NOISE!r}D THEN 0D"
+        f" ELSE {corrected} END END"
     )
 
 
-def skew_direction(skew: Column) -> Column:
-    """``right`` or ``left`` for columns skewed beyond 1, else NULL."""
-    return F.when(
-        F.abs(skew) > SKEW_LIMIT, F.when(skew > 0, F.lit("right")).otherwise(F.lit("left"))
-    )
+# SQL: ``right`` or ``left`` for columns skewed beyond 1, else NULL.
+DIRECTION = f"CASE WHEN abs(skewness) > {SKEW_LIMIT}D THEN if(skewness > 0, 'right', 'left') END"
 
 
 def skewness(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """``(position, column, skewness, direction)`` of the number columns."""
     names = _chosen(df, names)
-    rows = [F.struct(*_head(df, n), sample_skewness(numeric(df, n)).alias("skewness")) for n in names]
-    return (
-        df.agg(F.array(*rows).alias("rows"))
-        .select(F.inline("rows"))
-        .withColumn("direction", skew_direction(F.col("skewness")))
+    rows = array_sql(
+        f"named_struct({head_sql(df, n)}, 'skewness', {sample_skewness(number_sql(df, n))})"
+        for n in names
+    )
+    return df.selectExpr(f"{rows} AS rows").selectExpr("inline(rows)").selectExpr(
+        "*", f"{DIRECTION} AS direction"
     )

@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprofile.functions.columns import is_missing, ref, share_pct
+from tableprofile.functions.columns import array_sql, head_sql, missing_sql, ref
 
 VARIANTS = ("all", "present", "sorted")
 
 
-def missing_struct(df: DataFrame, name: str, position: int) -> Column:
-    """Aggregate: position, name, missing rows and unrounded share of one column."""
-    missing = F.count_if(is_missing(df, name))
-    return F.struct(
-        F.lit(position).alias("position"),
-        F.lit(name).alias("column"),
-        missing.alias("missing_count"),
-        share_pct(missing, F.count(F.lit(1))).alias("share"),
-    )
-
-
 def missing_facts(df: DataFrame) -> DataFrame:
-    """One row: ``n_rows`` and ``columns``, an array with one struct per column in schema order."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.array(*[missing_struct(df, n, i) for i, n in enumerate(df.columns)]).alias("columns"),
-    )
+    """One row: ``n_rows`` and ``columns``, an array of ``(position, column, missing_count, share)``
+    in schema order. The share is in percent of all rows, not rounded."""
+    structs = []
+    for name in df.columns:
+        missing = f"count_if({missing_sql(df, name)})"
+        structs.append(
+            f"named_struct({head_sql(df, name)}, 'missing_count', {missing},"
+            f" 'share', try_divide({missing} * 100D, count(1)))"
+        )
+    return df.selectExpr("count(1) AS n_rows", array_sql(structs) + " AS columns")
 
 
 def missing_values(df: DataFrame, variant: str = "all") -> DataFrame:
@@ -49,28 +43,18 @@ def missing_values(df: DataFrame, variant: str = "all") -> DataFrame:
 
 def total_missing(df: DataFrame) -> DataFrame:
     """``(total_missing)``: missing cells of the whole table."""
-    total = F.lit(0).cast("bigint")
-    for name in df.columns:
-        total = total + F.count_if(is_missing(df, name))
-    return df.agg(total.alias("total_missing"))
+    counts = " + ".join(f"count_if({missing_sql(df, n)})" for n in df.columns)
+    return df.selectExpr(f"{counts} AS total_missing")
 
 
 def most_missing(df: DataFrame, k: int = 3) -> DataFrame:
     """``(rank, column, missing_count)``: the ``k`` columns with the most missing rows."""
-    found = F.slice(
-        F.array_sort(
-            F.transform(
-                "columns",
-                lambda c: F.struct(
-                    (-c["missing_count"]).alias("neg"), c["position"], c["column"], c["missing_count"]
-                ),
-            )
-        ),
-        1,
-        k,
+    ordered = (
+        "array_sort(columns, (a, b) -> CASE WHEN a.missing_count <> b.missing_count"
+        " THEN int(sign(b.missing_count - a.missing_count)) ELSE a.position - b.position END)"
     )
     return (
         missing_facts(df)
-        .select(F.posexplode(found).alias("pos", "c"))
-        .select((F.col("pos") + 1).alias("rank"), "c.column", "c.missing_count")
+        .selectExpr(f"posexplode(slice({ordered}, 1, {k})) AS (pos, c)")
+        .selectExpr("pos + 1 AS rank", "c.column", "c.missing_count")
     )

@@ -1,12 +1,12 @@
 """Exact quantiles with linear interpolation, at any table size.
 
-Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer. That is
-the right plan while the buffers are small, and it is used as long as rows x columns stays below
-``CELL_LIMIT``. Beyond it the same exact answer is found by narrowing: each pass is one scan with
-map-side aggregation only. It counts the rows on both sides of two pivots per quantile and takes a
-sketch of the rows between them, from which the next, closer pivots come. The counts are exact, so
-a poor sketch costs a further pass and never a wrong value. A value that holds a large part of the
-rows becomes a pivot itself and is settled by its count.
+A small table's columns are sorted in memory within the aggregate. The size is checked first:
+rows x columns must stay below ``CELL_LIMIT``. Beyond it the same exact answer is found by
+narrowing. Each pass is one scan with map-side aggregation only. It counts the rows below, at and
+between two pivots per searched rank, and draws a bounded sample from between them, from which
+closer pivots come. The counts are exact, so an unlucky sample costs a further pass and never a
+wrong value. A value that fills a large part of a column becomes a pivot and is settled by its
+count, so nothing but counts and bounded samples ever meets in one task.
 """
 
 from __future__ import annotations
@@ -15,21 +15,25 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprofile.functions.columns import numeric, numeric_frame, ref
+from tableprofile.functions.columns import array_sql, number_sql, numeric_frame, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
 FENCE_FACTOR = 1.5
 
-# Rows x columns up to which Spark's in-memory percentile is used.
+# Rows x columns up to which columns are sorted within one task.
 CELL_LIMIT = 8_000_000
-# Rows between two pivots that are few enough to be read off directly, per quantile.
+# Rows between two pivots that are few enough to be read off directly, per rank.
 INNER_LIMIT = 100_000
-SKETCH_POINTS = 2_000
-SKETCH_ACCURACY = 10_000
-SKETCH_MARGIN = 3
+# Sampled values per rank, the grid they are reduced to, and the grid cells kept on both sides of
+# the wanted place (four standard errors of the sample).
+SAMPLE_ROWS = 100_000
+GRID = 1_000
+MARGIN = 7
+SEED = 7
+APPROX_ACCURACY = 10_000
 
 
 @dataclass
@@ -41,108 +45,120 @@ class _Search:
     floor: float | None = None
     ceil: float | None = None
     before: int = 0  # rows at or below ``floor``
-    inner: int | None = None  # rows in the interval, once counted
+    inner: int = 0  # rows in the interval; an upper bound until it is counted
     pivots: tuple[float, float] | None = None
     value: float | None = None
 
-    def inside(self) -> Column:
-        """The column's value where it lies in the interval, else NULL."""
-        col = ref(self.name)
-        cond = col.isNotNull()
-        if self.floor is not None:
-            cond = cond & (col > F.lit(self.floor))
-        if self.ceil is not None:
-            cond = cond & (col < F.lit(self.ceil))
-        return F.when(cond, col)
+    def inside(self) -> str:
+        """SQL: the column's value where it lies in the interval, else NULL."""
+        return _between(quoted(self.name), self.floor, self.ceil)
 
-    def choose_pivots(self, sketch: Sequence[float], rows: int) -> None:
-        """Two sketch values around the rank, with a margin for the sketch's error."""
-        self.inner = rows
-        at = (self.rank - self.before) / max(rows - 1, 1) * SKETCH_POINTS
-        lo = max(0, math.floor(at) - SKETCH_MARGIN)
-        hi = min(SKETCH_POINTS, math.ceil(at) + SKETCH_MARGIN)
-        self.pivots = float(sketch[lo]), float(sketch[hi])
+    def choose_pivots(self, grid: Sequence[float] | None, rows: int) -> None:
+        """Two sampled values around the rank; without a sample the interval is sampled again."""
+        self.inner, self.pivots = rows, None
+        if grid:
+            at = (self.rank - self.before) / max(rows - 1, 1) * GRID
+            lo, hi = max(0, math.floor(at) - MARGIN), min(GRID, math.ceil(at) + MARGIN)
+            self.pivots = float(grid[lo]), float(grid[hi])
 
 
-def _sketch(col: Column) -> Column:
-    points = [i / SKETCH_POINTS for i in range(SKETCH_POINTS + 1)]
-    return F.percentile_approx(col, points, SKETCH_ACCURACY)
+def _number(value: float) -> str:
+    return f"{value!r}D" if math.isfinite(value) else f"DOUBLE('{value}')"
 
 
-def _sketch_pass(cols: DataFrame, searches: Sequence[_Search]) -> None:
-    """One scan: rows and sketch of each interval."""
+def _between(col: str, floor: float | None, ceil: float | None) -> str:
+    tests = [f"{col} IS NOT NULL"]
+    tests += [f"{col} > {_number(floor)}"] if floor is not None else []
+    tests += [f"{col} < {_number(ceil)}"] if ceil is not None else []
+    return f"CASE WHEN {' AND '.join(tests)} THEN {col} END"
+
+
+def _sampled(value: str, rows: int) -> str:
+    """Aggregate: a grid of order statistics of about ``SAMPLE_ROWS`` of the ``rows`` values."""
+    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
+    kept = f"sort_array(collect_list(CASE WHEN __u < {share!r}D THEN {value} END))"
+    place = f"int(round(i * (size(a) - 1) / {GRID}))"
+    grid = f"transform(sequence(0, {GRID}), i -> get(a, {place}))"
+    return f"transform(array({kept}), a -> if(size(a) > 0, {grid}, NULL))[0]"
+
+
+def _sample_pass(cols: DataFrame, searches: Sequence[_Search]) -> None:
+    """One scan: rows and sample of each interval."""
     aggs = []
+    for s in searches:
+        aggs += [f"count({s.inside()})", _sampled(s.inside(), s.inner)]
+    row = cols.selectExpr(*aggs).first()
     for i, s in enumerate(searches):
-        aggs += [F.count(s.inside()).alias(f"n{i}"), _sketch(s.inside()).alias(f"sketch{i}")]
-    row = cols.agg(*aggs).first()
-    for i, s in enumerate(searches):
-        s.choose_pivots(row[f"sketch{i}"], row[f"n{i}"])
+        s.choose_pivots(row[2 * i + 1], row[2 * i])
 
 
 def _count_pass(cols: DataFrame, searches: Sequence[_Search]) -> None:
-    """One scan: on which side of the pivots a rank lies, and a sketch between them."""
+    """One scan: on which side of the pivots a rank lies, and a sample from between them."""
     aggs = []
-    for i, s in enumerate(searches):
-        col, (a, b) = ref(s.name), map(F.lit, s.pivots)
-        between = F.when((col > a) & (col < b), col)
+    for s in searches:
+        col, (a, b) = quoted(s.name), s.pivots
+        expected = s.inner * (2 * MARGIN + 1) // GRID
         aggs += [
-            F.count_if(col < a).alias(f"below{i}"),
-            F.count_if(col == a).alias(f"at_a{i}"),
-            F.count(between).alias(f"between{i}"),
-            F.count_if(col == b).alias(f"at_b{i}"),
-            _sketch(between).alias(f"sketch{i}"),
+            f"count_if({col} < {_number(a)})",
+            f"count_if({col} = {_number(a)})",
+            f"count({_between(col, a, b)})",
+            f"count_if({col} = {_number(b)})",
+            _sampled(_between(col, a, b), max(expected, INNER_LIMIT)),
         ]
-    row = cols.agg(*aggs).first()
+    row = cols.selectExpr(*aggs).first()
     for i, s in enumerate(searches):
         a, b = s.pivots
-        to_a = row[f"below{i}"] + row[f"at_a{i}"]
-        to_b = to_a if a == b else to_a + row[f"between{i}"] + row[f"at_b{i}"]
-        if s.rank < row[f"below{i}"]:
-            s.ceil, s.inner, s.pivots = a, None, None
+        below, at_a, between, at_b, grid = row[5 * i : 5 * i + 5]
+        to_a = below + at_a
+        to_b = to_a if a == b else to_a + between + at_b
+        if s.rank < below:
+            s.ceil, s.inner, s.pivots = a, below - s.before, None
         elif s.rank < to_a:
             s.value = a
-        elif s.rank < to_a + row[f"between{i}"]:
+        elif s.rank < to_a + between:
             s.floor, s.ceil, s.before = a, b, to_a
-            s.choose_pivots(row[f"sketch{i}"], row[f"between{i}"])
+            s.choose_pivots(grid, between)
         elif s.rank < to_b:
             s.value = b
         else:
-            s.floor, s.before, s.inner, s.pivots = b, to_b, None, None
+            s.inner -= to_b - s.before
+            s.floor, s.before, s.pivots = b, to_b, None
 
 
 def _read_pass(cols: DataFrame, searches: Sequence[_Search]) -> None:
     """One scan: the value at the rank, out of an interval that holds few rows."""
-    row = cols.agg(
-        *[
-            F.get(F.array_sort(F.collect_list(s.inside())), F.lit(s.rank - s.before)).alias(f"v{i}")
-            for i, s in enumerate(searches)
-        ]
+    row = cols.selectExpr(
+        *[f"get(sort_array(collect_list({s.inside()})), {s.rank - s.before})" for s in searches]
     ).first()
-    for i, s in enumerate(searches):
-        s.value = row[f"v{i}"]
+    for s, value in zip(searches, row):
+        s.value = value
 
 
 def narrowed_quantiles(
     df: DataFrame, names: Sequence[str], probs: Sequence[float], inner_limit: int = INNER_LIMIT
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles by narrowing. Only counts, sketches and at most ``inner_limit`` values per
-    rank leave a scan, whatever the size of the table. Neighbouring ranks mostly share their
-    pivots, and Spark computes equal aggregates once."""
+    """Exact quantiles by narrowing; each pass keeps about a seventieth of the rows in question.
+
+    Neighbouring ranks mostly share their pivots, and Spark computes equal aggregates once.
+    """
     cols = numeric_frame(df, names)
-    rows = cols.agg(*[F.count(ref(n)).alias(n) for n in names]).first()
+    rows = cols.selectExpr(*[f"count({quoted(n)}) AS {quoted(n)}" for n in names]).first()
+    cols = cols.withColumn("__u", F.rand(SEED))
     spots = {
         (n, p): (math.floor(p * (rows[n] - 1)), math.ceil(p * (rows[n] - 1)))
         for n in names
         for p in probs
         if rows[n]
     }
-    searches = {(n, r): _Search(n, r) for (n, _), pair in spots.items() for r in pair}
+    searches = {
+        (n, r): _Search(n, r, inner=rows[n]) for (n, _), pair in spots.items() for r in pair
+    }
     while todo := [s for s in searches.values() if s.value is None]:
-        if fresh := [s for s in todo if s.inner is None]:
-            _sketch_pass(cols, fresh)
         if few := [s for s in todo if s.inner <= inner_limit]:
             _read_pass(cols, few)
-        if many := [s for s in todo if s.inner > inner_limit]:
+        if blank := [s for s in todo if s.inner > inner_limit and s.pivots is None]:
+            _sample_pass(cols, blank)
+        if many := [s for s in todo if s.inner > inner_limit and s.pivots is not None]:
             _count_pass(cols, many)
 
     def at(name: str, p: float) -> float | None:
@@ -156,41 +172,57 @@ def narrowed_quantiles(
     return {n: [at(n, p) for p in probs] for n in names}
 
 
-def quantile_columns(
+def _interpolated(a: str, p: float) -> str:
+    """SQL: the quantile ``p`` of a sorted array; NULL for an empty one."""
+    place = f"({float(p)!r}D * (size({a}) - 1))"
+    lo, hi = f"get({a}, int(floor{place}))", f"get({a}, int(ceil{place}))"
+    weight = f"({place} - floor{place})"
+    return f"if({lo} = {hi}, {lo}, {lo} * (1D - {weight}) + {hi} * {weight})"
+
+
+def quantile_row(
     df: DataFrame, names: Sequence[str], probs: Sequence[float] = QUARTILES, mode: str = "exact"
-) -> dict[str, Column]:
-    """Per column an ``array<double>`` of its quantiles, to be used inside ``df.agg(...)``.
+) -> DataFrame:
+    """One row ``(q)``: per column an array of its quantiles.
 
     ``mode="exact"`` interpolates linearly; ``mode="approx"`` uses a mergeable sketch and returns
     values that occur in the column.
     """
     if mode not in ("exact", "approx"):
         raise ValueError("mode must be 'exact' or 'approx'")
+    values = [number_sql(df, n) for n in names]
     if mode == "approx":
-        return {n: F.percentile_approx(numeric(df, n), list(probs), SKETCH_ACCURACY) for n in names}
+        points = array_sql(f"{float(p)!r}D" for p in probs)
+        return df.selectExpr(
+            array_sql(f"percentile_approx({v}, {points}, {APPROX_ACCURACY})" for v in values) + " AS q"
+        )
     if df.count() * len(names) <= CELL_LIMIT:
-        return {n: F.percentile(numeric(df, n), F.array(*map(F.lit, probs))) for n in names}
+        ordered = df.selectExpr(
+            *[f"sort_array(collect_list({v})) AS c{i}" for i, v in enumerate(values)]
+        )
+        return ordered.selectExpr(
+            array_sql(
+                array_sql(_interpolated(f"c{i}", p) for p in probs) for i in range(len(names))
+            )
+            + " AS q"
+        )
     found = narrowed_quantiles(df, names, probs)
-    return {n: F.array(*[F.lit(v).cast("double") for v in found[n]]) for n in names}
-
-
-def fence_struct(quartiles: Column) -> Column:
-    """Quartiles as a struct with the interquartile range and the outlier fences."""
-    q1, median, q3 = (quartiles[i] for i in range(3))
-    iqr = q3 - q1
-    return F.struct(
-        q1.alias("q1"),
-        median.alias("median"),
-        q3.alias("q3"),
-        iqr.alias("iqr"),
-        (q1 - FENCE_FACTOR * iqr).alias("lower"),
-        (q3 + FENCE_FACTOR * iqr).alias("upper"),
-    )
+    cells = [array_sql("CAST(NULL AS DOUBLE)" if v is None else _number(v) for v in found[n]) for n in names]
+    return df.sparkSession.sql(f"SELECT {array_sql(cells)} AS q")
 
 
 def fence_row(df: DataFrame, names: Sequence[str], mode: str = "exact") -> DataFrame:
-    """One row with a fence struct per column."""
-    quartiles = quantile_columns(df, names, QUARTILES, mode)
-    return df.agg(*[quartiles[n].alias(n) for n in names]).select(
-        *[fence_struct(ref(n)).alias(n) for n in names]
+    """One row ``(f)``: per column a struct of its quartiles, interquartile range and fences."""
+    iqr = "(q[2] - q[0])"
+    fields = {
+        "q1": "q[0]",
+        "median": "q[1]",
+        "q3": "q[2]",
+        "iqr": iqr,
+        "lower": f"q[0] - {FENCE_FACTOR}D * {iqr}",
+        "upper": f"q[2] + {FENCE_FACTOR}D * {iqr}",
+    }
+    struct = ", ".join(f"'{k}', {v}" for k, v in fields.items())
+    return quantile_row(df, names, QUARTILES, mode).selectExpr(
+        f"transform(q, q -> named_struct({struct})) AS f"
     )

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprofile.functions.columns import (
+    array_sql,
     columns_of,
     family_of,
-    known,
+    head_sql,
+    known_sql,
     literal_rows,
-    ref,
+    quoted,
+    text,
     type_label,
 )
 
@@ -32,7 +35,7 @@ DATE_FORMATS = (
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
@@ -78,7 +81,7 @@ def low_cardinality_candidates(df: DataFrame) -> list[str]:
     names = columns_of(df, "number")
     if not names:
         return []
-    row = df.agg(*[F.approx_count_distinct(known(df, n)).alias(n) for n in names]).first()
+    row = df.selectExpr(*[f"approx_count_distinct({known_sql(df, n)})" for n in names]).first()
     return [n for n, v in zip(names, row) if v <= _SKETCH_CEILING]
 
 
@@ -92,20 +95,20 @@ def column_roles(df: DataFrame) -> DataFrame:
     candidates = low_cardinality_candidates(df)
     fixed = {"object": "categorical", "bool": "categorical", "number": "numerical"}
     rows = []
-    for i, f in enumerate(df.schema.fields):
-        role = F.lit(fixed.get(family_of(f.dataType), "other"))
+    for f in df.schema.fields:
+        role = text(fixed.get(family_of(f.dataType), "other"))
         if f.name in candidates:
-            distinct = F.size(F.collect_set(known(df, f.name) + F.lit(0)))
-            low = (distinct < LOW_CARDINALITY) & (
-                F.try_divide(distinct, F.count(F.lit(1))) < LOW_CARDINALITY_SHARE
+            # Adding zero makes -0.0 and 0.0 one value.
+            distinct = f"size(collect_set({known_sql(df, f.name)} + 0))"
+            low = (
+                f"{distinct} < {LOW_CARDINALITY} AND"
+                f" try_divide({distinct}, count(1)) < {LOW_CARDINALITY_SHARE}D"
             )
-            role = F.when(low, F.lit("categorical")).otherwise(role)
-        rows.append(
-            F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), role.alias("role"))
-        )
+            role = f"if({low}, 'categorical', {role})"
+        rows.append(f"named_struct({head_sql(df, f.name)}, 'role', {role})")
     if not candidates:
-        return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+        return df.sparkSession.sql(f"SELECT inline({array_sql(rows)})")
+    return df.selectExpr(f"{array_sql(rows)} AS rows").selectExpr("inline(rows)")
 
 
 def split_roles(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -143,18 +146,14 @@ def time_named_columns(
     )
 
 
-def parses_as_date(col):
-    """True where a text is a date in one of the accepted formats. The shape is tested first, so
+def parses_as_date(col: str) -> str:
+    """SQL: true where a text is a date in one of the accepted formats. The shape is tested first, so
     other text costs a failed match and not a failed parse."""
-    tests = [
-        F.col("v").rlike(shape_) & F.try_to_timestamp(F.col("v"), F.lit(fmt)).isNotNull()
+    branches = " ".join(
+        f"WHEN {col} RLIKE {text(shape_)} THEN try_to_timestamp({col}, {text(fmt)}) IS NOT NULL"
         for shape_, fmt in DATE_FORMATS
-    ]
-    del tests
-    out = F.lit(False)
-    for shape_, fmt in DATE_FORMATS:
-        out = F.when(col.rlike(shape_), F.try_to_timestamp(col, F.lit(fmt)).isNotNull()).otherwise(out)
-    return out
+    )
+    return f"CASE WHEN {col} IS NULL THEN NULL {branches} ELSE false END"
 
 
 def date_columns_row(df: DataFrame) -> tuple[list[str], DataFrame | None]:
@@ -162,23 +161,20 @@ def date_columns_row(df: DataFrame) -> tuple[list[str], DataFrame | None]:
     names = columns_of(df, "object")
     if not names:
         return [], None
-    tests = [F.coalesce(F.bool_and(parses_as_date(ref(n))), F.lit(True)).alias(n) for n in names]
-    probe = df.select(*[ref(n) for n in names]).limit(_DATE_PROBE_ROWS).agg(*tests).first()
-    names = [n for n, ok in zip(names, probe) if ok]
-    tests = [F.coalesce(F.bool_and(parses_as_date(ref(n))), F.lit(True)).alias(n) for n in names]
-    return names, (df.agg(*tests) if names else None)
+    # Flags of a few rows, read partition by partition, spare most columns the full scan.
+    probe = df.selectExpr(*[parses_as_date(quoted(n)) for n in names]).head(_DATE_PROBE_ROWS)
+    names = [n for i, n in enumerate(names) if not any(r[i] is False for r in probe)]
+    tests = [
+        f"coalesce(bool_and({parses_as_date(quoted(n))}), true) AS {quoted(n)}" for n in names
+    ]
+    return names, (df.selectExpr(*tests) if names else None)
 
 
 def _flagged(df: DataFrame, names: Sequence[str], row: DataFrame | None) -> DataFrame:
     if not names:
         return literal_rows(df.sparkSession, [], "position int, column string")
-    cells = [
-        F.struct(
-            F.lit(df.columns.index(n)).alias("position"), F.lit(n).alias("column"), ref(n).alias("ok")
-        )
-        for n in names
-    ]
-    return row.select(F.inline(F.array(*cells))).where("ok").select("position", "column")
+    cells = array_sql(f"named_struct({head_sql(df, n)}, 'ok', {quoted(n)})" for n in names)
+    return row.selectExpr(f"inline({cells})").where("ok").select("position", "column")
 
 
 def date_parseable_columns(df: DataFrame) -> DataFrame:
@@ -191,15 +187,11 @@ def text_flags(df: DataFrame) -> tuple[list[str], DataFrame | None]:
     """Text columns, and one row of booleans: more than half the rows have over three words."""
     names = columns_of(df, "object")
     flags = [
-        (
-            F.try_divide(
-                F.count_if(ref(n).rlike(FOUR_WORDS)).cast("double"), F.count(F.lit(1)).cast("double")
-            )
-            > TEXT_SHARE
-        ).alias(n)
+        f"try_divide(DOUBLE(count_if({quoted(n)} RLIKE {text(FOUR_WORDS)})), count(1))"
+        f" > {TEXT_SHARE}D AS {quoted(n)}"
         for n in names
     ]
-    return names, (df.agg(*flags) if names else None)
+    return names, (df.selectExpr(*flags) if names else None)
 
 
 def text_columns(df: DataFrame) -> DataFrame:

@@ -40,6 +40,6 @@ def outlier_rows(df: DataFrame, name: str, mode: str = "exact") -> DataFrame:
     require_columns(df, [name], "number")
     fences = fence_row(df, [name], mode)
     value = numeric(df, name)
-    lower = fences.select(ref(name)["lower"].alias("lower")).scalar()
-    upper = fences.select(ref(name)["upper"].alias("upper")).scalar()
+    lower = fences.selectExpr("f[0].lower").scalar()
+    upper = fences.selectExpr("f[0].upper").scalar()
     return df.where((value < lower) | (value > upper))
