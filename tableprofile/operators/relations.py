@@ -203,7 +203,12 @@ def top_correlations(
         pairs = pairs.where("r IS NOT NULL")
     if rule["above"] is not None:
         pairs = pairs.where(F.abs("r") > rule["above"])
-    key = {"abs": "coalesce(-abs(r), 2D)", "signed": "-r", "matrix": "0D"}[rule["order"]]
+    # Correlations that agree to twelve digits are ties, which the column order settles.
+    key = {
+        "abs": "coalesce(-round(abs(r), 12), 2D)",
+        "signed": "-round(r, 12)",
+        "matrix": "0D",
+    }[rule["order"]]
     ranked = f"array_sort(collect_list(struct({key} AS key, pos_x, pos_y, col_x, col_y, r)))"
     # One row per pair of columns: a table of the schema's size, whatever the number of rows.
     if rule["limit"] is not None:
@@ -223,7 +228,7 @@ def most_correlated_pair(
     names = (roles or split_roles(df))[1]
     pairs = _swapped(pair_table(df, names)).where("r IS NOT NULL")
     return (
-        pairs.selectExpr("min_by(struct(col_x, col_y, r), struct(-abs(r), pos_x, pos_y)) AS best")
+        pairs.selectExpr("min_by(struct(col_x, col_y, r), struct(-round(abs(r), 12), pos_x, pos_y)) AS best")
         .where("best IS NOT NULL")
         .select("best.*")
     )

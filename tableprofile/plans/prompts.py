@@ -61,7 +61,7 @@ _LABELS = {
 
 
 def _number(col: Column) -> Column:
-    return F.coalesce(fixed(col, 6), F.lit("NaN"))
+    return F.coalesce(fixed(col, 4), F.lit("NaN"))
 
 
 def _joined(rows: DataFrame, order: str | Column, text: Column, sep: str = "\n") -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprofile.functions.columns import ref
+from tableprofile.functions.columns import quoted, text
 
 # Texts that stand for a missing value.
 NA_TOKENS = (
@@ -36,6 +36,9 @@ BOOL_TOKENS = ("True", "TRUE", "true", "False", "FALSE", "false")
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
+UNSIGNED = "DECIMAL(20, 0)"
+MAX_UNSIGNED = "18446744073709551615"
+
 _OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": 100_000}
 
 
@@ -61,18 +64,11 @@ def _header(spark: SparkSession, path: str | Sequence[str], multi_line: bool) ->
     return names
 
 
-def _typed(name: str, kind: str) -> Column:
-    col = ref(name)
-    if kind == "double":
-        # Spark's cast reads infinities in any case, and takes surrounding blanks.
-        return F.trim(col).cast("double").alias(name)
-    if kind == "bigint":
-        return F.trim(col).cast("bigint").alias(name)
-    if kind == "decimal":
-        return F.trim(col).cast("decimal(20,0)").alias(name)
+def _typed(name: str, kind: str) -> str:
+    col = quoted(name)
     if kind == "boolean":
-        return (F.lower(col) == "true").alias(name)
-    return col.alias(name)
+        return f"lower({col}) = 'true' AS {col}"
+    return f"{col}" if kind == "string" else f"CAST(trim({col}) AS {kind}) AS {col}"
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -90,38 +86,35 @@ def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     names = _header(spark, path, multi_line)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, **_OPTIONS)
-    raw = raw.select(*[F.when(~ref(n).isin(*NA_TOKENS), ref(n)).alias(n) for n in names])
+    tokens = ", ".join(map(text, NA_TOKENS))
+    columns = [quoted(n) for n in names]
+    raw = raw.selectExpr(*[f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END AS {c}" for c in columns])
 
+    truths = ", ".join(map(text, BOOL_TOKENS))
     tests = []
-    for i, n in enumerate(names):
-        col = ref(n)
-        whole = col.rlike(INTEGER)
+    for c in columns:
+        whole = f"{c} RLIKE {text(INTEGER)}"
         tests += [
-            F.bool_and(whole).alias(f"whole{i}"),
-            F.bool_and(F.when(whole, F.trim(col).try_cast("bigint").isNotNull())).alias(f"fits{i}"),
-            F.bool_and(
-                F.when(whole, F.trim(col).try_cast("decimal(20,0)").between(0, 2**64 - 1))
-            ).alias(f"unsigned{i}"),
-            F.bool_and(col.rlike(NUMBER)).alias(f"number{i}"),
-            F.bool_and(col.isin(*BOOL_TOKENS)).alias(f"truth{i}"),
-            F.bool_or(col.isNull()).alias(f"gaps{i}"),
+            f"bool_and({whole})",
+            f"bool_and(if({whole}, try_cast(trim({c}) AS BIGINT) IS NOT NULL, NULL))",
+            f"bool_and(if({whole}, try_cast(trim({c}) AS {UNSIGNED}) BETWEEN 0 AND {MAX_UNSIGNED}, NULL))",
+            f"bool_and({c} RLIKE {text(NUMBER)})",
+            f"bool_and({c} IN ({truths}))",
+            f"bool_or({c} IS NULL)",
         ]
-    row = raw.agg(*tests).first()
+    row = raw.selectExpr(*tests).first()
     kinds = []
     for i in range(len(names)):
-        whole, fits, unsigned, number, truth, gaps = (
-            row[f"{k}{i}"] for k in ("whole", "fits", "unsigned", "number", "truth", "gaps")
-        )
+        whole, fits, unsigned, number, truth, gaps = row[6 * i : 6 * i + 6]
         if number is None:
-            kinds.append("double")
-        elif whole and fits and not gaps:
-            kinds.append("bigint")
-        elif whole and not fits and not gaps:
-            kinds.append("decimal" if unsigned else "string")
+            kinds.append("DOUBLE")
+        elif whole and not gaps:
+            # Whole numbers beyond both integer ranges stay text.
+            kinds.append("BIGINT" if fits else UNSIGNED if unsigned else "string")
         elif number:
-            kinds.append("double")
+            kinds.append("DOUBLE")
         elif truth and not gaps:
             kinds.append("boolean")
         else:
             kinds.append("string")
-    return raw.select(*[_typed(n, k) for n, k in zip(names, kinds)])
+    return raw.selectExpr(*[_typed(n, k) for n, k in zip(names, kinds)])
