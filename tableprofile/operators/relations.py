@@ -14,7 +14,6 @@ from tableprofile.functions.columns import (
     columns_of,
     literal_rows,
     numeric_frame,
-    position_of,
     quoted,
     ref,
     require_columns,
@@ -99,6 +98,7 @@ def _co_moments(columns: list[str]):
 
 def _triangle(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``(pos_x, pos_y, col_x, col_y, r)`` for every pair with x not after y, in one Arrow scan.
+    Positions are places in ``names``.
 
     Values are shifted by the column mean first (a scan of plain averages), which keeps the sums
     accurate for columns far from zero; a constant column is shifted to exact zeros.
@@ -118,7 +118,6 @@ def _triangle(df: DataFrame, names: Sequence[str]) -> DataFrame:
         .groupBy("i", "j")
         .agg(*[F.sum(n).alias(n) for n, _ in _MOMENTS[2:]])
     )
-    positions = array_sql(str(position_of(df, n)) for n in names)
     labels = array_sql(text(n) for n in names)
     return (
         sums.selectExpr("*", "xx - x * x / n AS var_x", "yy - y * y / n AS var_y")
@@ -128,8 +127,8 @@ def _triangle(df: DataFrame, names: Sequence[str]) -> DataFrame:
             " AS varies",
         )
         .selectExpr(
-            f"{positions}[i] AS pos_x",
-            f"{positions}[j] AS pos_y",
+            "int(i) AS pos_x",
+            "int(j) AS pos_y",
             f"{labels}[i] AS col_x",
             f"{labels}[j] AS col_y",
             "CASE WHEN varies THEN if(i = j, 1D, (xy - x * y / n) / (sqrt(var_x) * sqrt(var_y))) END"

@@ -24,7 +24,6 @@ LINEITEM = (
 LINE_NUMBERS = LINEITEM[:8]
 # By role: l_linenumber and l_tax have few values.
 LINE_NUMERICAL = [n for n in LINE_NUMBERS if n not in ("l_linenumber", "l_tax")]
-NET = (*LINEITEM, "net_price", "kept_share")
 NET_NUMBERS = (*LINE_NUMBERS, "net_price", "kept_share")
 EVENTS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 EVENT_NUMBERS = ("event_id", "user_id", "value")
@@ -266,29 +265,28 @@ def categories(source: str, c: str) -> str:
 # --- correlations ---
 
 
-def pairs(source: str, columns: Sequence[str], numbers: Sequence[str]) -> str:
+def pairs(source: str, numbers: Sequence[str]) -> str:
     """Every pair, the earlier column as x."""
     return union(
-        f"SELECT {columns.index(a)} AS px, {columns.index(b)} AS py, {q(a)} AS cx, {q(b)} AS cy,"
+        f"SELECT {numbers.index(a)} AS px, {numbers.index(b)} AS py, {q(a)} AS cx, {q(b)} AS cy,"
         f" corr({a}, {b}) AS c FROM {source}"
         for a, b in combinations(numbers, 2)
     )
 
 
-def clean_pairs(source: str, columns: Sequence[str], numbers: Sequence[str]) -> str:
-    return f"SELECT px, py, cx, cy, CASE WHEN isnan(c) THEN NULL ELSE c END AS c FROM ({pairs(source, columns, numbers)})"
+def clean_pairs(source: str, numbers: Sequence[str]) -> str:
+    return f"SELECT px, py, cx, cy, CASE WHEN isnan(c) THEN NULL ELSE c END AS c FROM ({pairs(source, numbers)})"
 
 
 def ranked_pairs(
     source: str,
-    columns: Sequence[str],
     numbers: Sequence[str],
     where: str,
     order: str,
     limit: int | None,
     orient: str,
 ) -> str:
-    base = clean_pairs(source, columns, numbers)
+    base = clean_pairs(source, numbers)
     there = f"SELECT px AS x, py AS y, cx AS col_x, cy AS col_y, c FROM ({base})"
     back = f"SELECT py AS x, px AS y, cy AS col_x, cx AS col_y, c FROM ({base})"
     rows = {"there": there, "back": back, "both": f"{there} UNION ALL {back}"}[orient]
@@ -299,8 +297,8 @@ def ranked_pairs(
     )
 
 
-def correlation_lines(source: str, columns: Sequence[str], numbers: Sequence[str]) -> list[tuple[str, str]]:
-    p = f"({ranked_pairs(source, columns, numbers, 'abs(c) > 0.7', '0', None, 'back')})"
+def correlation_lines(source: str, numbers: Sequence[str]) -> list[tuple[str, str]]:
+    p = f"({ranked_pairs(source, numbers, 'abs(c) > 0.7', '0', None, 'back')})"
     n = f"(SELECT count(*) FROM {p})"
     lines = [(f"{n} > 0", fill(M.CORRELATION["found"], n=n))]
     for k in (1, 2, 3):
@@ -620,7 +618,7 @@ def gap_context() -> str:
     top_text = joined(tops, "\"column\" || ' top values: ' || v", "position")
     stats = stats_text(O_GAPS, GAP_ORDERS, ORDER_NUMBERS)
     ranked = ranked_pairs(
-        O_GAPS, GAP_ORDERS, ORDER_NUMBERS, "c IS NOT NULL", "round(abs(c), 12) DESC", 10, "there"
+        O_GAPS, ORDER_NUMBERS, "c IS NOT NULL", "round(abs(c), 12) DESC", 10, "there"
     )
     pair = fill(M.CONTEXT["profile_pair"], x="col_x", y="col_y", r="printf('%.4f', r)")
     return (
@@ -804,13 +802,12 @@ ORACLE: dict[str, str] = {
     ),
     "correlation_matrix": (
         "WITH p AS ("
-        + clean_pairs(E_GAPS_TOTAL, (*EVENTS, "total"), (*EVENT_NUMBERS, "total"))
+        + clean_pairs(E_GAPS_TOTAL, (*EVENT_NUMBERS, "total"))
         + "), b AS (SELECT px, py, cx, cy, c FROM p UNION ALL SELECT py, px, cy, cx, c FROM p UNION ALL "
         + union(
             f"SELECT {i} AS px, {i} AS py, {q(c)} AS cx, {q(c)} AS cy,"
             f" CASE WHEN stddev_samp({c}) > 0 THEN 1.0 END AS c FROM {E_GAPS_TOTAL}"
-            for i, c in enumerate((*EVENTS, "total"))
-            if c in (*EVENT_NUMBERS, "total")
+            for i, c in enumerate((*EVENT_NUMBERS, "total"))
         )
         + ") SELECT CAST(px AS INTEGER) AS pos_x, CAST(py AS INTEGER) AS pos_y, cx AS col_x, cy AS col_y,"
         " round(CAST(c AS DOUBLE), 6) + 0.0 AS r FROM b"
@@ -818,7 +815,7 @@ ORACLE: dict[str, str] = {
     "most_correlated_pair": (
         "SELECT col_x, col_y, round(r, 6) + 0.0 AS r FROM ("
         + ranked_pairs(
-            E_TOTAL, (*EVENTS, "total"), (*EVENT_NUMBERS, "total"), "c IS NOT NULL", "round(abs(c), 12) DESC", 1, "back"
+            E_TOTAL, (*EVENT_NUMBERS, "total"), "c IS NOT NULL", "round(abs(c), 12) DESC", 1, "back"
         )
         + ")"
     ),
@@ -829,7 +826,7 @@ ORACLE: dict[str, str] = {
     ),
     "correlation_heatmap_lower": (
         "SELECT CAST(py AS INTEGER) AS pos_x, CAST(px AS INTEGER) AS pos_y, cy AS col_x, cx AS col_y,"
-        f" round(c, 6) + 0.0 AS r FROM ({clean_pairs(L_NET, NET, NET_NUMBERS)})"
+        f" round(c, 6) + 0.0 AS r FROM ({clean_pairs(L_NET, NET_NUMBERS)})"
     ),
     "category_counts_folded": categories("part", "p_brand"),
     "category_counts_gaps": categories(E_GAPS, "props"),
@@ -865,9 +862,9 @@ ORACLE: dict[str, str] = {
     "distribution_insights_many": numbered(
         "Distribution Insights", distribution_lines("lineitem", LINE_NUMBERS)
     ),
-    "correlation_insights": numbered("Correlation Analysis", correlation_lines(L_NET, NET, NET_NUMBERS)),
+    "correlation_insights": numbered("Correlation Analysis", correlation_lines(L_NET, NET_NUMBERS)),
     "correlation_insights_none": numbered(
-        "Correlation Analysis", correlation_lines("orders", ORDERS, ORDER_NUMBERS)
+        "Correlation Analysis", correlation_lines("orders", ORDER_NUMBERS)
     ),
     "feature_insights": numbered(
         "Feature Engineering Recommendations",
@@ -881,7 +878,7 @@ ORACLE: dict[str, str] = {
             ),
             numbered(
                 "Correlation Analysis",
-                correlation_lines(D_GAPS, GAP_DOCUMENTS, ("doc_id", "n_chars", "is_long")),
+                correlation_lines(D_GAPS, ("doc_id", "n_chars", "is_long")),
             ),
             numbered(
                 "Feature Engineering Recommendations",
@@ -942,5 +939,5 @@ _RANKINGS = {
 for _name, (_numbers, _where, _order, _limit, _orient) in _RANKINGS.items():
     ORACLE[f"top_correlations_{_name}"] = (
         "SELECT rank, col_x, col_y, round(r, 6) + 0.0 AS r FROM"
-        f" ({ranked_pairs(L_NET, NET, _numbers, _where, _order, _limit, _orient)})"
+        f" ({ranked_pairs(L_NET, _numbers, _where, _order, _limit, _orient)})"
     )
