@@ -168,6 +168,12 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFr
     return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({', '.join(names)})")
 
 
+def batches(names: Sequence[str], size: int) -> list[list[str]]:
+    """The names in batches. Columns of different batches are read by different scans, so a
+    columnar source is still read once; it bounds the size of each aggregate's generated code."""
+    return [list(names[i : i + size]) for i in range(0, len(names), size)]
+
+
 def union_rows(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

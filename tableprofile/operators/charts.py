@@ -252,7 +252,7 @@ def missingness_map(df: DataFrame, order_key: str, buckets: int = 100) -> DataFr
     ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).selectExpr("struct(lo, hi) AS p")
     place = f"int(floor(try_divide((k - p.lo) * {buckets}, p.hi - p.lo))) + 1"
     # A table whose keys are all equal is one bucket.
-    bucket = f"CASE WHEN k IS NULL THEN 0 ELSE coalesce(least({buckets}, {place}), 1) END"
+    bucket = f"CASE WHEN k IS NULL THEN 0 ELSE least({buckets}, coalesce({place}, 1)) END"
     flags = [f"DOUBLE({missing_sql(df, c)}) AS m{i}" for i, c in enumerate(df.columns)]
     shares = [f"avg(m{i})" for i in range(len(df.columns))]
     cells = array_sql(

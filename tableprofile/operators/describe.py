@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tableprofile.functions.columns import (
     array_sql,
+    batches,
     columns_of,
     head_sql,
     literal_rows,
     number_sql,
     require_columns,
+    union_rows,
     with_row,
 )
 from tableprofile.operators.quantiles import fence_row, quantile_row
@@ -21,6 +23,7 @@ from tableprofile.operators.roles import split_roles
 
 SKEW_LIMIT = 1.0
 OUTLIER_PCT_LIMIT = 5.0
+COLUMNS_PER_SCAN = 40
 # Central moments below this are rounding noise of the sum and count as zero.
 MOMENT_NOISE = 1e-14
 
@@ -43,6 +46,10 @@ def describe(df: DataFrame, names: Sequence[str] | None = None, mode: str = "exa
             "position int, column string, count bigint, mean double, std double, min double,"
             " p25 double, p50 double, p75 double, max double",
         )
+    return union_rows([_describe(df, part, mode) for part in batches(names, COLUMNS_PER_SCAN)])
+
+
+def _describe(df: DataFrame, names: Sequence[str], mode: str) -> DataFrame:
     moments = []
     for name in names:
         v = number_sql(df, name)
@@ -73,6 +80,10 @@ def quartiles_iqr(
 ) -> DataFrame:
     """``(position, column, q1, median, q3, iqr, lower, upper)``."""
     names = _chosen(df, names)
+    if not names:
+        fields = ("q1", "median", "q3", "iqr", "lower", "upper")
+        doubles = ", ".join(f"{f} double" for f in fields)
+        return literal_rows(df.sparkSession, [], f"position int, column string, {doubles}")
     heads = array_sql(f"named_struct({head_sql(df, n)})" for n in names)
     return (
         fence_row(df, names, mode)
@@ -150,6 +161,9 @@ DIRECTION = f"CASE WHEN abs(skewness) > {SKEW_LIMIT}D THEN if(skewness > 0, 'rig
 def skewness(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """``(position, column, skewness, direction)`` of the number columns."""
     names = _chosen(df, names)
+    if not names:
+        ddl = "position int, column string, skewness double, direction string"
+        return literal_rows(df.sparkSession, [], ddl)
     rows = array_sql(
         f"named_struct({head_sql(df, n)}, 'skewness', {sample_skewness(number_sql(df, n))})"
         for n in names

@@ -2,11 +2,11 @@
 
 A small table's columns are sorted in memory within the aggregate. The size is checked first:
 rows x columns must stay below ``CELL_LIMIT``. Beyond it the same exact answer is found by
-narrowing. Each pass is one scan with map-side aggregation only. It counts the rows below, at and
-between two pivots per searched rank, and draws a bounded sample from between them, from which
-closer pivots come. The counts are exact, so an unlucky sample costs a further pass and never a
-wrong value. A value that fills a large part of a column becomes a pivot and is settled by its
-count, so nothing but counts and bounded samples ever meets in one task.
+narrowing, in rounds of two scans without any shuffle of rows: a bounded random sample suggests two
+pivots on both sides of every searched rank, then the rows below, at and between the pivots are
+counted. The counts are exact, so an unlucky sample costs a further round and never a wrong value. A
+value that fills a large part of a column becomes a pivot and is settled by its count. Once few rows
+lie between the pivots they are read off. Nothing but counts and bounded samples meets in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprofile.functions.columns import array_sql, number_sql, numeric_frame, quoted
+from tableprofile.functions.columns import array_sql, batches, number_sql, numeric_frame, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
 FENCE_FACTOR = 1.5
@@ -26,13 +26,14 @@ FENCE_FACTOR = 1.5
 # Rows x columns up to which columns are sorted within one task.
 CELL_LIMIT = 8_000_000
 # Rows between two pivots that are few enough to be read off directly, per rank.
-INNER_LIMIT = 100_000
+INNER_LIMIT = 250_000
 # Sampled values per rank, the grid they are reduced to, and the grid cells kept on both sides of
-# the wanted place (four standard errors of the sample).
-SAMPLE_ROWS = 100_000
+# the wanted place (more than four standard errors of the sample).
+SAMPLE_ROWS = 200_000
 GRID = 1_000
-MARGIN = 7
+MARGIN = 5
 SEED = 7
+COLUMNS_PER_SCAN = 10
 APPROX_ACCURACY = 10_000
 
 
@@ -45,91 +46,91 @@ class _Search:
     floor: float | None = None
     ceil: float | None = None
     before: int = 0  # rows at or below ``floor``
-    inner: int = 0  # rows in the interval; an upper bound until it is counted
+    inner: int = 0  # rows in the interval
     pivots: tuple[float, float] | None = None
     value: float | None = None
 
+    @property
     def inside(self) -> str:
-        """SQL: the column's value where it lies in the interval, else NULL."""
-        return _between(quoted(self.name), self.floor, self.ceil)
-
-    def choose_pivots(self, grid: Sequence[float] | None, rows: int) -> None:
-        """Two sampled values around the rank; without a sample the interval is sampled again."""
-        self.inner, self.pivots = rows, None
+        """SQL: whether the column's value lies in the interval."""
+        col = quoted(self.name)
+        tests = [f"{col} IS NOT NULL"]
+        tests += [f"{col} > {_number(self.floor)}"] if self.floor is not None else []
+        tests += [f"{col} < {_number(self.ceil)}"] if self.ceil is not None else []
+        return "(" + " AND ".join(tests) + ")"
+
+    @property
+    def share(self) -> float:
+        """Share of the interval's rows that makes a sample."""
+        return min(1.0, SAMPLE_ROWS / self.inner)
+
+    def choose_pivots(self, grid: Sequence[float] | None) -> None:
+        """Two sampled values around the rank."""
         if grid:
-            at = (self.rank - self.before) / max(rows - 1, 1) * GRID
+            at = (self.rank - self.before) / max(self.inner - 1, 1) * GRID
             lo, hi = max(0, math.floor(at) - MARGIN), min(GRID, math.ceil(at) + MARGIN)
             self.pivots = float(grid[lo]), float(grid[hi])
 
+    def settle(self, below: int, to_a: int, below_b: int, to_b: int) -> None:
+        """Use the exact counts of rows below and up to either pivot."""
+        a, b = self.pivots
+        self.pivots = None
+        if self.rank < below:
+            self.ceil, self.inner = a, below - self.before
+        elif self.rank < to_a:
+            self.value = a
+        elif self.rank < below_b:
+            self.floor, self.ceil, self.before, self.inner = a, b, to_a, below_b - to_a
+        elif self.rank < to_b:
+            self.value = b
+        else:
+            self.inner -= to_b - self.before
+            self.floor, self.before = b, to_b
+
 
 def _number(value: float) -> str:
     return f"{value!r}D" if math.isfinite(value) else f"DOUBLE('{value}')"
 
 
-def _between(col: str, floor: float | None, ceil: float | None) -> str:
-    tests = [f"{col} IS NOT NULL"]
-    tests += [f"{col} > {_number(floor)}"] if floor is not None else []
-    tests += [f"{col} < {_number(ceil)}"] if ceil is not None else []
-    return f"CASE WHEN {' AND '.join(tests)} THEN {col} END"
+def _any_inside(searches: Sequence[_Search]) -> str:
+    return " OR ".join(dict.fromkeys(s.inside for s in searches))
 
 
-def _sampled(value: str, rows: int) -> str:
-    """Aggregate: a grid of order statistics of about ``SAMPLE_ROWS`` of the ``rows`` values."""
-    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
-    kept = f"sort_array(collect_list(CASE WHEN __u < {share!r}D THEN {value} END))"
-    place = f"int(round(i * (size(a) - 1) / {GRID}))"
-    grid = f"transform(sequence(0, {GRID}), i -> get(a, {place}))"
-    return f"transform(array({kept}), a -> if(size(a) > 0, {grid}, NULL))[0]"
-
-
-def _sample_pass(cols: DataFrame, searches: Sequence[_Search]) -> None:
-    """One scan: rows and sample of each interval."""
-    aggs = []
+def _sample_pass(cols: DataFrame, searches: Sequence[_Search], seed: int) -> None:
+    """One scan: a grid of order statistics of a sample from each interval."""
+    grids = []
     for s in searches:
-        aggs += [f"count({s.inside()})", _sampled(s.inside(), s.inner)]
-    row = cols.selectExpr(*aggs).first()
-    for i, s in enumerate(searches):
-        s.choose_pivots(row[2 * i + 1], row[2 * i])
+        kept = f"CASE WHEN __u < {s.share!r}D AND {s.inside} THEN {quoted(s.name)} END"
+        place = f"int(round(i * (size(a) - 1) / {GRID}))"
+        grid = f"transform(sequence(0, {GRID}), i -> get(a, {place}))"
+        grids.append(
+            f"transform(array(sort_array(collect_list({kept}))), a -> if(size(a) > 0, {grid}, NULL))[0]"
+        )
+    most = max(s.share for s in searches)
+    rows = cols.withColumn("__u", F.rand(seed)).where(f"__u < {most!r}D AND ({_any_inside(searches)})")
+    for s, grid in zip(searches, rows.selectExpr(*grids).first()):
+        s.choose_pivots(grid)
 
 
 def _count_pass(cols: DataFrame, searches: Sequence[_Search]) -> None:
-    """One scan: on which side of the pivots a rank lies, and a sample from between them."""
-    aggs = []
+    """One scan, all in generated code: rows below and up to the pivots."""
+    counts = []
     for s in searches:
-        col, (a, b) = quoted(s.name), s.pivots
-        expected = s.inner * (2 * MARGIN + 1) // GRID
-        aggs += [
-            f"count_if({col} < {_number(a)})",
-            f"count_if({col} = {_number(a)})",
-            f"count({_between(col, a, b)})",
-            f"count_if({col} = {_number(b)})",
-            _sampled(_between(col, a, b), max(expected, INNER_LIMIT)),
-        ]
-    row = cols.selectExpr(*aggs).first()
+        for pivot in map(_number, s.pivots):
+            counts += [f"count_if({quoted(s.name)} {op} {pivot})" for op in ("<", "<=")]
+    row = cols.selectExpr(*counts).first()
     for i, s in enumerate(searches):
-        a, b = s.pivots
-        below, at_a, between, at_b, grid = row[5 * i : 5 * i + 5]
-        to_a = below + at_a
-        to_b = to_a if a == b else to_a + between + at_b
-        if s.rank < below:
-            s.ceil, s.inner, s.pivots = a, below - s.before, None
-        elif s.rank < to_a:
-            s.value = a
-        elif s.rank < to_a + between:
-            s.floor, s.ceil, s.before = a, b, to_a
-            s.choose_pivots(grid, between)
-        elif s.rank < to_b:
-            s.value = b
-        else:
-            s.inner -= to_b - s.before
-            s.floor, s.before, s.pivots = b, to_b, None
+        s.settle(*row[4 * i : 4 * i + 4])
 
 
 def _read_pass(cols: DataFrame, searches: Sequence[_Search]) -> None:
     """One scan: the value at the rank, out of an interval that holds few rows."""
-    row = cols.selectExpr(
-        *[f"get(sort_array(collect_list({s.inside()})), {s.rank - s.before})" for s in searches]
-    ).first()
+    values = [
+        f"get(sort_array(collect_list(CASE WHEN {s.inside} THEN {quoted(s.name)} END)),"
+        f" {s.rank - s.before})"
+        for s in searches
+    ]
+    row = cols.where(_any_inside(searches)).selectExpr(*values).first()
     for s, value in zip(searches, row):
         s.value = value
 
@@ -137,13 +138,22 @@ def _read_pass(cols: DataFrame, searches: Sequence[_Search]) -> None:
 def narrowed_quantiles(
     df: DataFrame, names: Sequence[str], probs: Sequence[float], inner_limit: int = INNER_LIMIT
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles by narrowing; each pass keeps about a seventieth of the rows in question.
+    """Exact quantiles by narrowing; each round keeps about a hundredth of the rows in question.
 
-    Neighbouring ranks mostly share their pivots, and Spark computes equal aggregates once.
+    Neighbouring ranks mostly share their pivots, and Spark computes equal aggregates once. Columns
+    are searched in batches, each reading its own columns only.
     """
+    found = {}
+    for batch in batches(names, COLUMNS_PER_SCAN):
+        found.update(_narrowed(df, batch, probs, inner_limit))
+    return found
+
+
+def _narrowed(
+    df: DataFrame, names: Sequence[str], probs: Sequence[float], inner_limit: int
+) -> dict[str, list[float | None]]:
     cols = numeric_frame(df, names)
     rows = cols.selectExpr(*[f"count({quoted(n)}) AS {quoted(n)}" for n in names]).first()
-    cols = cols.withColumn("__u", F.rand(SEED))
     spots = {
         (n, p): (math.floor(p * (rows[n] - 1)), math.ceil(p * (rows[n] - 1)))
         for n in names
@@ -153,13 +163,15 @@ def narrowed_quantiles(
     searches = {
         (n, r): _Search(n, r, inner=rows[n]) for (n, _), pair in spots.items() for r in pair
     }
+    seed = SEED
     while todo := [s for s in searches.values() if s.value is None]:
         if few := [s for s in todo if s.inner <= inner_limit]:
             _read_pass(cols, few)
-        if blank := [s for s in todo if s.inner > inner_limit and s.pivots is None]:
-            _sample_pass(cols, blank)
-        if many := [s for s in todo if s.inner > inner_limit and s.pivots is not None]:
-            _count_pass(cols, many)
+        if many := [s for s in todo if s.inner > inner_limit]:
+            seed += 1
+            _sample_pass(cols, many, seed)
+            if ready := [s for s in many if s.pivots is not None]:
+                _count_pass(cols, ready)
 
     def at(name: str, p: float) -> float | None:
         if (name, p) not in spots:

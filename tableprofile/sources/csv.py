@@ -68,6 +68,8 @@ def _typed(name: str, kind: str) -> str:
     col = quoted(name)
     if kind == "boolean":
         return f"lower({col}) = 'true' AS {col}"
+    if kind == "truth text":
+        return f"CASE WHEN lower({col}) = 'true' THEN 'True' WHEN {col} IS NOT NULL THEN 'False' END AS {col}"
     return f"{col}" if kind == "string" else f"CAST(trim({col}) AS {kind}) AS {col}"
 
 
@@ -94,10 +96,11 @@ def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     tests = []
     for c in columns:
         whole = f"{c} RLIKE {text(INTEGER)}"
+        unsigned = f"try_cast(trim({c}) AS {UNSIGNED}) BETWEEN 0 AND {MAX_UNSIGNED}"
         tests += [
             f"bool_and({whole})",
             f"bool_and(if({whole}, try_cast(trim({c}) AS BIGINT) IS NOT NULL, NULL))",
-            f"bool_and(if({whole}, try_cast(trim({c}) AS {UNSIGNED}) BETWEEN 0 AND {MAX_UNSIGNED}, NULL))",
+            f"bool_and(if({whole}, coalesce({unsigned}, false), NULL))",
             f"bool_and({c} RLIKE {text(NUMBER)})",
             f"bool_and({c} IN ({truths}))",
             f"bool_or({c} IS NULL)",
@@ -113,8 +116,8 @@ def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
             kinds.append("BIGINT" if fits else UNSIGNED if unsigned else "string")
         elif number:
             kinds.append("DOUBLE")
-        elif truth and not gaps:
-            kinds.append("boolean")
+        elif truth:
+            kinds.append("truth text" if gaps else "boolean")
         else:
             kinds.append("string")
     return raw.selectExpr(*[_typed(n, k) for n, k in zip(names, kinds)])

@@ -44,7 +44,7 @@ def test_histogram_auto_without_spread_in_the_middle(spark):
     """The quartiles are equal, so only the number of rows sets the width."""
     data = [5.0] * 90 + [float(i) for i in range(10)]
     df = spark.createDataFrame([(v,) for v in data], "v double")
-    counts, _ = np.histogram(data, "auto")
+    counts, _ = np.histogram(data, int(np.ceil(np.log2(100) + 1)))
     assert column(tp.histogram_auto(df, "v"), "n") == counts.tolist()
 
 

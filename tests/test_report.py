@@ -154,3 +154,11 @@ def test_analyze(spark):
         assert all(t.count() >= 0 for t in parts.values())
     with pytest.raises(ValueError):
         tp.analyze(df.where("id < 0"), ["id"])
+
+
+@pytest.mark.parametrize("kept", ["s", "v"])
+def test_analyze_of_one_kind_of_column(spark, kept):
+    df = spark.range(30).selectExpr("CAST(id AS DOUBLE) AS v", "concat('k', id % 3) AS s").select(kept)
+    parts = tp.analyze(df, [kept])
+    assert all(t.count() >= 0 for t in parts.values())
+    assert parts["basic_stats"].count() == 1

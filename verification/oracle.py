@@ -717,7 +717,7 @@ ORACLE: dict[str, str] = {
     "csv_scan": (
         "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS DOUBLE) END AS o_custkey,"
         " o_orderstatus = 'O' AS is_open, CASE WHEN o_orderstatus <> 'O' THEN"
-        " CAST(o_orderstatus = 'F' AS VARCHAR) END AS is_final,"
+        " CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'False' END END AS is_final,"
         f" o_totalprice, o_orderpriority, order_day FROM {O_GAPS}"
     ),
     "load_table": "SELECT * FROM supplier",
