@@ -33,7 +33,8 @@ SAMPLE_ROWS = 200_000
 GRID = 1_000
 MARGIN = 5
 SEED = 7
-COLUMNS_PER_SCAN = 10
+# Bounds what one task collects: columns x ranks x the limits above.
+COLUMNS_PER_SCAN = 6
 APPROX_ACCURACY = 10_000
 
 

@@ -18,13 +18,13 @@ from tableprofile.operators.relations import top_correlations
 from tableprofile.operators.roles import split_roles
 from tableprofile.operators.selection import sample_rows
 from tableprofile.plans import messages as M
-from tableprofile.plans.report import Roles, as_array, fill
+from tableprofile.plans.report import Roles, fill
 
 SAMPLE_ROWS = 5
 MOST_MISSING = 3
 STYLES = ("context", "profile")
 
-_TASKS = {
+TASKS = {
     "eda": (
         "Explore this table and report what stands out: what it is about, how the main variables"
         " are distributed and related, patterns and outliers, useful charts and first hypotheses."
@@ -42,7 +42,7 @@ _TASKS = {
 }
 
 # Profile fields that each task's prompt shows, in order.
-_FIELDS = {
+FIELDS = {
     "eda": ("shape", "columns_info", "missing_info", "basic_stats", "correlations", "sample_data"),
     "feature": ("shape", "columns_info", "basic_stats", "correlations"),
     "quality": ("shape", "columns_info", "missing_info", "basic_stats"),
@@ -50,7 +50,7 @@ _FIELDS = {
     "memory": ("shape", "columns_info", "basic_stats"),
 }
 
-_LABELS = {
+LABELS = {
     "shape": "Size",
     "columns_info": "Columns",
     "missing_info": "Missing values",
@@ -184,8 +184,8 @@ def profile_context(
 
 
 def _prompt(task: str, field, *tail: Column) -> Column:
-    parts = [F.lit(_TASKS[task])]
-    parts += [F.concat(F.lit(_LABELS[f] + ":\n"), field(f)) for f in _FIELDS[task]]
+    parts = [F.lit(TASKS[task])]
+    parts += [F.concat(F.lit(LABELS[f] + ":\n"), field(f)) for f in FIELDS[task]]
     return F.concat_ws("\n\n", *parts, *tail)
 
 

@@ -108,3 +108,10 @@ def test_small_lists(spark, values):
     got = Q.narrowed_quantiles(df, ["v"], PROBS, 1)["v"]
     assert np.allclose(got, expected(values))
     assert np.allclose(Q.quantile_row(df, ["v"], PROBS).first().q[0], expected(values))
+
+
+def test_many_columns_are_searched_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(Q, "COLUMNS_PER_SCAN", 2)
+    df = spark.range(1000).selectExpr(*[f"id * {k} AS c{k}" for k in range(1, 6)])
+    found = Q.narrowed_quantiles(df, df.columns, (0.5,), 50)
+    assert found == {f"c{k}": [499.5 * k] for k in range(1, 6)}

@@ -122,3 +122,13 @@ def test_odd_column_names(spark):
     assert tp.outlier_rows(df, "a.b").count() == 0
     assert tp.insights(df).count() > 0
     assert tp.correlation_matrix(df).count() == 4
+
+
+def test_the_sketch_never_overrates_few_values(spark):
+    """What the roles and the cardinality rule rely on: k values set at most k registers."""
+    cols = [f"xxhash64(id % {k}, {seed}) AS c{k}_{seed}" for k in range(1, 11) for seed in range(30)]
+    df = spark.range(60).selectExpr(*cols)
+    row = df.selectExpr(*[f"approx_count_distinct({c}) AS {c}" for c in df.columns]).first()
+    for name, estimate in row.asDict().items():
+        distinct = int(name[1:].split("_")[0])
+        assert estimate <= 12 if distinct < 10 else estimate <= 13

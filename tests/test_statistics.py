@@ -158,3 +158,10 @@ def test_selection(mixed, spark):
         with pytest.raises(ValueError):
             tp.require_rows(bad)
     assert tp.require_rows(df) is df
+
+
+def test_wide_tables_are_described_in_batches(spark):
+    df = spark.range(20).selectExpr(*[f"id + {k} AS c{k}" for k in range(85)])
+    got = dicts(tp.describe(df), "position")
+    assert [r["column"] for r in got] == df.columns
+    assert [r["p50"] for r in got] == [9.5 + k for k in range(85)]

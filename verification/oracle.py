@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from itertools import combinations
 
 from tableprofile.plans import messages as M
-from tableprofile.plans.prompts import _FIELDS, _LABELS, _TASKS
+from tableprofile.plans.prompts import FIELDS, LABELS, TASKS
 
 LINEITEM = (
     "l_orderkey",
@@ -632,7 +632,7 @@ def gap_context() -> str:
 
 def prompt(task: str, *tail: str) -> str:
     gap = " || chr(10) || chr(10) || "
-    parts = [q(_TASKS[task])] + [f"{q(_LABELS[f] + ':')} || chr(10) || {f}" for f in _FIELDS[task]]
+    parts = [q(TASKS[task])] + [f"{q(LABELS[f] + ':')} || chr(10) || {f}" for f in FIELDS[task]]
     return gap.join([*parts, *tail])
 
 
