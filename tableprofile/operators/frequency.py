@@ -40,6 +40,7 @@ HIGH_CARDINALITY_INSIGHT = 2
 LONG_TEXT = 63
 # A column with at most ten distinct values never gets a higher estimate from the sketch.
 _SKETCH_CEILING = 13
+_PROBE_ROWS = 1_000
 
 
 def groupable_columns(df: DataFrame) -> list[str]:
@@ -67,12 +68,45 @@ def _tagged(df: DataFrame, name: str, part: DataFrame, *exprs: str) -> DataFrame
     return part.selectExpr(f"{position_of(df, name)} AS position", f"{text(name)} AS column", *exprs)
 
 
-def _ranked(df: DataFrame, name: str, k: int) -> DataFrame:
+def long_text_columns(df: DataFrame, names: Sequence[str]) -> set[str]:
+    """Text columns with long values among the first rows. This picks a plan, never a result."""
+    texts = [n for n in names if family_of(df.schema[n].dataType) == "object"]
+    if not texts:
+        return set()
+    long = [f"coalesce(length({quoted(n)}) > {LONG_TEXT}, false)" for n in texts]
+    rows = df.selectExpr(*long).head(_PROBE_ROWS)
+    return {n for i, n in enumerate(texts) if any(r[i] for r in rows)}
+
+
+def _key_counts(df: DataFrame, name: str) -> DataFrame:
+    """``(key, n)``: frequencies by ``distinct_key``, so long text is not shuffled."""
+    keys = df.selectExpr(f"{distinct_key(df, name)} AS key").where("key IS NOT NULL")
+    return keys.groupBy("key").agg(F.expr("count(1) AS n"))
+
+
+def _frequent(df: DataFrame, name: str, k: int, long: bool) -> DataFrame:
+    """``(value, n)`` of values that include the ``k`` most frequent ones.
+
+    Long text is counted by digest. Only values at least as frequent as the k-th are then looked up,
+    unless that is a single occurrence, which every value has.
+    """
+    if not long:
+        return frequencies(df, name)
+    counts = _key_counts(df, name)
+    least = counts.orderBy(F.desc("n")).limit(k).selectExpr("min(n)").first()[0]
+    if least is None or least < 2:
+        return frequencies(df, name)
+    texts = df.selectExpr(f"{known_sql(df, name)} AS value", f"{distinct_key(df, name)} AS key")
+    found = texts.join(counts.where(F.col("n") >= least), "key")
+    return found.groupBy("key").agg(F.expr("any_value(value) AS value"), F.expr("max(n) AS n"))
+
+
+def _ranked(df: DataFrame, name: str, k: int, long: bool) -> DataFrame:
     """One row: ``top``, the ``k`` most frequent values of a column as an ordered array.
 
     Only ``k`` rows per task reach the last step; ties go to the smaller value.
     """
-    top = frequencies(df, name).orderBy(F.desc("n"), "value").limit(k)
+    top = _frequent(df, name, k, long).orderBy(F.desc("n"), "value").limit(k)
     return top.selectExpr(
         "array_sort(collect_list(named_struct('neg', -n, 'value', value, 'n', n))) AS top"
     )
@@ -87,8 +121,9 @@ def top_values(
     """``(position, column, rank, value, n)``: the most frequent known values of each categorical
     column, as text."""
     names = (roles or split_roles(df))[0] if names is None else require_columns(df, names)
+    long = long_text_columns(df, names)
     parts = [
-        _tagged(df, n, _ranked(df, n, k), "posexplode(top) AS (pos, v)").selectExpr(
+        _tagged(df, n, _ranked(df, n, k, n in long), "posexplode(top) AS (pos, v)").selectExpr(
             "position", "column", "pos + 1 AS rank", "CAST(v.value AS STRING) AS value", "v.n AS n"
         )
         for n in names
@@ -179,14 +214,16 @@ def describe_text(df: DataFrame, names: Sequence[str] | None = None) -> DataFram
     names = (
         columns_of(df, "object", "bool", "datetime") if names is None else require_columns(df, names)
     )
+    long = long_text_columns(df, names)
     parts = []
     for n in names:
-        stats = frequencies(df, n).selectExpr(
-            "coalesce(sum(n), 0L) AS count",
-            "count(1) AS unique",
-            "CAST(min_by(value, struct(-n, value)) AS STRING) AS top",
-            "max(n) AS freq",
-        )
+        totals = ["coalesce(sum(n), 0L) AS count", "count(1) AS unique", "max(n) AS freq"]
+        if n in long:
+            stats = with_row(_key_counts(df, n).selectExpr(*totals), _ranked(df, n, 1, True), "top")
+            stats = stats.withColumn("top", F.expr("get(top, 0).value"))
+        else:
+            top = "CAST(min_by(value, struct(-n, value)) AS STRING) AS top"
+            stats = frequencies(df, n).selectExpr(*totals, top)
         parts.append(_tagged(df, n, stats, "count", "unique", "top", "freq"))
     if not parts:
         return literal_rows(
@@ -205,12 +242,13 @@ def category_counts(df: DataFrame, name: str) -> DataFrame:
     """
     if family_of(df.schema[name].dataType) == "nested":
         raise ValueError(f"{name} is a nested column")
+    long = bool(long_text_columns(df, [name]))
     bars = "transform(slice(top, 1, {0}), v -> struct(CAST(v.value AS STRING) AS value, v.n AS n))"
     kept = f"aggregate(slice(top, 1, {KEPT_BARS}), 0L, (a, v) -> a + v.n)"
     rest = f"array(struct({text(OTHER)} AS value, n_rows - {kept} AS n))"
     # A category that is itself called Other joins the rest.
     merged = (
-        with_row(_ranked(df, name, MAX_BARS + 1), df.selectExpr("count(1) AS n_rows"), "n_rows")
+        with_row(_ranked(df, name, MAX_BARS + 1, long), df.selectExpr("count(1) AS n_rows"), "n_rows")
         .selectExpr(
             f"inline(if(size(top) <= {MAX_BARS}, {bars.format(MAX_BARS)},"
             f" concat({bars.format(KEPT_BARS)}, {rest})))"

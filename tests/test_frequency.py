@@ -2,6 +2,7 @@ import pandas as pd
 import pytest
 
 import tableprofile as tp
+from tableprofile.operators.frequency import long_text_columns
 from tests.conftest import column, dicts
 
 
@@ -90,3 +91,27 @@ def test_hot_value_is_counted_before_the_shuffle(spark):
     assert (top["value"], top["n"]) == ("hot", 33_334)
     plan = tp.frequencies(df, "v")._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+@pytest.mark.parametrize("copies", [1, 2, 5])
+def test_long_text_is_counted_by_digest(spark, copies):
+    """Ties, short values beside long ones, and missing rows; every value is that frequent or more."""
+    values = [f"{i:02d} " + "word " * 30 for i in range(15) for _ in range(copies)]
+    values += ["short"] * 3 + ["14 " + "word " * 30] * 2 + [None] * 4
+    df = of(spark, values)
+    assert long_text_columns(df, ["v"]) == {"v"}
+    want = pd.Series(values).value_counts().reset_index()
+    want.columns = ["value", "n"]
+    want = want.sort_values(["n", "value"], ascending=[False, True]).head(10)
+    got = [(r["value"], r["n"]) for r in dicts(tp.top_values(df), "rank")]
+    assert got == list(want.itertuples(index=False, name=None))
+    text = dicts(tp.describe_text(df))[0]
+    assert (text["count"], text["unique"], text["freq"]) == (len(values) - 4, 16, max(copies + 2, 3))
+    assert text["top"] == want.value.iloc[0]
+    assert sum(n for _, _, n in bars(df)) == len(values)
+
+
+def test_hot_long_text(spark):
+    df = spark.range(3000).selectExpr("repeat(if(id % 3 = 0, 'hot ', concat(id, ' ')), 40) AS v")
+    top = dicts(tp.top_values(df, k=1, names=["v"]))[0]
+    assert (top["value"], top["n"]) == ("hot " * 40, 1000)

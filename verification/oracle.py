@@ -775,6 +775,8 @@ ORACLE: dict[str, str] = {
     "top_values_gaps": top_values(
         O_GAPS, GAP_ORDERS, ["o_orderstatus", "o_orderpriority", "order_day"]
     ),
+    "top_values_documents": top_values("documents", DOCUMENTS, D_OBJECTS),
+    "describe_text_documents": describe_text("documents", DOCUMENTS, D_OBJECTS),
     "unique_counts": unique("part", PART, PART),
     "unique_counts_documents": unique("documents", DOCUMENTS, DOCUMENTS),
     "high_cardinality_advice": (

@@ -205,6 +205,8 @@ QUERIES: dict[str, Query] = {
     "describe_text": on("part", tp.describe_text),
     "top_values": on("lineitem", tp.top_values),
     "top_values_gaps": over(orders_with_gaps, tp.top_values),
+    "top_values_documents": on("documents", tp.top_values),
+    "describe_text_documents": on("documents", tp.describe_text),
     "unique_counts": on("part", tp.unique_counts),
     "unique_counts_documents": on("documents", tp.unique_counts),
     "high_cardinality_advice": on("documents", tp.high_cardinality),
