@@ -5,6 +5,8 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import DATA
 from verification.compare import difference, oracle_connection
+from verification.oracle import ORACLE
+from verification.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,14 +14,15 @@ def con():
     return oracle_connection(DATA)
 
 
-@pytest.mark.parametrize("name", list(E.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     found = difference(spark, con, DATA, name)
     assert found is None, found
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(E.oracle_sql()) <= set(E.queries()) and set(QUERIES) <= set(E.queries())
 
 
 def test_entry(spark):
