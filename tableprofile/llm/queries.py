@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprofile.llm import fingerprints, licenses
+from tableprofile.llm import fingerprints, jaccard, licenses, substrings
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,12 +17,22 @@ def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, folder))
 
 
+def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.substring_digest(documents(spark, folder))
+
+
+def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, folder))
+
+
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_digest(documents(spark, folder))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_substrings": op2_substrings,
+    "op3_jaccard": op3_jaccard,
     "op10_licenses": op10_licenses,
 }
 
