@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprofile.llm import fingerprints, jaccard, licenses, substrings
+from tableprofile.llm import bpe, fingerprints, jaccard, licenses, lines, packing, quality, substrings
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,6 +26,24 @@ def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, folder))
 
 
+def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_digest(documents(spark, folder))
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.best_fit_packing(documents(spark, folder))
+
+
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip_digest(documents(spark, folder), path, public_tokenizers.PATTERN)
+
+
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_digest(documents(spark, folder))
 
@@ -33,7 +52,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_substrings": op2_substrings,
     "op3_jaccard": op3_jaccard,
+    "op4_lines": op4_lines,
+    "op5_quality": op5_quality,
+    "op6_packing": op6_packing,
+    "op7_bpe": op7_bpe,
     "op10_licenses": op10_licenses,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_lines": lines.LINES_SQL,
+}
