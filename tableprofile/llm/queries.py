@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprofile.llm import bpe, fingerprints, jaccard, licenses, lines, packing, quality, substrings
+from tableprofile.llm import bpe, fingerprints, jaccard, language, licenses, lines, packing, quality, substrings
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digest(documents(spark, folder), path, public_tokenizers.PATTERN)
 
 
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_digest(documents(spark, folder))
+
+
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_digest(documents(spark, folder))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
+    "op8_language": op8_language,
     "op10_licenses": op10_licenses,
 }
 
