@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprofile.llm import bpe, fingerprints, jaccard, language, licenses, lines, packing, quality, substrings
+from tableprofile.llm import bpe, fingerprints, jaccard, language, licenses, lines, packing, quality, substrings, toxicity
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_digest(documents(spark, folder))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_digest(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_digest(documents(spark, folder))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
+    "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
 }
 
