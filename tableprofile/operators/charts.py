@@ -36,8 +36,8 @@ MATRIX_COLUMNS = 4
 BUNDLE_COLUMNS = 5
 DEFAULT_BINS = 30
 BIN_RANGE = (5, 100)
-# Up to this many bins the empty ones are listed too.
-DENSE_BINS = 1_000_000
+# Empty bins that one task lists at once.
+BINS_PER_TASK = 65_536
 
 KDE_POINTS = 200
 KDE_CUT = 3.0
@@ -63,9 +63,10 @@ def _binned(df: DataFrame, name: str, params: DataFrame) -> DataFrame:
         .groupBy("i")
         .agg(F.expr("count(1) AS n"))
     )
-    # The empty bins, unless there are too many of them.
-    empty = p.where(f"p.bins <= {DENSE_BINS}").selectExpr(
-        "explode(sequence(0L, p.bins - 1)) AS i", "0L AS n"
+    # The empty bins, listed by as many tasks as their number asks for.
+    starts = p.selectExpr("p.bins AS bins", f"explode(sequence(0L, p.bins - 1, {BINS_PER_TASK}L)) AS first")
+    empty = starts.repartition("first").selectExpr(
+        f"explode(sequence(first, least(first + {BINS_PER_TASK - 1}L, bins - 1))) AS i", "0L AS n"
     )
     bins = counts.unionByName(empty).groupBy("i").agg(F.expr("sum(n) AS n"))
     return (

@@ -40,7 +40,6 @@ HIGH_CARDINALITY_INSIGHT = 2
 LONG_TEXT = 63
 # A column with at most ten distinct values never gets a higher estimate from the sketch.
 _SKETCH_CEILING = 13
-_PROBE_ROWS = 1_000
 
 
 def groupable_columns(df: DataFrame) -> list[str]:
@@ -69,13 +68,12 @@ def _tagged(df: DataFrame, name: str, part: DataFrame, *exprs: str) -> DataFrame
 
 
 def long_text_columns(df: DataFrame, names: Sequence[str]) -> set[str]:
-    """Text columns with long values among the first rows. This picks a plan, never a result."""
+    """Text columns with a long value in any row. This picks a plan, never a result."""
     texts = [n for n in names if family_of(df.schema[n].dataType) == "object"]
     if not texts:
         return set()
-    long = [f"coalesce(length({quoted(n)}) > {LONG_TEXT}, false)" for n in texts]
-    rows = df.selectExpr(*long).head(_PROBE_ROWS)
-    return {n for i, n in enumerate(texts) if any(r[i] for r in rows)}
+    row = df.selectExpr(*[f"bool_or(length({quoted(n)}) > {LONG_TEXT})" for n in texts]).first()
+    return {n for n, long in zip(texts, row) if long}
 
 
 def _key_counts(df: DataFrame, name: str) -> DataFrame:
@@ -87,18 +85,21 @@ def _key_counts(df: DataFrame, name: str) -> DataFrame:
 def _frequent(df: DataFrame, name: str, k: int, long: bool) -> DataFrame:
     """``(value, n)`` of values that include the ``k`` most frequent ones.
 
-    Long text is counted by digest. Only values at least as frequent as the k-th are then looked up,
-    unless that is a single occurrence, which every value has.
+    Long text is counted by digest. Only values at least as frequent as the k-th are then looked up.
+    If that is a single occurrence, the fewer than k values that occur more often are looked up, and
+    the smallest of the others, of which each task sends k at most.
     """
     if not long:
         return frequencies(df, name)
     counts = _key_counts(df, name)
     least = counts.orderBy(F.desc("n")).limit(k).selectExpr("min(n)").first()[0]
-    if least is None or least < 2:
-        return frequencies(df, name)
     texts = df.selectExpr(f"{known_sql(df, name)} AS value", f"{distinct_key(df, name)} AS key")
-    found = texts.join(counts.where(F.col("n") >= least), "key")
-    return found.groupBy("key").agg(F.expr("any_value(value) AS value"), F.expr("max(n) AS n"))
+    often = counts.where(F.col("n") >= max(least or 1, 2))
+    found = texts.join(often, "key").groupBy("key").agg(F.expr("any_value(value) AS value"), F.expr("max(n) AS n"))
+    if least is None or least < 2:
+        single = texts.where("value IS NOT NULL").join(often, "key", "left_anti")
+        found = found.unionByName(single.orderBy("value").limit(k).selectExpr("key", "value", "1L AS n"))
+    return found
 
 
 def _ranked(df: DataFrame, name: str, k: int, long: bool) -> DataFrame:

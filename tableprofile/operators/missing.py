@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprofile.functions.columns import array_sql, head_sql, missing_sql, ref
+from tableprofile.functions.columns import array_sql, batches, head_sql, missing_sql, ref, union_rows
 
 VARIANTS = ("all", "present", "sorted")
+# Bounds the generated code of an aggregate.
+COLUMNS_PER_SCAN = 100
 
 
 def missing_facts(df: DataFrame) -> DataFrame:
@@ -43,8 +45,11 @@ def missing_values(df: DataFrame, variant: str = "all") -> DataFrame:
 
 def total_missing(df: DataFrame) -> DataFrame:
     """``(total_missing)``: missing cells of the whole table."""
-    counts = " + ".join(f"count_if({missing_sql(df, n)})" for n in df.columns)
-    return df.selectExpr(f"{counts} AS total_missing")
+    parts = []
+    for names in batches(df.columns, COLUMNS_PER_SCAN):
+        counts = array_sql(f"count_if({missing_sql(df, n)})" for n in names)
+        parts.append(df.selectExpr(f"aggregate({counts}, 0L, (a, x) -> a + x) AS n"))
+    return union_rows(parts).agg(F.sum("n").alias("total_missing"))
 
 
 def most_missing(df: DataFrame, k: int = 3) -> DataFrame:

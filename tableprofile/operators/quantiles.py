@@ -1,8 +1,7 @@
 """Exact quantiles with linear interpolation, at any table size.
 
-A small table's columns are sorted in memory within the aggregate. The size is checked first:
-rows x columns must stay below ``CELL_LIMIT``. Beyond it the same exact answer is found by
-narrowing, in rounds of two scans without any shuffle of rows: a bounded random sample suggests two
+The answer is found by narrowing, in rounds of
+two scans without any shuffle of rows: a bounded random sample suggests two
 pivots on both sides of every searched rank, then the rows below, at and between the pivots are
 counted. The counts are exact, so an unlucky sample costs a further round and never a wrong value. A
 value that fills a large part of a column becomes a pivot and is settled by its count. Once few rows
@@ -23,8 +22,6 @@ from tableprofile.functions.columns import array_sql, batches, number_sql, numer
 QUARTILES = (0.25, 0.5, 0.75)
 FENCE_FACTOR = 1.5
 
-# Rows x columns up to which columns are sorted within one task.
-CELL_LIMIT = 8_000_000
 # Rows between two pivots that are few enough to be read off directly, per rank.
 INNER_LIMIT = 250_000
 # Sampled values per rank, the grid they are reduced to, and the grid cells kept on both sides of
@@ -185,14 +182,6 @@ def _narrowed(
     return {n: [at(n, p) for p in probs] for n in names}
 
 
-def _interpolated(a: str, p: float) -> str:
-    """SQL: the quantile ``p`` of a sorted array; NULL for an empty one."""
-    place = f"({float(p)!r}D * (size({a}) - 1))"
-    lo, hi = f"get({a}, int(floor{place}))", f"get({a}, int(ceil{place}))"
-    weight = f"({place} - floor{place})"
-    return f"if({lo} = {hi}, {lo}, {lo} * (1D - {weight}) + {hi} * {weight})"
-
-
 def quantile_row(
     df: DataFrame, names: Sequence[str], probs: Sequence[float] = QUARTILES, mode: str = "exact"
 ) -> DataFrame:
@@ -209,16 +198,6 @@ def quantile_row(
         return df.selectExpr(
             array_sql(f"percentile_approx({v}, {points}, {APPROX_ACCURACY})" for v in values) + " AS q"
         )
-    if df.count() * len(names) <= CELL_LIMIT:
-        ordered = df.selectExpr(
-            *[f"sort_array(collect_list({v})) AS c{i}" for i, v in enumerate(values)]
-        )
-        return ordered.selectExpr(
-            array_sql(
-                array_sql(_interpolated(f"c{i}", p) for p in probs) for i in range(len(names))
-            )
-            + " AS q"
-        )
     found = narrowed_quantiles(df, names, probs)
     cells = [array_sql("CAST(NULL AS DOUBLE)" if v is None else _number(v) for v in found[n]) for n in names]
     return df.sparkSession.sql(f"SELECT {array_sql(cells)} AS q")

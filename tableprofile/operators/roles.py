@@ -27,17 +27,25 @@ TEXT_SHARE = 0.5
 # Four words with white space between them: more than three words.
 FOUR_WORDS = r"(?U)[^\s\x1c-\x1f]+[\s\x1c-\x1f]+[^\s\x1c-\x1f]+[\s\x1c-\x1f]+[^\s\x1c-\x1f]+[\s\x1c-\x1f]+[^\s\x1c-\x1f]"
 
-# Shape test and pattern of each accepted date format.
+# Shape test and patterns of each accepted date format; the first pattern that fits a value counts,
+# so a day above twelve may come first.
 DATE_FORMATS = (
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
     (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", "d/M/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy", "d-M-yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy", "d.M.yyyy"),
+    (r"^(19|20)\d{6}$", "yyyyMMdd"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}$", "M/d/yyyy HH:mm", "d/M/yyyy HH:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$", "M/d/yyyy HH:mm:ss", "d/M/yyyy HH:mm:ss"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}Z$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
@@ -47,8 +55,6 @@ DATE_FORMATS = (
 # A column with at most nine distinct values never gets a higher estimate than this from the
 # distinct-count sketch: each value sets one register, and few registers are counted linearly.
 _SKETCH_CEILING = 12
-# Rows looked at before a full scan; one bad value is proof that a column holds no dates.
-_DATE_PROBE_ROWS = 1_000
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -150,20 +156,18 @@ def parses_as_date(col: str) -> str:
     """SQL: true where a text is a date in one of the accepted formats. The shape is tested first, so
     other text costs a failed match and not a failed parse."""
     branches = " ".join(
-        f"WHEN {col} RLIKE {text(shape_)} THEN try_to_timestamp({col}, {text(fmt)}) IS NOT NULL"
-        for shape_, fmt in DATE_FORMATS
+        f"WHEN {col} RLIKE {text(shape_)} THEN "
+        + " OR ".join(f"try_to_timestamp({col}, {text(fmt)}) IS NOT NULL" for fmt in formats)
+        for shape_, *formats in DATE_FORMATS
     )
     return f"CASE WHEN {col} IS NULL THEN NULL {branches} ELSE false END"
 
 
 def date_columns_row(df: DataFrame) -> tuple[list[str], DataFrame | None]:
-    """Text columns that may hold only dates, and one row of booleans saying which do."""
+    """Text columns, and one row of booleans saying which hold only dates."""
     names = columns_of(df, "object")
     if not names:
         return [], None
-    # Flags of a few rows, read partition by partition, spare most columns the full scan.
-    probe = df.selectExpr(*[parses_as_date(quoted(n)) for n in names]).head(_DATE_PROBE_ROWS)
-    names = [n for i, n in enumerate(names) if not any(r[i] is False for r in probe)]
     tests = [
         f"coalesce(bool_and({parses_as_date(quoted(n))}), true) AS {quoted(n)}" for n in names
     ]

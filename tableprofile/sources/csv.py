@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprofile.functions.columns import quoted, text
+from tableprofile.functions.columns import quoted, text, union_rows
 
 # Texts that stand for a missing value.
 NA_TOKENS = (
@@ -39,31 +39,53 @@ NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infini
 UNSIGNED = "DECIMAL(20, 0)"
 MAX_UNSIGNED = "18446744073709551615"
 
+# Column for fields beyond the header's.
+_SURPLUS = "\x00surplus"
 _OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": 100_000}
 
 
-def _spans_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Whether a quoted field contains a line break: then some line has an odd number of quotes."""
-    lines = spark.read.text(path)
+def _files(spark: SparkSession, path: str | Sequence[str]) -> tuple[bool, dict[str, list[str]]]:
+    """Whether a quoted field contains a line break (then some line has an odd number of quotes),
+    and the files by their first line, all from one pass."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+    )
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).isEmpty()
+    found = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"), F.max(quotes % 2).alias("odd"))
+    headers: dict[str, list[str]] = {}
+    odd = False
+    for row in found.orderBy("file").collect():
+        headers.setdefault(row["header"].rstrip("\r"), []).append(row["file"])
+        odd = odd or bool(row["odd"])
+    return odd, headers
 
 
 def _header(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> list[str]:
+    """Names of the columns; a repeated one, also in another case, gets a number."""
     row = spark.read.csv(path, header=False, multiLine=multi_line, **_OPTIONS).first()
     if row is None:
         raise ValueError("no columns to read from the file")
     names: list[str] = []
+    taken: set[str] = set()
     for i, name in enumerate(row):
         name = name if name is not None else f"Unnamed: {i}"
         base, k = name, 0
-        while name in names:
+        while name.lower() in taken:
             k += 1
             name = f"{base}.{k}"
+        taken.add(name.lower())
         names.append(name)
     return names
 
 
+def _raw(spark: SparkSession, path: str | Sequence[str], names: Sequence[str], multi_line: bool) -> DataFrame:
+    """All fields as text, and in ``_SURPLUS`` the first one that has no name."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _SURPLUS)])
+    return spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, **_OPTIONS)
+
+
 def _typed(name: str, kind: str) -> str:
     col = quoted(name)
     if kind == "boolean":
@@ -81,16 +103,27 @@ def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     value, and text otherwise: dates stay text, and so do truth values with gaps. A column without
     values is double.
 
+    Files of one folder may have their columns in different orders; other columns are an error, and
+    so are rows with more fields than the header. Names that differ only by case get a number.
+
     Types come from one scan that collects six flags per column. Files are split among tasks unless
-    quoted line breaks forbid it.
+    quoted line breaks forbid it. A line has 100,000 fields at most.
     """
-    multi_line = _spans_lines(spark, path)
-    names = _header(spark, path, multi_line)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, **_OPTIONS)
+    multi_line, headers = _files(spark, path)
+    if len(headers) <= 1:
+        names = _header(spark, path, multi_line)
+        raw = _raw(spark, path, names, multi_line)
+    else:
+        groups = [(files, _header(spark, files, multi_line)) for files in headers.values()]
+        names = groups[0][1]
+        if any(set(other) != set(names) for _, other in groups):
+            raise ValueError(f"files with different columns: {[other for _, other in groups]}")
+        raw = union_rows([_raw(spark, files, own, multi_line) for files, own in groups])
     tokens = ", ".join(map(text, NA_TOKENS))
     columns = [quoted(n) for n in names]
-    raw = raw.selectExpr(*[f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END AS {c}" for c in columns])
+    raw = raw.selectExpr(
+        *[f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END AS {c}" for c in columns], quoted(_SURPLUS)
+    )
 
     truths = ", ".join(map(text, BOOL_TOKENS))
     tests = []
@@ -105,7 +138,9 @@ def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
             f"bool_and({c} IN ({truths}))",
             f"bool_or({c} IS NULL)",
         ]
-    row = raw.selectExpr(*tests).first()
+    row = raw.selectExpr(*tests, f"count({quoted(_SURPLUS)})").first()
+    if row[-1]:
+        raise ValueError(f"{row[-1]} rows have more fields than the header")
     kinds = []
     for i in range(len(names)):
         whole, fits, unsigned, number, truth, gaps = row[6 * i : 6 * i + 6]

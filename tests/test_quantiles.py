@@ -82,9 +82,8 @@ def test_unlucky_samples_cost_passes_not_exactness(table, monkeypatch):
         assert np.allclose(found[name], [np.quantile(data[name], p) for p in (0.1, 0.9)])
 
 
-def test_large_tables_are_narrowed(table, monkeypatch):
+def test_tables_are_narrowed(table):
     df, data = table
-    monkeypatch.setattr(Q, "CELL_LIMIT", 100)
     plan = Q.quantile_row(df, ["normal"], (0.5,))
     assert "collect_list" not in plan._jdf.queryExecution().toString()
     assert np.isclose(plan.first().q[0][0], np.quantile(data["normal"], 0.5))

@@ -132,3 +132,21 @@ def test_the_sketch_never_overrates_few_values(spark):
     for name, estimate in row.asDict().items():
         distinct = int(name[1:].split("_")[0])
         assert estimate <= 12 if distinct < 10 else estimate <= 13
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        ["31/12/2024", "01/02/2024"],
+        ["2024-01-02T03:04:05.123Z"],
+        ["2024-01-02T03:04:05.5"],
+        ["2024-01-02T03:04:05+01:00", "2024-01-02 03:04:05-10:30"],
+        ["31.12.2024", "1.2.2024"],
+        ["20241231"],
+        ["31/12/2024 10:20", "1/2/2024 03:04"],
+        ["31/12/2024 10:20:30"],
+    ],
+)
+def test_more_date_formats(spark, values):
+    df = spark.createDataFrame([(v, v + "x") for v in values], "d string, no string")
+    assert column(tp.date_parseable_columns(df)) == ["d"]

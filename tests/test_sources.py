@@ -81,8 +81,8 @@ def test_split_unless_a_field_spans_lines(spark, tmp_path):
     plain, broken = tmp_path / "p.csv", tmp_path / "b.csv"
     plain.write_text('a\n"x ""y"""\n')
     broken.write_text('a\n"x\ny"\n')
-    assert not C._spans_lines(spark, str(plain))
-    assert C._spans_lines(spark, str(broken))
+    assert not C._files(spark, str(plain))[0]
+    assert C._files(spark, str(broken))
 
 
 def test_folder_of_files(spark, tmp_path):
@@ -121,3 +121,29 @@ def test_scratch_follows_the_session(spark):
     path = scratch_path(spark, "x")
     assert path.startswith(base) if base else "tableprofile-" in path
     assert path != scratch_path(spark, "x")
+
+
+def test_surplus_fields_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n3,4,5\n6,7\n")
+    with pytest.raises(ValueError, match="1 rows have more fields"):
+        C.read_csv(spark, str(tmp_path / "a.csv"))
+
+
+def test_short_rows_are_filled(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n3\n")
+    assert sorted(map(tuple, C.read_csv(spark, str(tmp_path / "a.csv")).collect())) == [(1, "x"), (3, None)]
+
+
+def test_files_are_aligned_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "b.csv").write_text("b,a\ny,2\n")
+    rows = C.read_csv(spark, str(tmp_path)).collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == [(1, "x"), (2, "y")]
+    (tmp_path / "c.csv").write_text("b,c\ny,2\n")
+    with pytest.raises(ValueError, match="different columns"):
+        C.read_csv(spark, str(tmp_path))
+
+
+def test_names_that_differ_by_case(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,A,a\n1,2,3\n")
+    assert C.read_csv(spark, str(tmp_path / "a.csv")).columns == ["a", "A.1", "a.2"]

@@ -7,6 +7,7 @@ from itertools import combinations
 
 from tableprofile.plans import messages as M
 from tableprofile.plans.prompts import FIELDS, LABELS, TASKS
+from verification import features
 
 LINEITEM = (
     "l_orderkey",
@@ -943,3 +944,5 @@ for _name, (_numbers, _where, _order, _limit, _orient) in _RANKINGS.items():
         "SELECT rank, col_x, col_y, round(r, 6) + 0.0 AS r FROM"
         f" ({ranked_pairs(L_NET, _numbers, _where, _order, _limit, _orient)})"
     )
+
+ORACLE |= features.ORACLE

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import tableprofile as tp
 from tableprofile.functions.columns import is_missing, ref
 from tableprofile.sources.scratch import scratch_path
+from verification import features
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -292,3 +293,5 @@ QUERIES: dict[str, Query] = {
     "valid_responses_insight": over(responses, tp.valid_responses),
     "valid_responses_chat": over(responses, lambda d: tp.valid_responses(d, "chat")),
 }
+
+QUERIES |= features.QUERIES
