@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once, if one document is not longer; bounds the memory of a task.
-SLICE = 2 << 20
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _IS_WORD = np.ones(256, bool)

@@ -18,11 +18,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tableprofile.llm.arrays import Words, slices, texts
+from tableprofile.llm.arrays import Words, mixed, slices, texts
+from tableprofile.llm.scratch import small_batches
 
 WIDTH = 13
 PERIOD = 7
@@ -40,14 +42,24 @@ def difference_cover(period: int) -> tuple[int, ...]:
     raise ValueError("a period is at least 1")
 
 
+def _row_keys(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return mixed(mixed(ids.view(np.uint64)) + keys.view(np.uint64))
+
+
 class _Part:
-    """Words of some documents of a block, with ids; documents without an id have no part in it."""
+    """Words of some documents of a block, with ids.
 
-    def __init__(self, table: pa.Table, data: np.ndarray, bounds: np.ndarray, i: int, j: int):
+    Documents without an id, and copies of a document of smaller id, have no part in the search.
+    """
+
+    def __init__(self, table: pa.Table, copies: np.ndarray, data: np.ndarray, bounds: np.ndarray, i: int, j: int):
         self.words = Words(data, bounds, i, j)
         ids = table.column("doc_id").slice(i, j - i)
         self.known = ~ids.is_null().to_numpy(zero_copy_only=False) if ids.null_count else np.ones(j - i, bool)
         self.ids = ids.fill_null(0).to_numpy().astype(np.int64)
+        keys = table.column("__key").slice(i, j - i).to_numpy()
+        self.copy = self.known & np.isin(_row_keys(self.ids, keys), copies)
+        self.known &= ~self.copy
 
     def full(self, width: int) -> np.ndarray:
         """Whether a window of ``width`` words starts at every word."""
@@ -61,10 +73,18 @@ class _Part:
         return at, words.grams(length)[at]
 
 
-def _parts(table: pa.Table, text: str) -> Iterator[_Part]:
-    data, bounds = texts(table.column(text))
-    for i, j in slices(bounds):
-        yield _Part(table, data, bounds, i, j)
+def _parts(table: pa.Table, sent: pa.Table) -> Iterator[_Part]:
+    """The documents of a block, where some rows of ``sent`` name copies."""
+    if table.num_rows:
+        named = sent.filter(pc.is_valid(sent.column("key")))
+        copies = _row_keys(named.column("value").to_numpy().astype(np.int64), named.column("key").to_numpy().astype(np.int64))
+        data, bounds = texts(table.column("text"))
+        for i, j in slices(bounds):
+            yield _Part(table, copies, data, bounds, i, j)
+
+
+def _values(sent: pa.Table) -> pa.Table:
+    return sent.filter(pc.is_null(sent.column("key")))
 
 
 def _found(sought: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +106,14 @@ def _extremes(hashes: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarr
     return h[first], d[first], d[last]
 
 
-def _block_of(table: pa.Table) -> int:
-    return table.column("__block")[0].as_py()
+def _block_of(table: pa.Table, sent: pa.Table) -> int:
+    return (table if table.num_rows else sent).column("__block")[0].as_py()
 
 
-def _anchors(width: int, period: int) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
+def _anchors(width: int, period: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(table: pa.Table, sent: pa.Table) -> pa.Table:
         hashes, ids = [], []
-        for part in _parts(table, "text"):
+        for part in _parts(table, sent):
             at, found = part.anchors(width, period)
             hashes.append(found)
             ids.append(part.ids[part.words.doc[at]])
@@ -101,7 +121,7 @@ def _anchors(width: int, period: int) -> Callable[[pa.Table], pa.Table]:
         return pa.table(
             {
                 "anchor": pa.array(value.view(np.int64)),
-                "__block": pa.array(np.full(len(value), _block_of(table), np.int64)),
+                "__block": pa.array(np.full(len(value), _block_of(table, sent), np.int64)),
                 "many": pa.array(low < high),
             }
         )
@@ -110,10 +130,10 @@ def _anchors(width: int, period: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _windows(width: int, period: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
-        among = np.sort(shared.column("anchor").to_numpy().view(np.uint64))
+    def run(table: pa.Table, sent: pa.Table) -> pa.Table:
+        among = np.sort(_values(sent).column("value").to_numpy().astype(np.int64).view(np.uint64))
         hashes, ids = [], []
-        for part in _parts(table, "text") if table.num_rows else ():
+        for part in _parts(table, sent):
             at, found = part.anchors(width, period)
             at = at[_found(found, among)[0]]
             words = part.words
@@ -125,7 +145,7 @@ def _windows(width: int, period: int) -> Callable[[pa.Table, pa.Table], pa.Table
             hashes.append(words.grams(width)[start])
             ids.append(part.ids[words.doc[start]])
         value, low, high = _extremes(hashes, ids)
-        block = _block_of(table if table.num_rows else shared)
+        block = _block_of(table, sent)
         return pa.table(
             {
                 "window": pa.array(value.view(np.int64)),
@@ -139,12 +159,13 @@ def _windows(width: int, period: int) -> Callable[[pa.Table, pa.Table], pa.Table
 
 
 def _cleaned(width: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(table: pa.Table, repeats: pa.Table) -> pa.Table:
-        among = repeats.column("window").to_numpy().view(np.uint64)
+    def run(table: pa.Table, sent: pa.Table) -> pa.Table:
+        repeats = _values(sent)
+        among = repeats.column("value").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(among)
-        among, low = among[order], repeats.column("low").to_numpy()[order]
+        among, low = among[order], repeats.column("low").to_numpy().astype(np.int64)[order]
         n_words, n_removed, kept, spans = [], [], [], []
-        for part in _parts(table, "text") if table.num_rows else ():
+        for part in _parts(table, sent):
             words, full = part.words, part.full(width)
             found, at = _found(words.grams(width), among)
             hit = full & found
@@ -157,7 +178,7 @@ def _cleaned(width: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.
             raw = words.bytes.tobytes()
             for d in range(len(words.first) - 1):
                 a, b = words.first[d], words.first[d + 1]
-                out = gone[a:b]
+                out = np.ones(b - a, bool) if part.copy[d] and b - a >= width else gone[a:b]
                 removed = int(out.sum())
                 n_words.append(int(b - a))
                 n_removed.append(removed)
@@ -182,29 +203,48 @@ def remove_shared_passages(docs: DataFrame, width: int = WIDTH, period: int = PE
     ``doc_id``, as the input stands. ``__kept`` joins the words left by one space; ``__removed`` has
     first and last numbers, from 0, of the runs that went. A null text has no words; rows of equal
     id do not affect each other; a row with a null id loses nothing and affects none. The input has
-    ``doc_id``, an integer, and ``text``; a column ``__block`` is not allowed.
+    ``doc_id``, an integer, and ``text``; columns ``__block`` and ``__key`` are
+    not allowed.
     """
     if not 1 <= period <= width:
         raise ValueError("the period is at most the width")
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block))
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(
         "__block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n))
     )
+    rows = rows.withColumn("__key", F.xxhash64("text"))
     dealt = rows.groupBy("__block")
-    anchors = dealt.applyInArrow(_anchors(width, period), "anchor long, __block long, many boolean")
+    # A text that a smaller id has goes whole, if it has a window; it need not be searched.
+    named = rows.filter("doc_id IS NOT NULL").select(
+        "doc_id", "__block", "__key", F.xxhash64(F.lit(1), "text").alias("other"), F.octet_length("text").alias("size")
+    )
+    firsts = named.groupBy("__key", "other", "size").agg(F.min("doc_id").alias("first"))
+    copies = named.join(firsts, ["__key", "other", "size"]).filter("doc_id > first")
+    copies = copies.select(
+        F.col("doc_id").alias("value"), F.col("__block").alias("__block"), F.col("__key").alias("key")
+    )
+    nothing = F.lit(None).cast("long")
+    anchors = dealt.cogroup(copies.groupBy("__block")).applyInArrow(
+        _anchors(width, period), "anchor long, __block long, many boolean"
+    )
     same = Window.partitionBy("anchor")
     shared = (
         anchors.withColumn("n", F.count("*").over(same))
         .withColumn("any", F.max("many").over(same))
         .filter("n > 1 OR any")
-        .select("anchor", "__block")
+        .select(F.col("anchor").alias("value"), "__block", nothing.alias("key"))
+        .unionAll(copies)
     )
     windows = dealt.cogroup(shared.groupBy("__block")).applyInArrow(
         _windows(width, period), "window long, __block long, low long, high long"
     )
     least = F.min("low").over(Window.partitionBy("window"))
-    repeats = windows.withColumn("low", least).filter("high > low").select("window", "__block", "low")
+    repeats = windows.withColumn("low", least).filter("high > low")
+    repeats = repeats.select(F.col("window").alias("value"), "__block", nothing.alias("key"), "low").unionAll(
+        copies.withColumn("low", nothing)
+    )
     schema = StructType(docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema.fields)
     span = StructType([StructField("first", LongType()), StructField("last", LongType())])
     schema = schema.add("__n_words", "long").add("__n_removed", "long").add("__kept", "string").add("__removed", ArrayType(span))
