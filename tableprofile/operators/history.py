@@ -23,38 +23,27 @@ def chat_history(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
     )
     earlier = (
         Window.partitionBy("conv_id", "block")
-        .orderBy("turn")
+        .orderBy("turn", "line")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     within = turns.withColumn("near", F.collect_list("line").over(earlier)).drop("line")
 
-    # Last block per conversation, counted before the shuffle; only long conversations go on.
-    long = (
-        turns.groupBy("conv_id")
-        .agg(F.min("block").alias("first_block"), F.max("block").alias("last_block"))
-        .where("last_block > first_block")
-        .select("conv_id", "last_block")
-    )
+    # Blocks that exist, counted before the shuffle; only conversations of several go on.
+    existing = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    several = existing.groupBy("conv_id").agg(F.max("block").alias("last_block"), F.count(F.lit(1)).alias("n"))
+    several = several.where("n > 1").select("conv_id", "last_block")
     blocks = (
-        turns.join(long, "conv_id")
-        .groupBy("conv_id", "block", "last_block")
+        turns.join(several, "conv_id")
+        .where("block < last_block")
+        .groupBy("conv_id", "block")
         .agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"))
-        .select(
-            "conv_id",
-            "block",
-            "last_block",
-            F.concat_ws("\n", F.transform("lines", lambda t: t["line"])).alias("text"),
-        )
+        .select("conv_id", "block", F.concat_ws("\n", F.transform("lines", lambda t: t["line"])).alias("text"))
     )
+    needed = existing.join(several, "conv_id").select(F.col("conv_id").alias("id"), F.col("block").alias("needed_by"))
     far = (
-        blocks.where("block < last_block")
-        .select(
-            "conv_id",
-            F.explode(F.sequence(F.col("block") + 1, F.col("last_block"))).alias("needed_by"),
-            F.struct("block", "text").alias("part"),
-        )
+        blocks.join(needed, (F.col("conv_id") == F.col("id")) & (F.col("block") < F.col("needed_by")))
         .groupBy("conv_id", F.col("needed_by").alias("block"))
-        .agg(F.array_sort(F.collect_list("part")).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"))
         .select("conv_id", "block", F.transform("parts", lambda p: p["text"]).alias("far"))
     )
     return within.join(far, ["conv_id", "block"], "left").select(

@@ -23,6 +23,17 @@ def test_history_does_not_depend_on_blocks(spark, block):
     assert got == expected_history()
 
 
+def test_history_of_times_and_of_tied_turns(spark):
+    """Turns far apart make few blocks; lines of one turn are in order of their text."""
+    rows = [(1, 1_700_000_000_000 + 6_000_000 * k, "user", f"t{k}") for k in range(20)]
+    rows += [(2, 5, "b", "x"), (2, 5, "a", "y"), (2, 2_000_000, "c", "z")]
+    df = spark.createDataFrame(rows, "conv_id int, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"], r["history"].count("\n")): r["history"] for r in tp.chat_history(df).collect()}
+    last = max(k for k in got if k[0] == 1)
+    assert got[last] == "\n".join(f"user: t{k}" for k in range(19))
+    assert got[2, 2_000_000, 1] == "a: y\nb: x"
+
+
 QUESTIONS = [
     ("What is MISSING here?", "missing"),
     ("any Pattern?", "pattern"),

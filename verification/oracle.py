@@ -911,6 +911,7 @@ ORACLE: dict[str, str] = {
         ]
     ),
     "chat_history": HISTORY,
+    "chat_history_in_blocks": HISTORY,
     "profile_context": context(PROFILE_COLUMNS),
     "profile_context_gaps": gap_context(),
     "task_prompts": union(

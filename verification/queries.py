@@ -280,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "feature_ideas_time": on("orders", tp.feature_ideas),
     # conversations and prompts
     "chat_history": on("conversations", tp.chat_history),
+    "chat_history_in_blocks": on("conversations", lambda df: tp.chat_history(df, 2)),
     "profile_context": on("orders", lambda d: tp.profile_context(d.drop("o_orderdate"), ["o_orderkey"])),
     "profile_context_gaps": over(
         orders_with_gaps, lambda d: tp.profile_context(d, ["o_orderkey"], "profile")
