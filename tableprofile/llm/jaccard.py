@@ -2,12 +2,12 @@
 
 Shingles are in one global order, rare before frequent. Two sets of the wanted likeness share a
 shingle within their first few (the prefix), so documents meet only in buckets of prefix shingles;
-length and positions in the order rule out most of those, a count by ranges of the order (suffix
+length and positions in the order rule out some of those, counts by ranges of the hashes (suffix
 filter) most of the rest, and what is left is verified once per pair by its whole texts.
 
-Large groups of near copies share their buckets, whose pairs grow with the square. Links are
-therefore first sought between each bucket's members and one leader, with other leaders in each
-round; then only pairs that no chain of links connects yet are left, and all of those are verified.
+Large groups of near copies share their buckets, whose pairs grow with the square. In all but small
+buckets links are therefore first sought between the members and one leader, with other leaders in
+each round; then only pairs that no chain of links connects yet are left, and all are verified.
 So components are exact, and pairs inside a found component are never listed.
 """
 
@@ -17,22 +17,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprofile.llm.arrays import Words, mixed, slices, texts
+from tableprofile.llm.classes import with_first
 from tableprofile.llm.components import connected_components
-from tableprofile.llm.scratch import written
+from tableprofile.llm.scratch import small_batches, written
 
 WIDTH = 5
 PERCENT = 80
 #: Shingles that come last in the order, by their frequency; the rest count as equally rare. The
-#: number bounds what tasks receive (16 bytes each) and only changes how fast the join is.
-FREQUENT = 1 << 15
-#: Rounds of leaders before what is left is compared in full.
-ROUNDS = 3
+#: number bounds what is broadcast (16 bytes each) and only changes how fast the join is.
+FREQUENT = 1 << 18
+#: Members up to which all pairs of a bucket are compared at once.
+SMALL = 8
+#: Rounds of leaders before what is left of larger buckets is compared in full.
+ROUNDS = 4
 #: Shingles counted at once in a task.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _TOP = np.uint64(1 << 63)
 
 
@@ -133,26 +137,34 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _prefixes(width: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> Callable:
+def _prefixes(width: int, percent: int, table: Broadcast) -> Callable:
+    def rows(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(own) for _, _, own in parts]
+        n = np.repeat(np.array([n for _, n, _ in parts], np.int64), sizes)
+        place = np.concatenate([np.arange(k, dtype=np.int64) for k in sizes])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([own for _, _, own in parts]).view(np.int64)),
+                pa.array(np.repeat(np.array([i for i, _, _ in parts], np.int64), sizes)),
+                pa.array((n << 32) | place),
+            ],
+            ["token", "doc", "place"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            tokens, docs, places = [], [], []
+            parts, size = [], 0
             for k, shingles in _first_of_equal(batch, width):
                 n = len(shingles)
-                own = _in_order(shingles, frequent, rank)[: int(prefix_length(n, percent))]
-                tokens.append(own)
-                docs.append(np.full(len(own), ids[k], np.int64))
-                places.append((np.int64(n) << 32) | np.arange(len(own), dtype=np.int64))
-            join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(join(tokens, np.uint64).view(np.int64)),
-                    pa.array(join(docs, np.int64)),
-                    pa.array(join(places, np.int64)),
-                ],
-                ["token", "doc", "place"],
-            )
+                own = _in_order(shingles, *table.value)[: int(prefix_length(n, percent))]
+                parts.append((ids[k], n, own))
+                size += len(own)
+                if size >= CHUNK:
+                    yield rows(parts)
+                    parts, size = [], 0
+            if parts:
+                yield rows(parts)
 
     return run
 
@@ -162,16 +174,53 @@ def _least(m: int, n: int, percent: int) -> int:
     return -(-percent * (m + n) // (100 + percent))
 
 
+def _counts(shingles: np.ndarray) -> bytes:
+    """Numbers of shingles by ranges of the hashes, two or so in each; 255 stands for more, too."""
+    bits = max(4, int(len(shingles) // 2).bit_length())
+    at = (shingles >> np.uint64(63 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _may_be_alike(a: np.ndarray, b: np.ndarray, m: int, n: int, percent: int) -> bool:
+    """The suffix filter: what two sets have in common is bounded range by range."""
+    if a.max() == 255 or b.max() == 255:
+        return True
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if len(a) < len(b):
+        b = b.reshape(len(a), -1).sum(1)
+    return int(np.minimum(a, b).sum()) >= _least(m, n, percent)
+
+
+def _promising(percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(c).to_pylist() for c in ("n_a", "n_b")]
+            counts = [[np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c)] for c in ("counts_a", "counts_b")]
+            keep = [_may_be_alike(a, b, m, n, percent) for a, b, m, n in zip(*counts, *sizes)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _counted(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(len(s), _counts(s)) for s in _shingle_sets(*texts(batch.column("text")), width)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("text"),
+                    pa.array([n for n, _ in sets], pa.int64()),
+                    pa.array([c for _, c in sets], pa.binary()),
+                ],
+                ["doc_id", "text", "n", "counts"],
+            )
+
+    return run
+
+
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """The exact test, behind the suffix filter: counts by ranges of the hashes bound what is common."""
-    need = _least(len(a), len(b), percent)
-    if len(a) + len(b) >= 64:
-        cuts = np.arange(1, 16, dtype=np.uint64) << np.uint64(59)
-        in_a = np.diff(np.r_[0, np.searchsorted(a, cuts), len(a)])
-        in_b = np.diff(np.r_[0, np.searchsorted(b, cuts), len(b)])
-        if np.minimum(in_a, in_b).sum() < need:
-            return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= need
+    return len(np.intersect1d(a, b, assume_unique=True)) >= _least(len(a), len(b), percent)
 
 
 def _verified(width: int, percent: int) -> Callable:
@@ -211,6 +260,12 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _leaders(placed: DataFrame, turn: int) -> DataFrame:
+    """One member of every bucket, another one each turn."""
+    leader = F.min_by(F.struct("doc", "place", "component"), F.xxhash64("doc", F.lit(turn)))
+    return placed.groupBy("token").agg(leader.alias("l")).select("token", "l.doc", "l.place", "l.component")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
 
@@ -221,25 +276,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows give a row each. A row with a null id has a null component and links nothing. Other columns
     are ignored; ids are integers.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sized = rows.mapInArrow(_sizes(width), "doc_id long, n_shingles long, key_a long, key_b long")
     sized = written(sized, "sizes")
     named = sized.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # Documents of equal sets are one class, which goes by its smallest id.
-    classes = named.groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("class"))
-    member = named.join(classes, ["n_shingles", "key_a", "key_b"]).groupBy("doc_id").agg(F.min("class").alias("class"))
+    member = with_first(named, ["n_shingles", "key_a", "key_b"], "doc_id")
+    member = member.groupBy("doc_id").agg(F.min("first").alias("class"))
     member = written(member, "classes")
 
     texted = rows.filter("doc_id IS NOT NULL")
     counted = texted.mapInArrow(_repeated(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).collect()
-    frequent = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
-    rank = np.arange(len(top), 0, -1).astype(np.uint64)
-    order = np.argsort(frequent)
-    frequent, rank = frequent[order], rank[order]
+    counted = written(counted.withColumn("level", F.floor(8 * F.log2("n"))), "counts")
+    # Eight levels for each doubling; as many of the highest as the table holds.
+    level, room = None, FREQUENT
+    for row in counted.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.col("level").desc()).collect():
+        if row["k"] > room:
+            break
+        level, room = row["level"], room - row["k"]
+    top = counted.filter(F.col("level") >= level if level is not None else F.lit(False)).select("shingle", "n").toArrow()
+    found, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order, rank = np.argsort(found), np.zeros(len(found), np.uint64)
+    rank[np.lexsort((found, n))] = np.arange(1, len(found) + 1, dtype=np.uint64)
+    table = spark.sparkContext.broadcast((found[order], rank[order]))
 
     # A rare token is counted where it lands; a frequent one is spread, as it surely has company.
-    prefixes = texted.mapInArrow(_prefixes(width, percent, frequent, rank), "token long, doc long, place long")
+    prefixes = texted.mapInArrow(_prefixes(width, percent, table), "token long, doc long, place long")
     spread = F.when(F.col("token") < 0, F.pmod(F.xxhash64("doc"), F.lit(1 << 12))).otherwise(F.lit(0))
     prefixes = prefixes.withColumn("spread", spread)
     company = F.count("*").over(Window.partitionBy("token", "spread"))
@@ -250,43 +314,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .agg(F.min("place").alias("place"))
     )
     shared = written(shared, "prefixes")
-    met = shared.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
-    buckets = written(shared.join(met, "token"), "buckets")
-    involved = written(texted.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "leftsemi").dropDuplicates(["doc_id"]), "texts")
+    met = shared.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
+    buckets = written(shared.join(met, "token").withColumn("component", F.col("doc")), "buckets")
+    wanted = buckets.select(F.col("doc").alias("doc_id")).distinct()
+    involved = texted.join(wanted, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
+    involved = written(involved.mapInArrow(_counted(width), "doc_id long, text string, n long, counts binary"), "texts")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return involved.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = involved.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        b = involved.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return written(pairs.join(a, "a").join(b, "b").mapInArrow(_verified(width, percent), "a long, b long"), "verified")
-
-    links, labels = None, None
-    for turn in range(ROUNDS + 1):
-        if labels is None:
-            placed = buckets.withColumn("component", F.col("doc"))
-        else:
-            placed = buckets.join(labels, buckets["doc"] == labels["node"], "left").select(
-                "token", "doc", "place", F.coalesce("component", "doc").alias("component")
-            )
-            placed = written(placed, "placed")
-        if labels is not None:
-            # Pairs of a bucket that nothing connects yet.
-            per = placed.groupBy("token", "component").agg(F.count("*").alias("m"))
-            per = per.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-            left = per.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.sum("m")).first()
-            if not left[0]:
-                break
-        if turn == ROUNDS or (labels is not None and left[0] <= 2 * left[1]):
-            found = verified(_pairs(placed, placed.select("token", "doc", "place", "component"), percent))
-            links = found if links is None else links.unionAll(found)
-            labels = connected_components(links)
-            break
-        leaders = placed.groupBy("token").agg(
-            F.min_by(F.struct("doc", "place", "component"), F.xxhash64("doc", F.lit(turn))).alias("l")
+        promising = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b")
+        promising = written(promising.mapInArrow(_promising(percent), "a long, b long"), "promising")
+        both = promising.join(side("a", "text"), "a").join(side("b", "text"), "b")
+        return written(both.mapInArrow(_verified(width, percent), "a long, b long"), "links")
+
+    # Small buckets are settled at once, larger ones by leaders first.
+    small = buckets.filter(F.col("m") <= SMALL).drop("m")
+    placed = buckets.filter(F.col("m") > SMALL).drop("m")
+    pairs = _pairs(small, small, percent).unionAll(_pairs(_leaders(placed, 0), placed, percent)).distinct()
+    tested = written(pairs, "pairs")
+    links = verified(tested)
+    labels = connected_components(links)
+    for turn in range(1, ROUNDS + 1):
+        placed = placed.drop("component").join(labels, F.col("doc") == labels["node"], "left").select(
+            "token", "doc", "place", F.coalesce("component", "doc").alias("component")
         )
-        leaders = leaders.select("token", "l.doc", "l.place", "l.component")
-        found = verified(_pairs(leaders, placed, percent))
-        links = found if links is None else links.unionAll(found)
+        # Buckets with a pair that nothing connects yet.
+        per = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
+        per = per.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        still = per.filter("k * k > own").select("token", F.expr("(k * k - own) / 2").alias("open"))
+        placed = written(placed.join(still, "token"), "placed")
+        open_pairs, rows_left = placed.groupBy("token").agg(F.first("open").alias("o"), F.count("*").alias("k")).agg(
+            F.sum("o"), F.sum("k")
+        ).first()
+        placed = placed.drop("open")
+        if not open_pairs:
+            break
+        last = turn == ROUNDS or 2 * open_pairs <= rows_left
+        pairs = _pairs(placed if last else _leaders(placed, turn), placed, percent)
+        pairs = written(pairs.join(tested, ["a", "b"], "leftanti"), "pairs")
+        tested = tested.unionAll(pairs)
+        links = links.unionAll(verified(pairs))
         labels = connected_components(links)
+        if last:
+            break
 
     joined = member.join(labels, member["class"] == labels["node"], "left").select(
         F.col("doc_id").alias("id"), F.coalesce("component", "class").alias("component_id")

@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprofile.llm.arrays import slices, texts
+from tableprofile.llm.scratch import small_batches
 from tableprofile.llm.words import held_out
 
-SAMPLE = 400
-SAMPLE_ALL = 4000
-LOG_FEATURES = 13
+SAMPLE = 200
+SAMPLE_ALL = 2000
+LOG_FEATURES = 12
 UNKNOWN = "und"
 #: Families of common language codes; a code that is not here is a family of its own. Fixed values.
 FAMILIES = {
@@ -222,6 +223,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     if not model.families:
         return docs.withColumns({"__lang": F.lit(UNKNOWN), "__score": F.lit(0.0)})
+    small_batches(docs.sparkSession)
     schema = docs.withColumns({"__lang": F.lit(""), "__score": F.lit(0.0)}).schema
     return docs.mapInArrow(_predicted(model), schema)
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tableprofile.llm.arrays import Words, mixed, slices, texts
+from tableprofile.llm.classes import with_first
 from tableprofile.llm.scratch import small_batches
 
 WIDTH = 13
@@ -220,8 +221,7 @@ def remove_shared_passages(docs: DataFrame, width: int = WIDTH, period: int = PE
     named = rows.filter("doc_id IS NOT NULL").select(
         "doc_id", "__block", "__key", F.xxhash64(F.lit(1), "text").alias("other"), F.octet_length("text").alias("size")
     )
-    firsts = named.groupBy("__key", "other", "size").agg(F.min("doc_id").alias("first"))
-    copies = named.join(firsts, ["__key", "other", "size"]).filter("doc_id > first")
+    copies = with_first(named, ["__key", "other", "size"], "doc_id").filter("doc_id > first")
     copies = copies.select(
         F.col("doc_id").alias("value"), F.col("__block").alias("__block"), F.col("__key").alias("key")
     )
