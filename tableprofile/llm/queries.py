@@ -70,5 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_substrings": substrings.PASSAGES_SQL,
+    "op3_jaccard": jaccard.COMPONENTS_SQL,
     "op4_lines": lines.LINES_SQL,
 }

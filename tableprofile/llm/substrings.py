@@ -266,3 +266,18 @@ def passages_removed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cleaned = remove_shared_passages(docs)
     text = F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col(text_col))
     return cleaned.withColumn(text_col, text).select(*docs.columns)
+
+
+#: The digest in SQL, by all windows.
+PASSAGES_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+f AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+r AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS p FROM g JOIN f ON g.k = f.k WHERE f.least < g.doc_id),
+gone AS (SELECT doc_id, list(p) AS ps FROM r GROUP BY doc_id),
+a AS (SELECT doc_id, p, ws[p] AS word FROM (SELECT w.doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w JOIN gone USING (doc_id))),
+left_over AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.p) AS kept FROM a ANTI JOIN r ON a.doc_id = r.doc_id AND a.p = r.p GROUP BY a.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN ps IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
