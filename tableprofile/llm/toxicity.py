@@ -4,7 +4,8 @@ Obfuscated tokens (leetspeak, letters spaced out, letters repeated) are lattices
 digit or sign may stand for a letter, be noise or break the word; a separator between single
 letters may be dropped; a run of a letter may be shorter. Viterbi decoding finds the likeliest
 reading under a character language model, and the restored words are scored by a logistic
-regression. A token of plain letters has a single reading and needs no decoding.
+regression. A token of plain letters without a doubled one has a single reading and needs no
+decoding; a sign at the end of a token may be a letter or an ornament.
 
 The language model mixes trigrams counted over all documents with four-grams of the words that the
 regression weighs. The regression learns from at most ``SAMPLE`` rows of each label, those of the
@@ -47,6 +48,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = ".,;:!?\"'()[]{}<>#*$%&|~^=/\\-_+`"
 _INNER = re.compile(r"(.)\1\1|[0-9@$!|+€£(*#%]|[^\W\d_][.\-_~'][^\W\d_]")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+#: Marks at the end of a token that cannot stand for a letter.
+_MARKS = "".join(c for c in _EDGE if c not in LEET)
 _SPACED = re.compile(r"(?<!\w)[\w@$!|+*](?:[ .\-_*~][\w@$!|+*]){2,}(?!\w)")
 #: Log probabilities of the channel.
 _SUBSTITUTED, _WILD, _NOISE, _BREAK, _DROPPED, _SHORTENED = map(math.log, (0.5, 0.1, 0.02, 0.05, 0.3, 0.3))
@@ -108,6 +112,9 @@ class Decoder:
             return [*((_LETTERS.index(s), p) for s in signs), (-1, _NOISE), (0, _BREAK)]
         return [(-1, _DROPPED if spaced else _NOISE), (0, _BREAK if not spaced else _DROPPED)]
 
+    def _trailing(self, c: str, spaced: bool) -> list[tuple[int, float]]:
+        return [(s, _DROPPED if s == -1 else p) for s, p in self._options(c, spaced)]
+
     def read(self, token: str) -> str:
         """The likeliest reading of a token, or of letters with separators, as words of a-z."""
         found = self._known.get(token)
@@ -120,13 +127,15 @@ class Decoder:
     def _decode(self, token: str) -> str:
         log = self._log
         spaced = _SPACED.fullmatch(token) is not None
+        tail = len(token.rstrip(_EDGE))
         states: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
         k = 0
         while k < len(token):
             run = 1
             while k + run < len(token) and token[k + run] == token[k]:
                 run += 1
-            single = self._options(token[k], spaced)
+            # A sign behind the last letter may be a letter, but is as likely an ornament.
+            single = self._options(token[k], spaced) if k < tail else self._trailing(token[k], spaced)
             # A run of a character reads as one, two or all of them; longer runs are noise or emphasis.
             lengths = {1: 0.0} if run == 1 else {1: _SHORTENED, 2: _SHORTENED if run > 2 else 0.0}
             options = [((s,) * n if s >= 0 else (), p + q) for s, p in single for n, q in lengths.items() if s > 0 or n == 1]
@@ -162,15 +171,26 @@ def _suspect(token: str) -> str | None:
     return lead if lead and _INNER.search(lead) and _HAS_LETTER.search(lead) else None
 
 
+def _signed(token: str) -> str | None:
+    """The token with the signs at its end that may be letters, or None if it ends otherwise."""
+    core = token.rstrip(_MARKS)
+    if not core or core[-1] not in _EDGE or not _HAS_LETTER.search(core):
+        return None
+    lead = core.lstrip(_EDGE)
+    return core if len(core) - len(lead) == 1 and core[0] in LEET else lead
+
+
 def restored_words(text: str, decoder: Decoder | None) -> set[str]:
     """Distinct words of a text in lower case, with the readings of its obfuscated tokens."""
     lower = text.lower()
     words = set(_WORD.findall(lower))
     if decoder is not None:
         for token in set(lower.split()):
-            core = _suspect(token)
-            if core is not None:
-                words.update(decoder.read(core).split())
+            for core in (_suspect(token), _signed(token)):
+                if core is not None:
+                    words.update(decoder.read(core).split())
+        for word in [w for w in words if _DOUBLED.search(w)]:
+            words.update(decoder.read(word).split())
         for run in _SPACED.finditer(lower):
             words.update(decoder.read(run.group()).split())
     return words

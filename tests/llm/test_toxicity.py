@@ -42,3 +42,15 @@ def test_without_labels(spark, documents):
 def test_trigrams_are_counted_over_all_texts(documents):
     counts = tox.count_trigrams(documents([(1, "ab"), (2, "AB ab"), (3, None)]))
     assert counts[(0 * 28 + 1) * 28 + 2] == 3 and counts[(1 * 28 + 2) * 28] == 3 and counts[(2 * 28) * 28 + 1] == 1
+
+
+@pytest.mark.parametrize("text", ["iidiot", "iddiot", "mooron", "mmoron", "sscumbag", "idio+", "moro*", "idio+!", "(moro#),"])
+def test_doubled_letters_and_trailing_signs_are_decoded(documents, model, text):
+    out = tox.score(documents([(1, f"over the hill {text} and wind"), (2, "over the hill! and** wind$ all+")]), model).collect()
+    scores = {r["doc_id"]: r["score"] for r in out}
+    assert scores[1] >= 0.5 > scores[2]
+
+
+def test_signs_at_the_end_reach_the_decoder():
+    assert [tox._signed(t) for t in ("a$$", "dumba$$", "worthles$.", "idio+", "scu*)")] == ["a$$", "dumba$$", "worthles$", "idio+", "scu*"]
+    assert [tox._signed(t) for t in ("hill", "end.", "$$$", "!?", "1+")] == [None] * 5
