@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 from tableprofile.llm import jaccard, language, lines, packing, substrings
 from tableprofile.llm.scratch import written
 
-#: The least score with which a document's language counts as told.
+#: The least score with which a document's language counts as told. Only votes in a circle get below it.
 MIN_LANGUAGE_SCORE = 0.2
+#: The least likeness to the language that won. The least of all labelled rows of sf0.1 is -7.5.
+MIN_LANGUAGE_LIKENESS = -8.0
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; ``lang`` stays as it is.
 
-    Documents without a letter, with a null text, or whose prediction is worse than a guess go.
+    Documents without a letter, with a null text, or unlike the language that won the votes go:
+    junk and texts of languages that no row is labelled with. A text of a few words, or one that
+    shares its letters and endings with a learnt language, can be too near to tell and stays.
     """
-    found = language.identify(docs, language.train(docs))
+    found = language.identify(docs, language.train(docs), MIN_LANGUAGE_LIKENESS)
     kept = (F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)
     return found.filter(kept).select(*docs.columns)
 

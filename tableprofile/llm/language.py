@@ -27,6 +27,9 @@ SAMPLE = 200
 SAMPLE_ALL = 2000
 LOG_FEATURES = 12
 UNKNOWN = "und"
+#: Rows of even n-gram shares that a profile counts in, and how far texts of a language differ. Fixed values.
+EVEN = 2.0
+BETWEEN_TEXTS = 0.05
 #: Families of common language codes; a code that is not here is a family of its own. Fixed values.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -46,13 +49,22 @@ _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.
 _letters: list[np.ndarray] = []
 
 
+class Profile(NamedTuple):
+    """Log shares of the n-grams of a language, with their mean and variance in texts of it."""
+
+    logs: np.ndarray
+    mean: float
+    variance: float
+
+
 class Model(NamedTuple):
-    """Languages by family; for every machine its two sides, weights and offset."""
+    """Languages by family; for every machine its two sides, weights and offset; languages' profiles."""
 
     families: dict[str, list[str]]
     sides: list[tuple[str, str]]
     weights: np.ndarray
     offsets: np.ndarray
+    profiles: dict[str, Profile]
 
 
 def _table() -> np.ndarray:
@@ -109,6 +121,14 @@ def _machine(x: np.ndarray, y: np.ndarray, shrink: float = 1e-2, rounds: int = 2
     return own, float(b - own @ mean)
 
 
+def _profile(x: np.ndarray) -> Profile:
+    """Of the rows of a language; the fewer they are, the more n-grams count as possible."""
+    share = (x.sum(0, dtype=float) + EVEN / x.shape[1]) / (len(x) + EVEN)
+    logs = np.log(share)
+    mean = float(share @ logs)
+    return Profile(logs, mean, float(share @ logs**2) - mean**2)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> Model:
     """A model from rows with a text and a language that are not held out."""
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -121,7 +141,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -
         of = ids.filter(F.col("lang") == lang).orderBy("h", "doc_id").limit(each).select("doc_id", "lang")
         chosen = of if chosen is None else chosen.unionAll(of)
     if chosen is None:
-        return Model({}, [], np.zeros((1 << LOG_FEATURES, 0), np.float32), np.zeros(0))
+        return Model({}, [], np.zeros((1 << LOG_FEATURES, 0), np.float32), np.zeros(0), {})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +172,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -
             weights.append(w)
             offsets.append(offset)
     stacked = np.stack(weights, 1) if weights else np.zeros((1 << LOG_FEATURES, 0))
-    return Model(families, sides, stacked.astype(np.float32), np.array(offsets))
+    profiles = {str(lang): _profile(x[langs == lang]) for lang in set(langs)}
+    return Model(families, sides, stacked.astype(np.float32), np.array(offsets), profiles)
 
 
 def _elected(names: list[str], prefix: str, sides: list[tuple[str, str]], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +192,31 @@ def _elected(names: list[str], prefix: str, sides: list[tuple[str, str]], margin
     return best, sure[np.arange(len(margins)), best]
 
 
-def _predicted(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _likeness(model: Model, langs: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], count: np.ndarray) -> np.ndarray:
+    """Mean log share of each text's n-grams in the profile of its language, in deviations from what is usual."""
+    names = sorted(model.profiles)
+    logs = np.stack([model.profiles[n].logs for n in names])
+    which = np.array([names.index(lang) if lang in model.profiles else 0 for lang in langs])
+    total = np.zeros(len(langs))
+    for h, doc in grams:
+        total += np.bincount(doc, logs[which[doc], h], len(langs))
+    mean = np.array([model.profiles[n].mean for n in names])[which]
+    variance = np.array([model.profiles[n].variance for n in names])[which]
+    n = np.maximum(count, 1)
+    # A character is in three n-grams.
+    return (total / n - mean) / np.sqrt(3 * variance / n + BETWEEN_TEXTS)
+
+
+def _predicted(model: Model, least: float | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     families = sorted(model.families)
 
     def of(strings: list[str]) -> tuple[list[str], np.ndarray]:
         total = np.zeros((len(strings), len(model.sides)))
         count = np.zeros(len(strings))
+        grams = []
         for h, doc in _grams(strings):
+            if least is not None:
+                grams.append((h, doc))
             count += np.bincount(doc, minlength=len(strings))
             for k in range(len(model.sides)):
                 total[:, k] += np.bincount(doc, model.weights[h, k], len(strings))
@@ -192,6 +231,9 @@ def _predicted(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 best, inner = _elected(members, "/", model.sides, margins[rows])
                 langs[rows] = np.array(members, object)[best]
                 score[rows] = sure[rows] * inner
+        if least is not None:
+            unlike = _likeness(model, langs, grams, count) < least
+            langs[unlike], score[unlike] = UNKNOWN, 0.0
         return langs.tolist(), score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,17 +257,20 @@ def _predicted(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
     """All rows and columns with ``__lang`` and ``__score`` (0 to 1).
 
     ``__lang`` is a learnt language, or ``und`` with score 0 if the text is null or has no letter,
-    or nothing was learnt. ``text`` is the only input.
+    or nothing was learnt. With ``least`` a text is also ``und`` if its n-grams are less likely in
+    the language that won than is usual there by more than that many standard deviations (a
+    negative number): the votes always have a winner, however foreign the text. ``text`` is the
+    only input.
     """
     if not model.families:
         return docs.withColumns({"__lang": F.lit(UNKNOWN), "__score": F.lit(0.0)})
     small_batches(docs.sparkSession)
     schema = docs.withColumns({"__lang": F.lit(""), "__score": F.lit(0.0)}).schema
-    return docs.mapInArrow(_predicted(model), schema)
+    return docs.mapInArrow(_predicted(model, least), schema)
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import corpus_pipeline
 from tableprofile.llm.queries import ORACLE, QUERIES
+from tests.conftest import DATA
 
 
 def test_stages(spark, tmp_path, documents, prose):
@@ -23,3 +24,13 @@ def test_stages(spark, tmp_path, documents, prose):
 def test_registered():
     assert len(QUERIES) == 10 and set(ORACLE) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "substring_dedup", "packing"]
+
+
+def test_junk_and_unlearnt_languages_go(spark):
+    docs = spark.read.parquet(DATA.replace("0.001", "0.01") + "/documents.parquet")
+    junk = ["x7Gq9zKpL2vWbN4tRj8sYmQ1" * 10, "Привет, как дела? Сегодня хорошая погода.", "今日はとても良い天気ですね。"]
+    odd = spark.createDataFrame([(-1 - k, text) for k, text in enumerate(junk)], "doc_id long, text string")
+    every = docs.unionByName(odd, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.identified(spark, every, "").select("doc_id").collect()}
+    assert kept.isdisjoint({-1, -2, -3})
+    assert kept == {r["doc_id"] for r in docs.filter(docs["text"].rlike(r"\p{L}")).select("doc_id").collect()}
