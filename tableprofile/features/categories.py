@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableprofile.functions.columns import known, numeric, ref, require_columns
+from tableprofile.operators.quantiles import grouped_medians
 
 OTHER = "Other"
 MIN_SHARE = 0.01
@@ -80,11 +82,13 @@ def one_hot(df: DataFrame, name: str) -> DataFrame:
 def label_encode(df: DataFrame, name: str) -> DataFrame:
     """All columns and ``<name>_label``: number of the value among the sorted distinct ones, from 0.
 
-    Missing values have no label. The numbering runs over distinct values, not rows.
+    Missing values have no label. The numbering runs over distinct values, not rows: sorted by
+    ranges, each range counts on from those before it.
     """
     require_columns(df, [name])
     values = df.select(known(df, name).alias("__value")).where("__value IS NOT NULL").distinct()
-    facts = values.withColumn(f"{name}_label", (F.row_number().over(Window.orderBy("__value")) - 1).cast("int"))
+    numbered = values.orderBy("__value").rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
+    facts = df.sparkSession.createDataFrame(numbered, values.schema.add(f"{name}_label", T.IntegerType()))
     return _by_value(df, name, facts, f"{name}_label")
 
 
@@ -97,7 +101,9 @@ def group_statistics(df: DataFrame, group: str, name: str) -> DataFrame:
     require_columns(df, [name], "number")
     x, suffix = numeric(df, name), f"by_{group}"
     made = [f"{name}_{f}_{suffix}" for f in ("mean", "median", "min", "max")]
-    aggregates = [F.avg(x), F.median(x), F.min(x), F.max(x)]
-    facts = df.groupBy(known(df, group).alias("__value")).agg(*[a.alias(m) for a, m in zip(aggregates, made)])
+    keyed = df.select(known(df, group).alias("__value"), x.cast("double").alias("x"))
+    medians = grouped_medians(keyed).select(F.col("__value").alias("__of"), F.col("__median").alias(made[1]))
+    facts = df.groupBy(known(df, group).alias("__value")).agg(*[a(x).alias(m) for a, m in zip((F.avg, F.min, F.max), (made[0], *made[2:]))])
+    facts = facts.join(medians, F.col("__value").eqNullSafe(F.col("__of")), "left")
     joined = _by_value(df, group, facts, *made)
     return joined.select("*", (numeric(df, name) - ref(made[0])).alias(f"{name}_minus_mean_{suffix}"))

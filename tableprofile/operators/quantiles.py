@@ -182,6 +182,57 @@ def _narrowed(
     return {n: [at(n, p) for p in probs] for n in names}
 
 
+def grouped_medians(df: DataFrame, limit: int = INNER_LIMIT) -> DataFrame:
+    """``(__value, __median)``: exact median of the column ``x`` for every value of the column ``__value``.
+
+    Groups of at most ``limit`` rows are aggregated as they are. Larger ones, of which there are at
+    most rows / ``limit``, are narrowed like whole columns, all in the same scans.
+    """
+    of = df.schema["__value"]
+    sizes = df.where("x IS NOT NULL").groupBy("__value").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()
+    if not sizes:
+        return df.groupBy("__value").agg(F.median("x").alias("__median"))
+    spots = [(k, rank) for k, r in enumerate(sizes) for rank in {(r["n"] - 1) // 2, r["n"] // 2}]
+    searches = {spot: _Search("x", spot[1], inner=sizes[spot[0]]["n"]) for spot in spots}
+    spark = df.sparkSession
+
+    def against(some: list[tuple[int, int]], facts: str, rows: list[tuple]) -> DataFrame:
+        """Known rows of the searches' groups, with facts of the search."""
+        made = [(sizes[k]["__value"], i, *row) for (i, (k, _)), row in zip(enumerate(some), rows)]
+        schema = f"__group {of.dataType.simpleString()}, k int, {facts}"
+        return df.where("x IS NOT NULL").join(spark.createDataFrame(made, schema), F.col("__value").eqNullSafe(F.col("__group")))
+
+    def inside(some: list[tuple[int, int]], places: list[tuple[int, int]]) -> DataFrame:
+        rows = [(searches[s].floor, searches[s].ceil, *at) for s, at in zip(some, places)]
+        joined = against(some, "lo double, hi double, p int, q int", rows)
+        return joined.where("(lo IS NULL OR x > lo) AND (hi IS NULL OR x < hi)").groupBy("k", "p", "q")
+
+    while todo := [s for s in spots if searches[s].value is None]:
+        if few := [s for s in todo if searches[s].inner <= limit]:
+            places = [(searches[s].rank - searches[s].before, 0) for s in few]
+            for r in inside(few, places).agg(F.sort_array(F.collect_list("x")).alias("a")).selectExpr("k", "get(a, p) AS v").collect():
+                searches[few[r["k"]]].value = r["v"]
+        if many := [s for s in todo if searches[s].inner > limit]:
+            places = []
+            for s in (searches[s] for s in many):
+                at = (s.rank - s.before) / max(s.inner - 1, 1) * GRID
+                places.append((max(0, math.floor(at) - MARGIN), min(GRID, math.ceil(at) + MARGIN)))
+            grid = F.percentile_approx("x", [i / GRID for i in range(GRID + 1)], APPROX_ACCURACY).alias("a")
+            for r in inside(many, places).agg(grid).selectExpr("k", "get(a, p) AS a", "get(a, q) AS b").collect():
+                searches[many[r["k"]]].pivots = r["a"], r["b"]
+            counts = [F.expr(f"count_if(x {op} {pivot})") for pivot in "ab" for op in ("<", "<=")]
+            rows = against(many, "a double, b double", [searches[s].pivots for s in many])
+            for r in rows.groupBy("k").agg(*counts).collect():
+                searches[many[r[0]]].settle(*r[1:])
+    medians = []
+    for k, r in enumerate(sizes):
+        lo, hi = (searches[k, rank].value for rank in ((r["n"] - 1) // 2, r["n"] // 2))
+        medians.append((r["__value"], lo if lo == hi else lo * 0.5 + hi * 0.5))
+    large = spark.createDataFrame(medians, f"__value {of.dataType.simpleString()}, __median double")
+    small = df.join(large.select(F.col("__value").alias("__group")), F.col("__value").eqNullSafe(F.col("__group")), "left_anti")
+    return small.groupBy("__value").agg(F.median("x").alias("__median")).unionAll(large)
+
+
 def quantile_row(
     df: DataFrame, names: Sequence[str], probs: Sequence[float] = QUARTILES, mode: str = "exact"
 ) -> DataFrame:

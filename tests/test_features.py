@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tableprofile.features import categories, dates, missing, numbers, rows, selection, words
+from tableprofile.operators import quantiles
 from tests.conftest import column
 
 NAN = float("nan")
@@ -106,6 +107,23 @@ def test_group_statistics(gaps):
     assert tuple(out[0][3:]) == (2.5, 2.5, 1.0, 4.0, -1.5) and tuple(out[1][3:]) == (None,) * 5
 
 
+def test_medians_of_large_groups_are_narrowed(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=5001), "b": rng.integers(0, 3, 4000), None: np.r_[np.zeros(3000), rng.normal(size=3000)], "c": [1, 4]}
+    rows = [(g, float(v)) for g, xs in groups.items() for v in xs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "__value string, x double")
+    out = {r["__value"]: r["__median"] for r in quantiles.grouped_medians(df, limit=100).collect()}
+    assert out.pop("d") is None and out.keys() == groups.keys()
+    assert all(np.isclose(out[g], np.median(xs)) for g, xs in groups.items())
+
+
+def test_labels_are_not_numbered_in_one_task(spark):
+    df = spark.createDataFrame([(k, f"v{k * 7919 % 500:03}") for k in range(500)], "k int, c string")
+    out = categories.label_encode(df, "c")
+    assert values(out, "c_label") == [k * 7919 % 500 for k in range(500)]
+    assert "Window" not in out._jdf.queryExecution().toString()
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, None), (None, None)], "k int, c string")
     assert rows.drop_duplicate_rows(df).count() == 3 and rows.drop_duplicate_rows(df, ["k"]).count() == 2
