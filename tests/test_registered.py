@@ -28,3 +28,10 @@ def test_every_query_has_sql():
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() == 8 and df.columns[:2] == ["position", "column"]
+
+
+@pytest.mark.parametrize("name", ["normalise_text", "bag_of_words", "tf_idf"])
+def test_text_features_read_documents(spark, name):
+    out = QUERIES[f"feature_{name}_documents"](spark, DATA)
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert out.columns[0] == "doc_id" and out.select("doc_id").distinct().count() > 0.9 * n

@@ -179,6 +179,10 @@ def normalise_text(spark, folder):
     return words.normalise_text(_table(spark, folder, "benchmark"), "text")
 
 
+def normalise_text_documents(spark, folder):
+    return words.normalise_text(_table(spark, folder, "documents").select("doc_id", "text"), "text")
+
+
 def text_size(spark, folder):
     return words.text_size(_table(spark, folder, "conversations"), "text").drop("text")
 
@@ -187,10 +191,18 @@ def bag_of_words(spark, folder):
     return words.bag_of_words(_table(spark, folder, "benchmark"), "item_id", "text")
 
 
+def bag_of_words_documents(spark, folder):
+    return words.bag_of_words(_table(spark, folder, "documents"), "doc_id", "text")
+
+
 def tf_idf(spark, folder):
     return _rounded(words.tf_idf(_table(spark, folder, "benchmark"), "item_id", "text"), "weight")
 
 
+def tf_idf_documents(spark, folder):
+    return _rounded(words.tf_idf(_table(spark, folder, "documents"), "doc_id", "text"), "weight")
+
+
 def drop_correlated(spark, folder):
     df = _table(spark, folder, "lineitem").selectExpr("l_orderkey", "l_quantity", "l_quantity * 2 + l_tax AS twice", "l_discount")
     return selection.drop_correlated(df, ["l_quantity", "twice", "l_discount"])
@@ -203,7 +215,7 @@ QUERIES: dict[str, Query] = {
         min_max_scale, power_terms, box_cox, bins_width, bins_count, polynomial_terms, ratio_and_difference, clip_outliers,
         date_parts, cyclical_parts, days_since, category_interaction, target_encode, target_encode_unseen, fold_rare, one_hot,
         label_encode, group_statistics, principal_components, feature_scores, drop_duplicate_rows, normalise_text, text_size,
-        bag_of_words, tf_idf, drop_correlated,
+        bag_of_words, tf_idf, drop_correlated, normalise_text_documents, bag_of_words_documents, tf_idf_documents,
     )
 }
 
@@ -340,3 +352,9 @@ ORACLE: dict[str, str] = {
         FROM b JOIN d USING (word)""",
     "feature_drop_correlated": "SELECT l_orderkey, l_quantity, l_discount FROM lineitem",
 }
+
+# The same SQL over the longer, repeated texts.
+ORACLE |= {
+    f"feature_{name}_documents": ORACLE[f"feature_{name}"].replace("item_id", "doc_id").replace("benchmark", "documents")
+    for name in ("normalise_text", "bag_of_words", "tf_idf")
+}
