@@ -35,3 +35,8 @@ def test_text_features_read_documents(spark, name):
     out = QUERIES[f"feature_{name}_documents"](spark, DATA)
     n = spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert out.columns[0] == "doc_id" and out.select("doc_id").distinct().count() > 0.9 * n
+
+
+def test_every_event_is_encoded(spark):
+    out = QUERIES["feature_target_encode_unseen_all"](spark, DATA)
+    assert out.count() == spark.read.parquet(f"{DATA}/events.parquet").count()

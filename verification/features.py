@@ -140,6 +140,12 @@ def target_encode_unseen(spark, folder):
     return _rounded(made, "value", "user_id_target")
 
 
+def target_encode_unseen_all(spark, folder):
+    df = _events(spark, folder).select("event_id", "user_id", "value")
+    made = categories.apply_target_encoding(df, "user_id", df.where("user_id % 3 <> 0"), "value")
+    return _rounded(made, "value", "user_id_target")
+
+
 def fold_rare(spark, folder):
     return categories.fold_rare(_table(spark, folder, "part").select("p_partkey", "p_name"), "p_name", 0.016)
 
@@ -216,6 +222,7 @@ QUERIES: dict[str, Query] = {
         date_parts, cyclical_parts, days_since, category_interaction, target_encode, target_encode_unseen, fold_rare, one_hot,
         label_encode, group_statistics, principal_components, feature_scores, drop_duplicate_rows, normalise_text, text_size,
         bag_of_words, tf_idf, drop_correlated, normalise_text_documents, bag_of_words_documents, tf_idf_documents,
+        target_encode_unseen_all,
     )
 }
 
@@ -358,3 +365,5 @@ ORACLE |= {
     f"feature_{name}_documents": ORACLE[f"feature_{name}"].replace("item_id", "doc_id").replace("benchmark", "documents")
     for name in ("normalise_text", "bag_of_words", "tf_idf")
 }
+# And with every row encoded.
+ORACLE["feature_target_encode_unseen_all"] = ORACLE["feature_target_encode_unseen"].replace(" WHERE event_id % 2 = 0", "")
