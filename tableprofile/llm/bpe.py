@@ -42,8 +42,9 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self._merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self._known: dict[str, bytes] = {}
-        size = max(ranks.values()) + 1
-        by_rank = [b""] * size
+        #: Ids from here on are free.
+        self.size = max(ranks.values()) + 1
+        by_rank = [b""] * self.size
         for token, rank in ranks.items():
             by_rank[rank] = token
         self._bytes = np.frombuffer(b"".join(by_rank), np.uint8)

@@ -7,13 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprofile.llm import bpe, fingerprints, jaccard, language, licenses, lines, packing, quality, substrings, toxicity
+from tableprofile.llm import (
+    bpe,
+    chat,
+    fingerprints,
+    jaccard,
+    language,
+    licenses,
+    lines,
+    packing,
+    quality,
+    repair,
+    spelling,
+    substrings,
+    toxicity,
+)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/conversations.parquet")
+
+
 def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, folder))
 
@@ -56,6 +74,19 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_digest(documents(spark, folder))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(documents(spark, folder))
+
+
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_digest(conversations(spark, folder))
+
+
+def op13_chat(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return chat.chat_digest(conversations(spark, folder), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_substrings": op2_substrings,
@@ -67,10 +98,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
+    "op11_spelling": op11_spelling,
+    "op12_repair": op12_repair,
+    "op13_chat": op13_chat,
 }
 
 ORACLE: dict[str, str] = {
     "op2_substrings": substrings.PASSAGES_SQL,
     "op3_jaccard": jaccard.COMPONENTS_SQL,
     "op4_lines": lines.LINES_SQL,
+    "op13_chat": chat.CHATS_SQL,
 }
