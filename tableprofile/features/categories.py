@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tableprofile.functions.columns import known, numeric, ref, require_columns
 from tableprofile.operators.quantiles import grouped_medians
+from tableprofile.operators.ranges import numbered
 
 OTHER = "Other"
 MIN_SHARE = 0.01
@@ -82,13 +82,12 @@ def one_hot(df: DataFrame, name: str) -> DataFrame:
 def label_encode(df: DataFrame, name: str) -> DataFrame:
     """All columns and ``<name>_label``: number of the value among the sorted distinct ones, from 0.
 
-    Missing values have no label. The numbering runs over distinct values, not rows: sorted by
-    ranges, each range counts on from those before it.
+    Missing values have no label. Distinct values, not rows, are sorted into ranges, and each range
+    counts on from those before it, all in generated code; labels are bigint.
     """
     require_columns(df, [name])
     values = df.select(known(df, name).alias("__value")).where("__value IS NOT NULL").distinct()
-    numbered = values.orderBy("__value").rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
-    facts = df.sparkSession.createDataFrame(numbered, values.schema.add(f"{name}_label", T.IntegerType()))
+    facts = numbered(values, ["__value"]).select("__value", F.col("__before").alias(f"{name}_label"))
     return _by_value(df, name, facts, f"{name}_label")
 
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tableprofile.features import categories, dates, missing, numbers, rows, selection, words
 from tableprofile.operators import quantiles
@@ -107,21 +108,32 @@ def test_group_statistics(gaps):
     assert tuple(out[0][3:]) == (2.5, 2.5, 1.0, 4.0, -1.5) and tuple(out[1][3:]) == (None,) * 5
 
 
-def test_medians_of_large_groups_are_narrowed(spark):
+def test_medians_of_large_groups(spark):
     rng = np.random.default_rng(5)
     groups = {"a": rng.normal(size=5001), "b": rng.integers(0, 3, 4000), None: np.r_[np.zeros(3000), rng.normal(size=3000)], "c": [1, 4]}
     rows = [(g, float(v)) for g, xs in groups.items() for v in xs] + [("a", None), ("d", None)]
     df = spark.createDataFrame(rows, "__value string, x double")
-    out = {r["__value"]: r["__median"] for r in quantiles.grouped_medians(df, limit=100).collect()}
+    out = {r["__value"]: r["__median"] for r in quantiles.grouped_medians(df).collect()}
+    # Groups, one of them missing and one without a value, lie in several ranges.
     assert out.pop("d") is None and out.keys() == groups.keys()
     assert all(np.isclose(out[g], np.median(xs)) for g, xs in groups.items())
 
 
-def test_labels_are_not_numbered_in_one_task(spark):
+def test_labels_are_numbered_by_ranges(spark):
     df = spark.createDataFrame([(k, f"v{k * 7919 % 500:03}") for k in range(500)], "k int, c string")
     out = categories.label_encode(df, "c")
     assert values(out, "c_label") == [k * 7919 % 500 for k in range(500)]
-    assert "Window" not in out._jdf.queryExecution().toString()
+    assert dict(out.dtypes)["c_label"] == "bigint"
+    assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_many_groups_need_no_collect(spark, monkeypatch):
+    """Medians of more groups than a driver should list, some over several ranges."""
+    df = spark.range(60_000).selectExpr("if(id < 20000, -1, id div 2) AS __value", "double(id * 7919 % 60000) AS x")
+    made = quantiles.grouped_medians(df)
+    want = df.groupBy("__value").agg(F.median("x").alias("m"))
+    assert made.count() == 20_001
+    assert made.join(want, "__value").where("abs(__median - m) < 1e-9").count() == 20_001
 
 
 def test_duplicates(spark):

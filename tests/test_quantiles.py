@@ -44,12 +44,15 @@ def test_in_memory(table):
         assert got == want if want[0] is None else np.allclose(got, want, rtol=1e-12, atol=1e-12)
 
 
+@pytest.fixture
+def coarse(monkeypatch):
+    """Summaries so small that every bracket is wide."""
+    monkeypatch.setattr(Q, "KEPT", 16)
+    monkeypatch.setattr(Q, "CHUNK", 64)
+
+
 @pytest.mark.parametrize("inner_limit", [20, 10_000])
-def test_narrowing_is_exact(table, monkeypatch, inner_limit):
-    monkeypatch.setattr(Q, "SAMPLE_ROWS", 300)
-    monkeypatch.setattr(Q, "GRID", 50)
-    monkeypatch.setattr(Q, "MARGIN", 2)
-    monkeypatch.setattr(Q, "INNER_LIMIT", inner_limit)
+def test_narrowing_is_exact(table, coarse, inner_limit):
     df, data = table
     names = [n for n in data if n != "infinite"]
     found = Q.narrowed_quantiles(df, names, PROBS, inner_limit)
@@ -71,22 +74,22 @@ def test_narrowing_with_infinities(table):
         assert (g in ends) if len(ends) == 1 else True
 
 
-def test_unlucky_samples_cost_passes_not_exactness(table, monkeypatch):
-    """With pivots from a wrong place of the sample the counts still lead to the right value."""
-    monkeypatch.setattr(Q, "SAMPLE_ROWS", 40)
-    monkeypatch.setattr(Q, "GRID", 10)
-    monkeypatch.setattr(Q, "MARGIN", 0)
-    df, data = table
-    found = Q.narrowed_quantiles(df, ["normal", "hot_third"], (0.1, 0.9), 30)
-    for name in found:
-        assert np.allclose(found[name], [np.quantile(data[name], p) for p in (0.1, 0.9)])
+def test_a_heavy_value_next_to_the_rank_is_settled(spark, coarse):
+    """The searched ranks are the last of a value that fills a third, and the first one after it."""
+    values = [float(i) for i in range(1000)] + [1000.0] * 1000 + [1000.5 + i for i in range(1001)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    probs = [k / 3000 for k in (999, 1000, 1999, 2000, 2001)]
+    assert np.allclose(Q.narrowed_quantiles(df, ["v"], probs, 5)["v"], np.quantile(values, probs))
 
 
-def test_tables_are_narrowed(table):
+def test_scans_of_a_large_table(table, monkeypatch):
+    """One scan for brackets and one that reads them."""
     df, data = table
-    plan = Q.quantile_row(df, ["normal"], (0.5,))
-    assert "collect_list" not in plan._jdf.queryExecution().toString()
-    assert np.isclose(plan.first().q[0][0], np.quantile(data["normal"], 0.5))
+    passes = []
+    run = Q._pass
+    monkeypatch.setattr(Q, "_pass", lambda *a: passes.append(1) or run(*a))
+    found = Q.narrowed_quantiles(df, [n for n in data if n != "infinite"], (0.25, 0.5, 0.75))
+    assert np.isclose(found["normal"][1], np.quantile(data["normal"], 0.5)) and len(passes) == 1
 
 
 def test_approx_mode(table):

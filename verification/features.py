@@ -328,7 +328,7 @@ ORACLE: dict[str, str] = {
     "feature_one_hot": f"SELECT event_id, {_HOT} FROM {_EVENTS}",
     "feature_label_encode": f"""
         SELECT event_id, event_type, CASE WHEN event_type IS NOT NULL
-               THEN (dense_rank() OVER (ORDER BY event_type NULLS LAST) - 1)::INT END AS event_type_label FROM {_EVENTS}""",
+               THEN (dense_rank() OVER (ORDER BY event_type NULLS LAST) - 1)::BIGINT END AS event_type_label FROM {_EVENTS}""",
     "feature_group_statistics": f"""
         SELECT event_id, event_type, round(value, 6) AS value,
                round(avg(value) OVER w, 6) AS value_mean_by_event_type, round(median(value) OVER w, 6) AS value_median_by_event_type,
