@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,6 +135,11 @@ def numeric_frame(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.selectExpr(*[f"{number_sql(df, n)} AS {quoted(n)}" for n in names])
 
 
+def numbered_frame(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Only the given number columns, as doubles without NaN, named by their place."""
+    return df.selectExpr(*[f"{number_sql(df, n)} AS c{i}" for i, n in enumerate(names)])
+
+
 def fixed2(col: Column) -> Column:
     """Text with two decimals."""
     return fixed(col, 2)
@@ -154,15 +160,26 @@ def one_row(spark: SparkSession, *cols: Column) -> DataFrame:
     return spark.sql("SELECT 1 AS one").select(*cols)
 
 
+def literal_sql(value) -> str:
+    """A text, number, truth value, list of such or None as a SQL constant."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return text(value)
+    if isinstance(value, (list, tuple)):
+        return array_sql(map(literal_sql, value))
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"DOUBLE('{value}')"
+    return repr(value)
+
+
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
     """A table of facts known to the driver (about one row per column), as a local relation."""
     fields = T.StructType.fromDDL(ddl).fields
     if not rows:
         nulls = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {quoted(f.name)}" for f in fields)
         return spark.sql(f"SELECT {nulls} WHERE false")
-    values = ", ".join(
-        "(" + ", ".join(text(v) if isinstance(v, str) else repr(v) for v in row) + ")" for row in rows
-    )
+    values = ", ".join("(" + ", ".join(map(literal_sql, row)) + ")" for row in rows)
     names = [quoted(f.name) for f in fields]
     typed = ", ".join(f"CAST({n} AS {f.dataType.simpleString()}) AS {n}" for n, f in zip(names, fields))
     return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({', '.join(names)})")
@@ -179,3 +196,12 @@ def union_rows(parts: Sequence[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def batched_array(df: DataFrame, items: Sequence[str], size: int) -> Column:
+    """The aggregates as one array, ``size`` to a scan, each scan of the columns its aggregates need.
+
+    One-row results enter as scalar subqueries, so this stands in a select over any one-row table.
+    """
+    parts = [df.selectExpr(array_sql(part) + " AS a").scalar() for part in batches(items, size)]
+    return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -27,6 +27,7 @@ from tableprofile.functions.columns import (
     union_rows,
     with_row,
 )
+from tableprofile.operators.facts import Facts
 from tableprofile.operators.roles import split_roles
 
 TOP_VALUES = 10
@@ -167,7 +168,10 @@ def unique_counts(
 
 
 def high_cardinality(
-    df: DataFrame, variant: str = "advice", roles: tuple[list[str], list[str]] | None = None
+    df: DataFrame,
+    variant: str = "advice",
+    roles: tuple[list[str], list[str]] | None = None,
+    facts: Facts | None = None,
 ) -> DataFrame:
     """``(position, column, n_unique)`` of columns with more than ten distinct values.
 
@@ -175,10 +179,14 @@ def high_cardinality(
     columns in schema order, two at most.
     """
     if variant == "advice":
-        names, k = (roles or split_roles(df))[0], HIGH_CARDINALITY_ADVICE
+        names, k = (roles or split_roles(df, facts))[0], HIGH_CARDINALITY_ADVICE
+        # Number columns are categories only with few values, and so are those the sketch says so of.
+        names = [n for n in names if n not in columns_of(df, "number")]
+        if facts:
+            names = [n for n in names if (facts.other[n].estimate or 0) > HIGH_CARDINALITY * 0.9]
         order = [F.desc("n_unique"), "position"]
     elif variant == "insight":
-        names, k = _first_high(df, HIGH_CARDINALITY_INSIGHT), HIGH_CARDINALITY_INSIGHT
+        names, k = _first_high(df, HIGH_CARDINALITY_INSIGHT, facts), HIGH_CARDINALITY_INSIGHT
         order = ["position"]
     else:
         raise ValueError("variant must be 'advice' or 'insight'")
@@ -187,7 +195,7 @@ def high_cardinality(
     )
 
 
-def _first_high(df: DataFrame, k: int) -> list[str]:
+def _first_high(df: DataFrame, k: int, facts: Facts | None = None) -> list[str]:
     """Text columns among which the first ``k`` with more than ten values must be.
 
     A sketch tells for most columns whether they are; only those in question and the first ``k``
@@ -196,7 +204,10 @@ def _first_high(df: DataFrame, k: int) -> list[str]:
     names = columns_of(df, "object")
     if not names:
         return []
-    row = df.selectExpr(*[f"approx_count_distinct({quoted(n)})" for n in names]).first()
+    if facts:
+        row = [facts.other[n].estimate for n in names]
+    else:
+        row = df.selectExpr(*[f"approx_count_distinct({quoted(n)})" for n in names]).first()
     kept, certain = [], 0
     for name, estimate in zip(names, row):
         if certain == k:

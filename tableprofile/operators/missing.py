@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprofile.functions.columns import array_sql, batches, head_sql, missing_sql, ref, union_rows
+from tableprofile.functions.columns import array_sql, batched_array, batches, head_sql, missing_sql, ref, union_rows
+from tableprofile.operators.facts import Facts
 
 VARIANTS = ("all", "present", "sorted")
 # Bounds the generated code of an aggregate.
 COLUMNS_PER_SCAN = 100
 
 
-def missing_facts(df: DataFrame) -> DataFrame:
+def missing_facts(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """One row: ``n_rows`` and ``columns``, an array of ``(position, column, missing_count, share)``
     in schema order. The share is in percent of all rows, not rounded."""
-    structs = []
-    for name in df.columns:
-        missing = f"count_if({missing_sql(df, name)})"
-        structs.append(
-            f"named_struct({head_sql(df, name)}, 'missing_count', {missing},"
-            f" 'share', try_divide({missing} * 100D, count(1)))"
-        )
-    return df.selectExpr("count(1) AS n_rows", array_sql(structs) + " AS columns")
+    if facts:
+        counts = {n: f"{facts.missing(n)}L" for n in df.columns}
+        total, row = f"{facts.n_rows}L", df.sparkSession.sql("SELECT 1")
+    else:
+        counts = {n: f"count_if({missing_sql(df, n)})" for n in df.columns}
+        total, row = "count(1)", df
+    cells = [
+        f"named_struct({head_sql(df, n)}, 'missing_count', {c}, 'share', try_divide({c} * 100D, {total}))"
+        for n, c in counts.items()
+    ]
+    if facts or len(cells) <= COLUMNS_PER_SCAN:
+        return row.selectExpr(f"{total} AS n_rows", array_sql(cells) + " AS columns")
+    columns = batched_array(df, cells, COLUMNS_PER_SCAN)
+    return df.selectExpr("count(1) AS n_rows").select("n_rows", columns.alias("columns"))
 
 
-def missing_values(df: DataFrame, variant: str = "all") -> DataFrame:
+def missing_values(df: DataFrame, variant: str = "all", facts: Facts | None = None) -> DataFrame:
     """``(position, column, missing_count, missing_pct)``.
 
     ``all``: every column in schema order; ``present``: only columns with missing rows; ``sorted``:
@@ -33,7 +40,7 @@ def missing_values(df: DataFrame, variant: str = "all") -> DataFrame:
     """
     if variant not in VARIANTS:
         raise ValueError(f"variant must be one of {VARIANTS}")
-    rows = missing_facts(df).select(F.inline("columns")).select(
+    rows = missing_facts(df, facts).select(F.inline("columns")).select(
         "position", "column", "missing_count", F.round("share", 2).alias("missing_pct")
     )
     if variant == "all":

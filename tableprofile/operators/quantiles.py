@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprofile.functions.columns import array_sql, batches, number_sql, numeric_frame
+from tableprofile.functions.columns import array_sql, batches, literal_sql, number_sql, numbered_frame
 from tableprofile.operators.ranges import numbered
 from tableprofile.operators.summaries import CHUNK, KEPT, Bracket, RankSummary, Weighted, bracket, merged
 
@@ -215,7 +215,7 @@ def first_brackets(n: int, summary: Weighted, probs: Sequence[float]) -> dict[in
 
 
 def _narrowed(df: DataFrame, names: Sequence[str], probs: Sequence[float], inner_limit: int | None) -> dict[str, list[float | None]]:
-    cols = numeric_frame(df, names)
+    cols = numbered_frame(df, names)
 
     def finish(key: int, result: SearchResult) -> pa.Table:
         n = int(result[1].sum())
@@ -256,11 +256,6 @@ def grouped_medians(df: DataFrame) -> DataFrame:
     return groups.join(medians, F.col("__value").eqNullSafe(F.col("__of")), "left").select("__value", "__median")
 
 
-def number(value: float) -> str:
-    """SQL: the double."""
-    return f"{value!r}D" if math.isfinite(value) else f"DOUBLE('{value}')"
-
-
 def quantile_row(
     df: DataFrame, names: Sequence[str], probs: Sequence[float] = QUARTILES, mode: str = "exact", facts=None
 ) -> DataFrame:
@@ -278,7 +273,7 @@ def quantile_row(
             array_sql(f"percentile_approx({v}, {points}, {APPROX_ACCURACY})" for v in values) + " AS q"
         )
     found = narrowed_quantiles(df, names, probs) if facts is None else facts.quantiles(names, probs)
-    cells = [array_sql("CAST(NULL AS DOUBLE)" if v is None else number(v) for v in found[n]) for n in names]
+    cells = [array_sql("CAST(NULL AS DOUBLE)" if v is None else literal_sql(v) for v in found[n]) for n in names]
     return df.sparkSession.sql(f"SELECT {array_sql(cells)} AS q")
 
 

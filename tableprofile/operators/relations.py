@@ -6,24 +6,24 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprofile.functions.columns import (
-    array_sql,
     columns_of,
     literal_rows,
+    numbered_frame,
     numeric_frame,
-    quoted,
     ref,
     require_columns,
-    text,
-    with_row,
 )
+from tableprofile.operators.facts import Facts
+from tableprofile.operators.quantiles import STATE, column_values, states, tree_merged
 from tableprofile.operators.roles import split_roles
+from tableprofile.operators.summaries import PairMoments, Shifted
 
-# Below this share of the sum of squares a variance is rounding noise: the column is constant.
-VARIANCE_NOISE = 1e-12
+#: Columns of a tile of the correlation matrix.
+TILE = 128
 
 MATRIX_DDL = "pos_x int, pos_y int, col_x string, col_y string, r double"
 
@@ -37,18 +37,6 @@ RANKINGS = {
 }
 
 
-_MOMENTS = (
-    ("i", "bigint"),
-    ("j", "bigint"),
-    ("n", "double"),
-    ("x", "double"),
-    ("y", "double"),
-    ("xx", "double"),
-    ("yy", "double"),
-    ("xy", "double"),
-)
-
-
 def _bounded(r: Column) -> Column:
     """r within [-1, 1]; NULL and NaN are a missing correlation."""
     return F.when(
@@ -66,81 +54,67 @@ def pair_correlation(x: Column, y: Column) -> Column:
     return _bounded(F.try_divide(F.try_divide(F.covar_samp(x, y), sx), sy))
 
 
-def _co_moments(columns: list[str]):
-    """Sums over a task's rows for every pair of columns, taken where both are known.
+def _tiles(k: int) -> list[tuple[slice, slice]]:
+    """Blocks of columns against blocks of columns, each two blocks once."""
+    blocks = [slice(a, min(a + TILE, k)) for a in range(0, k, TILE)]
+    return [(x, y) for i, x in enumerate(blocks) for y in blocks[i:]]
 
-    The sums are matrix products of the values and of their masks, so the cost per row grows with
-    the square of the number of columns at the speed of a matrix multiplication.
-    """
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            present = ~np.isnan(values)
-            values, present = np.where(present, values, 0.0), present.astype(np.float64)
-            with np.errstate(invalid="ignore", over="ignore"):
-                products = [
-                    present.T @ present,
-                    values.T @ present,
-                    (values * values).T @ present,
-                    values.T @ values,
-                ]
-            total = np.stack(products) if total is None else total + np.stack(products)
-        if total is not None:
-            i, j = np.triu_indices(total.shape[1])
-            n, s, ss, sp = total
-            cells = [i, j, n[i, j], s[i, j], s[j, i], ss[i, j], ss[j, i], sp[i, j]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=columns)
-
-    return sums
-
-
-def _triangle(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def _triangle(df: DataFrame, names: Sequence[str], facts: Facts | None = None) -> DataFrame:
     """``(pos_x, pos_y, col_x, col_y, r)`` for every pair with x not after y, in one Arrow scan.
     Positions are places in ``names``.
 
-    Values are shifted by the column mean first (a scan of plain averages), which keeps the sums
-    accurate for columns far from zero; a constant column is shifted to exact zeros.
+    Tasks keep the co-moments of tiles of columns, which merge in two steps tile by tile, so that no
+    task ever sorts or sends single pairs; a tile's pairs are made where its last parts meet.
     """
-    if not names:
+    k = len(names)
+    if not k:
         return literal_rows(df.sparkSession, [], MATRIX_DDL)
-    cols = numeric_frame(df, names)
-    quoted_names = [quoted(n) for n in names]
-    shifts = cols.selectExpr(
-        array_sql(f"if(min({c}) = max({c}), min({c}), avg({c}))" for c in quoted_names) + " AS s"
-    )
-    shifted = with_row(cols, shifts, "__s").selectExpr(
-        *[f"{c} - __s[{i}] AS c{i}" for i, c in enumerate(quoted_names)]
-    )
-    sums = (
-        shifted.mapInArrow(_co_moments([n for n, _ in _MOMENTS]), ", ".join(map(" ".join, _MOMENTS)))
-        .groupBy("i", "j")
-        .agg(*[F.sum(n).alias(n) for n, _ in _MOMENTS[2:]])
-    )
-    labels = array_sql(text(n) for n in names)
-    return (
-        sums.selectExpr("*", "xx - x * x / n AS var_x", "yy - y * y / n AS var_y")
-        .selectExpr(
-            "*",
-            f"n > 1 AND var_x > {VARIANCE_NOISE!r}D * xx AND var_y > {VARIANCE_NOISE!r}D * yy"
-            " AS varies",
-        )
-        .selectExpr(
-            "int(i) AS pos_x",
-            "int(j) AS pos_y",
-            f"{labels}[i] AS col_x",
-            f"{labels}[j] AS col_y",
-            "CASE WHEN varies THEN if(i = j, 1D, (xy - x * y / n) / (sqrt(var_x) * sqrt(var_y))) END"
-            " AS r",
+    if facts and facts.pairs is not None:
+        at = [facts.numbers.index(n) for n in names]
+        r = facts.pairs.correlation()[np.ix_(at, at)]
+        rows = [(i, j, names[i], names[j], _cell(r, i, j)) for i in range(k) for j in range(i, k)]
+        return literal_rows(df.sparkSession, rows, MATRIX_DDL)
+    tiles = _tiles(k)
+
+    def gather(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, PairMoments] = {}
+        for batch in given:
+            own = Shifted(column_values(batch))
+            for t, (x, y) in enumerate(tiles):
+                cells = PairMoments.of(own, own, x, y)
+                total[t] = total[t].merge(cells) if t in total else cells
+        for t, cells in total.items():
+            yield states({t: cells})
+
+    def finish(t: int, cells: PairMoments) -> pa.Table:
+        x, y = tiles[t]
+        r = cells.correlation()
+        i, j = np.nonzero(np.arange(x.start, x.stop)[:, None] <= np.arange(y.start, y.stop)[None, :])
+        values = np.where((i + x.start == j + y.start) & ~np.isnan(r[i, j]), 1.0, r[i, j])
+        i, j = i + x.start, j + y.start
+        return pa.table(
+            {
+                "pos_x": pa.array(i, pa.int32()),
+                "pos_y": pa.array(j, pa.int32()),
+                "col_x": pa.array([names[a] for a in i], pa.string()),
+                "col_y": pa.array([names[b] for b in j], pa.string()),
+                "r": pa.array(values, pa.float64(), mask=np.isnan(values)),
+            }
         )
-        .withColumn("r", _bounded(F.col("r")))
-    )
+
+    return tree_merged(numbered_frame(df, names).mapInArrow(gather, STATE), PairMoments.merge, finish, MATRIX_DDL)
+
+
+def _cell(r: np.ndarray, i: int, j: int) -> float | None:
+    if np.isnan(r[i, j]):
+        return None
+    return 1.0 if i == j else float(r[i, j])
 
 
-def pair_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def pair_table(df: DataFrame, names: Sequence[str], facts: Facts | None = None) -> DataFrame:
     """``(pos_x, pos_y, col_x, col_y, r)`` for every pair, the earlier column as x."""
-    return _triangle(df, names).where("pos_x < pos_y")
+    return _triangle(df, names, facts).where("pos_x < pos_y")
 
 
 _SWAPPED = ("pos_y AS pos_x", "pos_x AS pos_y", "col_y AS col_x", "col_x AS col_y", "r")
@@ -181,6 +155,7 @@ def top_correlations(
     variant: str = "profile",
     names: Sequence[str] | None = None,
     roles: tuple[list[str], list[str]] | None = None,
+    facts: Facts | None = None,
 ) -> DataFrame:
     """``(rank, col_x, col_y, r)``; the variants are listed in ``RANKINGS``.
 
@@ -192,8 +167,8 @@ def top_correlations(
         raise ValueError(f"variant must be one of {tuple(RANKINGS)}")
     rule = RANKINGS[variant]
     if names is None and rule["columns"] == "numerical":
-        names = (roles or split_roles(df))[1]
-    pairs = pair_table(df, _numbers(df, names))
+        names = (roles or split_roles(df, facts))[1]
+    pairs = pair_table(df, _numbers(df, names), facts)
     if rule["earlier_first"] is None:
         pairs = _mirrored(pairs)
     elif not rule["earlier_first"]:
@@ -208,12 +183,15 @@ def top_correlations(
         "signed": "-round(r, 12)",
         "matrix": "0D",
     }[rule["order"]]
-    ranked = f"array_sort(collect_list(struct({key} AS key, pos_x, pos_y, col_x, col_y, r)))"
-    # One row per pair of columns: a table of the schema's size, whatever the number of rows.
-    if rule["limit"] is not None:
-        ranked = f"slice({ranked}, 1, {rule['limit']})"
+    keyed = pairs.withColumn("key", F.expr(key))
+    if rule["limit"] is None:
+        # All strong pairs of columns: their number does not depend on the rows.
+        place = F.row_number().over(Window.orderBy("key", "pos_x", "pos_y"))
+        return keyed.select(place.alias("rank"), "col_x", "col_y", "r")
+    # Each task keeps the best few.
+    best = keyed.orderBy("key", "pos_x", "pos_y").limit(rule["limit"])
     return (
-        pairs.selectExpr(f"{ranked} AS pairs")
+        best.selectExpr("array_sort(collect_list(struct(key, pos_x, pos_y, col_x, col_y, r))) AS pairs")
         .selectExpr("posexplode(pairs) AS (pos, p)")
         .selectExpr("pos + 1 AS rank", "p.col_x", "p.col_y", "p.r")
     )

@@ -7,54 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprofile.functions.columns import (
-    array_sql,
-    columns_of,
-    family_of,
-    head_sql,
-    known_sql,
-    literal_rows,
-    quoted,
-    text,
-    type_label,
-)
+from tableprofile.functions.columns import batches, columns_of, family_of, literal_rows, type_label
+from tableprofile.operators.facts import Facts
+from tableprofile.operators.shapes import all_dates, prose_sql
 
 # Fixed values of the role rules.
 LOW_CARDINALITY = 10
 LOW_CARDINALITY_SHARE = 0.05
 TIME_WORDS = ("date", "time", "year", "month", "day")
-TEXT_SHARE = 0.5
-# Four words with white space between them: more than three words.
-FOUR_WORDS = r"(?U)[^\s\x1c-\x1f]+[\s\x1c-\x1f]+[^\s\x1c-\x1f]+[\s\x1c-\x1f]+[^\s\x1c-\x1f]+[\s\x1c-\x1f]+[^\s\x1c-\x1f]"
-
-# Shape test and patterns of each accepted date format; the first pattern that fits a value counts,
-# so a day above twelve may come first.
-DATE_FORMATS = (
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", "d/M/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy", "d-M-yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy", "d.M.yyyy"),
-    (r"^(19|20)\d{6}$", "yyyyMMdd"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}$", "M/d/yyyy HH:mm", "d/M/yyyy HH:mm"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$", "M/d/yyyy HH:mm:ss", "d/M/yyyy HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}Z$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
-    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-)
-
-# A column with at most nine distinct values never gets a higher estimate than this from the
-# distinct-count sketch: each value sets one register, and few registers are counted linearly.
-_SKETCH_CEILING = 12
+COLUMNS_PER_SCAN = 100
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -81,46 +42,30 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
-def low_cardinality_candidates(df: DataFrame) -> list[str]:
-    """Number columns that may have fewer than ten distinct values. One job, one sketch per
-    column; a column left out is certain to have ten or more."""
-    names = columns_of(df, "number")
-    if not names:
-        return []
-    row = df.selectExpr(*[f"approx_count_distinct({known_sql(df, n)})" for n in names]).first()
-    return [n for n, v in zip(names, row) if v <= _SKETCH_CEILING]
-
-
-def column_roles(df: DataFrame) -> DataFrame:
+def column_roles(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """``(position, column, role)`` with role ``categorical``, ``numerical`` or ``other``.
 
     Text and boolean columns are categorical; so are number columns with fewer than ten distinct
-    values that make up less than 5% of the rows. Exact distinct counts are taken only for columns
-    a sketch leaves in question, so no buffer holds more than a handful of values.
+    values that make up less than 5% of the rows. Tasks tell the first few different values of all
+    number columns in one scan, and none holds more than a handful.
     """
-    candidates = low_cardinality_candidates(df)
+    facts = facts or Facts(df, ranks=False, paired=False)
     fixed = {"object": "categorical", "bool": "categorical", "number": "numerical"}
     rows = []
-    for f in df.schema.fields:
-        role = text(fixed.get(family_of(f.dataType), "other"))
-        if f.name in candidates:
-            # Adding zero makes -0.0 and 0.0 one value.
-            distinct = f"size(collect_set({known_sql(df, f.name)} + 0))"
-            low = (
-                f"{distinct} < {LOW_CARDINALITY} AND"
-                f" try_divide({distinct}, count(1)) < {LOW_CARDINALITY_SHARE}D"
-            )
-            role = f"if({low}, 'categorical', {role})"
-        rows.append(f"named_struct({head_sql(df, f.name)}, 'role', {role})")
-    if not candidates:
-        return df.sparkSession.sql(f"SELECT inline({array_sql(rows)})")
-    return df.selectExpr(f"{array_sql(rows)} AS rows").selectExpr("inline(rows)")
-
-
-def split_roles(df: DataFrame) -> tuple[list[str], list[str]]:
+    for i, f in enumerate(df.schema.fields):
+        role = fixed.get(family_of(f.dataType), "other")
+        if role == "numerical":
+            found = facts.number[f.name]
+            if found.rows and found.few is not None and len(found.few) < LOW_CARDINALITY and len(found.few) / found.rows < LOW_CARDINALITY_SHARE:
+                role = "categorical"
+        rows.append((i, f.name, role))
+    return literal_rows(df.sparkSession, rows, "position int, column string, role string")
+
+
+def split_roles(df: DataFrame, facts: Facts | None = None) -> tuple[list[str], list[str]]:
     """Names of the categorical and of the numerical columns. Later plans depend on them, so this
     one row per column does come to the driver."""
-    roles = {r["column"]: r["role"] for r in column_roles(df).collect()}
+    roles = {r["column"]: r["role"] for r in column_roles(df, facts).collect()}
     return tuple([c for c in df.columns if roles[c] == k] for k in ("categorical", "numerical"))
 
 
@@ -152,50 +97,31 @@ def time_named_columns(
     )
 
 
-def parses_as_date(col: str) -> str:
-    """SQL: true where a text is a date in one of the accepted formats. The shape is tested first, so
-    other text costs a failed match and not a failed parse."""
-    branches = " ".join(
-        f"WHEN {col} RLIKE {text(shape_)} THEN "
-        + " OR ".join(f"try_to_timestamp({col}, {text(fmt)}) IS NOT NULL" for fmt in formats)
-        for shape_, *formats in DATE_FORMATS
-    )
-    return f"CASE WHEN {col} IS NULL THEN NULL {branches} ELSE false END"
+def _listed(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return literal_rows(df.sparkSession, [(df.columns.index(n), n) for n in names], "position int, column string")
 
 
-def date_columns_row(df: DataFrame) -> tuple[list[str], DataFrame | None]:
-    """Text columns, and one row of booleans saying which hold only dates."""
+def date_names(df: DataFrame, facts: Facts | None = None) -> list[str]:
+    """Text columns whose every known value is a date; a column without known values counts."""
     names = columns_of(df, "object")
-    if not names:
-        return [], None
-    tests = [
-        f"coalesce(bool_and({parses_as_date(quoted(n))}), true) AS {quoted(n)}" for n in names
-    ]
-    return names, (df.selectExpr(*tests) if names else None)
-
-
-def _flagged(df: DataFrame, names: Sequence[str], row: DataFrame | None) -> DataFrame:
-    if not names:
-        return literal_rows(df.sparkSession, [], "position int, column string")
-    cells = array_sql(f"named_struct({head_sql(df, n)}, 'ok', {quoted(n)})" for n in names)
-    return row.selectExpr(f"inline({cells})").where("ok").select("position", "column")
+    return [n for n in names if facts.other[n].all_dates] if facts else all_dates(df, names)
 
 
 def date_parseable_columns(df: DataFrame) -> DataFrame:
     """``(position, column)`` of text columns whose every known value is a date; a column without
     known values counts."""
-    return _flagged(df, *date_columns_row(df))
+    return _listed(df, date_names(df))
 
 
-def text_flags(df: DataFrame) -> tuple[list[str], DataFrame | None]:
-    """Text columns, and one row of booleans: more than half the rows have over three words."""
+def prose_names(df: DataFrame, facts: Facts | None = None) -> list[str]:
+    """Text columns of which over half of all rows have more than three words."""
     names = columns_of(df, "object")
-    flags = [
-        f"try_divide(DOUBLE(count_if({quoted(n)} RLIKE {text(FOUR_WORDS)})), count(1))"
-        f" > {TEXT_SHARE}D AS {quoted(n)}"
-        for n in names
-    ]
-    return names, (df.selectExpr(*flags) if names else None)
+    if facts or not names:
+        return [n for n in names if facts.other[n].prose]
+    found = []
+    for part in batches(names, COLUMNS_PER_SCAN):
+        found += [n for n, ok in zip(part, df.selectExpr(*map(prose_sql, part)).first()) if ok]
+    return found
 
 
 def text_columns(df: DataFrame) -> DataFrame:
@@ -203,4 +129,4 @@ def text_columns(df: DataFrame) -> DataFrame:
 
     The test stops at the fourth word of a value, however long the value is.
     """
-    return _flagged(df, *text_flags(df))
+    return _listed(df, prose_names(df))

@@ -157,6 +157,15 @@ class Moments:
                 out.few[i] = None
         return out
 
+    def column(self, i: int) -> Moments:
+        """The facts of one column."""
+        out = Moments(1)
+        out.rows, out.few = self.rows, [self.few[i]]
+        out.n, out.mean, out.m2, out.m3, out.low, out.high = (
+            x[i : i + 1] for x in (self.n, self.mean, self.m2, self.m3, self.low, self.high)
+        )
+        return out
+
     def merge(self, other: Moments) -> Moments:
         out = Moments(len(self.n))
         out.rows, out.n = self.rows + other.rows, self.n + other.n

@@ -7,23 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from tableprofile.operators.describe import describe, quartiles_iqr, skewness
+from tableprofile.operators.facts import Facts
 from tableprofile.operators.frequency import describe_text, top_values, unique_counts
 from tableprofile.operators.missing import missing_values
 from tableprofile.operators.relations import top_correlations
-from tableprofile.operators.roles import column_types, shape, split_roles
+from tableprofile.operators.roles import column_types, split_roles
 from tableprofile.operators.selection import require_rows, sample_rows
 from tableprofile.functions.columns import columns_of, literal_rows
 from tableprofile.plans.report import feature_ideas, insights, preprocessing_suggestions
 
 
 def analyze(df: DataFrame, order_by: Sequence[str], mode: str = "exact") -> dict[str, DataFrame]:
-    """The parts of a profile by name, as lazy tables.
+    """The parts of a profile by name.
 
-    Roles are decided once, since other parts depend on them. ``mode="approx"`` replaces exact
-    quantiles and distinct counts by one-scan sketches.
+    Facts of all columns are gathered once - one scan of the number columns, one of the others, one that
+    reads the quartiles' brackets and one that counts outliers - and shared by all parts. Only first rows,
+    top values and exact distinct counts read the table again. ``mode="approx"`` replaces exact quantiles
+    and distinct counts by one-scan sketches.
     """
     require_rows(df)
-    roles = split_roles(df)
+    facts = Facts(df)
+    roles = split_roles(df, facts)
     categorical, numerical = (
         literal_rows(
             df.sparkSession,
@@ -34,19 +38,19 @@ def analyze(df: DataFrame, order_by: Sequence[str], mode: str = "exact") -> dict
     )
     has_numbers = bool(columns_of(df, "number"))
     return {
-        "shape": shape(df),
+        "shape": literal_rows(df.sparkSession, [(facts.n_rows, len(df.columns))], "n_rows bigint, n_cols int"),
         "columns": column_types(df),
-        "missing_values": missing_values(df),
-        "basic_stats": describe(df, mode=mode) if has_numbers else describe_text(df),
-        "quartiles": quartiles_iqr(df, mode=mode),
-        "skewness": skewness(df),
+        "missing_values": missing_values(df, facts=facts),
+        "basic_stats": describe(df, mode=mode, facts=facts) if has_numbers else describe_text(df),
+        "quartiles": quartiles_iqr(df, mode=mode, facts=facts),
+        "skewness": skewness(df, facts=facts),
         "top_values": top_values(df, roles=roles),
-        "correlations": top_correlations(df, "profile", roles=roles),
+        "correlations": top_correlations(df, "profile", roles=roles, facts=facts),
         "sample_data": sample_rows(df, order_by),
         "categorical_columns": categorical,
         "numerical_columns": numerical,
         "unique_values": unique_counts(df, mode=mode),
-        "insights": insights(df, mode),
-        "preprocessing": preprocessing_suggestions(df, roles, mode),
-        "feature_ideas": feature_ideas(df, roles),
+        "insights": insights(df, mode, facts),
+        "preprocessing": preprocessing_suggestions(df, roles, mode, facts),
+        "feature_ideas": feature_ideas(df, roles, facts),
     }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tableprofile.functions.columns import columns_of, fixed, one_row, ref, type_label
 from tableprofile.operators.describe import describe
+from tableprofile.operators.facts import Facts
 from tableprofile.operators.frequency import describe_text, top_values
 from tableprofile.operators.missing import missing_facts
 from tableprofile.operators.relations import top_correlations
@@ -71,7 +72,7 @@ def _joined(rows: DataFrame, order: str | Column, text: Column, sep: str = "\n")
     return rows.agg(F.concat_ws(sep, ordered).alias("text")).scalar()
 
 
-def stats_text(df: DataFrame, mode: str = "exact") -> Column:
+def stats_text(df: DataFrame, mode: str = "exact", facts: Facts | None = None) -> Column:
     """One line of statistics per number column, or per column when there are no numbers."""
     if columns_of(df, "number"):
         pieces = [F.lit("count=")]
@@ -89,7 +90,7 @@ def stats_text(df: DataFrame, mode: str = "exact") -> Column:
         for i, (field, label) in enumerate(labels.items()):
             value = F.col(field).cast("string") if field == "count" else _number(F.col(field))
             pieces += [F.lit((", " if i else " ") + label + "="), value]
-        return _joined(describe(df, mode=mode), "position", F.concat(*pieces))
+        return _joined(describe(df, mode=mode, facts=facts), "position", F.concat(*pieces))
     text = fill(
         "{column}: count={count}, unique={unique}, top={top}, freq={freq}",
         **{k: F.coalesce(F.col(k).cast("string"), F.lit("NaN")) for k in ("column", "count", "unique", "top", "freq")},
@@ -109,7 +110,7 @@ def top_values_text(df: DataFrame, roles: Roles) -> Column:
     return _joined(per_column, "position", F.concat("column", F.lit(" top values: "), "values"))
 
 
-def missing_text(df: DataFrame) -> Column:
+def missing_text(df: DataFrame, facts: Facts | None = None) -> Column:
     """One line per column with missing values, or a line that says there are none."""
     rows = F.transform(
         F.filter("columns", lambda c: c["missing_count"] > 0),
@@ -121,22 +122,22 @@ def missing_text(df: DataFrame) -> Column:
         ),
     )
     text = F.when(F.size(rows) > 0, F.concat_ws("\n", rows)).otherwise(F.lit(M.CONTEXT["no_missing"]))
-    return missing_facts(df).select(text.alias("text")).scalar()
+    return missing_facts(df, facts).select(text.alias("text")).scalar()
 
 
-def correlations_text(df: DataFrame, style: str, roles: Roles | None) -> Column:
+def correlations_text(df: DataFrame, style: str, roles: Roles | None, facts: Facts | None = None) -> Column:
     if style == "context":
         if len(columns_of(df, "number")) < 2:
             return F.lit(M.CONTEXT["no_pairs"])
         pair = fill(M.CONTEXT["pair"], x=F.col("col_x"), y=F.col("col_y"), r=fixed(F.col("r"), 3))
-        found = _joined(top_correlations(df, "context"), "rank", pair)
+        found = _joined(top_correlations(df, "context", facts=facts), "rank", pair)
         return F.when(found == "", F.lit(M.CONTEXT["no_pairs"])).otherwise(found)
     if len(roles[1]) < 2:
         return F.lit(M.CONTEXT["profile_too_few"])
     pair = fill(
         M.CONTEXT["profile_pair"], x=F.col("col_x"), y=F.col("col_y"), r=fixed(F.col("r"), 4)
     )
-    found = _joined(top_correlations(df, "profile", roles=roles), "rank", pair)
+    found = _joined(top_correlations(df, "profile", roles=roles, facts=facts), "rank", pair)
     return F.concat_ws("\n", F.lit(M.CONTEXT["profile_head"]), found)
 
 
@@ -155,6 +156,7 @@ def profile_context(
     style: str = "context",
     roles: Roles | None = None,
     mode: str = "exact",
+    facts: Facts | None = None,
 ) -> DataFrame:
     """One row: ``shape, columns_info, missing_info, basic_stats, correlations, sample_data``.
 
@@ -163,22 +165,23 @@ def profile_context(
     """
     if style not in STYLES:
         raise ValueError(f"style must be one of {STYLES}")
+    facts = facts or Facts(df)
     if style == "profile":
-        roles = roles or split_roles(df)
-    n_rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        roles = roles or split_roles(df, facts)
+    n_rows = F.lit(facts.n_rows)
     columns = "\n".join(
         M.CONTEXT["column"].format(column=f.name, dtype=type_label(f.dataType)) for f in df.schema
     )
-    stats = stats_text(df, mode)
+    stats = stats_text(df, mode, facts)
     if style == "profile" and roles[0]:
         stats = F.concat_ws("\n\n", stats, top_values_text(df, roles))
     return one_row(
         df.sparkSession,
         fill(M.CONTEXT["shape"], rows=n_rows, columns=len(df.columns)).alias("shape"),
         F.lit(columns).alias("columns_info"),
-        missing_text(df).alias("missing_info"),
+        missing_text(df, facts).alias("missing_info"),
         stats.alias("basic_stats"),
-        correlations_text(df, style, roles).alias("correlations"),
+        correlations_text(df, style, roles, facts).alias("correlations"),
         sample_text(df, order_by).alias("sample_data"),
     )
 

@@ -17,9 +17,9 @@ from tableprofile.functions.columns import (
     columns_of,
     fixed2,
     literal_rows,
+    literal_sql,
     number_sql,
     one_row,
-    ref,
     share_pct,
     union_rows,
     with_row,
@@ -27,13 +27,15 @@ from tableprofile.functions.columns import (
 from tableprofile.operators.describe import (
     DIRECTION,
     OUTLIER_PCT_LIMIT,
+    facts_of,
     outlier_counts,
     sample_skewness,
 )
+from tableprofile.operators.facts import Facts
 from tableprofile.operators.frequency import HIGH_CARDINALITY_INSIGHT, high_cardinality
 from tableprofile.operators.missing import missing_facts
 from tableprofile.operators.relations import top_correlations
-from tableprofile.operators.roles import date_columns_row, split_roles, text_flags, time_names
+from tableprofile.operators.roles import date_names, prose_names, split_roles, time_names
 from tableprofile.plans import messages as M
 
 DETAILS = 3
@@ -92,13 +94,13 @@ def as_array(rows: DataFrame, order: str, *fields: str) -> Column:
     return rows.agg(F.array_sort(F.collect_list(cell)).alias("rows")).scalar()
 
 
-def missing_insights(df: DataFrame) -> DataFrame:
+def missing_insights(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """Columns with missing values, the first three in detail, and what to do about them."""
     found = F.filter("columns", lambda c: c["missing_count"] > 0)
     high = F.transform(
         F.filter("columns", lambda c: c["share"] > HIGH_MISSING_PCT), lambda c: c["column"]
     )
-    facts = missing_facts(df).select(found.alias("found"), high.alias("high"))
+    facts = missing_facts(df, facts).select(found.alias("found"), high.alias("high"))
     n = F.size("found")
     detail = F.transform(
         F.slice("found", 1, DETAILS),
@@ -123,17 +125,20 @@ def missing_insights(df: DataFrame) -> DataFrame:
     )
 
 
-def distribution_insights(df: DataFrame, mode: str = "exact") -> DataFrame:
-    """Skew and outliers of the first three number columns. Two scans of those columns."""
+def distribution_insights(df: DataFrame, mode: str = "exact", facts: Facts | None = None) -> DataFrame:
+    """Skew and outliers of the first three number columns."""
     title = "Distribution Insights"
     numbers = columns_of(df, "number")
     if not numbers:
         return fixed_lines(df, title, [M.DISTRIBUTION["none"]])
     names = numbers[:DETAILS]
-    skews = df.selectExpr(
-        array_sql(sample_skewness(number_sql(df, n)) for n in names) + " AS skews"
-    )
-    facts = with_row(outlier_counts(df, names, mode), skews, "skews")
+    if mode == "exact":
+        known = facts_of(df, names, facts)
+        skews = known.df.sparkSession.sql(f"SELECT {literal_sql([known.number[n].skewness for n in names])} AS skews")
+        facts = with_row(outlier_counts(df, names, mode, known), skews.selectExpr("CAST(skews AS ARRAY<DOUBLE>)"), "skews")
+    else:
+        skews = df.selectExpr(array_sql(sample_skewness(number_sql(df, n)) for n in names) + " AS skews")
+        facts = with_row(outlier_counts(df, names, mode), skews, "skews")
     groups = []
     for i, n in enumerate(names):
         skew, outliers = F.col("skews")[i], F.col("outliers")[i]
@@ -158,14 +163,16 @@ def distribution_insights(df: DataFrame, mode: str = "exact") -> DataFrame:
     return section(facts, title, *groups)
 
 
-def correlation_insights(df: DataFrame) -> DataFrame:
+def correlation_insights(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """Number of pairs with |r| > 0.7 and the first three in matrix order."""
     title = "Correlation Analysis"
     if len(columns_of(df, "number")) < 2:
         return fixed_lines(df, title, [M.CORRELATION["too_few"]])
-    pairs = top_correlations(df, "insight")
-    facts = one_row(df.sparkSession, as_array(pairs, "rank", "col_x", "col_y", "r").alias("pairs"))
-    n = F.size("pairs")
+    pairs = top_correlations(df, "insight", facts=facts)
+    n_pairs = pairs.agg(F.count(F.lit(1)).alias("n").cast("int")).scalar()
+    first = as_array(pairs.where(F.col("rank") <= DETAILS), "rank", "col_x", "col_y", "r")
+    facts = one_row(df.sparkSession, n_pairs.alias("n_pairs"), first.alias("pairs"))
+    n = F.col("n_pairs")
     detail = F.transform(
         F.slice("pairs", 1, DETAILS),
         lambda p: fill(
@@ -185,23 +192,17 @@ def correlation_insights(df: DataFrame) -> DataFrame:
     return section(facts, title, F.when(n > 0, some).otherwise(lines(M.CORRELATION["none"])))
 
 
-def _true_names(names: Sequence[str], row: DataFrame | None) -> Column:
-    """Names whose flag in the one-row table is true, as an array."""
-    if not names:
-        return no_lines()
-    cells = F.array(*[F.when(ref(n), F.lit(n)) for n in names])
-    return row.select(F.array_compact(cells).alias("names")).scalar()
+def names_array(names: Sequence[str]) -> Column:
+    return F.array(*map(F.lit, names)) if names else no_lines()
 
 
-def feature_insights(df: DataFrame) -> DataFrame:
+def feature_insights(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """Date columns, categories, high cardinality and a hint at polynomial features."""
     objects, n_numbers = columns_of(df, "object"), len(columns_of(df, "number"))
-    high = as_array(high_cardinality(df, "insight"), "position", "column", "n_unique") if objects else (
+    high = as_array(high_cardinality(df, "insight", facts=facts), "position", "column", "n_unique") if objects else (
         F.array().cast("array<struct<position:int,column:string,n_unique:bigint>>")
     )
-    facts = one_row(
-        df.sparkSession, _true_names(*date_columns_row(df)).alias("dates"), high.alias("high")
-    )
+    facts = one_row(df.sparkSession, names_array(date_names(df, facts)).alias("dates"), high.alias("high"))
     dates = F.size("dates")
     listed = F.concat_ws(", ", F.slice("dates", 1, DETAILS))
     detail = F.transform(
@@ -224,29 +225,34 @@ def feature_insights(df: DataFrame) -> DataFrame:
     )
 
 
-def insights(df: DataFrame, mode: str = "exact") -> DataFrame:
-    """All findings: missing values, distributions, correlations, feature engineering."""
+def insights(df: DataFrame, mode: str = "exact", facts: Facts | None = None) -> DataFrame:
+    """All findings: missing values, distributions, correlations, feature engineering.
+
+    Facts are gathered once for all sections.
+    """
+    facts = facts or Facts(df)
     return union_rows(
         [
-            missing_insights(df),
-            distribution_insights(df, mode),
-            correlation_insights(df),
-            feature_insights(df),
+            missing_insights(df, facts),
+            distribution_insights(df, mode, facts),
+            correlation_insights(df, facts),
+            feature_insights(df, facts),
         ]
     )
 
 
 def preprocessing_suggestions(
-    df: DataFrame, roles: Roles | None = None, mode: str = "exact"
+    df: DataFrame, roles: Roles | None = None, mode: str = "exact", facts: Facts | None = None
 ) -> DataFrame:
     """Advice in the sections numerical, categorical, missing_values, outliers and general."""
-    roles = roles or split_roles(df)
+    facts = facts or Facts(df, paired=False)
+    roles = roles or split_roles(df, facts)
     categorical, numerical = roles
     parts = []
     if numerical:
         steps = [M.SUGGEST_NUMERICAL["found"].format(n=len(numerical)), *M.SUGGEST_NUMERICAL["steps"]]
         parts.append(fixed_lines(df, "numerical", steps))
-        counts = outlier_counts(df, numerical, mode)
+        counts = outlier_counts(df, numerical, mode, facts)
         groups = []
         for i, n in enumerate(numerical):
             count = F.col("outliers")[i]
@@ -260,21 +266,21 @@ def preprocessing_suggestions(
         parts.append(section(counts, "outliers", *groups))
     if categorical:
         high = as_array(
-            high_cardinality(df, "advice", roles).select(
+            high_cardinality(df, "advice", roles, facts).select(
                 F.struct(-F.col("n_unique"), "position").alias("key"), "column", "n_unique"
             ),
             "key",
             "column",
             "n_unique",
         )
-        facts = one_row(df.sparkSession, high.alias("high"))
+        found = one_row(df.sparkSession, high.alias("high"))
         detail = F.transform(
             "high",
             lambda c: fill(M.SUGGEST_CATEGORICAL["high_column"], column=c["column"], n=c["n_unique"]),
         )
         parts.append(
             section(
-                facts,
+                found,
                 "categorical",
                 lines(M.SUGGEST_CATEGORICAL["found"].format(n=len(categorical))),
                 only_if(
@@ -291,7 +297,7 @@ def preprocessing_suggestions(
     found = F.transform(
         F.filter("columns", lambda c: c["missing_count"] > 0), lambda c: c["column"]
     )
-    missing = missing_facts(df).select(found.alias("found"))
+    missing = missing_facts(df, facts).select(found.alias("found"))
     n = F.size("found")
     listed = F.when(
         n > LISTED_MISSING,
@@ -316,11 +322,11 @@ def preprocessing_suggestions(
     return union_rows(parts)
 
 
-def feature_ideas(df: DataFrame, roles: Roles | None = None) -> DataFrame:
+def feature_ideas(df: DataFrame, roles: Roles | None = None, facts: Facts | None = None) -> DataFrame:
     """Feature engineering ideas that fit the table's columns."""
-    categorical, numerical = roles or split_roles(df)
+    categorical, numerical = roles or split_roles(df, facts)
     times = time_names(df.columns)
-    facts = one_row(df.sparkSession, _true_names(*text_flags(df)).alias("texts"))
+    facts = one_row(df.sparkSession, names_array(prose_names(df, facts)).alias("texts"))
 
     def block(texts, **fields):
         return lines(*[fill(t, **fields) for t in texts])
