@@ -43,7 +43,7 @@ from tableprofile.operators.quantiles import (
     tree_merged,
 )
 from tableprofile.operators.shapes import date_shaped_sql, parsed_as_dates, prose_sql
-from tableprofile.operators.summaries import KEPT, Bracket, Moments, PairMoments, RankSummary, Shifted, merged
+from tableprofile.operators.summaries import EXACT, KEPT, Bracket, Moments, PairMoments, RankSummary, Shifted, merged
 
 #: Number columns up to which pairs are part of the facts; of more, correlations take a scan of their own.
 PAIRED_COLUMNS = 64
@@ -164,7 +164,7 @@ class Facts:
             for n in part:
                 q1, _, q3 = self._values[n]
                 if q1 is None:
-                    counts.append("0L")
+                    counts.append("count_if(false)")
                 else:
                     reach = FENCE_FACTOR * (q3 - q1)
                     lower, upper = literal_sql(q1 - reach), literal_sql(q3 + reach)
@@ -204,7 +204,7 @@ def _number_states(k: int, ranked: bool, paired: bool):
 def _merge(a, b):
     if isinstance(a, PairMoments):
         return a.merge(b)
-    return a[0].merge(b[0]), merged([a[1], b[1]], KEPT)
+    return a[0].merge(b[0]), merged([a[1], b[1]], KEPT, EXACT)
 
 
 def _finishing(ranked: bool):

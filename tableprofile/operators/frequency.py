@@ -1,9 +1,10 @@
 """Value frequencies and distinct counts.
 
-Every column is grouped in a plan of its own and the small results are united. A columnar source
-then reads each column once, values keep their own type while they are grouped (text is made only
-of the few values that are reported), and a value that fills much of a column is collapsed by
-map-side counting before the shuffle.
+The most frequent values of all columns come from one scan that summarises hashes and one that counts
+candidates. Where every value has to be grouped, each column has a plan of its own and the small
+results are united: a columnar source then reads each column once, values keep their own type (text
+is made only of the few values that are reported), and a value that fills much of a column is
+collapsed by map-side counting before the shuffle.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tableprofile.functions.columns import (
     with_row,
 )
 from tableprofile.operators.facts import Facts
+from tableprofile.operators.heavy import candidates, hash_sql
 from tableprofile.operators.roles import split_roles
 
 TOP_VALUES = 10
@@ -39,6 +41,8 @@ HIGH_CARDINALITY_ADVICE = 5
 HIGH_CARDINALITY_INSIGHT = 2
 # Longest text that is compared as it is; a marked digest is longer by two.
 LONG_TEXT = 63
+# Candidates for the most frequent values that one scan counts.
+CANDIDATES_PER_SCAN = 200
 # A column with at most ten distinct values never gets a higher estimate from the sketch.
 _SKETCH_CEILING = 13
 
@@ -86,21 +90,29 @@ def _key_counts(df: DataFrame, name: str) -> DataFrame:
 def _frequent(df: DataFrame, name: str, k: int, long: bool) -> DataFrame:
     """``(value, n)`` of values that include the ``k`` most frequent ones.
 
-    Long text is counted by digest. Only values at least as frequent as the k-th are then looked up.
-    If that is a single occurrence, the fewer than k values that occur more often are looked up, and
-    the smallest of the others, of which each task sends k at most.
+    Long text is counted by digest, and looked up for the fewer than k values that are more frequent
+    than the k-th and for the smallest of those as frequent as it, of which each task sends k at most.
+    A text that fills much of a column is one row per task.
     """
     if not long:
         return frequencies(df, name)
     counts = _key_counts(df, name)
-    least = counts.orderBy(F.desc("n")).limit(k).selectExpr("min(n)").first()[0]
-    texts = df.selectExpr(f"{known_sql(df, name)} AS value", f"{distinct_key(df, name)} AS key")
-    often = counts.where(F.col("n") >= max(least or 1, 2))
-    found = texts.join(often, "key").groupBy("key").agg(F.expr("any_value(value) AS value"), F.expr("max(n) AS n"))
-    if least is None or least < 2:
-        single = texts.where("value IS NOT NULL").join(often, "key", "left_anti")
-        found = found.unionByName(single.orderBy("value").limit(k).selectExpr("key", "value", "1L AS n"))
-    return found
+    top = counts.orderBy(F.desc("n")).limit(k).collect()  # k digests
+    least = top[-1]["n"] if len(top) == k else 0
+    above = {r["key"]: r["n"] for r in top if r["n"] > least}
+    texts = df.selectExpr(f"{known_sql(df, name)} AS value", f"{distinct_key(df, name)} AS key").where("value IS NOT NULL")
+    listed = texts.where(F.col("key").isin(list(above)))
+    found = listed.groupBy("key").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    if least > 1:
+        # Each tied text is known by its least one in a task before anything is sent.
+        tied = counts.where(F.col("n") == least).select("key")
+        smallest = texts.join(tied, "key", "left_semi").select("value").distinct().orderBy("value").limit(k)
+        found = found.unionByName(smallest.selectExpr("'' AS key", "value", f"{least}L AS n"))
+    elif least == 1:
+        # All but the fewer than k listed texts occur once.
+        once = texts.where(~F.col("key").isin(list(above))).orderBy("value").limit(k)
+        found = found.unionByName(once.selectExpr("key", "value", "1L AS n"))
+    return found.select("value", "n")
 
 
 def _ranked(df: DataFrame, name: str, k: int, long: bool) -> DataFrame:
@@ -121,22 +133,67 @@ def top_values(
     roles: tuple[list[str], list[str]] | None = None,
 ) -> DataFrame:
     """``(position, column, rank, value, n)``: the most frequent known values of each categorical
-    column, as text."""
+    column, as text; ties go to the smaller value.
+
+    One scan of all columns finds candidates by hash with a bound of the error, one more counts them.
+    Only columns whose values are too evenly spread for that are grouped."""
     names = (roles or split_roles(df))[0] if names is None else require_columns(df, names)
-    long = long_text_columns(df, names)
-    parts = [
+    ddl = "position int, column string, rank int, value string, n bigint"
+    if not names:
+        return literal_rows(df.sparkSession, [], ddl)
+    told = _recounted(df, {n: h for n, h in candidates(df, names, k).items() if h is not None}, k)
+    rows = [
+        (df.columns.index(n), n, rank, value, count)
+        for n, top in told.items()
+        for rank, (value, count) in enumerate(top, 1)
+    ]
+    parts = [df.sparkSession.createDataFrame(rows, ddl)] if rows else []
+    left = [n for n in names if n not in told]
+    long = long_text_columns(df, left)
+    parts += [
         _tagged(df, n, _ranked(df, n, k, n in long), "posexplode(top) AS (pos, v)").selectExpr(
             "position", "column", "pos + 1 AS rank", "CAST(v.value AS STRING) AS value", "v.n AS n"
         )
-        for n in names
+        for n in left
     ]
-    if not parts:
-        return literal_rows(
-            df.sparkSession,
-            [],
-            "position int, column string, rank int, value string, n bigint",
+    return union_rows(parts) if parts else literal_rows(df.sparkSession, [], ddl)
+
+
+def _recounted(df: DataFrame, found: dict[str, list[int]], k: int) -> dict[str, list[tuple[str, int]]]:
+    """The ``k`` most frequent values of columns with known candidates, as text with exact counts.
+
+    One scan counts the candidates of a batch of columns. A column of which two values share a
+    candidate's hash is left out.
+    """
+    told = {n: [] for n, hashes in found.items() if not hashes}
+    todo = [n for n in found if n not in told]
+    while todo:
+        part, size = [], 0
+        while todo and (not part or size + len(found[todo[0]]) <= CANDIDATES_PER_SCAN):
+            size += len(found[todo[0]])
+            part.append(todo.pop(0))
+        values = df.selectExpr(
+            *[x for i, n in enumerate(part) for x in (f"{known_sql(df, n)} AS v{i}", f"{hash_sql(df, n)} AS h{i}")]
         )
-    return union_rows(parts)
+        cells = []
+        for i, n in enumerate(part):
+            one = "named_struct('n', count_if(h{i} = {h}L), 'lo', min(CASE WHEN h{i} = {h}L THEN v{i} END), 'hi', max(CASE WHEN h{i} = {h}L THEN v{i} END))"
+            cells.append(array_sql(one.format(i=i, h=h) for h in found[n]) + f" AS c{i}")
+        order = "(a, b) -> CASE WHEN a.n <> b.n THEN int(sign(b.n - a.n)) WHEN a.lo < b.lo THEN -1 WHEN a.lo > b.lo THEN 1 ELSE 0 END"
+        row = values.selectExpr(*cells).selectExpr(
+            *[
+                x
+                for i in range(len(part))
+                for x in (
+                    f"exists(c{i}, x -> x.lo <> x.hi)",
+                    f"transform(slice(array_sort(c{i}, {order}), 1, {k}), x -> struct(CAST(x.lo AS STRING) AS value, x.n AS n))",
+                )
+            ]
+        ).first()
+        for i, n in enumerate(part):
+            if not row[2 * i]:
+                told[n] = [(v["value"], v["n"]) for v in row[2 * i + 1]]
+    return told
 
 
 def unique_counts(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tableprofile.functions.columns import array_sql, batches, literal_sql, number_sql, numbered_frame
 from tableprofile.operators.ranges import numbered
-from tableprofile.operators.summaries import CHUNK, KEPT, Bracket, RankSummary, Weighted, bracket, merged
+from tableprofile.operators.summaries import CHUNK, EXACT, KEPT, Bracket, RankSummary, Weighted, bracket, merged
 
 QUARTILES = (0.25, 0.5, 0.75)
 FENCE_FACTOR = 1.5
@@ -100,7 +100,7 @@ class SearchState:
     def __init__(self, few: bool):
         self.counts = np.zeros(5, np.int64)
         self.few = few
-        self._sides = [RankSummary(None if few else KEPT, CHUNK) for _ in range(2)]
+        self._sides = [RankSummary(None if few else KEPT, CHUNK, EXACT) for _ in range(2)]
 
     def add(self, search: _Search, ordered: np.ndarray) -> None:
         counts, *sides = search.parts(ordered)
@@ -118,7 +118,7 @@ SearchResult = tuple[bool, np.ndarray, list[Weighted]]
 
 def merge_results(a: SearchResult, b: SearchResult) -> SearchResult:
     kept = None if a[0] else KEPT
-    return a[0], a[1] + b[1], [merged([x, y], kept) for x, y in zip(a[2], b[2])]
+    return a[0], a[1] + b[1], [merged([x, y], kept, EXACT) for x, y in zip(a[2], b[2])]
 
 
 def located(search: _Search, result: SearchResult, rank: int) -> Bracket:

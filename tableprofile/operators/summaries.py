@@ -15,6 +15,8 @@ import numpy as np
 #: Values a task sorts at once, and values a summary keeps of any number of rows.
 CHUNK = 1 << 16
 KEPT = 1 << 12
+#: Values up to which a summary keeps all of them.
+EXACT = 1 << 17
 #: Different values of a column that are told one by one.
 FEW = 16
 #: Below this share of the sum of squares a variance is rounding noise: the column is constant.
@@ -37,26 +39,26 @@ def pruned(values: np.ndarray, weights: np.ndarray, err: float, kept: int) -> We
     return values[at], np.full(kept, share), err + share / 2
 
 
-def merged(parts: Iterable[Weighted], kept: int | None) -> Weighted:
-    """One summary of all rows; errors add up."""
+def merged(parts: Iterable[Weighted], kept: int | None, exact: int = 0) -> Weighted:
+    """One summary of all rows; errors add up. Without an error, up to ``exact`` values stay as they are."""
     parts = list(parts)
     if not parts:
         return np.zeros(0), np.zeros(0), 0.0
     values, weights = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(values, kind="stable")
     out = values[order], weights[order], float(sum(p[2] for p in parts))
-    return out if kept is None else pruned(*out, kept)
+    return out if kept is None or out[2] == 0 and len(out[0]) <= exact else pruned(*out, kept)
 
 
 class RankSummary:
     """A summary of values that arrive in any order; ``kept=None`` keeps all of them.
 
-    Full chunks are pruned, and summaries of equally many chunks are merged in pairs, so that a value
+    Beyond ``exact`` values full chunks are pruned, and summaries of equally many chunks are merged in pairs, so that a value
     is pruned as often as the number of chunks can be halved.
     """
 
-    def __init__(self, kept: int | None = KEPT, chunk: int = CHUNK):
-        self.kept, self.chunk = kept, chunk
+    def __init__(self, kept: int | None = KEPT, chunk: int = CHUNK, exact: int = EXACT):
+        self.kept, self.chunk, self.exact = kept, chunk, exact
         self._held: list[np.ndarray] = []
         self._size = 0
         self._levels: list[Weighted | None] = []
@@ -65,7 +67,7 @@ class RankSummary:
         if len(values):
             self._held.append(values)
             self._size += len(values)
-            if self.kept is not None and self._size >= self.chunk:
+            if self.kept is not None and self._size >= (self.chunk if self._levels else max(self.chunk, self.exact + 1)):
                 self._carry()
 
     def _sorted(self) -> Weighted:
@@ -85,7 +87,7 @@ class RankSummary:
 
     def result(self) -> Weighted:
         parts = [p for p in self._levels if p is not None]
-        return merged(parts + ([self._sorted()] if self._held else []), self.kept)
+        return merged(parts + ([self._sorted()] if self._held else []), self.kept, self.exact)
 
 
 @dataclass

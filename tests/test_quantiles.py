@@ -49,6 +49,7 @@ def coarse(monkeypatch):
     """Summaries so small that every bracket is wide."""
     monkeypatch.setattr(Q, "KEPT", 16)
     monkeypatch.setattr(Q, "CHUNK", 64)
+    monkeypatch.setattr(Q, "EXACT", 0)
 
 
 @pytest.mark.parametrize("inner_limit", [20, 10_000])
@@ -82,14 +83,16 @@ def test_a_heavy_value_next_to_the_rank_is_settled(spark, coarse):
     assert np.allclose(Q.narrowed_quantiles(df, ["v"], probs, 5)["v"], np.quantile(values, probs))
 
 
-def test_scans_of_a_large_table(table, monkeypatch):
-    """One scan for brackets and one that reads them."""
+@pytest.mark.parametrize("exact,more", [(0, 1), (1 << 17, 0)])
+def test_scans(table, monkeypatch, exact, more):
+    """One scan for brackets and one that reads them, which a small table does not need."""
+    monkeypatch.setattr(Q, "EXACT", exact)
     df, data = table
     passes = []
     run = Q._pass
     monkeypatch.setattr(Q, "_pass", lambda *a: passes.append(1) or run(*a))
     found = Q.narrowed_quantiles(df, [n for n in data if n != "infinite"], (0.25, 0.5, 0.75))
-    assert np.isclose(found["normal"][1], np.quantile(data["normal"], 0.5)) and len(passes) == 1
+    assert np.isclose(found["normal"][1], np.quantile(data["normal"], 0.5)) and len(passes) == more
 
 
 def test_approx_mode(table):

@@ -16,7 +16,7 @@ def test_brackets_hold_the_value(parts, kept, chunk):
     """Whatever is pruned and merged, the value at every rank lies in its bracket."""
     states = []
     for part in parts:
-        summary = S.RankSummary(kept, chunk)
+        summary = S.RankSummary(kept, chunk, 0)
         for k in range(0, len(part), 7):
             summary.add(np.array(part[k : k + 7]))
         states.append(summary.result())
@@ -36,7 +36,7 @@ def test_brackets_hold_the_value(parts, kept, chunk):
 
 def test_error_stays_small():
     rng = np.random.default_rng(0)
-    summary = S.RankSummary(256, 1024)
+    summary = S.RankSummary(256, 1024, 0)
     data = rng.normal(size=200_000)
     for part in np.array_split(data, 300):
         summary.add(part)
