@@ -3,38 +3,81 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprofile.functions.columns import known, numeric_frame, quoted, ref, require_columns
-from tableprofile.operators.relations import pair_table
+from tableprofile.functions.columns import known, numeric, numeric_frame, ref, require_columns
+from tableprofile.operators.relations import column_tiles, pair_table, pair_tiles
 
 CORRELATED = 0.7
 
 
-def principal_components(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
-    """``component`` (from 1), ``variance``, ``share`` and ``loadings`` of the ``k`` first components.
+@dataclass
+class Components:
+    """Components of the columns ``names``: their means, and per component variance, share and loadings."""
+
+    names: list[str]
+    means: np.ndarray
+    variances: np.ndarray
+    shares: np.ndarray
+    loadings: np.ndarray
+
 
-    Over rows without a missing value, columns as they are. Loadings are in the order of ``names``;
-    the largest of a component is positive. Only the covariances of the columns reach the driver.
+def fit_components(df: DataFrame, names: Sequence[str], k: int) -> Components:
+    """The ``k`` first components over rows without a missing value, columns as they are.
+
+    Covariances come from one scan: tasks keep tiles of co-moments, which merge tile by tile. The
+    matrix of the columns reaches the driver, never rows. The largest loading of a component is positive.
     """
     names = require_columns(df, names, "number")
-    rows = numeric_frame(df, names).na.drop()
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
-    found = rows.selectExpr(*[f"covar_samp({quoted(a)}, {quoted(b)})" for a, b in pairs]).first()
-    matrix = np.zeros((len(names), len(names)))
-    for (a, b), value in zip(pairs, found):
-        matrix[names.index(a), names.index(b)] = matrix[names.index(b), names.index(a)] = value or 0.0
+    size, tiles = len(names), column_tiles(len(names))
+    matrix, means = np.zeros((size, size)), np.zeros(size)
+    for t, cells in pair_tiles(numeric_frame(df, names).na.drop(), names):
+        x, y = tiles[t]
+        with np.errstate(all="ignore"):
+            covariance = np.nan_to_num(cells.mxy / (cells.n - 1))
+        matrix[x, y], matrix[y, x] = covariance, covariance.T
+        means[x], means[y] = cells.mean_x[:, 0], cells.mean_y[0]
     variance, vectors = np.linalg.eigh(matrix)
     order = np.argsort(-variance, kind="stable")[:k]
     total = float(np.trace(matrix))
-    out = []
-    for i, j in enumerate(order):
-        vector = vectors[:, j] * np.sign(vectors[np.abs(vectors[:, j]).argmax(), j])
-        out.append((i + 1, float(variance[j]), float(variance[j]) / total if total else None, vector.tolist()))
-    return df.sparkSession.createDataFrame(out, "component int, variance double, share double, loadings array<double>")
+    loadings = vectors[:, order].T
+    loadings = loadings * np.sign(loadings[np.arange(len(loadings)), np.abs(loadings).argmax(axis=1)])[:, None]
+    shares = variance[order] / total if total else np.full(len(order), np.nan)
+    return Components(names, means, variance[order], shares, loadings)
+
+
+def principal_components(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
+    """``component`` (from 1), ``variance``, ``share`` and ``loadings``, in the order of ``names``; see ``fit_components``."""
+    found = fit_components(df, names, k)
+    rows = [
+        (i + 1, float(v), None if np.isnan(s) else float(s), loading.tolist())
+        for i, (v, s, loading) in enumerate(zip(found.variances, found.shares, found.loadings))
+    ]
+    return df.sparkSession.createDataFrame(rows, "component int, variance double, share double, loadings array<double>")
+
+
+def component_scores(df: DataFrame, components: Components, prefix: str = "component_") -> DataFrame:
+    """All columns and ``<prefix>1`` and on: the rows' places on the components, missing where a column is.
+
+    ``df`` may be another table than the components were fitted on. One matrix product per Arrow batch
+    of the fitted columns would move all others through Python, so each score is one fold over the
+    row's values in generated code, against an array of loadings.
+    """
+    require_columns(df, components.names, "number")
+    values = F.array(*[numeric(df, n) for n in components.names])
+    centre = F.lit([float(m) for m in components.means])
+    off = F.zip_with(values, centre, lambda v, m: v - m)
+    scores = [
+        F.aggregate(
+            F.zip_with(F.col("__off"), F.lit([float(x) for x in loading]), lambda v, w: v * w), F.lit(0.0), lambda a, x: a + x
+        ).alias(f"{prefix}{i + 1}")
+        for i, loading in enumerate(components.loadings)
+    ]
+    return df.withColumn("__off", off).select(*map(ref, df.columns), *scores)
 
 
 def feature_scores(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprofile.functions.columns import (
     array_sql,
+    batches,
     columns_of,
     family_of,
     known,
@@ -36,6 +40,8 @@ MATRIX_COLUMNS = 4
 BUNDLE_COLUMNS = 5
 DEFAULT_BINS = 30
 BIN_RANGE = (5, 100)
+# Columns of the missing map that share a scan.
+COLUMNS_PER_SCAN = 100
 # Empty bins that one task lists at once.
 BINS_PER_TASK = 65_536
 
@@ -43,6 +49,8 @@ KDE_POINTS = 200
 KDE_CUT = 3.0
 # Beyond this many bandwidths a Gaussian is below 1e-17 of its peak.
 KDE_REACH = 9.0
+# Values whose kernels a task adds at once.
+KDE_VALUES = 512
 
 
 def _binned(df: DataFrame, name: str, params: DataFrame) -> DataFrame:
@@ -136,13 +144,38 @@ def histogram_auto(df: DataFrame, name: str, mode: str = "exact") -> DataFrame:
     return _binned(df, name, _widened(bins))
 
 
+def _kernel_sums(grid: int):
+    """For a task: the sum of its values' kernels at every grid point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(grid)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.sort(batch.column("v").to_numpy())
+            start, step, h = (batch.column(c)[0].as_py() for c in ("start", "step", "h"))
+            for k in range(0, len(v), KDE_VALUES):
+                part = v[k : k + KDE_VALUES]
+                # Sorted values lie close together, so few points are within reach of any of them.
+                first = max(0, math.ceil((part[0] - start - KDE_REACH * h) / step))
+                last = min(grid - 1, math.floor((part[-1] - start + KDE_REACH * h) / step))
+                if first <= last:
+                    x = start + np.arange(first, last + 1) * step
+                    u = (x[:, None] - part[None, :]) / h
+                    total[first : last + 1] += np.exp(-0.5 * u * u).sum(axis=1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["i", "w"])
+
+    return run
+
+
 def kde(df: DataFrame, name: str, grid: int = KDE_POINTS, cut: float = KDE_CUT) -> DataFrame:
     """``(point, x, density, inside)``: Gaussian kernel density with bandwidth ``std n^(-1/5)``.
 
     The grid runs ``cut`` bandwidths past both ends of the data; ``inside`` marks points between
-    minimum and maximum. Each row adds to the grid points within nine bandwidths, where all of its
-    weight lies, and the sums are formed before the shuffle: a task sends at most ``grid`` rows.
-    Empty for columns without spread.
+    minimum and maximum. A task sums the kernels of its values at every grid point in numpy and sends
+    one row per point. Sorted values touch only the points within nine bandwidths, where all of their
+    weight lies. Empty for columns without spread.
     """
     require_columns(df, [name], "number")
     value = numeric(df, name)
@@ -156,19 +189,9 @@ def kde(df: DataFrame, name: str, grid: int = KDE_POINTS, cut: float = KDE_CUT)
         f"struct(lo, hi, n, h, lo - {cut}D * h AS start,"
         f" (hi - lo + 2D * {cut}D * h) / {grid - 1} AS step) AS p"
     )
-    # Density is undefined without spread.
+    # Density is undefined without spread. Each task adds its values to a grid of its own.
     rows = with_row(df.select(value.alias("v")), p, "p").where("v IS NOT NULL AND p.h > 0")
-    first = f"greatest(0, int(ceil((v - p.start - {KDE_REACH}D * p.h) / p.step)))"
-    last = f"least({grid - 1}, int(floor((v - p.start + {KDE_REACH}D * p.h) / p.step)))"
-    # Where the grid is coarser than the reach, a row may touch no point at all.
-    sums = (
-        rows.selectExpr("v", "p", f"{first} AS first", f"{last} AS last")
-        .where("first <= last")
-        .selectExpr("v", "p", "explode(sequence(first, last)) AS i")
-        .selectExpr("i", "(p.start + i * p.step - v) / p.h AS u")
-        .groupBy("i")
-        .agg(F.expr("sum(exp(-0.5D * u * u)) AS w"))
-    )
+    sums = rows.selectExpr("v", "p.start AS start", "p.step AS step", "p.h AS h").mapInArrow(_kernel_sums(grid), "i int, w double")
     points = p.where("p.h > 0").selectExpr(f"explode(sequence(0, {grid - 1})) AS i", "0D AS w")
     density = sums.unionByName(points).groupBy("i").agg(F.expr("sum(w) AS w"))
     return (
@@ -254,18 +277,13 @@ def missingness_map(df: DataFrame, order_key: str, buckets: int = 100) -> DataFr
     place = f"int(floor(try_divide((k - p.lo) * {buckets}, p.hi - p.lo))) + 1"
     # A table whose keys are all equal is one bucket.
     bucket = f"CASE WHEN k IS NULL THEN 0 ELSE least({buckets}, coalesce({place}, 1)) END"
-    flags = [f"DOUBLE({missing_sql(df, c)}) AS m{i}" for i, c in enumerate(df.columns)]
-    shares = [f"avg(m{i})" for i in range(len(df.columns))]
-    cells = array_sql(
-        f"struct({text(c)} AS column, s[{i}] AS missing_share)" for i, c in enumerate(df.columns)
-    )
-    return (
-        with_row(df.select(key.alias("k"), *map(F.expr, flags)), ends, "p")
-        .withColumn("bucket", F.expr(bucket))
-        .groupBy("bucket")
-        .agg(F.expr(array_sql(shares) + " AS s"))
-        .selectExpr("bucket", f"inline({cells})")
-    )
+    parts = []
+    for names in batches(df.columns, COLUMNS_PER_SCAN):
+        flags = [f"DOUBLE({missing_sql(df, c)}) AS m{i}" for i, c in enumerate(names)]
+        cells = array_sql(f"struct({text(c)} AS column, avg(m{i}) AS missing_share)" for i, c in enumerate(names))
+        keyed = with_row(df.select(key.alias("k"), *map(F.expr, flags)), ends, "p").withColumn("bucket", F.expr(bucket))
+        parts.append(keyed.groupBy("bucket").agg(F.expr(f"{cells} AS cells")).selectExpr("bucket", "inline(cells)"))
+    return union_rows(parts)
 
 
 def _axis(df: DataFrame, name: str) -> Column:

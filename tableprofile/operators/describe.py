@@ -187,15 +187,10 @@ def skewness(
     """``(position, column, skewness, direction)`` of the number columns."""
     names = _chosen(df, names)
     ddl = "position int, column string, skewness double"
-    if facts or not names:
-        rows = [(df.columns.index(n), n, facts.number[n].skewness) for n in names]
-        out = literal_rows(df.sparkSession, rows, ddl)
+    if facts or len(names) > COLUMNS_PER_SCAN or not names:
+        facts = facts or Facts(df.select(*map(ref, names)), ranks=False, paired=False)
+        out = literal_rows(df.sparkSession, [(df.columns.index(n), n, facts.number[n].skewness) for n in names], ddl)
     else:
-        parts = []
-        for part in batches(names, COLUMNS_PER_SCAN):
-            cells = array_sql(
-                f"named_struct({head_sql(df, n)}, 'skewness', {sample_skewness(number_sql(df, n))})" for n in part
-            )
-            parts.append(df.selectExpr(f"{cells} AS rows").selectExpr("inline(rows)"))
-        out = union_rows(parts)
+        cells = array_sql(f"named_struct({head_sql(df, n)}, 'skewness', {sample_skewness(number_sql(df, n))})" for n in names)
+        out = df.selectExpr(f"{cells} AS rows").selectExpr("inline(rows)")
     return out.selectExpr("*", f"{DIRECTION} AS direction")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -54,12 +55,39 @@ def pair_correlation(x: Column, y: Column) -> Column:
     return _bounded(F.try_divide(F.try_divide(F.covar_samp(x, y), sx), sy))
 
 
-def _tiles(k: int) -> list[tuple[slice, slice]]:
+def column_tiles(k: int) -> list[tuple[slice, slice]]:
     """Blocks of columns against blocks of columns, each two blocks once."""
     blocks = [slice(a, min(a + TILE, k)) for a in range(0, k, TILE)]
     return [(x, y) for i, x in enumerate(blocks) for y in blocks[i:]]
 
 
+def _tile_states(tiles: list[tuple[slice, slice]]):
+    """For a task: the co-moments of every tile of columns."""
+
+    def gather(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, PairMoments] = {}
+        for batch in given:
+            own = Shifted(column_values(batch))
+            for t, (x, y) in enumerate(tiles):
+                cells = PairMoments.of(own, own, x, y)
+                total[t] = total[t].merge(cells) if t in total else cells
+        for t, cells in total.items():
+            yield states({t: cells})
+
+    return gather
+
+
+def pair_tiles(df: DataFrame, names: Sequence[str]) -> list[tuple[int, PairMoments]]:
+    """The co-moments of every tile of ``column_tiles``: six numbers per pair of columns come to the driver."""
+
+    def finish(t: int, cells: PairMoments) -> pa.Table:
+        return pa.table({"key": pa.array([t], pa.int32()), "cells": pa.array([pickle.dumps(cells)], pa.binary())})
+
+    partial = numbered_frame(df, names).mapInArrow(_tile_states(column_tiles(len(names))), STATE)
+    found = tree_merged(partial, PairMoments.merge, finish, "key int, cells binary")
+    return [(r["key"], pickle.loads(r["cells"])) for r in found.toLocalIterator()]
+
+
 def _triangle(df: DataFrame, names: Sequence[str], facts: Facts | None = None) -> DataFrame:
     """``(pos_x, pos_y, col_x, col_y, r)`` for every pair with x not after y, in one Arrow scan.
     Positions are places in ``names``.
@@ -75,17 +103,7 @@ def _triangle(df: DataFrame, names: Sequence[str], facts: Facts | None = None) -
         r = facts.pairs.correlation()[np.ix_(at, at)]
         rows = [(i, j, names[i], names[j], _cell(r, i, j)) for i in range(k) for j in range(i, k)]
         return literal_rows(df.sparkSession, rows, MATRIX_DDL)
-    tiles = _tiles(k)
-
-    def gather(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, PairMoments] = {}
-        for batch in given:
-            own = Shifted(column_values(batch))
-            for t, (x, y) in enumerate(tiles):
-                cells = PairMoments.of(own, own, x, y)
-                total[t] = total[t].merge(cells) if t in total else cells
-        for t, cells in total.items():
-            yield states({t: cells})
+    tiles = column_tiles(k)
 
     def finish(t: int, cells: PairMoments) -> pa.Table:
         x, y = tiles[t]
@@ -103,7 +121,9 @@ def _triangle(df: DataFrame, names: Sequence[str], facts: Facts | None = None) -
             }
         )
 
-    return tree_merged(numbered_frame(df, names).mapInArrow(gather, STATE), PairMoments.merge, finish, MATRIX_DDL)
+    return tree_merged(
+        numbered_frame(df, names).mapInArrow(_tile_states(tiles), STATE), PairMoments.merge, finish, MATRIX_DDL
+    )
 
 
 def _cell(r: np.ndarray, i: int, j: int) -> float | None:
