@@ -4,6 +4,7 @@ from tableprofile.functions.columns import columns_of
 from tableprofile.operators.charts import (
     box_stats,
     bundle_index,
+    bundle_points,
     eda_bundle,
     histogram,
     histogram_auto,
@@ -56,7 +57,8 @@ from tableprofile.operators.selection import (
     sample_rows,
     select_columns,
 )
-from tableprofile.plans.analyze import analyze
+from tableprofile.operators.facts import Facts
+from tableprofile.plans.analyze import analyze, profile_rows
 from tableprofile.plans.prompts import (
     answer_questions,
     profile_context,

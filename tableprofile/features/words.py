@@ -30,18 +30,42 @@ def text_size(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _counted(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``<key>``, ``word`` and ``n`` of every row by itself, without a shuffle: runs of its sorted words."""
+    split = F.array_sort(F.filter(F.split(_plain(ref(name)), " "), lambda w: w != ""))
+    rows = df.select(ref(key).alias("__key"), split.alias("w")).where(F.size("w") > 0)
+    # Places where a run begins, and the end.
+    begins = F.expr("filter(sequence(0, size(w) - 1), i -> i = 0 OR w[i] <> w[i - 1])")
+    rows = rows.select("__key", "w", begins.alias("b"))
+    counts = F.expr("transform(b, (x, i) -> named_struct('word', w[x], 'n', bigint(coalesce(get(b, i + 1), size(w)) - x)))")
+    return rows.select(F.col("__key").alias(key), F.inline(counts))
+
+
+def _repeats(df: DataFrame, key: str) -> bool:
+    """Whether two rows have one key. Only keys are read and sent."""
+    return df.groupBy(ref(key)).count().where("count > 1").limit(1).count() > 0
+
+
 def bag_of_words(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``<key>``, ``word`` and ``n``: how often the row's normalised text has the word."""
+    """``<key>``, ``word`` and ``n``: how often the row's normalised text has the word.
+
+    A row's words are counted where the row lies. Only if keys repeat are the counts of equal keys,
+    missing ones among them, added up in a shuffle.
+    """
     require_columns(df, [key])
     require_columns(df, [name], "object")
-    words = df.select(ref(key).alias(key), F.explode(F.split(_plain(ref(name)), " ")).alias("word"))
-    return words.where("word <> ''").groupBy(ref(key), "word").agg(F.count("*").alias("n"))
+    counted = _counted(df, key, name)
+    if _repeats(df, key):
+        return counted.groupBy(ref(key), "word").agg(F.sum("n").alias("n"))
+    return counted
 
 
 def tf_idf(df: DataFrame, key: str, name: str) -> DataFrame:
     """``bag_of_words`` with ``weight``: n times ln((1 + rows) / (1 + rows with the word)) + 1.
 
-    Rows are those whose text is not missing.
+    Rows are those whose text is not missing, and rows of one key are one. The bag is sent once, to the
+    words' numbers of rows, which tasks count before they send them; a word of very many rows is a
+    skewed key of a plain join, which adaptive execution splits.
     """
     bag = bag_of_words(df, key, name)
     rows = df.select(F.count(ref(name)).alias("n")).scalar()

@@ -334,3 +334,29 @@ def bundle_index(spark: SparkSession, charts: dict[str, DataFrame]) -> DataFrame
         [(i, name, t.count()) for i, (name, t) in enumerate(charts.items(), 1)],
         "seq int, chart string, n_rows bigint",
     )
+
+
+# What stands for a row of each chart: a label and two numbers.
+_POINTS = {
+    "missing_values_heatmap": ("column", "bucket", "missing_share"),
+    "distribution": ("NULL", "lo", "n"),
+    "density": ("NULL", "x", "density"),
+    "correlation_heatmap": ("concat(col_x, '|', col_y)", "NULL", "r"),
+    "categorical": ("value", "rank", "n"),
+    "scatter_plot": ("NULL", "x", "y"),
+    "scatter_line": ("concat(col_x, '|', col_y)", "slope", "intercept"),
+}
+
+
+def bundle_points(charts: dict[str, DataFrame]) -> DataFrame:
+    """``(chart, label, a, b)``: what the charts of a bundle show, as one table.
+
+    Missing map: column, bucket, share; distribution: lower edge and count; density: place and density;
+    heatmap: both columns and r; bars: value, rank and count; points: x and y; line: slope and intercept.
+    """
+    parts = []
+    for name, rows in charts.items():
+        label, a, b = _POINTS[name if name in _POINTS else name.split("_")[0]]
+        cells = f"CAST({label} AS STRING) AS label", f"CAST({a} AS DOUBLE) AS a", f"CAST({b} AS DOUBLE) AS b"
+        parts.append(rows.selectExpr(f"{text(name)} AS chart", *cells))
+    return union_rows(parts)

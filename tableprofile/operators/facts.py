@@ -213,7 +213,9 @@ def _finishing(ranked: bool):
         if not isinstance(state, PairMoments):
             m, summary = state
             n = int(m.n[0])
-            facts = [float(x[0]) if n else None for x in (m.mean, m.m2, m.m3, m.low, m.high)]
+            # The plain sum is exact for whole numbers.
+            mean = m.total / n if n and m.low[0] < m.high[0] else m.mean
+            facts = [float(x[0]) if n else None for x in (mean, m.m2, m.m3, m.low, m.high)]
             few = None if m.few[0] is None else m.few[0].tolist()
             found = NumberFacts(m.rows, n, *facts, few, first_brackets(n, summary, QUARTILES) if ranked else {})
         return pa.table({"key": pa.array([key], pa.int32()), "found": pa.array([pickle.dumps(found)], pa.binary())})

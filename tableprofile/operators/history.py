@@ -12,10 +12,12 @@ BLOCK_TURNS = 1_024
 def chat_history(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """``(conv_id, turn, history)``: all earlier turns as ``role: text`` lines, empty at the first.
 
-    Turns are split into blocks so that no task ever holds a whole long conversation: a window
-    gives the lines of the same block, and the text of each earlier block is sent to the blocks
-    that need it. The second part is empty for conversations of one block. Turns count up from
-    about zero; their output grows with the square of a conversation's length by its nature.
+    Turns are split into blocks of ``block_turns`` turn numbers, so that no task holds a whole long
+    conversation: a window gives the lines of the same block, and each earlier block's text is sent to the
+    blocks that need it. All work on turns goes by (conversation, block); by conversation alone only
+    block numbers meet. The second part is empty for conversations of one block. Rows of one turn
+    number are ordered by their line. The output grows with the square of a conversation's length by
+    its nature.
     """
     line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
     turns = conversations.select(
@@ -28,22 +30,21 @@ def chat_history(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
     )
     within = turns.withColumn("near", F.collect_list("line").over(earlier)).drop("line")
 
-    # Blocks that exist, counted before the shuffle; only conversations of several go on.
+    # Which block needs which: numbers only, none for conversations of one block.
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     existing = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    several = existing.groupBy("conv_id").agg(F.max("block").alias("last_block"), F.count(F.lit(1)).alias("n"))
-    several = several.where("n > 1").select("conv_id", "last_block")
+    needed = existing.select("conv_id", F.col("block").alias("needed_by"), F.collect_list("block").over(before).alias("all"))
+    needed = needed.select("conv_id", "needed_by", F.explode("all").alias("block"))
     blocks = (
-        turns.join(several, "conv_id")
-        .where("block < last_block")
+        turns.join(needed.select("conv_id", "block").distinct(), ["conv_id", "block"], "left_semi")
         .groupBy("conv_id", "block")
         .agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"))
         .select("conv_id", "block", F.concat_ws("\n", F.transform("lines", lambda t: t["line"])).alias("text"))
     )
-    needed = existing.join(several, "conv_id").select(F.col("conv_id").alias("id"), F.col("block").alias("needed_by"))
     far = (
-        blocks.join(needed, (F.col("conv_id") == F.col("id")) & (F.col("block") < F.col("needed_by")))
+        needed.join(blocks, ["conv_id", "block"])
         .groupBy("conv_id", F.col("needed_by").alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("block").alias("of"), "text"))).alias("parts"))
         .select("conv_id", "block", F.transform("parts", lambda p: p["text"]).alias("far"))
     )
     return within.join(far, ["conv_id", "block"], "left").select(

@@ -14,7 +14,7 @@ from tableprofile.sources.scratch import written
 def numbered(rows: DataFrame, order: Sequence[str], weight: str | None = None, within: Sequence[str] = ()) -> DataFrame:
     """All columns with ``__before`` and ``__total``: the sum of ``weight`` (or number) of the rows before, and of all.
 
-    Rows are ordered by ``order``, which must tell them apart, and counted ``within`` equal values, where
+    Rows are ordered by ``order``, in any order where it ties, and counted ``within`` equal values, where
     nulls are equal. They are sorted into ranges once, so that the running sums of a range need its own rows
     and one number from each range before it; a group that fills many ranges is in many tasks. Ranges
     are bounded by a sample and written, so that a task that runs again finds the same ones.
@@ -37,7 +37,8 @@ def numbered(rows: DataFrame, order: Sequence[str], weight: str | None = None, w
     same = F.col("__range") == F.col("__at")
     for i, g in enumerate(group):
         same = same & g.eqNullSafe(F.col(f"__of{i}"))
-    running = ranged.withColumn("__sum", F.sum(n).over(here).cast("bigint") - n)
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = ranged.withColumn("__sum", F.sum(n).over(so_far).cast("bigint") - n)
     return running.join(starts, same).select(
         *map(ref, rows.columns), (F.col("__start") + F.col("__sum")).alias("__before"), "__total"
     )

@@ -128,7 +128,7 @@ class Moments:
 
     def __init__(self, k: int):
         self.rows = 0
-        self.n = np.zeros(k)
+        self.n, self.total = np.zeros(k), np.zeros(k)
         self.mean, self.m2, self.m3 = np.zeros(k), np.zeros(k), np.zeros(k)
         self.low, self.high = np.full(k, np.inf), np.full(k, -np.inf)
         self.few: list[np.ndarray | None] = [np.zeros(0)] * k
@@ -144,8 +144,8 @@ class Moments:
         out.low = np.where(out.n > 0, ordered[:, 0], np.inf)
         out.high = np.where(out.n > 0, ordered[np.arange(len(values)), np.maximum(out.n, 1).astype(int) - 1], -np.inf)
         with np.errstate(all="ignore"):
-            mean = np.where(known, values, 0.0).sum(axis=1) / out.n
-            mean = np.where(out.low == out.high, out.low, mean)
+            out.total = np.where(known, values, 0.0).sum(axis=1)
+            mean = np.where(out.low == out.high, out.low, out.total / out.n)
             off = np.where(known, values - mean[:, None], 0.0)
             rest = np.where(np.isfinite(mean), off.sum(axis=1) / out.n, 0.0)
             off = np.where(known, off - rest[:, None], 0.0)
@@ -163,14 +163,16 @@ class Moments:
         """The facts of one column."""
         out = Moments(1)
         out.rows, out.few = self.rows, [self.few[i]]
-        out.n, out.mean, out.m2, out.m3, out.low, out.high = (
-            x[i : i + 1] for x in (self.n, self.mean, self.m2, self.m3, self.low, self.high)
+        out.n, out.total, out.mean, out.m2, out.m3, out.low, out.high = (
+            x[i : i + 1] for x in (self.n, self.total, self.mean, self.m2, self.m3, self.low, self.high)
         )
         return out
 
     def merge(self, other: Moments) -> Moments:
         out = Moments(len(self.n))
         out.rows, out.n = self.rows + other.rows, self.n + other.n
+        with np.errstate(invalid="ignore"):
+            out.total = self.total + other.total
         out.low, out.high = np.minimum(self.low, other.low), np.maximum(self.high, other.high)
         a, b, n = self.n, other.n, np.maximum(out.n, 1)
         with np.errstate(all="ignore"):

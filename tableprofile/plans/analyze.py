@@ -13,7 +13,7 @@ from tableprofile.operators.missing import missing_values
 from tableprofile.operators.relations import top_correlations
 from tableprofile.operators.roles import column_types, split_roles
 from tableprofile.operators.selection import require_rows, sample_rows
-from tableprofile.functions.columns import columns_of, literal_rows
+from tableprofile.functions.columns import array_sql, columns_of, literal_rows, union_rows
 from tableprofile.plans.report import feature_ideas, insights, preprocessing_suggestions
 
 
@@ -54,3 +54,36 @@ def analyze(df: DataFrame, order_by: Sequence[str], mode: str = "exact") -> dict
         "preprocessing": preprocessing_suggestions(df, roles, mode, facts),
         "feature_ideas": feature_ideas(df, roles, facts),
     }
+
+
+# What of each part stands in the table of all parts: item, its number and text fields.
+_ROWS = {
+    "shape": ("NULL", ("n_rows", "n_cols"), ()),
+    "columns": ("column", (), ("dtype",)),
+    "missing_values": ("column", ("missing_count", "missing_pct"), ()),
+    "basic_stats": ("column", ("count", "mean", "std", "min", "p25", "p50", "p75", "max"), ()),
+    "quartiles": ("column", ("q1", "median", "q3", "iqr", "lower", "upper"), ()),
+    "skewness": ("column", ("skewness",), ("direction",)),
+    "top_values": ("concat(column, '#', rank)", ("n",), ("value",)),
+    "correlations": ("concat(col_x, '|', col_y)", ("r",), ()),
+    "categorical_columns": ("column", ("position",), ()),
+    "numerical_columns": ("column", ("position",), ()),
+    "unique_values": ("column", ("n_unique",), ()),
+    "insights": ("concat(section, '#', seq)", (), ("text",)),
+    "preprocessing": ("concat(section, '#', seq)", (), ("text",)),
+    "feature_ideas": ("concat(section, '#', seq)", (), ("text",)),
+}
+_TEXT_STATS = ("column", ("count", "unique", "freq"), ("top",))
+
+
+def profile_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    """``(part, item, field, number, text)``: all parts of ``analyze`` but the first rows, as one table."""
+    found = []
+    for part, rows in parts.items():
+        if part not in _ROWS:
+            continue
+        item, numbers, texts = _TEXT_STATS if part == "basic_stats" and "top" in rows.columns else _ROWS[part]
+        cells = [f"named_struct('field', '{n}', 'number', CAST({n} AS DOUBLE), 'text', CAST(NULL AS STRING))" for n in numbers]
+        cells += [f"named_struct('field', '{t}', 'number', CAST(NULL AS DOUBLE), 'text', CAST({t} AS STRING))" for t in texts]
+        found.append(rows.selectExpr(f"'{part}' AS part", f"CAST({item} AS STRING) AS item", f"inline({array_sql(cells)})"))
+    return union_rows(found)

@@ -135,12 +135,6 @@ def target_encode(spark, folder):
 
 
 def target_encode_unseen(spark, folder):
-    df = _events(spark, folder).select("event_id", "user_id", "value")
-    made = categories.apply_target_encoding(df.where("event_id % 2 = 0"), "user_id", df.where("user_id % 3 <> 0"), "value")
-    return _rounded(made, "value", "user_id_target")
-
-
-def target_encode_unseen_all(spark, folder):
     df = _events(spark, folder).select("event_id", "user_id", "value")
     made = categories.apply_target_encoding(df, "user_id", df.where("user_id % 3 <> 0"), "value")
     return _rounded(made, "value", "user_id_target")
@@ -163,15 +157,36 @@ def group_statistics(spark, folder):
     return _rounded(df, *[c for c in df.columns if c.startswith("value")])
 
 
+_MEASURES = ["l_quantity", "l_extendedprice"]
+
+
 def principal_components(spark, folder):
-    df = _table(spark, folder, "lineitem")
-    found = selection.principal_components(df, ["l_quantity", "l_extendedprice"], 2)
-    # In SQL: the sum and the product of the variances, which are trace and determinant.
-    return found.agg(
-        F.round(F.sum("variance"), 2).alias("trace"), F.round(F.sum("share"), 6).alias("shares"), F.count("*").alias("n")
+    found = selection.principal_components(_table(spark, folder, "lineitem"), _MEASURES, 2)
+    # The sign of a component is free but for its largest loading.
+    return found.select(
+        "component",
+        F.round("variance", 4).alias("variance"),
+        F.round("share", 8).alias("share"),
+        *[F.round(F.abs(F.col("loadings")[i]), 8).alias(f"loading_{n}") for i, n in enumerate(_MEASURES)],
     )
 
 
+def component_scores(spark, folder):
+    df = _table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", *_MEASURES)
+    made = selection.component_scores(df, selection.fit_components(df, _MEASURES, 2))
+    return made.select("l_orderkey", "l_linenumber", *[(F.round(f"component_{i}", 3) + 0.0).alias(f"component_{i}") for i in (1, 2)])
+
+
+def box_cox_values(spark, folder):
+    df = numbers.box_cox(_table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"])
+    return _rounded(df, "o_totalprice", "o_totalprice_boxcox")
+
+
+def drop_duplicate_documents(spark, folder):
+    df = _table(spark, folder, "documents").select("text", "lang", "source", "n_chars")
+    return rows.drop_duplicate_rows(df)
+
+
 def feature_scores(spark, folder):
     found = selection.feature_scores(_table(spark, folder, "lineitem"), ["l_linestatus", "l_linenumber"], "l_returnflag")
     return found.select("column", F.round("information", 8).alias("information"), F.round("chi_square", 4).alias("chi_square"))
@@ -222,7 +237,7 @@ QUERIES: dict[str, Query] = {
         date_parts, cyclical_parts, days_since, category_interaction, target_encode, target_encode_unseen, fold_rare, one_hot,
         label_encode, group_statistics, principal_components, feature_scores, drop_duplicate_rows, normalise_text, text_size,
         bag_of_words, tf_idf, drop_correlated, normalise_text_documents, bag_of_words_documents, tf_idf_documents,
-        target_encode_unseen_all,
+        box_cox_values, component_scores, drop_duplicate_documents,
     )
 }
 
@@ -241,6 +256,15 @@ _SPREADS = ", ".join(
     f"{{'e': {e}::DOUBLE, 'v': var_pop({'ln(x)' if e == 0 else f'(exp({e}::DOUBLE * ln(x)) - 1) / {e}::DOUBLE'})}}"
     for e in numbers.EXPONENTS
 )
+# Of two columns: the covariances a, b and d, and the components in closed form, their larger loading positive.
+_COMPONENTS = """
+    WITH m AS (SELECT var_samp(l_quantity) AS a, covar_samp(l_quantity, l_extendedprice) AS b, var_samp(l_extendedprice) AS d,
+                      avg(l_quantity) AS mq, avg(l_extendedprice) AS me FROM lineitem),
+         e AS (SELECT *, unnest([1, 2])::INT AS i, (a + d) / 2 AS h, sqrt((a - d) * (a - d) / 4 + b * b) AS g FROM m),
+         w AS (SELECT *, CASE i WHEN 1 THEN h + g ELSE h - g END AS v FROM e),
+         n AS (SELECT *, CASE i WHEN 1 THEN b ELSE h + g - a END AS rx, CASE i WHEN 1 THEN h + g - a ELSE -b END AS ry FROM w),
+         p AS (SELECT i, v, a, d, mq, me, rx / sqrt(rx * rx + ry * ry) * s AS x, ry / sqrt(rx * rx + ry * ry) * s AS y
+               FROM (SELECT *, sign(CASE WHEN abs(rx) > abs(ry) THEN rx ELSE ry END) AS s FROM n))"""
 _HOT = ", ".join(
     f"(event_type IS NOT DISTINCT FROM '{v}')::INT AS event_type_{v}" for v in ("click", "error", "purchase", "signup")
 )
@@ -321,7 +345,7 @@ ORACLE: dict[str, str] = {
              m AS (SELECT user_id, avg(value) AS m FROM f GROUP BY user_id)
         SELECT event_id, t.user_id, round(t.value, 6) AS value,
                round(coalesce(m.m, (SELECT avg(value) FROM f)), 6) AS user_id_target
-        FROM {_EVENTS} t LEFT JOIN m ON t.user_id = m.user_id WHERE event_id % 2 = 0""",
+        FROM {_EVENTS} t LEFT JOIN m ON t.user_id = m.user_id""",
     "feature_fold_rare": """
         SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name) >= 0.016 * count(*) OVER () THEN p_name ELSE 'Other' END
                AS p_name FROM part""",
@@ -335,8 +359,22 @@ ORACLE: dict[str, str] = {
                round(min(value) OVER w, 6) AS value_min_by_event_type, round(max(value) OVER w, 6) AS value_max_by_event_type,
                round(value - avg(value) OVER w, 6) AS value_minus_mean_by_event_type
         FROM {_EVENTS} WINDOW w AS (PARTITION BY event_type)""",
-    "feature_principal_components": """
-        SELECT round(var_samp(l_quantity) + var_samp(l_extendedprice), 2) AS trace, 1.0::DOUBLE AS shares, 2::BIGINT AS n FROM lineitem""",
+    "feature_principal_components": f"""
+        {_COMPONENTS} SELECT i AS component, round(v, 4) AS variance, round(v / (a + d), 8) AS share,
+               round(abs(x), 8) AS loading_l_quantity, round(abs(y), 8) AS loading_l_extendedprice FROM p""",
+    "feature_component_scores": f"""
+        {_COMPONENTS} SELECT l_orderkey, l_linenumber,
+               round((l_quantity - mq) * p1.x + (l_extendedprice - me) * p1.y, 3) + 0.0 AS component_1,
+               round((l_quantity - mq) * p2.x + (l_extendedprice - me) * p2.y, 3) + 0.0 AS component_2
+        FROM lineitem, (SELECT * FROM p WHERE i = 1) p1, (SELECT x, y FROM p WHERE i = 2) p2""",
+    "feature_box_cox_values": f"""
+        WITH t AS (SELECT o_totalprice AS x FROM orders WHERE o_totalprice > 0),
+             f AS (SELECT count(*) AS n, sum(ln(x)) AS s FROM t), v AS (SELECT unnest([{_SPREADS}]) AS p FROM t),
+             c AS (SELECT p.e AS e FROM f, v ORDER BY -0.5 * n * ln(p.v) + (p.e - 1) * s DESC LIMIT 1)
+        SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice, round(CASE WHEN o_totalprice > 0
+               THEN CASE WHEN e = 0 THEN ln(o_totalprice) ELSE (pow(o_totalprice, e) - 1) / e END END, 6) AS o_totalprice_boxcox
+        FROM orders, c""",
+    "feature_drop_duplicate_documents": "SELECT DISTINCT text, lang, source, n_chars FROM documents",
     "feature_feature_scores": """
         WITH l AS (SELECT 'l_linestatus' AS c, l_linestatus AS v, l_returnflag AS t FROM lineitem
                    UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, l_returnflag FROM lineitem),
@@ -365,5 +403,3 @@ ORACLE |= {
     f"feature_{name}_documents": ORACLE[f"feature_{name}"].replace("item_id", "doc_id").replace("benchmark", "documents")
     for name in ("normalise_text", "bag_of_words", "tf_idf")
 }
-# And with every row encoded.
-ORACLE["feature_target_encode_unseen_all"] = ORACLE["feature_target_encode_unseen"].replace(" WHERE event_id % 2 = 0", "")

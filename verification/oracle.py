@@ -479,14 +479,18 @@ def feature_lines(
 D_OBJECTS = ("text", "lang", "source")
 
 
-def suggestions() -> str:
-    """Advice for the documents with gaps: two numerical and four categorical columns."""
-    source, columns, numerical = D_GAPS, GAP_DOCUMENTS, ["doc_id", "n_chars"]
+def suggestions(
+    source: str = D_GAPS,
+    columns: Sequence[str] = GAP_DOCUMENTS,
+    numerical: Sequence[str] = ("doc_id", "n_chars"),
+    categorical: Sequence[str] = (*D_OBJECTS, "is_long"),
+) -> str:
+    """Advice for a table whose roles are known."""
     always = "true"
     parts = [
         numbered(
             "numerical",
-            [(always, q(M.SUGGEST_NUMERICAL["found"].format(n=2)))]
+            [(always, q(M.SUGGEST_NUMERICAL["found"].format(n=len(numerical))))]
             + [(always, q(t)) for t in M.SUGGEST_NUMERICAL["steps"]],
         )
     ]
@@ -509,7 +513,7 @@ def suggestions() -> str:
         )
     )
     n, high = high_lines(
-        unique(source, columns, [*D_OBJECTS, "is_long"]),
+        unique(source, columns, categorical),
         M.SUGGEST_CATEGORICAL["high_column"],
         5,
         "n_unique DESC, position",
@@ -518,7 +522,7 @@ def suggestions() -> str:
         numbered(
             "categorical",
             [
-                (always, q(M.SUGGEST_CATEGORICAL["found"].format(n=4))),
+                (always, q(M.SUGGEST_CATEGORICAL["found"].format(n=len(categorical)))),
                 (f"{n} > 0", q(M.SUGGEST_CATEGORICAL["high"])),
                 *high,
                 *[(f"{n} > 0", q(t)) for t in M.SUGGEST_CATEGORICAL["high_steps"]],
@@ -576,7 +580,7 @@ def sample_text(source: str, columns: Sequence[str], key: str) -> str:
     return f"({q(' | '.join(columns))} || chr(10) || {joined(rows, 'line', 'k')})"
 
 
-PROFILE_COLUMNS = [c for c in ORDERS if c != "o_orderdate"]
+O_DAYS = "(SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders)"
 _TYPES = {
     "o_orderkey": "int64",
     "o_custkey": "int64",
@@ -588,22 +592,23 @@ _TYPES = {
 }
 
 
-def columns_text(columns: Sequence[str]) -> str:
-    return q("\n".join(M.CONTEXT["column"].format(column=c, dtype=_TYPES[c]) for c in columns))
+def columns_text(columns: Sequence[str], types: dict[str, str] = _TYPES) -> str:
+    return q("\n".join(M.CONTEXT["column"].format(column=c, dtype=types[c]) for c in columns))
 
 
 def shape_text(source: str, columns: Sequence[str]) -> str:
     return fill(M.CONTEXT["shape"], rows=f"(SELECT count(*) FROM {source})", columns=str(len(columns)))
 
 
-def context(columns: Sequence[str]) -> str:
+def context(source: str, types: dict[str, str] = _TYPES) -> str:
     """The short profile of orders, which have no gaps and no strong pair."""
+    columns = ORDERS
     return (
-        f"SELECT {shape_text('orders', columns)} AS shape, {columns_text(columns)} AS columns_info,"
+        f"SELECT {shape_text('orders', columns)} AS shape, {columns_text(columns, types)} AS columns_info,"
         f" {q(M.CONTEXT['no_missing'])} AS missing_info,"
         f" {stats_text('orders', columns, ORDER_NUMBERS)} AS basic_stats,"
         f" {q(M.CONTEXT['no_pairs'])} AS correlations,"
-        f" {sample_text('orders', PROFILE_COLUMNS, 'o_orderkey')} AS sample_data"
+        f" {sample_text(source, columns, 'o_orderkey')} AS sample_data"
     )
 
 
@@ -649,7 +654,7 @@ def question_prompts() -> str:
     return (
         f"SELECT conv_id, turn, CASE WHEN history = '' THEN 'qa' ELSE 'memory' END AS task,"
         f" CASE WHEN history = '' THEN {prompt('qa', asked)} ELSE {prompt('memory', past, asked)} END AS prompt"
-        f" FROM {QUESTIONS} JOIN ({HISTORY}) USING (conv_id, turn), ({context(ORDERS)})"
+        f" FROM {QUESTIONS} JOIN ({HISTORY}) USING (conv_id, turn), ({context('orders')})"
     )
 
 
@@ -709,6 +714,105 @@ def bundle() -> str:
     )
 
 
+def bundle_points() -> str:
+    """What the charts of the events show; both categories and all number columns are in the standard set."""
+    parts = [
+        f"SELECT 'missing_values_heatmap' AS chart, c AS label, CAST(b AS DOUBLE) AS a, 0.0 AS b FROM"
+        " (SELECT DISTINCT least(100, CAST(floor((epoch_us(ts) - lo) * 100.0 / (hi - lo)) AS INTEGER) + 1) AS b FROM events,"
+        " (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)), (SELECT unnest(["
+        + ", ".join(map(q, EVENTS))
+        + "]) AS c)"
+    ]
+    for c in EVENT_NUMBERS:
+        parts.append(f"SELECT {q('distribution_' + c)}, NULL, lo, CAST(n AS DOUBLE) FROM ({binned('events', c, AUTO_BINS)})")
+        density = (
+            f"WITH p AS (SELECT min({c}) AS lo, max({c}) AS hi, count({c}) AS n,"
+            f" stddev_samp({c}) * pow(count({c}), -0.2) AS h FROM events),"
+            " x AS (SELECT i, n, h, lo + i * ((hi - lo) / 199) AS x FROM p, (SELECT unnest(range(200)) AS i))"
+            f" SELECT {q('density_' + c)}, NULL, any_value(x), round(sum(exp(-0.5 * pow((x - {c}) / h, 2)))"
+            " / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) + 0.0 FROM x, events GROUP BY i"
+        )
+        parts.append(density)
+    parts.append(
+        f"SELECT 'correlation_heatmap', cy || '|' || cx, NULL, round(c, 6) + 0.0 FROM ({clean_pairs('events', EVENT_NUMBERS)})"
+    )
+    for c in ("event_type", "props"):
+        parts.append(f"SELECT {q('categorical_' + c)}, value, CAST(rank AS DOUBLE), CAST(n AS DOUBLE) FROM ({categories('events', c)})")
+    best = ranked_pairs("events", EVENT_NUMBERS, "c IS NOT NULL", "round(abs(c), 12) DESC", 1, "back")
+    for x, y in combinations(EVENT_NUMBERS, 2):
+        chosen = f"(SELECT col_x = {q(y)} AND col_y = {q(x)} FROM ({best}))"
+        parts.append(f"SELECT 'scatter_plot', NULL, CAST({y} AS DOUBLE), CAST({x} AS DOUBLE) FROM events WHERE {chosen}")
+        parts.append(
+            f"SELECT 'scatter_line', {q(y + '|' + x)}, round(s, 6) + 0.0, round(i, 6) + 0.0 FROM"
+            f" (SELECT regr_slope({x}, {y}) AS s, regr_intercept({x}, {y}) AS i FROM events) WHERE {chosen}"
+        )
+    return f"SELECT chart, label, round(a, 4) + 0.0 AS a, round(b, 6) + 0.0 AS b FROM ({union(parts)})"
+
+
+def analysis() -> str:
+    """All parts of the profile of the events with gaps, in long form."""
+
+    def numbers(part: str, item: str, fields: Sequence[str], rows: str) -> list[str]:
+        return [
+            f"SELECT {q(part)} AS part, CAST({item} AS VARCHAR) AS item, {q(f)} AS field,"
+            f" round(CAST({f} AS DOUBLE), 4) + 0.0 AS number, CAST(NULL AS VARCHAR) AS text FROM ({rows})"
+            for f in fields
+        ]
+
+    def texts(part: str, item: str, field: str, rows: str) -> str:
+        return (
+            f"SELECT {q(part)}, CAST({item} AS VARCHAR), {q(field)}, CAST(NULL AS DOUBLE), CAST({field} AS VARCHAR) FROM ({rows})"
+        )
+
+    s, categories_, numerical, kinds = E_GAPS, ["event_type", "props"], EVENT_NUMBERS, "ndnono"
+    types = dict(zip(EVENTS, ("int64", "datetime64[ns]", "int64", "object", "float64", "object")))
+    dtypes = union(f"SELECT {q(c)} AS \"column\", {q(t)} AS dtype" for c, t in types.items())
+    top = top_values(s, EVENTS, categories_)
+    pairs_ = ranked_pairs(s, numerical, "c IS NOT NULL", "round(abs(c), 12) DESC", 10, "there")
+    found = [
+        *numbers("shape", "NULL", ["n_rows", "n_cols"], f"SELECT count(*) AS n_rows, {len(EVENTS)} AS n_cols FROM {s}"),
+        texts("columns", '"column"', "dtype", dtypes),
+        *numbers("missing_values", '"column"', ["missing_count", "missing_pct"], missing(s, EVENTS)),
+        *numbers(
+            "basic_stats", '"column"', ["count", "mean", "std", "min", "p25", "p50", "p75", "max"], describe(s, EVENTS, numerical)
+        ),
+        *numbers("quartiles", '"column"', ["q1", "median", "q3", "iqr", "lower", "upper"], quartiles(s, EVENTS, numerical)),
+        *numbers("skewness", '"column"', ["skewness"], skewness(s, EVENTS, numerical)),
+        texts("skewness", '"column"', "direction", skewness(s, EVENTS, numerical)),
+        *numbers("top_values", "\"column\" || '#' || rank", ["n"], top),
+        texts("top_values", "\"column\" || '#' || rank", "value", top),
+        *numbers("correlations", "col_x || '|' || col_y", ["r"], pairs_),
+        *[
+            x
+            for role in ("categorical", "numerical")
+            for x in numbers(f"{role}_columns", '"column"', ["position"], with_role(s, EVENTS, kinds, role))
+        ],
+        *numbers("unique_values", '"column"', ["n_unique"], unique(s, EVENTS, EVENTS)),
+    ]
+    insights_ = union(
+        [
+            numbered("Missing Values Analysis", missing_lines(s, EVENTS)),
+            numbered("Distribution Insights", distribution_lines(s, numerical)),
+            numbered("Correlation Analysis", correlation_lines(s, numerical)),
+            numbered("Feature Engineering Recommendations", feature_lines(s, EVENTS, categories_, 3)),
+        ]
+    )
+    advice = suggestions(s, EVENTS, numerical, categories_)
+    thoughts = ideas(
+        [
+            ("true", M.IDEAS_NUMERICAL, NO_TIME),
+            ("true", M.IDEAS_CATEGORICAL, NO_TIME),
+            ("true", M.IDEAS_MIXED, NO_TIME),
+            *[
+                (f"{names_where({c: text_flag(s, c) for c in categories_})} IS NOT NULL", M.IDEAS_TEXT, names_where({c: text_flag(s, c) for c in categories_}))
+            ],
+        ]
+    )
+    for part, rows in (("insights", insights_), ("preprocessing", advice), ("feature_ideas", thoughts)):
+        found.append(texts(part, "section || '#' || seq", "text", rows))
+    return f"SELECT part, item, field, number, text FROM ({union(found)})"
+
+
 STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text"
 
 PART_OBJECTS = ("p_name", "p_brand", "p_type")
@@ -735,7 +839,7 @@ ORACLE: dict[str, str] = {
         " WHERE n_chars < lower OR n_chars > upper"
     ),
     "sample_rows": (
-        f"SELECT {', '.join(LINEITEM[:10])} FROM lineitem"
+        f"SELECT {', '.join(LINEITEM[:10])}, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate FROM lineitem"
         " ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 5"
     ),
     "shape": "SELECT count(*) AS n_rows, CAST(11 AS INTEGER) AS n_cols FROM lineitem",
@@ -858,6 +962,12 @@ ORACLE: dict[str, str] = {
     ),
     "missing_bars": f"SELECT {MISSING_OUT} FROM ({missing(O_GAPS, GAP_ORDERS)}) WHERE missing_count > 0",
     "eda_bundle": bundle(),
+    "eda_bundle_points": bundle_points(),
+    "analyze": analysis(),
+    "describe_approx": union(f"SELECT {q(c)} AS \"column\", true AS near" for c in LINE_NUMBERS),
+    "unique_counts_approx": union(
+        f"SELECT {q(c)} AS \"column\", count(DISTINCT {c}) AS n_unique, true AS near FROM documents" for c in DOCUMENTS
+    ),
     "missing_insights": numbered("Missing Values Analysis", missing_lines(E_GAPS, EVENTS)),
     "missing_insights_high": numbered("Missing Values Analysis", missing_lines(O_GAPS, GAP_ORDERS)),
     "missing_insights_none": numbered("Missing Values Analysis", missing_lines("lineitem", LINEITEM)),
@@ -912,10 +1022,10 @@ ORACLE: dict[str, str] = {
     ),
     "chat_history": HISTORY,
     "chat_history_in_blocks": HISTORY,
-    "profile_context": context(PROFILE_COLUMNS),
+    "profile_context": context(O_DAYS, _TYPES | {"o_orderdate": "object"}),
     "profile_context_gaps": gap_context(),
     "task_prompts": union(
-        f"SELECT {q(t)} AS task, {prompt(t)} AS prompt FROM ({context(PROFILE_COLUMNS)})"
+        f"SELECT {q(t)} AS task, {prompt(t)} AS prompt FROM ({context(O_DAYS, _TYPES | {'o_orderdate': 'object'})})"
         for t in ("eda", "feature", "quality")
     ),
     "question_prompts": question_prompts(),

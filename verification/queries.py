@@ -128,6 +128,11 @@ def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(tp.read_csv(spark, path))
 
 
+def with_day_text(df: DataFrame, name: str) -> DataFrame:
+    """The table with a time as text, which reads the same in any session."""
+    return df.withColumn(name, F.date_format(name, "yyyy-MM-dd"))
+
+
 def first_three_boxes(df: DataFrame) -> DataFrame:
     names = tp.columns_of(df, "number")[:3]
     out = tp.box_stats(df, names[0])
@@ -140,6 +145,33 @@ def eda_bundle_index(spark: SparkSession, folder: str) -> DataFrame:
     return tp.bundle_index(spark, tp.eda_bundle(table(spark, folder, "events"), "ts"))
 
 
+def eda_bundle_points(spark: SparkSession, folder: str) -> DataFrame:
+    points = tp.bundle_points(tp.eda_bundle(table(spark, folder, "events"), "ts"))
+    return rounded(points.select("chart", "label", F.round("a", 4).alias("a"), "b"), 6)
+
+
+def analyze(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tp.analyze(events_with_gaps(spark, folder), ["event_id"])
+    return rounded(tp.profile_rows(parts))
+
+
+def describe_approx(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether every sketched figure lies near the exact one."""
+    df = table(spark, folder, "lineitem")
+    exact = tp.describe(df).select("column", "p25", "p50", "p75", (F.col("max") - F.col("min")).alias("span"))
+    approx = tp.describe(df, mode="approx").select("column", *[F.col(p).alias(f"a{p}") for p in ("p25", "p50", "p75")])
+    near = F.greatest(*[F.abs(F.col(p) - F.col(f"a{p}")) for p in ("p25", "p50", "p75")]) <= 0.01 * F.col("span") + 0.5
+    return exact.join(approx, "column").select("column", near.alias("near"))
+
+
+def unique_counts_approx(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct counts by sketch, against the exact ones."""
+    df = table(spark, folder, "documents")
+    approx = tp.unique_counts(df, mode="approx").select("column", F.col("n_unique").alias("estimate"))
+    exact = tp.unique_counts(df).join(approx, "column")
+    return exact.select("column", "n_unique", (F.abs(F.col("estimate") - F.col("n_unique")) <= 0.15 * F.col("n_unique")).alias("near"))
+
+
 def asked(spark: SparkSession, folder: str) -> DataFrame:
     history = tp.chat_history(table(spark, folder, "conversations"))
     return questions(spark, folder).join(history, ["conv_id", "turn"])
@@ -184,7 +216,7 @@ QUERIES: dict[str, Query] = {
     ),
     "outlier_rows": on("documents", lambda d: tp.outlier_rows(d, "n_chars")),
     "sample_rows": on(
-        "lineitem", lambda d: tp.sample_rows(d, LINE_KEY).drop("l_shipdate"), 2
+        "lineitem", lambda d: with_day_text(tp.sample_rows(d, LINE_KEY), "l_shipdate"), 2
     ),
     "shape": on("lineitem", tp.shape),
     "column_types": on("orders", column_types_with_gaps),
@@ -265,6 +297,10 @@ QUERIES: dict[str, Query] = {
     ),
     "missing_bars": over(orders_with_gaps, tp.missing_bars),
     "eda_bundle": eda_bundle_index,
+    "eda_bundle_points": eda_bundle_points,
+    "analyze": analyze,
+    "describe_approx": describe_approx,
+    "unique_counts_approx": unique_counts_approx,
     # reports
     "missing_insights": over(events_with_gaps, tp.missing_insights),
     "missing_insights_high": over(orders_with_gaps, tp.missing_insights),
@@ -281,12 +317,12 @@ QUERIES: dict[str, Query] = {
     # conversations and prompts
     "chat_history": on("conversations", tp.chat_history),
     "chat_history_in_blocks": on("conversations", lambda df: tp.chat_history(df, 2)),
-    "profile_context": on("orders", lambda d: tp.profile_context(d.drop("o_orderdate"), ["o_orderkey"])),
+    "profile_context": on("orders", lambda d: tp.profile_context(with_day_text(d, "o_orderdate"), ["o_orderkey"])),
     "profile_context_gaps": over(
         orders_with_gaps, lambda d: tp.profile_context(d, ["o_orderkey"], "profile")
     ),
     "task_prompts": on(
-        "orders", lambda d: tp.task_prompts(tp.profile_context(d.drop("o_orderdate"), ["o_orderkey"]))
+        "orders", lambda d: tp.task_prompts(tp.profile_context(with_day_text(d, "o_orderdate"), ["o_orderkey"]))
     ),
     "question_prompts": question_prompts,
     "answer_questions": answers,
