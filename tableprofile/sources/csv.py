@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableprofile.functions.columns import quoted, text, union_rows
+from tableprofile.sources.records import records
 
 # Texts that stand for a missing value.
 NA_TOKENS = (
@@ -44,29 +46,34 @@ _SURPLUS = "\x00surplus"
 _OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": 100_000}
 
 
-def _files(spark: SparkSession, path: str | Sequence[str]) -> tuple[bool, dict[str, list[str]]]:
-    """Whether a quoted field contains a line break (then some line has an odd number of quotes),
-    and the files by their first line, all from one pass."""
+def _headers(spark: SparkSession, path: str | Sequence[str]) -> tuple[bool, list[str]]:
+    """Whether a line has an odd number of quotes, as where a quoted field contains a line break, and the
+    different first lines of the files, all from one pass."""
     lines = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
     )
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    found = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"), F.max(quotes % 2).alias("odd"))
-    headers: dict[str, list[str]] = {}
-    odd = False
-    for row in found.orderBy("file").collect():
-        headers.setdefault(row["header"].rstrip("\r"), []).append(row["file"])
-        odd = odd or bool(row["odd"])
-    return odd, headers
+    by_file = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"), F.max(quotes % 2).alias("odd"))
+    found = by_file.groupBy(F.rtrim("header", F.lit("\r")).alias("header")).agg(F.max("odd").alias("odd"), F.min("file").alias("file"))
+    rows = found.orderBy("file").collect()  # a row per different header
+    return any(r["odd"] for r in rows), [r["header"] for r in rows]
 
 
-def _header(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> list[str]:
+def _files_of(spark: SparkSession, path: str | Sequence[str], headers: Sequence[str]) -> dict[str, list[str]]:
+    """The files by their first line, where these differ: a name per file comes to the driver."""
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    first = lines.groupBy("file").agg(F.rtrim(F.min_by("value", "place"), F.lit("\r")).alias("header"))
+    files: dict[str, list[str]] = {h: [] for h in headers}
+    for row in first.orderBy("file").toLocalIterator():
+        files[row["header"]].append(row["file"])
+    return files
+
+
+def _names(row: Sequence[str | None]) -> list[str]:
     """Names of the columns; a repeated one, also in another case, gets a number."""
-    row = spark.read.csv(path, header=False, multiLine=multi_line, **_OPTIONS).first()
-    if row is None:
-        raise ValueError("no columns to read from the file")
     names: list[str] = []
     taken: set[str] = set()
     for i, name in enumerate(row):
@@ -80,10 +87,26 @@ def _header(spark: SparkSession, path: str | Sequence[str], multi_line: bool) ->
     return names
 
 
-def _raw(spark: SparkSession, path: str | Sequence[str], names: Sequence[str], multi_line: bool) -> DataFrame:
-    """All fields as text, and in ``_SURPLUS`` the first one that has no name."""
+def _raw(spark: SparkSession, path: str | Sequence[str], broken: bool) -> tuple[list[str], DataFrame]:
+    """Names of the columns of files that begin alike, and all fields as text, with the first one that has
+    no name in ``_SURPLUS``; ``broken`` where quoted fields contain line breaks."""
+    if broken:
+        found = records(spark, path)
+        row = [name or None for name in next(csv.reader([found.where("first").first()["value"]]))]
+    else:
+        row = spark.read.csv(path, header=False, **_OPTIONS).first()
+    if row is None:
+        raise ValueError("no columns to read from the file")
+    names = _names(row)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _SURPLUS)])
-    return spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, **_OPTIONS)
+    if not broken:
+        return names, spark.read.csv(path, schema=schema, header=True, **_OPTIONS)
+    options = {k: str(v) for k, v in _OPTIONS.items()}
+    return names, found.where("NOT first").select(F.from_csv("value", _ddl(schema), options).alias("r")).select("r.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"{quoted(f.name)} STRING" for f in schema.fields)
 
 
 def _typed(name: str, kind: str) -> str:
@@ -106,19 +129,18 @@ def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     Files of one folder may have their columns in different orders; other columns are an error, and
     so are rows with more fields than the header. Names that differ only by case get a number.
 
-    Types come from one scan that collects six flags per column. Files are split among tasks unless
-    quoted line breaks forbid it. A line has 100,000 fields at most.
+    Types come from one scan that collects six flags per column. Files are split among tasks, also where
+    quoted fields contain line breaks (see ``records``). A line has 100,000 fields at most.
     """
-    multi_line, headers = _files(spark, path)
+    broken, headers = _headers(spark, path)
     if len(headers) <= 1:
-        names = _header(spark, path, multi_line)
-        raw = _raw(spark, path, names, multi_line)
+        names, raw = _raw(spark, path, broken)
     else:
-        groups = [(files, _header(spark, files, multi_line)) for files in headers.values()]
-        names = groups[0][1]
-        if any(set(other) != set(names) for _, other in groups):
-            raise ValueError(f"files with different columns: {[other for _, other in groups]}")
-        raw = union_rows([_raw(spark, files, own, multi_line) for files, own in groups])
+        groups = [_raw(spark, files, broken) for files in _files_of(spark, path, headers).values()]
+        names = groups[0][0]
+        if any(set(other) != set(names) for other, _ in groups):
+            raise ValueError(f"files with different columns: {[other for other, _ in groups]}")
+        raw = union_rows([part for _, part in groups])
     tokens = ", ".join(map(text, NA_TOKENS))
     columns = [quoted(n) for n in names]
     raw = raw.selectExpr(

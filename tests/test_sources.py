@@ -81,8 +81,8 @@ def test_split_unless_a_field_spans_lines(spark, tmp_path):
     plain, broken = tmp_path / "p.csv", tmp_path / "b.csv"
     plain.write_text('a\n"x ""y"""\n')
     broken.write_text('a\n"x\ny"\n')
-    assert not C._files(spark, str(plain))[0]
-    assert C._files(spark, str(broken))
+    assert not C._headers(spark, str(plain))[0]
+    assert C._headers(spark, str(broken))
 
 
 def test_folder_of_files(spark, tmp_path):
