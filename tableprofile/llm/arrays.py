@@ -9,13 +9,12 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once, if one document is not longer; bounds the memory of a task.
 SLICE = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: The first k bytes of eight, for k from 0.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = []
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,16 +47,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE + 1)
-        _powers[:] = [
-            np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, np.uint64(b), np.uint64)])
-            for b in (_BASE, _INVERSE)
-        ]
-    return _powers[0][:n], _powers[1][:n]
-
-
 class Words:
     """Words of texts ``i`` to ``j``: byte bounds ``start`` and ``end``, ``doc`` (from 0), 64-bit ``hash``.
 
@@ -82,11 +71,23 @@ class Words:
         self.hash = self._hashes(_LOWER[part] if lower else part) if hashed else None
 
     def _hashes(self, part: np.ndarray) -> np.ndarray:
-        up, down = _power_table(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        own = (total[self.end] - total[self.start]) * down[self.start]
-        return mixed(own + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """Every eight bytes of a word are mixed with their place, and the results added and mixed again.
+
+        The mixing is not linear, so that words built to collide under a polynomial do not.
+        """
+        size = self.end - self.start
+        blocks = (size + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        at = np.repeat(self.start, blocks) + 8 * place
+        left = np.minimum(np.repeat(size, blocks) - 8 * place, 8)
+        padded = np.concatenate([part, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded, (len(part) + 1, 8), (1, 1))[at]
+        value = np.ascontiguousarray(eight).view("<u8")[:, 0] & _FIRST[left]
+        value = mixed(value ^ mixed(place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+        own = total[first + blocks] - total[first]
+        return mixed(own + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def grams(self, width: int) -> np.ndarray:
         """Hash of the ``width`` words from every word on; meaningless where ``fits`` is false."""

@@ -67,3 +67,12 @@ def test_difference_cover(period):
     for i in range(period):
         for j in range(period):
             assert any((i + s) % period in cover and (j + s) % period in cover for s in range(period))
+
+
+def test_words_built_to_collide(documents):
+    """Words that a polynomial hash cannot tell apart are not the same."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    tail = " ".join(f"k{i}" for i in range(12))
+    out = {r["doc_id"]: r["n_removed"] for r in sub.substring_digest(documents([(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{y} {tail}")])).collect()}
+    assert out == {1: 0, 2: 0, 3: 13}
