@@ -5,10 +5,11 @@ shingle within their first few (the prefix), so documents meet only in buckets o
 length and positions in the order rule out some of those, counts by ranges of the hashes (suffix
 filter) most of the rest, and what is left is verified once per pair by its whole texts.
 
-Large groups of near copies share their buckets, whose pairs grow with the square. In all but small
-buckets links are therefore first sought between the members and one leader, with other leaders in
-each round; then only pairs that no chain of links connects yet are left, and all are verified.
-So components are exact, and pairs inside a found component are never listed.
+Large groups of near copies share their buckets, whose pairs grow with the square. Of buckets with the
+same members one is kept. Links are first sought between the members of a bucket and one leader. Then
+only pairs that no chain of links connects yet are left: they are compared inside the bucket, block by
+block in numpy, by lengths, positions and bitmaps of the shingles, and only those that may be alike
+become rows and are verified. So components are exact, and no table has a row per pair of a group.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ PERCENT = 80
 #: Shingles that come last in the order, by their frequency; the rest count as equally rare. The
 #: number bounds what is broadcast (16 bytes each) and only changes how fast the join is.
 FREQUENT = 1 << 18
-#: Members up to which all pairs of a bucket are compared at once.
-SMALL = 8
-#: Rounds of leaders before what is left of larger buckets is compared in full.
-ROUNDS = 4
+#: Members of a block of a bucket; larger buckets are compared block by block.
+BLOCK = 2048
+#: Bits of a document's bitmap of shingles, and members up to which buckets are compared many at once.
+BITS = 4096
+TOGETHER = 16
 #: Shingles counted at once in a task.
 CHUNK = 1 << 19
 _TOP = np.uint64(1 << 63)
@@ -202,18 +204,25 @@ def _promising(percent: int) -> Callable:
     return run
 
 
+def _bitmap(shingles: np.ndarray) -> bytes:
+    out = np.zeros(BITS, bool)
+    out[(shingles % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
 def _counted(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), _counts(s)) for s in _shingle_sets(*texts(batch.column("text")), width)]
+            sets = [(len(s), _counts(s), _bitmap(s)) for s in _shingle_sets(*texts(batch.column("text")), width)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("text"),
-                    pa.array([n for n, _ in sets], pa.int64()),
-                    pa.array([c for _, c in sets], pa.binary()),
+                    pa.array([n for n, _, _ in sets], pa.int64()),
+                    pa.array([c for _, c, _ in sets], pa.binary()),
+                    pa.array([b for _, _, b in sets], pa.binary()),
                 ],
-                ["doc_id", "text", "n", "counts"],
+                ["doc_id", "text", "n", "counts", "bits"],
             )
 
     return run
@@ -244,7 +253,7 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     n_a, n_b = F.shiftright("a.place", 32), F.shiftright("b.place", 32)
     at_a, at_b = F.col("a.place").bitwiseAND(low), F.col("b.place").bitwiseAND(low)
     room = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
-    joined = left.alias("a").join(right.alias("b"), "token").filter("a.doc <> b.doc AND a.component <> b.component")
+    joined = left.alias("a").join(right.alias("b"), "token").filter("a.doc <> b.doc")
     return (
         joined.select(
             F.least("a.doc", "b.doc").alias("a"),
@@ -260,10 +269,98 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _leaders(placed: DataFrame, turn: int) -> DataFrame:
-    """One member of every bucket, another one each turn."""
-    leader = F.min_by(F.struct("doc", "place", "component"), F.xxhash64("doc", F.lit(turn)))
-    return placed.groupBy("token").agg(leader.alias("l")).select("token", "l.doc", "l.place", "l.component")
+def _leaders(buckets: DataFrame) -> DataFrame:
+    """One member of every bucket."""
+    leader = F.min_by(F.struct("doc", "place"), F.xxhash64("doc"))
+    return buckets.groupBy("token").agg(leader.alias("l")).select("token", "l.doc", "l.place")
+
+
+class _Members:
+    """Rows of open buckets, one after the other, ordered by bucket and blocks."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        def column(name: str) -> np.ndarray:
+            return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+        self.percent = percent
+        self.doc, self.component, self.own = column("doc"), column("component"), column("own")
+        self.n, self.at = column("place") >> 32, column("place") & 0xFFFFFFFF
+        key = np.stack([column("token"), column("i"), column("j")])
+        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        self.groups = np.stack([starts, np.r_[starts[1:], table.num_rows]], axis=1)
+        self.within = (key[1] == key[2])[starts]
+        bits = table.column("bits").combine_chunks().cast(pa.large_binary())
+        self.bits = np.frombuffer(b"".join(x.as_buffer() for x in bits), np.uint64).reshape(len(bits), BITS // 64)
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Those pairs (a 2 x k matrix of rows) that may be alike and nothing connects yet."""
+        n, m, p = self.n[a], self.n[b], self.percent
+        low, high = np.minimum(n, m), np.maximum(n, m)
+        room = np.minimum(self.at[a], self.at[b]) + 1 + np.minimum(n - self.at[a], m - self.at[b]) - 1
+        keep = (self.component[a] != self.component[b]) & (100 * low >= p * high) & (room * (100 + p) >= p * (n + m))
+        a, b, n, m = a[keep], b[keep], n[keep], m[keep]
+        x, y = self.bits[a], self.bits[b]
+        # A bit that only one of two sets has stands for a shingle the other lacks.
+        left = n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+        right = m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+        keep = np.minimum(left, right) * (100 + p) >= p * (n + m)
+        return np.stack([a[keep], b[keep]])
+
+    def pairs(self) -> Iterator[np.ndarray]:
+        sizes = self.groups[:, 1] - self.groups[:, 0]
+        small = self.within & (sizes <= TOGETHER)
+        for size in np.unique(sizes[small]).tolist():
+            first = self.groups[small & (sizes == size), 0]
+            i, j = np.triu_indices(size, 1)
+            step = max(1, (1 << 16) // max(1, len(i)))
+            for k in range(0, len(first), step):
+                yield self.alike((first[k : k + step, None] + i).ravel(), (first[k : k + step, None] + j).ravel())
+        for (begin, end), within in zip(self.groups[~small].tolist(), self.within[~small].tolist()):
+            rows = np.arange(begin, end)
+            left = rows if within else rows[self.own[rows] == self.own[rows].min()]
+            right = rows if within else rows[self.own[rows] != self.own[rows].min()]
+            for row in left.tolist():
+                others = right[right > row] if within else right
+                # Lengths first: most of a bucket's members are far off.
+                others = others[100 * np.minimum(self.n[others], self.n[row]) >= self.percent * np.maximum(self.n[others], self.n[row])]
+                others = others[self.component[others] != self.component[row]]
+                if len(others):
+                    yield self.alike(np.full(len(others), row), others)
+
+
+def _open_pairs(percent: int) -> Callable:
+    """For a task: pairs of unconnected members of its buckets that may be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            members = _Members(table, percent)
+            parts = [p for p in members.pairs() if p.shape[1]]
+            if parts:
+                pairs = members.doc[np.concatenate(parts, axis=1)]
+                low, high = pairs.min(axis=0), pairs.max(axis=0)
+                distinct = np.unique(np.stack([low, high]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct[0]), pa.array(distinct[1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            key = [batch.column(c) for c in ("token", "i", "j")]
+            # All but the last bucket of a batch are complete.
+            last = batch.num_rows - 1
+            while last > 0 and all(c[last - 1] == c[last] for c in key):
+                last -= 1
+            if last or len(held) > 1 and any(held[-2].column(c)[-1] != batch.column(c)[0] for c in ("token", "i", "j")):
+                table = pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
+                held = [batch.slice(last)]
+                if table.num_rows:
+                    yield from found(table)
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -314,11 +411,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .agg(F.min("place").alias("place"))
     )
     shared = written(shared, "prefixes")
-    met = shared.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    buckets = written(shared.join(met, "token").withColumn("component", F.col("doc")), "buckets")
+    # Of buckets with the same members one is enough: the filters hold for every common shingle.
+    met = shared.groupBy("token").agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")
+    )
+    met = met.filter("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
+    buckets = written(shared.join(met, "token"), "buckets")
     wanted = buckets.select(F.col("doc").alias("doc_id")).distinct()
     involved = texted.join(wanted, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
-    involved = written(involved.mapInArrow(_counted(width), "doc_id long, text string, n long, counts binary"), "texts")
+    involved = written(
+        involved.mapInArrow(_counted(width), "doc_id long, text string, n long, counts binary, bits binary"), "texts"
+    )
 
     def side(name: str, *columns: str) -> DataFrame:
         return involved.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
@@ -329,36 +432,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = promising.join(side("a", "text"), "a").join(side("b", "text"), "b")
         return written(both.mapInArrow(_verified(width, percent), "a long, b long"), "links")
 
-    # Small buckets are settled at once, larger ones by leaders first.
-    small = buckets.filter(F.col("m") <= SMALL).drop("m")
-    placed = buckets.filter(F.col("m") > SMALL).drop("m")
-    pairs = _pairs(small, small, percent).unionAll(_pairs(_leaders(placed, 0), placed, percent)).distinct()
-    tested = written(pairs, "pairs")
+    tested = written(_pairs(_leaders(buckets), buckets, percent), "pairs")
     links = verified(tested)
     labels = connected_components(links)
-    for turn in range(1, ROUNDS + 1):
-        placed = placed.drop("component").join(labels, F.col("doc") == labels["node"], "left").select(
-            "token", "doc", "place", F.coalesce("component", "doc").alias("component")
-        )
-        # Buckets with a pair that nothing connects yet.
-        per = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
-        per = per.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        still = per.filter("k * k > own").select("token", F.expr("(k * k - own) / 2").alias("open"))
-        placed = written(placed.join(still, "token"), "placed")
-        open_pairs, rows_left = placed.groupBy("token").agg(F.first("open").alias("o"), F.count("*").alias("k")).agg(
-            F.sum("o"), F.sum("k")
-        ).first()
-        placed = placed.drop("open")
-        if not open_pairs:
-            break
-        last = turn == ROUNDS or 2 * open_pairs <= rows_left
-        pairs = _pairs(placed if last else _leaders(placed, turn), placed, percent)
-        pairs = written(pairs.join(tested, ["a", "b"], "leftanti"), "pairs")
-        tested = tested.unionAll(pairs)
-        links = links.unionAll(verified(pairs))
-        labels = connected_components(links)
-        if last:
-            break
+    placed = buckets.join(labels, F.col("doc") == labels["node"], "left").select(
+        "token", "doc", "place", "m", F.coalesce("component", "doc").alias("component")
+    )
+    # Buckets with a pair that nothing connects yet; those of two have been compared.
+    open_ = placed.filter("m > 2").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    members = placed.join(open_.filter("low < high").select("token"), "token")
+    members = members.join(involved.select(F.col("doc_id").alias("doc"), "bits"), "doc")
+    # A member meets its own block and every other one of its bucket.
+    members = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.select(
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "place", "component", "bits"
+    )
+    parted = members.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    pairs = parted.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
+    more = verified(written(pairs.join(tested, ["a", "b"], "leftanti"), "pairs"))
+    labels = connected_components(links.unionAll(more))
 
     joined = member.join(labels, member["class"] == labels["node"], "left").select(
         F.col("doc_id").alias("id"), F.coalesce("component", "class").alias("component_id")
@@ -369,10 +462,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of the smallest id of every component, all columns; null ids stay, too."""
+    """The rows of the smallest id of every component, all columns.
+
+    Of rows of one id, or without an id, that have the same text one stays, whichever.
+    """
     found = jaccard_components(docs, width=width, percent=percent)
     others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "leftanti")
+    left = docs.join(others, "doc_id", "leftanti")
+    digest = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    repeated = docs.groupBy("doc_id", *digest).count().filter("count > 1")
+    if repeated.limit(1).count() == 0:
+        return left
+    # As a rule ids are unique, and no text is sent for this.
+    marked = left.withColumns({"__a": digest[0], "__b": digest[1]})
+    return marked.dropDuplicates(["doc_id", "__a", "__b"]).select(*docs.columns)
 
 
 #: The components in SQL, by all pairs that share a shingle.

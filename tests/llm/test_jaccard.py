@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tableprofile.llm import jaccard
@@ -82,3 +86,60 @@ def test_components(spark):
     out = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert out == {k: 10 for k in range(10, 61)} | {1: 1, 5: 1, 9: 1, 7: 7, 199: 199, 200: 199}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def thue_morse(n):
+    """A text and its complement: a polynomial hash modulo a power of two cannot tell them apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_built_to_collide(documents):
+    x, y = thue_morse(2048)
+    rows = [(1, " ".join([x] * 6)), (2, " ".join([y] * 6)), (3, f"{x} one two three four five"), (4, f"{y} one two three four five")]
+    assert found(documents(rows)) == brute(rows)
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_crowds_near_the_threshold(documents, prose, monkeypatch, block):
+    """Members of large buckets that are alike, nearly alike, or share a passage only; blocks of few members."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    base, passage = prose(1, 90, 5000), prose(2, 30, 5000)
+    rows = [(k, edited(base, *[(17 * k + 11 * e * (k % 5 + 1)) % 90 for e in range(1 + k % 4)])) for k in range(60)]
+    rows += [(200 + k, passage + " " + prose(300 + k, 5 + k % 30, 5000)) for k in range(60)]
+    assert found(documents(rows)) == brute(rows)
+
+
+@pytest.mark.parametrize("together", [0, 16])
+def test_open_pairs_of_cut_batches(monkeypatch, together):
+    """Buckets are whole, however batches are cut, and every unconnected pair that may be alike comes out."""
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    rng = random.Random(8)
+    sets = [np.unique(np.array([rng.randrange(1 << 62) if rng.random() < 0.1 else 1000 + k for k in range(60)], np.uint64)) for _ in range(40)]
+    rows, want = [], set()
+    for token in range(12):
+        members = sorted(rng.sample(range(40), rng.choice([2, 3, 9, 25])))
+        for d in members:
+            rows.append((token, 0, 0, 0, d, (len(sets[d]) << 32) | 0, d % 7, jaccard._bitmap(sets[d])))
+        for k, x in enumerate(members):
+            for y in members[:k]:
+                a, b = sets[x], sets[y]
+                if x % 7 != y % 7 and 180 * len(np.intersect1d(a, b)) >= 80 * (len(a) + len(b)):
+                    want.add((y, x))
+    names = ["token", "i", "j", "own", "doc", "place", "component", "bits"]
+    table = pa.table({n: pa.array(c, pa.binary() if n == "bits" else pa.int64()) for n, c in zip(names, zip(*rows))})
+    for size in (1, 4, 1000):
+        got = {
+            (a, b)
+            for batch in jaccard._open_pairs(80)(iter(table.to_batches(max_chunksize=size)))
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+        }
+        assert want <= got and len(got) < 1.2 * len(want) + 10
+
+
+def test_one_row_of_repeated_ones_stays(documents, prose):
+    rows = [(1, prose(1)), (1, prose(1)), (2, prose(2)), (None, prose(3)), (None, prose(3)), (None, None), (None, None)]
+    kept = jaccard.keep_one_each(documents(rows))
+    assert kept.columns == documents(rows).columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == 4 and set(got) == {(1, prose(1)), (2, prose(2)), (None, prose(3)), (None, None)}
