@@ -8,8 +8,10 @@ filter) most of the rest, and what is left is verified once per pair by its whol
 Large groups of near copies share their buckets, whose pairs grow with the square. Of buckets with the
 same members one is kept. Links are first sought between the members of a bucket and one leader. Then
 only pairs that no chain of links connects yet are left: they are compared inside the bucket, block by
-block in numpy, by lengths, positions and bitmaps of the shingles, and only those that may be alike
-become rows and are verified. So components are exact, and no table has a row per pair of a group.
+block in numpy, by lengths, positions and bitmaps of the shingles. Twice a block gives only as many of
+those that may be alike as connect its members, which are verified; what these leave open, the pairs
+that passed the bitmaps by accident and few others, is verified whole. So components are exact, and no
+table has a row per pair of a group.
 """
 
 from __future__ import annotations
@@ -275,6 +277,23 @@ def _leaders(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("token").agg(leader.alias("l")).select("token", "l.doc", "l.place")
 
 
+def _open(buckets: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Members of buckets with a pair that nothing connects yet, by blocks, with their bitmaps."""
+    placed = buckets.join(labels, F.col("doc") == labels["node"], "left").select(
+        "token", "doc", "place", "m", F.coalesce("component", "doc").alias("component")
+    )
+    # Buckets of two have been compared.
+    ends = placed.filter("m > 2").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    members = placed.join(ends.filter("low < high").select("token"), "token").join(bitmaps, "doc")
+    # A member meets its own block and every other one of its bucket.
+    members = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.select(
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "place", "component", "bits"
+    )
+    return members.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
 class _Members:
     """Rows of open buckets, one after the other, ordered by bucket and blocks."""
 
@@ -306,7 +325,8 @@ class _Members:
         keep = np.minimum(left, right) * (100 + p) >= p * (n + m)
         return np.stack([a[keep], b[keep]])
 
-    def pairs(self) -> Iterator[np.ndarray]:
+    def pairs(self, sparse: bool) -> Iterator[np.ndarray]:
+        """The pairs of all buckets; where ``sparse``, of large ones as many as connect what they connect."""
         sizes = self.groups[:, 1] - self.groups[:, 0]
         small = self.within & (sizes <= TOGETHER)
         for size in np.unique(sizes[small]).tolist():
@@ -319,24 +339,31 @@ class _Members:
             rows = np.arange(begin, end)
             left = rows if within else rows[self.own[rows] == self.own[rows].min()]
             right = rows if within else rows[self.own[rows] != self.own[rows].min()]
+            label = self.component.copy() if sparse else self.component
             for row in left.tolist():
                 others = right[right > row] if within else right
+                others = others[label[others] != label[row]]
                 # Lengths first: most of a bucket's members are far off.
                 others = others[100 * np.minimum(self.n[others], self.n[row]) >= self.percent * np.maximum(self.n[others], self.n[row])]
-                others = others[self.component[others] != self.component[row]]
-                if len(others):
-                    yield self.alike(np.full(len(others), row), others)
+                if not len(others):
+                    continue
+                found = self.alike(np.full(len(others), row), others)
+                if sparse and found.shape[1]:
+                    near, first = np.unique(label[found[1]], return_index=True)
+                    found = found[:, first]
+                    label[rows[np.isin(label[rows], near)]] = label[row]
+                yield found
 
 
-def _open_pairs(percent: int) -> Callable:
-    """For a task: pairs of unconnected members of its buckets that may be alike."""
+def _open_pairs(percent: int, sparse: bool) -> Callable:
+    """For a task: pairs of unconnected members of its buckets that may be alike; see ``_Members.pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
             members = _Members(table, percent)
-            parts = [p for p in members.pairs() if p.shape[1]]
+            parts = [p for p in members.pairs(sparse) if p.shape[1]]
             if parts:
                 pairs = members.doc[np.concatenate(parts, axis=1)]
                 low, high = pairs.min(axis=0), pairs.max(axis=0)
@@ -435,23 +462,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tested = written(_pairs(_leaders(buckets), buckets, percent), "pairs")
     links = verified(tested)
     labels = connected_components(links)
-    placed = buckets.join(labels, F.col("doc") == labels["node"], "left").select(
-        "token", "doc", "place", "m", F.coalesce("component", "doc").alias("component")
-    )
-    # Buckets with a pair that nothing connects yet; those of two have been compared.
-    open_ = placed.filter("m > 2").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    members = placed.join(open_.filter("low < high").select("token"), "token")
-    members = members.join(involved.select(F.col("doc_id").alias("doc"), "bits"), "doc")
-    # A member meets its own block and every other one of its bucket.
-    members = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "place", "component", "bits"
-    )
-    parted = members.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = parted.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
-    more = verified(written(pairs.join(tested, ["a", "b"], "leftanti"), "pairs"))
-    labels = connected_components(links.unionAll(more))
+    bitmaps = involved.select(F.col("doc_id").alias("doc"), "bits")
+    for sparse in (True, True, False):
+        found = _open(buckets, labels, bitmaps).mapInArrow(_open_pairs(percent, sparse), "a long, b long").distinct()
+        found = written(found, "open")
+        if found.limit(1).count() == 0:
+            break
+        pairs = written(found.join(tested, ["a", "b"], "leftanti"), "pairs")
+        tested = tested.unionAll(pairs)
+        links = links.unionAll(verified(pairs))
+        labels = connected_components(links)
 
     joined = member.join(labels, member["class"] == labels["node"], "left").select(
         F.col("doc_id").alias("id"), F.coalesce("component", "class").alias("component_id")
