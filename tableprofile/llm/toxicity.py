@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprofile.llm.arrays import slices, texts
-from tableprofile.llm.scratch import small_batches
+from tableprofile.llm.scratch import small_batches, written
 from tableprofile.llm.words import held_out
 
 SAMPLE = 4000
@@ -55,6 +55,8 @@ _SPACED = re.compile(r"(?<!\w)[\w@$!|+*](?:[ .\-_*~][\w@$!|+*]){2,}(?!\w)")
 #: Log probabilities of the channel.
 _SUBSTITUTED, _WILD, _NOISE, _BREAK, _DROPPED, _SHORTENED = map(math.log, (0.5, 0.1, 0.02, 0.05, 0.3, 0.3))
 REMEMBERED = 1 << 16
+#: Runs of characters of a token that are read at once.
+PIECE = 256
 
 
 def _fold_table() -> np.ndarray:
@@ -124,21 +126,44 @@ class Decoder:
             found = self._known[token] = self._decode(token)
         return found
 
-    def _decode(self, token: str) -> str:
-        log = self._log
+    def _steps(self, token: str) -> list[list[tuple[tuple[int, ...], float]]]:
+        """Per run of a character what it may be read as: letters (none: nothing) and log probability."""
         spaced = _SPACED.fullmatch(token) is not None
         tail = len(token.rstrip(_EDGE))
-        states: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
-        k = 0
+        runs, k = [], 0
         while k < len(token):
             run = 1
             while k + run < len(token) and token[k + run] == token[k]:
                 run += 1
-            # A sign behind the last letter may be a letter, but is as likely an ornament.
-            single = self._options(token[k], spaced) if k < tail else self._trailing(token[k], spaced)
+            runs.append((token[k], run, k < tail))
+            k += run
+        wild = [len(LEET.get(c, "")) > 2 for c, _, _ in runs]
+        out = []
+        for i, (c, run, inside) in enumerate(runs):
+            # Three different signs for any letter, one after the other, hide no word that could be told.
+            if wild[i] and any(all(wild[j : j + 3]) and len(wild[j : j + 3]) == 3 for j in range(max(0, i - 2), i + 1)):
+                single = [(-1, _NOISE), (0, _BREAK)]
+            else:
+                # A sign behind the last letter may be a letter, but is as likely an ornament.
+                single = self._options(c, spaced) if inside else self._trailing(c, spaced)
             # A run of a character reads as one, two or all of them; longer runs are noise or emphasis.
             lengths = {1: 0.0} if run == 1 else {1: _SHORTENED, 2: _SHORTENED if run > 2 else 0.0}
-            options = [((s,) * n if s >= 0 else (), p + q) for s, p in single for n, q in lengths.items() if s > 0 or n == 1]
+            out.append([((s,) * n if s >= 0 else (), p + q) for s, p in single for n, q in lengths.items() if s > 0 or n == 1])
+        return out
+
+    def _decode(self, token: str) -> str:
+        steps = self._steps(token)
+        many = sum(len(options) > _SIZE for options in steps) > 1
+        read = self._by_arrays if many else self._by_states
+        # Far longer than a word: in pieces, which bounds what is remembered.
+        pieces = [read(steps[k : k + PIECE]) for k in range(0, len(steps), PIECE)]
+        return "".join(_LETTERS[s] for piece in pieces for s in piece)
+
+    def _by_states(self, steps: list[list[tuple[tuple[int, ...], float]]]) -> list[int]:
+        """Viterbi over the states that occur, for lattices of few."""
+        log = self._log
+        states: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
+        for options in steps:
             after: dict[tuple[int, int, int], tuple[float, tuple]] = {}
             for (a, b, c), (score, path) in states.items():
                 for symbols, p in options:
@@ -152,13 +177,82 @@ class Decoder:
                     if key not in after or after[key][0] < total:
                         after[key] = (total, trace)
             states = after
-            k += run
         best = max(states.items(), key=lambda kv: kv[1][0] + float(log[(*kv[0], 0)]))[1][1]
         out = []
         while best:
             best, s = best
-            out.append(_LETTERS[s])
-        return "".join(reversed(out))
+            out.append(s)
+        return out[::-1]
+
+    def _by_arrays(self, steps: list[list[tuple[tuple[int, ...], float]]]) -> list[int]:
+        """The same over all states at once, for lattices with several signs that may be any letter."""
+        size, pairs = _SIZE, _SIZE * _SIZE
+        log = self._log.reshape(size, pairs, size)
+        score = np.full(size * pairs, -np.inf)
+        score[0] = 0.0
+        trail = []
+        for options in steps:
+            new = np.full(size * pairs, -np.inf)
+            origin, emitted = np.zeros(size * pairs, np.int32), np.zeros(size * pairs, np.int16)
+
+            def offer(keys: np.ndarray, totals: np.ndarray, came: np.ndarray, code: np.ndarray) -> None:
+                better = totals > new[keys]
+                at = keys[better]
+                new[at], origin[at], emitted[at] = totals[better], came[better], code[better]
+
+            active = np.flatnonzero(score > -np.inf)
+            xs, yz = np.unique(active // pairs), np.unique(active % pairs)
+            y, z = yz // size, yz % size
+            came = score.reshape(size, pairs)[np.ix_(xs, yz)]
+            for symbols, p in options:
+                if not symbols or symbols == (0,):
+                    # Nothing, or a break where there is one already.
+                    stay = active if not symbols else active[active % size == 0]
+                    offer(stay, score[stay] + p, stay, np.zeros(len(stay), np.int16))
+            single = [(s[0], p) for s, p in options if len(s) == 1]
+            if single:
+                letters, chance = np.array([s for s, _ in single]), np.array([p for _, p in single])
+                totals = came[:, :, None] + log[np.ix_(xs, yz, letters)]
+                best, which = totals.max(axis=0), xs[totals.argmax(axis=0)] * pairs + yz[:, None]
+                if letters[-1] == 0:
+                    best[z == 0, -1] = -np.inf
+                keys = yz[:, None] * size + letters
+                code = np.broadcast_to(letters + 1, keys.shape).astype(np.int16)
+                offer(keys.ravel(), (best + chance).ravel(), which.ravel(), code.ravel())
+                double = {s[0]: p for s, p in options if len(s) == 2}
+                if double:
+                    chosen = np.flatnonzero([s in double for s in letters])
+                    twice = letters[chosen]
+                    chance2 = np.array([double[s] for s in twice.tolist()])
+                    totals = best[:, chosen] + self._log[y[:, None], z[:, None], twice, twice] + chance2
+                    for last in np.unique(z).tolist():
+                        rows = np.flatnonzero(z == last)
+                        top = totals[rows].argmax(axis=0)
+                        keys = (last * size + twice) * size + twice
+                        column = np.arange(len(twice))
+                        offer(keys, totals[rows][top, column], which[:, chosen][rows][top, column], (twice + 1 + 100).astype(np.int16))
+            trail.append((origin, emitted))
+            score = new
+        at = int((score + self._log.reshape(-1, size)[:, 0]).argmax())
+        out = []
+        for origin, emitted in reversed(trail):
+            code = int(emitted[at])
+            out += [code - 101] * 2 if code > 100 else [code - 1] if code else []
+            at = int(origin[at])
+        return out[::-1]
+
+
+#: Decoders of a worker's process, by what they are made of.
+_decoders: dict[int, Decoder] = {}
+
+
+def decoder_of(model: Model) -> Decoder:
+    """The decoder of a task's process, with the readings that earlier tasks found."""
+    key = hash((model.trigrams.tobytes(), tuple(sorted(model.weights.items()))))
+    if key not in _decoders:
+        _decoders.clear()
+        _decoders[key] = Decoder(model)
+    return _decoders[key]
 
 
 def _suspect(token: str) -> str | None:
@@ -186,6 +280,9 @@ def restored_words(text: str, decoder: Decoder | None) -> set[str]:
     words = set(_WORD.findall(lower))
     if decoder is not None:
         for token in set(lower.split()):
+            # Letters between marks: doubled ones are looked at below.
+            if token.strip(_MARKS).isalpha():
+                continue
             for core in (_suspect(token), _signed(token)):
                 if core is not None:
                     words.update(decoder.read(core).split())
@@ -259,8 +356,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates:
             )
 
     texted = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    # Copies of a text count once.
-    rows = texted.dropDuplicates(["text"]).select("toxic", "text").mapInArrow(listed, "toxic int, words array<string>")
+    # Copies of a text count once, as toxic if one of them is.
+    rows = texted.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
+    rows = written(rows.mapInArrow(listed, "toxic int, words array<string>"), "words")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_other:
@@ -287,7 +385,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates:
 
 def _scored(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, lexicon = Decoder(model), dict(model.weights)
+        decoder, lexicon = decoder_of(model), dict(model.weights)
         for word, weight in model.weights.items():
             # Decoded readings have no marks.
             bare = "".join(c if c == "*" else _LETTERS[_folded(c)] for c in word)

@@ -1,3 +1,6 @@
+import itertools
+import time
+
 import pytest
 
 from tableprofile.llm import toxicity as tox
@@ -54,3 +57,45 @@ def test_doubled_letters_and_trailing_signs_are_decoded(documents, model, text):
 def test_signs_at_the_end_reach_the_decoder():
     assert [tox._signed(t) for t in ("a$$", "dumba$$", "worthles$.", "idio+", "scu*)")] == ["a$$", "dumba$$", "worthles$", "idio+", "scu*"]
     assert [tox._signed(t) for t in ("hill", "end.", "$$$", "!?", "1+")] == [None] * 5
+
+
+def best_readings(decoder, token):
+    """All likeliest readings of a short token, by trying every one."""
+    log, found = decoder._log, {}
+    for choice in itertools.product(*decoder._steps(token)):
+        x, y, z, total, text = 0, 0, 0, 0.0, ""
+        for symbols, p in choice:
+            total += p
+            for s in symbols:
+                if s or z:
+                    total += float(log[x, y, z, s])
+                    text += tox._LETTERS[s]
+                    x, y, z = y, z, s
+        found[text] = max(found.get(text, -1e9), total + float(log[x, y, z, 0]))
+    top = max(found.values())
+    return {t for t, v in found.items() if v > top - 1e-4}
+
+
+@pytest.mark.parametrize("token", ["id1ot", "5tup1d", "a$$", "f*o#x", "w.o.r.d", "!!x1", "b00*k%", "sss", "t*e%", "*#%", "a1*", "h*#%t", "%%a**"])
+def test_decoding_equals_all_readings(model, token):
+    """Both ways of decoding find a likeliest reading of the lattice."""
+    decoder = tox.Decoder(model)
+    want, steps = best_readings(decoder, token), decoder._steps(token)
+    for read in (decoder._by_states, decoder._by_arrays):
+        assert "".join(tox._LETTERS[s] for s in read(steps)) in want
+    assert decoder.read(token) in want
+
+
+@pytest.mark.parametrize("token", ["a*#%*#%" * 1500, "a*b#c%" * 1700, "1!0|5$" * 1700])
+def test_long_tokens_of_signs_end(model, token):
+    began = time.time()
+    tox.Decoder(model).read(token)
+    assert time.time() - began < 20
+
+
+def test_equal_texts_with_two_labels_count_as_toxic(spark, documents):
+    """The label of copies does not depend on which of them is met first."""
+    rows = [(i, "you are a zorkal fool") for i in range(1, 30)] + [(i, f"good words {i}") for i in range(30, 90)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0 and i < 30)) for i in range(1, 90)], "doc_id long, toxic int")
+    models = [tox.train(documents(r), labels) for r in (rows, rows[::-1])]
+    assert models[0].weights == models[1].weights and models[0].offset == models[1].offset
