@@ -5,7 +5,8 @@ pair of families, vote for the language family first; then machines for each pai
 within it vote for the language. Only text decides; languages are those of the labelled rows.
 
 The machines learn from a bounded sample: of each language at most ``SAMPLE`` documents, those of
-the least hash of their id, and at most ``SAMPLE_ALL`` of all. Prediction reads every text in full.
+the least hash of their id, and at most ``SAMPLE_ALL`` of all. Each machine is fitted by a task of its
+own; weights alone, a vector per machine, come to the driver. Prediction reads every text in full.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprofile.llm.arrays import slices, texts
-from tableprofile.llm.scratch import small_batches
+from tableprofile.llm.scratch import small_batches, written
 from tableprofile.llm.words import held_out
 
-SAMPLE = 200
-SAMPLE_ALL = 2000
-LOG_FEATURES = 12
+SAMPLE = 400
+SAMPLE_ALL = 4000
+LOG_FEATURES = 13
 UNKNOWN = "und"
 #: Rows of even n-gram shares that a profile counts in, and how far texts of a language differ. Fixed values.
 EVEN = 2.0
@@ -129,51 +130,91 @@ def _profile(x: np.ndarray) -> Profile:
     return Profile(logs, mean, float(share @ logs**2) - mean**2)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> Model:
-    """A model from rows with a text and a language that are not held out."""
+def _sampled(docs: DataFrame, sample: int, sample_all: int) -> DataFrame:
+    """``doc_id``, ``lang`` and ``text`` of the rows to learn from; of rows of one id and language one text."""
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    languages = [r["lang"] for r in ids.select("lang").distinct().orderBy("lang").collect()]
-    each = max(1, min(sample, sample_all // max(1, len(languages))))
-    chosen = None
-    for lang in languages:
-        of = ids.filter(F.col("lang") == lang).orderBy("h", "doc_id").limit(each).select("doc_id", "lang")
-        chosen = of if chosen is None else chosen.unionAll(of)
-    if chosen is None:
-        return Model({}, [], np.zeros((1 << LOG_FEATURES, 0), np.float32), np.zeros(0), {})
+    known = known.withColumn("of", F.xxhash64("text"))
+    n_languages = known.select("lang").distinct().count()
+    each = max(1, min(sample, sample_all // max(1, n_languages)))
+    ids = known.groupBy("lang", "doc_id").agg(F.min("of").alias("of"))
+    # Each task keeps the first few of a language before anything is sent.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = ids.withColumn("place", place).filter(F.col("place") <= each).select("lang", "doc_id", "of")
+    rows = known.join(F.broadcast(chosen), ["lang", "doc_id", "of"])
+    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams that a text has, with their shares."""
+    for batch in batches:
+        at, shares = [], []
+        for text in batch.column("text"):
+            total = _features(text.as_py())
+            some = np.flatnonzero(total)
+            at.append(some.astype(np.int32))
+            shares.append((total[some] / max(1.0, total.sum())).astype(np.float32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
+            ["doc_id", "lang", "at", "shares"],
+        )
+
+
+def _dense(table: pa.Table) -> np.ndarray:
+    x = np.zeros((table.num_rows, 1 << LOG_FEATURES), np.float32)
+    sizes = table.column("at").combine_chunks().value_lengths().to_numpy()
+    at, shares = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("at", "shares"))
+    x[np.repeat(np.arange(table.num_rows), sizes), at] = shares
+    return x
+
+
+def _fitted(table: pa.Table) -> pa.Table:
+    """One machine, from the rows of its two sides, or the profile of a language."""
+    table = table.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    side = table.column("side").to_numpy()
+    if (side == 0).all():
+        profile = _profile(_dense(table))
+        out, numbers = profile.logs, [profile.mean, profile.variance]
+    else:
+        out, offset = _machine(_dense(table), side.astype(np.float32))
+        numbers = [offset]
+    return pa.table(
+        {
+            "number": table.column("number").slice(0, 1),
+            "vector": pa.array([np.asarray(out, float).tobytes()], pa.binary()),
+            "numbers": pa.array([numbers], pa.list_(pa.float64())),
+        }
+    )
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column("text"):
-                total = _features(text.as_py())
-                found.append((total / max(1.0, total.sum())).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.binary())], ["doc_id", "lang", "x"]
-            )
 
-    rows = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")
-    rows = rows.mapInArrow(counted, "doc_id long, lang string, x binary").orderBy("doc_id", "lang").limit(2 * sample_all).collect()
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
-    langs = np.array([r["lang"] for r in rows])
+def train(docs: DataFrame, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> Model:
+    """A model from rows with a text and a language that are not held out."""
+    spark = docs.sparkSession
+    counted = _sampled(docs, sample, sample_all).mapInArrow(_counted, "doc_id long, lang string, at array<int>, shares array<float>")
+    rows = written(counted, "grams")
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not langs:
+        return Model({}, [], np.zeros((1 << LOG_FEATURES, 0), np.float32), np.zeros(0), {})
     families: dict[str, list[str]] = {}
-    for lang in sorted(set(langs)):
+    for lang in langs:
         families.setdefault(_FAMILY.get(lang.lower().split("-")[0], lang), []).append(lang)
     groups = [{f: members for f, members in families.items()}]
     groups += [{lang: [lang] for lang in members} for members in families.values()]
-    sides, weights, offsets = [], [], []
+    # What is fitted, by number: machines first, then the languages' profiles. A row says which side a language is on.
+    sides: list[tuple[str, str]] = []
+    parts: list[tuple[int, str, int]] = []
     for group in groups:
         for a, b in combinations(sorted(group), 2):
-            on_a, on_b = np.isin(langs, group[a]), np.isin(langs, group[b])
-            use = on_a | on_b
-            w, offset = _machine(x[use], np.where(on_a[use], 1, -1).astype(np.float32))
+            parts += [(len(sides), lang, 1) for lang in group[a]] + [(len(sides), lang, -1) for lang in group[b]]
             sides.append((a, b) if group is groups[0] else (f"/{a}", f"/{b}"))
-            weights.append(w)
-            offsets.append(offset)
-    stacked = np.stack(weights, 1) if weights else np.zeros((1 << LOG_FEATURES, 0))
-    profiles = {str(lang): _profile(x[langs == lang]) for lang in set(langs)}
-    return Model(families, sides, stacked.astype(np.float32), np.array(offsets), profiles)
+    parts += [(len(sides) + k, lang, 0) for k, lang in enumerate(langs)]
+    roles = spark.createDataFrame(parts, "number int, lang string, side int")
+    fitted = rows.join(roles, "lang").groupBy("number").applyInArrow(_fitted, "number int, vector binary, numbers array<double>")
+    found = {r["number"]: (np.frombuffer(r["vector"], float), r["numbers"]) for r in fitted.collect()}
+    machines = [found[k] for k in range(len(sides))]
+    stacked = np.stack([w for w, _ in machines], 1) if machines else np.zeros((1 << LOG_FEATURES, 0))
+    profiles = {lang: Profile(found[len(sides) + k][0], *found[len(sides) + k][1]) for k, lang in enumerate(langs)}
+    return Model(families, sides, stacked.astype(np.float32), np.array([n[0] for _, n in machines]), profiles)
 
 
 def _elected(names: list[str], prefix: str, sides: list[tuple[str, str]], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import numpy as np
+
 from tableprofile.llm import language
 from tableprofile.llm.queries import documents as table
 from tests.conftest import DATA
@@ -35,3 +38,39 @@ def test_unknown_codes_are_families_and_labels_do_not_matter(documents):
     assert model.families == {"germanic": ["de", "en"], "qq": ["qq"]}
     blind = documents([(k, texts["qq"], None, None) for k in range(3)])
     assert {r["__lang"] for r in language.identify(blind, model).collect()} == {"qq"}
+
+
+def test_prediction_is_the_vote_of_all_machines(documents, prose):
+    """Every text's language and score, from the machines by hand, one text and machine at a time."""
+    words = {"en": "the and of that with", "de": "der und die das nicht", "nl": "het een van niet voor", "fr": "le et les des une", "it": "il e che non per"}
+    docs = documents([(k, " ".join(np.random.default_rng(k).permutation(words[lang].split() * 3)), lang, "s") for k, lang in enumerate(list(words) * 12)])
+    model = language.train(docs)
+    assert sorted(model.families) == ["germanic", "romance"] and len(model.sides) == 5
+    rows = documents([(k, f"{words[a].split()[k % 5]} {words[b]} {k}") for k in range(20) for a in words for b in words])
+
+    def votes(margins, names, prefix):
+        """The name with most duels won, the closest vote of which says how sure it is."""
+        won, sure = {n: 0.0 for n in names}, {n: 1.0 for n in names}
+        for (a, b), z in zip(model.sides, margins):
+            if a in [prefix + n for n in names] and b in [prefix + n for n in names]:
+                p = 1 / (1 + math.exp(-2 * max(-20, min(20, z))))
+                for side, q in ((a, p), (b, 1 - p)):
+                    name = side.removeprefix(prefix)
+                    won[name] += (q > 0.5 or (q == 0.5 and side == a)) + q * 1e-3
+                    sure[name] = min(sure[name], q)
+        best = max(names, key=lambda n: won[n])
+        return best, sure[best]
+
+    for r in language.identify(rows, model).collect():
+        x = language._features(r["text"])
+        margins = (x / x.sum()) @ model.weights + model.offsets
+        family, sure = votes(margins, sorted(model.families), "")
+        lang, inner = votes(margins, model.families[family], "/")
+        assert r["__lang"] == lang and math.isclose(r["__score"], sure * inner, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_a_repeated_id_does_not_crowd_out_languages(documents):
+    rows = [(1, f"the and of that {k % 3}", "en", "s") for k in range(300)]
+    rows += [(2 + k, t, lang, "s") for k, (lang, t) in enumerate([("de", "der und die das"), ("fr", "le et les des")] * 20)]
+    model = language.train(documents(rows), sample=5, sample_all=12)
+    assert sorted(x for members in model.families.values() for x in members) == ["de", "en", "fr"]
