@@ -32,9 +32,10 @@ MIN_LENGTH, MIN_COUNT, RATIO = 7, 2, 10
 #: One run in so many has a letter dropped before words are counted (see ``vocabulary``).
 DROPPED = 31
 #: Bits of a filter per word, bytes of a block, bytes built in one task, bytes sent to an executor at once.
-BITS, BLOCK, SEGMENT, BROADCAST = 16, 64, 1 << 16, 1 << 25
-#: Edits looked up at once.
+BITS, BLOCK, SEGMENT, BROADCAST = 16, 64, 1 << 13, 1 << 25
+#: Edits looked up at once, and words whose edits a task looks up.
 PROBES = 1 << 19
+WORDS = 1 << 15
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -235,8 +236,9 @@ def near_pairs(vocab: DataFrame, limit: int = BROADCAST) -> DataFrame:
                     )
 
         lengths_here = sorted({x for length in plan for x in (length, length + 1)})
-        # Long words have more edits than short ones: deal them out evenly, not as they lie.
-        some = vocab.filter(F.length("word").isin(lengths_here)).repartition(F.xxhash64("word"))
+        # Words take long and few bytes, so their number says into how many parts they are dealt.
+        tasks = -(-sum(lengths.get(n, 0) for n in lengths_here) // WORDS)
+        some = vocab.filter(F.length("word").isin(lengths_here)).repartition(tasks, F.xxhash64("word"))
         part = some.mapInArrow(probe, "word string, n long, near string")
         found = part if found is None else found.unionAll(part)
     if found is None:
