@@ -42,6 +42,7 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c",
     "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz", "%": "abcdefghijklmnopqrstuvwxyz",
 }
+_WILD_SIGNS = frozenset(c for c, letters in LEET.items() if len(letters) > 2)
 _LETTERS = " abcdefghijklmnopqrstuvwxyz?"
 _SIZE = len(_LETTERS)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -101,7 +102,9 @@ class Decoder:
         total = four.sum(3, keepdims=True)
         known = np.divide(four, total, out=np.zeros_like(four), where=total > 0)
         self._log = np.log((1 - share) * tri_p[None] + share * known).astype(np.float32)
+        self._flat = self._log.ravel().tolist()
         self._known: dict[str, str] = {}
+        self._told: dict[tuple[str, int, bool, bool], list[tuple[tuple[int, ...], float]]] = {}
 
     def _options(self, c: str, spaced: bool) -> list[tuple[int, float]]:
         """What a character may stand for: number of a letter (-1: nothing, 0: a break) and log probability."""
@@ -137,19 +140,27 @@ class Decoder:
                 run += 1
             runs.append((token[k], run, k < tail))
             k += run
-        wild = [len(LEET.get(c, "")) > 2 for c, _, _ in runs]
-        out = []
-        for i, (c, run, inside) in enumerate(runs):
+        told = [self._readings(c, min(run, 3), inside, spaced) for c, run, inside in runs]
+        wild = [c in _WILD_SIGNS for c, _, _ in runs]
+        for i in range(len(runs) - 2) if sum(wild) > 2 else ():
             # Three different signs for any letter, one after the other, hide no word that could be told.
-            if wild[i] and any(all(wild[j : j + 3]) and len(wild[j : j + 3]) == 3 for j in range(max(0, i - 2), i + 1)):
-                single = [(-1, _NOISE), (0, _BREAK)]
-            else:
-                # A sign behind the last letter may be a letter, but is as likely an ornament.
-                single = self._options(c, spaced) if inside else self._trailing(c, spaced)
+            if all(wild[i : i + 3]):
+                told[i : i + 3] = [[((), _NOISE), ((0,), _BREAK)]] * 3
+        return told
+
+    def _readings(self, c: str, run: int, inside: bool, spaced: bool) -> list[tuple[tuple[int, ...], float]]:
+        """What a run of a character may be read as; remembered."""
+        key = (c, run, inside, spaced)
+        found = self._told.get(key)
+        if found is None:
+            # A sign behind the last letter may be a letter, but is as likely an ornament.
+            single = self._options(c, spaced) if inside else self._trailing(c, spaced)
             # A run of a character reads as one, two or all of them; longer runs are noise or emphasis.
             lengths = {1: 0.0} if run == 1 else {1: _SHORTENED, 2: _SHORTENED if run > 2 else 0.0}
-            out.append([((s,) * n if s >= 0 else (), p + q) for s, p in single for n, q in lengths.items() if s > 0 or n == 1])
-        return out
+            found = [((s,) * n if s >= 0 else (), p + q) for s, p in single for n, q in lengths.items() if s > 0 or n == 1]
+            if len(self._told) < REMEMBERED:
+                self._told[key] = found
+        return found
 
     def _decode(self, token: str) -> str:
         steps = self._steps(token)
@@ -160,24 +171,23 @@ class Decoder:
         return "".join(_LETTERS[s] for piece in pieces for s in piece)
 
     def _by_states(self, steps: list[list[tuple[tuple[int, ...], float]]]) -> list[int]:
-        """Viterbi over the states that occur, for lattices of few."""
-        log = self._log
-        states: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
+        """Viterbi over the states that occur, for lattices of few; a state is the last three symbols."""
+        flat, size, square = self._flat, _SIZE, _SIZE * _SIZE
+        states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         for options in steps:
-            after: dict[tuple[int, int, int], tuple[float, tuple]] = {}
-            for (a, b, c), (score, path) in states.items():
+            after: dict[int, tuple[float, tuple]] = {}
+            for state, (score, path) in states.items():
                 for symbols, p in options:
-                    x, y, z, total, trace = a, b, c, score + p, path
+                    key, total, trace = state, score + p, path
                     for s in symbols:
-                        if s or z:
-                            total += float(log[x, y, z, s])
+                        if s or key % size:
+                            total += flat[key * size + s]
                             trace = (trace, s)
-                            x, y, z = y, z, s
-                    key = (x, y, z)
+                            key = key % square * size + s
                     if key not in after or after[key][0] < total:
                         after[key] = (total, trace)
             states = after
-        best = max(states.items(), key=lambda kv: kv[1][0] + float(log[(*kv[0], 0)]))[1][1]
+        best = max(states.items(), key=lambda kv: kv[1][0] + flat[kv[0] * size])[1][1]
         out = []
         while best:
             best, s = best
