@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tableprofile.functions.columns import (
     array_sql,
+    batches,
     is_missing,
     known,
     missing_sql,
@@ -22,6 +23,8 @@ from tableprofile.functions.columns import (
 from tableprofile.operators.quantiles import quantile_row
 
 MAX_SHARE = 0.5
+# Columns whose missing values one scan counts.
+COLUMNS_PER_SCAN = 100
 
 
 def most_frequent(df: DataFrame, name: str) -> DataFrame:
@@ -64,8 +67,11 @@ def missing_indicators(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def drop_sparse_columns(df: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
     """The columns of which no more than ``max_share`` is missing; all of them for an empty table."""
-    counts = df.selectExpr("count(*) AS n", array_sql(f"count_if({missing_sql(df, c)})" for c in df.columns) + " AS m").first()
-    return df.select(*[ref(c) for c, m in zip(df.columns, counts["m"]) if m <= max_share * counts["n"]])
+    kept = []
+    for names in batches(df.columns, COLUMNS_PER_SCAN):
+        n, *missing = df.selectExpr("count(*)", *[f"count_if({missing_sql(df, c)})" for c in names]).first()
+        kept += [c for c, m in zip(names, missing) if m <= max_share * n]
+    return df.select(*map(ref, kept))
 
 
 def drop_sparse_rows(df: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:

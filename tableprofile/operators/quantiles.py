@@ -74,6 +74,14 @@ def tree_merged(partial: DataFrame, merge, finish, schema: str) -> DataFrame:
     return partial.groupBy("key", "salt").applyInArrow(first, STATE).groupBy("key").applyInArrow(last, schema)
 
 
+#: Sizes of summaries: values kept, values of a chunk, values that are all kept.
+Limits = tuple[int, int, int]
+
+
+def _limits() -> Limits:
+    return KEPT, CHUNK, EXACT
+
+
 @dataclass
 class _Search:
     """Ranks (from 0) of one column whose values lie above ``lo`` and not above ``hi``."""
@@ -97,10 +105,11 @@ class _Search:
 class SearchState:
     """What a task has seen of a search: counts, and summaries of the rows on both sides of ``mid``."""
 
-    def __init__(self, few: bool):
+    def __init__(self, few: bool, limits: Limits):
         self.counts = np.zeros(5, np.int64)
         self.few = few
-        self._sides = [RankSummary(None if few else KEPT, CHUNK, EXACT) for _ in range(2)]
+        kept, chunk, exact = limits
+        self._sides = [RankSummary(None if few else kept, chunk, exact) for _ in range(2)]
 
     def add(self, search: _Search, ordered: np.ndarray) -> None:
         counts, *sides = search.parts(ordered)
@@ -116,9 +125,12 @@ class SearchState:
 SearchResult = tuple[bool, np.ndarray, list[Weighted]]
 
 
-def merge_results(a: SearchResult, b: SearchResult) -> SearchResult:
-    kept = None if a[0] else KEPT
-    return a[0], a[1] + b[1], [merged([x, y], kept, EXACT) for x, y in zip(a[2], b[2])]
+def _merging(limits: Limits):
+    def merge(a: SearchResult, b: SearchResult) -> SearchResult:
+        kept = None if a[0] else limits[0]
+        return a[0], a[1] + b[1], [merged([x, y], kept, limits[2]) for x, y in zip(a[2], b[2])]
+
+    return merge
 
 
 def located(search: _Search, result: SearchResult, rank: int) -> Bracket:
@@ -143,9 +155,10 @@ _FOUND_ARROW = pa.schema([(n, {"int": pa.int32(), "long": pa.int64()}.get(t, pa.
 
 def _looking(searches: Sequence[_Search]):
     """For a task: what it sees of the searches."""
+    limits = _limits()
 
     def look(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [SearchState(s.few) for s in searches]
+        own = [SearchState(s.few, limits) for s in searches]
         for batch in given:
             ordered = np.sort(column_values(batch), axis=1)
             n = (~np.isnan(ordered)).sum(axis=1)
@@ -163,7 +176,7 @@ def _pass(cols: DataFrame, searches: Sequence[_Search]) -> list[tuple[int, int,
         rows = [{"key": key, "rank": r, **vars(located(searches[key], result, r))} for r in searches[key].ranks]
         return pa.Table.from_pylist(rows, schema=_FOUND_ARROW)
 
-    found = tree_merged(cols.mapInArrow(_looking(searches), STATE), merge_results, finish, _FOUND).collect()
+    found = tree_merged(cols.mapInArrow(_looking(searches), STATE), _merging(_limits()), finish, _FOUND).collect()
     return [(r["key"], r["rank"], Bracket(*r[2:])) for r in found]
 
 
@@ -223,7 +236,7 @@ def _narrowed(df: DataFrame, names: Sequence[str], probs: Sequence[float], inner
         return pa.Table.from_pylist([*rows, {"key": key, "rank": -1, "rows": float(n)}], schema=_FOUND_ARROW)
 
     whole = [_Search(i) for i in range(len(names))]
-    first = tree_merged(cols.mapInArrow(_looking(whole), STATE), merge_results, finish, _FOUND).collect()
+    first = tree_merged(cols.mapInArrow(_looking(whole), STATE), _merging(_limits()), finish, _FOUND).collect()
     n = {r["key"]: int(r["rows"]) for r in first if r["rank"] < 0}
     values = settled(cols, {(r["key"], r["rank"]): Bracket(*r[2:]) for r in first if r["rank"] >= 0}, inner_limit)
     return {name: interpolated(values, i, n.get(i, 0), probs) for i, name in enumerate(names)}

@@ -38,5 +38,5 @@ def test_text_features_read_documents(spark, name):
 
 
 def test_every_event_is_encoded(spark):
-    out = QUERIES["feature_target_encode_unseen_all"](spark, DATA)
+    out = QUERIES["feature_target_encode_unseen"](spark, DATA)
     assert out.count() == spark.read.parquet(f"{DATA}/events.parquet").count()
