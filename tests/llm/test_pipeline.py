@@ -22,7 +22,7 @@ def test_stages(spark, tmp_path, documents, prose):
 
 
 def test_registered():
-    assert len(QUERIES) == 10 and set(ORACLE) <= set(QUERIES)
+    assert len(QUERIES) == 13 and set(ORACLE) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "substring_dedup", "packing"]
 
 
