@@ -1,7 +1,6 @@
 """Value frequencies and distinct counts.
 
-The most frequent values of all columns come from one scan that summarises hashes and one that counts
-candidates. Where every value has to be grouped, each column has a plan of its own and the small
+Candidates for the most frequent values of all columns come from one scan that summarises hashes. Where every value has to be grouped, each column has a plan of its own and the small
 results are united: a columnar source then reads each column once, values keep their own type (text
 is made only of the few values that are reported), and a value that fills much of a column is
 collapsed by map-side counting before the shuffle.
@@ -41,8 +40,6 @@ HIGH_CARDINALITY_ADVICE = 5
 HIGH_CARDINALITY_INSIGHT = 2
 # Longest text that is compared as it is; a marked digest is longer by two.
 LONG_TEXT = 63
-# Candidates for the most frequent values that one scan counts.
-CANDIDATES_PER_SCAN = 200
 # A column with at most ten distinct values never gets a higher estimate from the sketch.
 _SKETCH_CEILING = 13
 
@@ -135,65 +132,35 @@ def top_values(
     """``(position, column, rank, value, n)``: the most frequent known values of each categorical
     column, as text; ties go to the smaller value.
 
-    One scan of all columns finds candidates by hash with a bound of the error, one more counts them.
-    Only columns whose values are too evenly spread for that are grouped."""
+    One scan of all columns finds candidates by hash with a bound of the error; of each column only these
+    are counted. Only columns whose values are too evenly spread for that are grouped whole."""
     names = (roles or split_roles(df))[0] if names is None else require_columns(df, names)
     ddl = "position int, column string, rank int, value string, n bigint"
     if not names:
         return literal_rows(df.sparkSession, [], ddl)
-    told = _recounted(df, {n: h for n, h in candidates(df, names, k).items() if h is not None}, k)
-    rows = [
-        (df.columns.index(n), n, rank, value, count)
-        for n, top in told.items()
-        for rank, (value, count) in enumerate(top, 1)
-    ]
-    parts = [df.sparkSession.createDataFrame(rows, ddl)] if rows else []
-    left = [n for n in names if n not in told]
-    long = long_text_columns(df, left)
-    parts += [
-        _tagged(df, n, _ranked(df, n, k, n in long), "posexplode(top) AS (pos, v)").selectExpr(
-            "position", "column", "pos + 1 AS rank", "CAST(v.value AS STRING) AS value", "v.n AS n"
+    found = candidates(df, names, k)
+    long = long_text_columns(df, [n for n in names if found[n] is None])
+    parts = []
+    for n in names:
+        top = _ranked(df, n, k, n in long) if found[n] is None else _recounted(df, n, found[n], k)
+        parts.append(
+            _tagged(df, n, top, "posexplode(top) AS (pos, v)").selectExpr(
+                "position", "column", "pos + 1 AS rank", "CAST(v.value AS STRING) AS value", "v.n AS n"
+            )
         )
-        for n in left
-    ]
-    return union_rows(parts) if parts else literal_rows(df.sparkSession, [], ddl)
+    return union_rows(parts)
 
 
-def _recounted(df: DataFrame, found: dict[str, list[int]], k: int) -> dict[str, list[tuple[str, int]]]:
-    """The ``k`` most frequent values of columns with known candidates, as text with exact counts.
+def _recounted(df: DataFrame, name: str, hashes: Sequence[int], k: int) -> DataFrame:
+    """One row: ``top``, the ``k`` most frequent values of a column whose candidates are known.
 
-    One scan counts the candidates of a batch of columns. A column of which two values share a
-    candidate's hash is left out.
+    Only rows of candidates are grouped, by their value: two values of one hash stay apart.
     """
-    told = {n: [] for n, hashes in found.items() if not hashes}
-    todo = [n for n in found if n not in told]
-    while todo:
-        part, size = [], 0
-        while todo and (not part or size + len(found[todo[0]]) <= CANDIDATES_PER_SCAN):
-            size += len(found[todo[0]])
-            part.append(todo.pop(0))
-        values = df.selectExpr(
-            *[x for i, n in enumerate(part) for x in (f"{known_sql(df, n)} AS v{i}", f"{hash_sql(df, n)} AS h{i}")]
-        )
-        cells = []
-        for i, n in enumerate(part):
-            one = "named_struct('n', count_if(h{i} = {h}L), 'lo', min(CASE WHEN h{i} = {h}L THEN v{i} END), 'hi', max(CASE WHEN h{i} = {h}L THEN v{i} END))"
-            cells.append(array_sql(one.format(i=i, h=h) for h in found[n]) + f" AS c{i}")
-        order = "(a, b) -> CASE WHEN a.n <> b.n THEN int(sign(b.n - a.n)) WHEN a.lo < b.lo THEN -1 WHEN a.lo > b.lo THEN 1 ELSE 0 END"
-        row = values.selectExpr(*cells).selectExpr(
-            *[
-                x
-                for i in range(len(part))
-                for x in (
-                    f"exists(c{i}, x -> x.lo <> x.hi)",
-                    f"transform(slice(array_sort(c{i}, {order}), 1, {k}), x -> struct(CAST(x.lo AS STRING) AS value, x.n AS n))",
-                )
-            ]
-        ).first()
-        for i, n in enumerate(part):
-            if not row[2 * i]:
-                told[n] = [(v["value"], v["n"]) for v in row[2 * i + 1]]
-    return told
+    rows = df.selectExpr(f"{known_sql(df, name)} AS value", f"{hash_sql(df, name)} AS h")
+    listed = ", ".join(f"{h}L" for h in hashes) or "NULL"
+    counts = rows.where(f"h IN ({listed})").groupBy("value").agg(F.expr("count(1) AS n"))
+    top = counts.orderBy(F.desc("n"), "value").limit(k)
+    return top.selectExpr("array_sort(collect_list(named_struct('neg', -n, 'value', value, 'n', n))) AS top")
 
 
 def unique_counts(
