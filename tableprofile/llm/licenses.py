@@ -24,6 +24,10 @@ TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _SPAN = "array<struct<first:int,last:int>>"
 _FOUND = "array<struct<first:int,back:int,priority:int,rule:int,label:string,score:double>>"
 _LEVELS = 4
+#: Detections of a block of the suppression.
+_BLOCK = 256
+#: Marks of a match's ends; no word holds them.
+_OPEN, _CLOSE = "\x01", "\x02"
 
 
 def _literal(value, schema: str) -> Column:
@@ -36,58 +40,81 @@ def _gate(found_by: Sequence[tuple[str, ...]]) -> list[str]:
     return sorted({max(keyword.split(), key=len) for keywords in found_by for keyword in keywords})
 
 
-def _spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" ")))
+def _with(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _spans(canon: Column, pattern: Column) -> Column:
     """Numbers of the first and last word of every match of a pattern, from left to right.
 
-    The text between matches and the matches themselves add up to the text, so that counting
-    spaces gives word numbers.
+    Matches begin and end at words: signs that no word has mark both ends, and words are looked
+    through once for each, so that the work grows with the text and not with the matches' square.
     """
     bounded = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    parts = F.zip_with(
-        F.split(canon, bounded, -1),
-        F.regexp_extract_all(canon, bounded, F.lit(0)),
-        lambda gap, match: F.struct(_spaces(gap).alias("gap"), _spaces(match).alias("inner")),
+    numbered = lambda words: F.transform(words, lambda w, i: F.struct((i - 1).alias("at"), w.alias("word")))
+    ends = lambda words: F.zip_with(
+        F.filter(words, lambda w: F.startswith(w["word"], F.lit(_OPEN))),
+        F.filter(words, lambda w: F.endswith(w["word"], F.lit(_CLOSE))),
+        lambda a, b: F.struct(a["at"].alias("first"), b["at"].alias("last")),
+    )
+    return _with(
+        F.regexp_replace(canon, bounded, F.lit(f"{_OPEN}$0{_CLOSE}")),
+        lambda text: F.when(
+            F.contains(text, F.lit(_OPEN)), _with(numbered(F.split(text, " ", -1)), ends)
+        ).otherwise(F.array().cast(_SPAN)),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def step(acc, x):
-        first = acc["at"] + x["gap"] - 1
-        grown = F.struct(
-            (acc["at"] + x["gap"] + x["inner"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(first.alias("first"), (first + x["inner"]).alias("last")))).alias("spans"),
-        )
-        return F.when(x["inner"].isNull(), acc).otherwise(grown)
-
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
 
 
 def _labelled(label: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(F.lit(label).alias("label"), s["first"].alias("first"), s["last"].alias("last")))
 
 
+def _reached(reach: Column, d: Column) -> Column:
+    """How far each priority reaches, a detection included."""
+    return F.transform(reach, lambda r, i: F.when(i + 1 >= d["priority"], F.greatest(r, -d["back"])).otherwise(r))
+
+
 def _kept(found: Column) -> Column:
     """Detections that none of the same or a stronger priority spans.
 
     In the order of start, then longest, then strongest, whatever spans a detection comes before
-    it; it is enough to carry how far each priority has reached.
+    it; it is enough to carry how far each priority has reached. Detections go in blocks, so that
+    no list is extended more than a block's or the blocks' number of times.
     """
-    start = F.struct(F.array_repeat(F.lit(-1), _LEVELS).alias("reach"), F.array().cast(_FOUND).alias("kept"))
+    nothing = F.array_repeat(F.lit(-1), _LEVELS)
+    blocks = lambda d: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(d) - 1) / _BLOCK).cast("int")), lambda b: F.slice(d, b * _BLOCK + 1, _BLOCK)
+    )
 
-    def step(acc, d):
-        last = -d["back"]
-        covered = F.element_at(acc["reach"], d["priority"]) >= last
+    def carried(parts: Column) -> Column:
+        """How far each priority reaches before every block."""
+        before = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda block: F.aggregate(block, nothing, _reached))
+        return F.aggregate(
+            before,
+            F.array(nothing),
+            lambda acc, reach: F.concat(
+                acc, F.array(F.zip_with(F.element_at(acc, -1), reach, lambda x, y: F.greatest(x, y)))
+            ),
+        )
+
+    def step(acc: Column, d: Column) -> Column:
+        covered = F.element_at(acc["reach"], d["priority"]) >= -d["back"]
         return F.struct(
-            F.transform(
-                acc["reach"], lambda r, i: F.when(i + 1 >= d["priority"], F.greatest(r, last)).otherwise(r)
-            ).alias("reach"),
+            _reached(acc["reach"], d).alias("reach"),
             F.when(covered, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(d))).alias("kept"),
         )
 
-    return F.aggregate(F.array_sort(found), start, step, lambda acc: acc["kept"])
+    def within(block: Column, reach: Column) -> Column:
+        start = F.struct(reach.alias("reach"), F.array().cast(_FOUND).alias("kept"))
+        return F.aggregate(block, start, step, lambda acc: acc["kept"])
+
+    return _with(
+        F.array_sort(found),
+        lambda d: F.when(F.size(d) == 0, F.array().cast(_FOUND)).otherwise(
+            _with(blocks(d), lambda parts: F.flatten(F.zip_with(parts, carried(parts), within)))
+        ),
+    )
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signatures: Sequence[Rule] | None = None) -> DataFrame:

@@ -49,6 +49,30 @@ def test_against_brute_force(documents, odd_rows):
     assert licenses.license_digest(documents(rows).limit(0)).collect() == []
 
 
+def test_detections_without_number(documents):
+    """Copies of a text have the detections of one, moved; their number is beyond many blocks."""
+    one = " ".join(TEXTS) + " zzz "
+    n, base, found = brute(one)
+    copies = 4000
+    r = licenses.scan_licenses(documents([(1, one * copies)])).first()
+    assert r["n_words"] == n * copies and len(r["base"]) == len(base) * copies
+    moved = {(name, label, a + n * c, b + n * c, p, s) for c in range(copies) for name, label, a, b, p, s in found}
+    assert len(r["detections"]) == len(moved) > 50_000 and set(map(tuple, r["detections"])) == moved
+    ends = [(d["first"], -d["last"]) for d in r["detections"]]
+    assert ends == sorted(ends)
+
+
+def test_a_span_of_blocks_hides_what_it_holds(documents):
+    """A strong detection in the first block reaches into all later ones."""
+    rules = [
+        license_rules.Rule("wide", "w", 1, ("start",), "", "start(?: a)+ stop", 1.0),
+        license_rules.Rule("narrow", "n", 2, ("a",), "", "a", 0.5),
+    ]
+    text = "a start" + " a" * 2000 + " stop a"
+    r = licenses.scan_licenses(documents([(1, text)]), signatures=rules).first()
+    assert [(d["rule"], d["first"], d["last"]) for d in r["detections"]] == [("narrow", 0, 0), ("wide", 1, 2002), ("narrow", 2003, 2003)]
+
+
 def test_digest(documents):
     r = licenses.license_digest(documents([(1, TEXTS[1])])).first()
     assert (r["n_base"], r["first_word"], r["last_word"]) == (2, 7, 12)
