@@ -5,7 +5,8 @@ bin whose room is the tightest that holds them, if it has no document of the sam
 of the same cluster of copies; else the search goes on to the next roomier bin, and after the last
 one a new bin is opened. Bins are kept by room, each with a bitmap of its sources and one of its
 clusters. Pieces are dealt to shards of bounded size at random, so every shard sees a fair share of
-a frequent source, and shards are packed side by side.
+a frequent source, and shards are packed side by side. Words are counted once; what follows works
+on sizes alone.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableprofile.llm.scratch import written
 from tableprofile.llm.words import WORD, whole, words
 
 #: Words in a training sequence.
@@ -121,15 +123,22 @@ def text_cluster(text: Column) -> Column:
 
 
 def best_fit_packing(
-    docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, source_col: str = "source", cluster: Column | None = None
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    shard: int = SHARD,
+    source_col: str = "source",
+    cluster: Column | None = None,
+    clusters: DataFrame | None = None,
 ) -> DataFrame:
     """``shard``, ``bin``, ``position``, ``doc_id``, ``piece``, ``first_word``, ``n_words``, ``source`` and ``cluster`` of every piece.
 
     A sequence is a (shard, bin); its pieces follow each other by ``position`` and have at most
     ``capacity`` words together. A piece has ``capacity`` words of a document, the last one what is
-    left. Documents without words, null texts too, have no piece. A null source conflicts with no
-    other; ``cluster`` tells copies of a text (by default equal words). Repeated rows are copies of
-    each other; null ids are packed like others. Other columns are ignored.
+    left, however long the text. Documents without words, null texts too, have no piece. A null
+    source conflicts with no other; ``cluster`` tells copies of a text (by default equal words), and
+    ``clusters`` (``doc_id``, ``component_id``) does for the ids it has, the smallest of an id's.
+    Repeated rows are copies of each other and are dealt one by one, as are rows without an id, whose
+    copies are told by ``cluster``. Of pieces of one length those of smaller id go first. Other columns are ignored.
     """
     cluster = text_cluster(F.col("text")) if cluster is None else cluster.cast("long")
     sized = docs.select(
@@ -138,19 +147,40 @@ def best_fit_packing(
         cluster.alias("cluster"),
         F.regexp_count(whole(F.col("text")), F.lit(WORD)).cast("long").alias("total"),
     ).filter("total > 0")
-    pieces = sized.withColumn(
-        "piece", F.explode(F.expr(f"sequence(0L, CAST(floor((total - 1) / {capacity}) AS bigint))"))
-    ).select(
-        "doc_id",
-        "piece",
-        (F.col("piece") * capacity).alias("first_word"),
-        F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity).cast("long").alias("n_words"),
-        "source",
-        "cluster",
+    # Equal rows are counted where they are read, so that no key has more than a row per task.
+    sized = written(sized.groupBy("doc_id", "source", "cluster", "total").agg(F.count("*").alias("copies")), "sizes")
+    if clusters is not None:
+        given = clusters.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").cast("long").alias("given"))
+        named = sized.filter("doc_id IS NOT NULL").join(given, "doc_id", "left")
+        named = named.withColumn("cluster", F.coalesce("given", "cluster")).drop("given")
+        dealt = named.unionByName(sized.filter("doc_id IS NULL"))
+    else:
+        dealt = sized
+    last = f"CAST(floor((total - 1) / {capacity}) AS bigint)"
+    pieces = (
+        dealt.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+        .withColumn("piece", F.explode(F.expr(f"sequence(0L, {last})")))
+        .select(
+            "doc_id",
+            "piece",
+            (F.col("piece") * capacity).alias("first_word"),
+            F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity).cast("long").alias("n_words"),
+            "source",
+            "cluster",
+            "copy",
+            "total",
+        )
     )
-    n = max(1, -(-pieces.count() // shard))
-    dealt = pieces.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
-    return dealt.groupBy("__shard").applyInArrow(
-        _packed(capacity),
-        "shard long, bin long, position long, doc_id long, piece long, first_word long, n_words long, source string, cluster long",
+    n_pieces = sized.agg(F.expr(f"sum(copies * ({last} + 1))")).first()[0] or 0
+    n = max(1, -(-n_pieces // shard))
+    # Neither one id nor one text decides alone, as a third of the rows may share either.
+    hashed = F.xxhash64("doc_id", "piece", "cluster", "source", "total", "copy")
+    return (
+        pieces.withColumn("__shard", F.pmod(hashed, F.lit(n)))
+        .drop("copy", "total")
+        .groupBy("__shard")
+        .applyInArrow(
+            _packed(capacity),
+            "shard long, bin long, position long, doc_id long, piece long, first_word long, n_words long, source string, cluster long",
+        )
     )

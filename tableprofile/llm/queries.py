@@ -54,7 +54,8 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.best_fit_packing(documents(spark, folder))
+    docs = documents(spark, folder)
+    return packing.best_fit_packing(docs, clusters=jaccard.jaccard_components(docs))
 
 
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:

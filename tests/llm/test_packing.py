@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tableprofile.llm import packing
+from tableprofile.llm import jaccard, packing
 
 
 def brute(pieces, capacity):
@@ -66,3 +66,49 @@ def test_clusters_may_be_given(documents, prose):
     docs = documents([(k, prose(k, 10), "en", f"s{k}") for k in range(6)])
     out = packing.best_fit_packing(docs, capacity=100, cluster=F.lit(1)).collect()
     assert len({(r["shard"], r["bin"]) for r in out}) == 6
+
+
+def test_near_copies_go_apart(spark, documents, prose):
+    """Two texts that differ by a word share no sequence once their component is given."""
+    rows = []
+    for k in range(20):
+        text = prose(k, 60)
+        rows += [(2 * k, text, "en", f"a{k}"), (2 * k + 1, text + " more", "en", f"b{k}")]
+    rows += [(None, prose(3, 60), "en", "x"), (None, prose(3, 60), "en", "y")]
+    docs = documents(rows)
+    components = jaccard.jaccard_components(docs)
+    out = packing.best_fit_packing(docs, capacity=4000, clusters=components).collect()
+    assert len(out) == len(rows)
+    held = defaultdict(list)
+    for r in out:
+        held[r["shard"], r["bin"]].append(r["doc_id"])
+    for ids in held.values():
+        known = [i // 2 for i in ids if i is not None]
+        assert len(set(known)) == len(known) and len(ids) - len(known) <= 1
+    assert any(r["cluster"] % 2 == 0 and r["doc_id"] == r["cluster"] + 1 for r in out if r["doc_id"] is not None)
+    # Without the components only equal words keep texts apart.
+    plain = defaultdict(set)
+    for r in packing.best_fit_packing(docs, capacity=4000).collect():
+        plain[r["shard"], r["bin"]].add(r["doc_id"])
+    assert any({0, 1} <= ids for ids in plain.values())
+
+
+def test_hot_ids_fill_many_shards(spark):
+    """Rows of no id, of one id and repeated rows, all by the thousand, are dealt to all shards."""
+    docs = spark.range(9000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7L ELSE 8L END AS doc_id",
+        "CASE WHEN id % 3 = 2 THEN 'one text' ELSE concat('text ', id) END AS text",
+        "CASE WHEN id % 3 = 2 THEN 's' END AS source",
+    )
+    out = packing.best_fit_packing(docs, capacity=64, shard=500)
+    found = out.groupBy("doc_id", "shard").count().collect()
+    for i in (None, 7, 8):
+        parts = [r["count"] for r in found if r["doc_id"] == i]
+        assert sum(parts) == 3000 and len(parts) == 18 and max(parts) < 300
+    apart = out.filter("source = 's'").groupBy("shard", "bin").count().agg(F.max("count")).first()[0]
+    assert apart == 1
+
+
+def test_a_long_text_is_cut(documents, prose):
+    out = packing.best_fit_packing(documents([(1, "word " * 200_001, "en", None)]), capacity=2048, shard=10).collect()
+    assert sorted(r["first_word"] for r in out) == list(range(0, 200_001, 2048)) and sum(r["n_words"] for r in out) == 200_001
