@@ -5,8 +5,10 @@ lines by their make-up and labels by the label before; Viterbi decoding finds th
 and a document stays if at least half of its characters in lines are content.
 
 The field learns from documents labelled as a whole, whose lines all take the document's label: at
-most ``SAMPLE`` documents of each label, those of the least hash of their id. Counts, features and
-decoding cover every text in full.
+most ``SAMPLE`` documents of each label, those of the least hash of their id, and of each of them all
+lines, or where these are more than ``STRETCH`` times ``STRETCHES``, as many stretches at even distances over
+the whole text. So the fit has a bounded number of lines and of steps. Counts, features and decoding
+cover every text in full.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from tableprofile.llm.scratch import small_batches
 
 #: Labelled documents of each label that the field learns from, at most.
 SAMPLE = 500
+#: Lines of a stretch that is learnt from as one chain, and stretches of a document, at most.
+STRETCH = 64
+STRETCHES = 16
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -116,9 +121,20 @@ def viterbi(scores: list[float], moves: list[list[float]]) -> list[int]:
     return labels[::-1]
 
 
+def stretches(lines: np.ndarray, size: int = STRETCH, most: int = STRETCHES) -> list[np.ndarray]:
+    """A text's lines in stretches; of more than ``most``, those at even distances, the first and the last among them."""
+    n = -(-len(lines) // size)
+    chosen = range(n) if n <= most else np.unique(np.linspace(0, n - 1, most).round().astype(int)).tolist()
+    return [lines[k * size : (k + 1) * size] for k in chosen]
+
+
 def fit_field(texts_of: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.2, shrink: float = 1e-3) -> Field:
-    """Weights of highest likelihood, each document counting once, by gradient ascent with momentum."""
-    texts_of, labels = zip(*[(x, y) for x, y in zip(texts_of, labels) if len(x)])
+    """Weights of highest likelihood, each document counting once, by gradient ascent with momentum.
+
+    Stretches of a document are chains of their own, so that the steps of a round have a bound.
+    """
+    cut = [(x, y, sum(map(len, parts))) for parts, y in zip(map(stretches, texts_of), labels) for x in parts]
+    texts_of, labels, of_document = zip(*cut)
     every = np.concatenate(texts_of)
     mean, scale = every.mean(0), np.maximum(every.std(0), 1e-3)
     order = np.argsort([-len(x) for x in texts_of], kind="stable")
@@ -128,7 +144,8 @@ def fit_field(texts_of: list[np.ndarray], labels: list[int], rounds: int = 150,
     longest = int(sizes[0])
     at_step = [np.stack([x[t] for x, n in zip(xs, sizes) if n > t]) for t in range(longest)]
     alive = [int((sizes > t).sum()) for t in range(longest)]
-    share = 1.0 / sizes
+    share = 1.0 / np.array([of_document[k] for k in order])
+    documents = (share * sizes).sum()
     weights, moves = np.zeros(every.shape[1] + 1), np.zeros((2, 2))
     pace_w, pace_m = np.zeros_like(weights), np.zeros_like(moves)
     for _ in range(rounds):
@@ -146,7 +163,7 @@ def fit_field(texts_of: list[np.ndarray], labels: list[int], rounds: int = 150,
             n = alive[t]
             both = ahead[t] + behind[:n]
             p = np.exp(both - np.logaddexp(both[:, :1], both[:, 1:]))
-            grad_w = grad_w + at_step[t].T @ ((ys[:n] - p[:, 1]) * share[:n]) / len(xs)
+            grad_w = grad_w + at_step[t].T @ ((ys[:n] - p[:, 1]) * share[:n]) / documents
             if t:
                 emit = np.zeros((n, 2))
                 emit[:, 1] = at_step[t] @ weights
@@ -156,7 +173,7 @@ def fit_field(texts_of: list[np.ndarray], labels: list[int], rounds: int = 150,
                 q = (q / q.sum(1, keepdims=True)).reshape(n, 2, 2)
                 seen = np.zeros((n, 2, 2))
                 seen[np.arange(n), ys[:n], ys[:n]] = 1
-                grad_m = grad_m + ((seen - q) * share[:n, None, None]).sum(0) / len(xs)
+                grad_m = grad_m + ((seen - q) * share[:n, None, None]).sum(0) / documents
                 step = moves + (emit + behind[:n])[:, None, :]
                 behind[:n] = np.logaddexp(step[:, :, 0], step[:, :, 1])
         pace_w, pace_m = 0.9 * pace_w + grad_w, 0.9 * pace_m + grad_m
@@ -177,7 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
             data, bounds = texts(batch.column("text"))
             out = []
             for i in range(len(bounds) - 1):
-                out.append(_line_features(data, bounds[i : i + 2])[0].astype(np.float32).tobytes())
+                parts = stretches(_line_features(data, bounds[i : i + 2])[0].astype(np.float32))
+                out.append(b"".join(x.tobytes() for x in parts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "lines"]
             )
@@ -186,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
     rows = texted.dropDuplicates(["doc_id"]).select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(
         lines, "doc_id long, quality int, lines binary"
     )
-    # At most twice the sample; a line is some 40 bytes.
+    # At most twice the sample, of 1,024 lines each; a line is 40 bytes.
     found = rows.orderBy("doc_id").collect()
     if len({r["quality"] for r in found if r["lines"]}) < 2:
         return None

@@ -67,3 +67,24 @@ def test_learns_from_labels(spark, documents, prose):
     out = quality.judge(docs, quality.train(docs, labels)).collect()
     assert all(r["kept"] == (r["doc_id"] < 100) for r in out if not r["base_failed"])
     assert quality.train(docs, labels.limit(0)) is None
+
+
+def test_stretches_spread_over_the_text():
+    lines = np.arange(1000)[:, None]
+    assert [x.tolist() for x in quality.stretches(lines[:130], 64, 16)] == [lines[:64].tolist(), lines[64:128].tolist(), lines[128:130].tolist()]
+    found = quality.stretches(lines, 10, 5)
+    assert [int(x[0, 0]) for x in found] == [0, 250, 500, 740, 990] and all(len(x) == 10 for x in found)
+    assert quality.stretches(lines[:0]) == []
+
+
+def test_learns_from_texts_of_very_many_lines(spark, documents, prose):
+    """Fitting has a bound on its lines; counts and decoding have none."""
+    clean = "\n".join(prose(j, 8) + "." for j in range(40)) + "\n"
+    junk = "\n".join(f"$$$ | {prose(j, 3)} |||" for j in range(40)) + "\n"
+    rows = [(1, clean * 2500), (2, junk * 2500), (3, clean), (4, junk)]
+    docs = documents(rows)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    field = quality.train(docs, labels)
+    out = {r["doc_id"]: r for r in quality.judge(docs, field).collect()}
+    assert out[1]["n_dup_lines"] == 99_960 and out[2]["n_boilerplate"] == 100_000 and out[1]["n_boilerplate"] == 0
+    assert out[3]["content_share"] == 1 and out[4]["content_share"] == 0
