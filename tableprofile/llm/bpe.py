@@ -158,24 +158,34 @@ def _chunks(ranks: Broadcast, pattern: str, overlap: int) -> Callable[[Iterator[
 
 
 def stitch(chunks: list[tuple[int, str, np.ndarray, np.ndarray, bytes]], own: Codec) -> bytes:
-    """Ids of a text from its chunks in order: start, text, boundaries, ids before these, ids."""
+    """Ids of a text from its chunks in order: start, text, boundaries, ids before these, ids.
+
+    Chunks that agree on no boundary are pre-tokenised again as one, twice as many of them each
+    time that this gives none either, so that a run without any boundary costs its length and not its square.
+    """
     parts = []
     start, text, chars, counts, ids = chunks[0]
-    begin = 0
-    for follow in chunks[1:]:
+    begin, at, more = 0, 1, 1
+    while at < len(chunks):
+        follow = chunks[at]
         end = start + len(text)
         agreed = np.intersect1d(chars[(chars >= follow[0]) & (chars <= end - DOUBT) & (counts >= begin)], follow[2])
         if len(agreed):
             parts.append(ids[4 * begin : 4 * int(counts[np.searchsorted(chars, agreed[0])])])
             begin = int(follow[3][np.searchsorted(follow[2], agreed[0])])
             start, text, chars, counts, ids = follow
+            at, more = at + 1, 1
         else:
-            text = text + follow[1][end - follow[0] :]
-            # From the last agreed boundary on, both as one.
+            # From the last agreed boundary on, all as one.
             known = int(chars[np.searchsorted(counts, begin)]) - start
-            start, text = start + known, text[known:]
+            joined = [text[known:]]
+            for added in chunks[at : at + more]:
+                joined.append(added[1][end - added[0] :])
+                end = added[0] + len(added[1])
+            start, text = start + known, "".join(joined)
             chars, counts, ids = _ends(text, own)
             chars, begin = chars + start, 0
+            at, more = at + more, 2 * more
     parts.append(ids[4 * begin :])
     return b"".join(parts)
 

@@ -40,3 +40,22 @@ def test_very_long_text(spark, documents, ranks, prose):
     own = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     out = bpe.encode(documents([(1, text)]), bpe.load_ranks(spark, PATH), PATTERN).first()
     assert np.frombuffer(out["ids"], "<u4").tolist() == own.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["x" * 4000, "ab c" * 30 + "y" * 3000 + " tail of words" * 40, "=" * 1500 + "q" * 1500])
+def test_a_run_over_many_chunks_is_cut_again_a_few_times_only(ranks, monkeypatch, text):
+    """Chunks that agree nowhere are joined by doubling: the characters cut again are a few times the text's."""
+    own = bpe.Codec(ranks, PATTERN)
+    chunk, overlap = 50, 20
+    chunks = []
+    for start in range(0, max(1, len(text) - overlap), chunk):
+        part = text[start : start + chunk + overlap]
+        chars, counts, ids = bpe._ends(part, own)
+        edge = (chars <= overlap) | (chars >= len(part) - overlap)
+        chunks.append((start, part, chars[edge] + start, counts[edge], ids))
+    cut = []
+    again = bpe._ends
+    monkeypatch.setattr(bpe, "_ends", lambda t, own: cut.append(len(t)) or again(t, own))
+    want = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    assert np.frombuffer(bpe.stitch(chunks, own), "<u4").tolist() == want
+    assert sum(cut) <= 4 * len(text) and len(cut) <= 24
