@@ -30,9 +30,14 @@ def text_size(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _words(name: str) -> Column:
+    """The words of a row's normalised text; missing for a missing text."""
+    return F.array_remove(F.split(_plain(ref(name)), " "), "")
+
+
 def _counted(df: DataFrame, key: str, name: str) -> DataFrame:
     """``<key>``, ``word`` and ``n`` of every row by itself, without a shuffle: runs of its sorted words."""
-    split = F.array_sort(F.filter(F.split(_plain(ref(name)), " "), lambda w: w != ""))
+    split = F.sort_array(_words(name))
     rows = df.select(ref(key).alias("__key"), split.alias("w")).where(F.size("w") > 0)
     # Places where a run begins, and the end.
     begins = F.expr("filter(sequence(0, size(w) - 1), i -> i = 0 OR w[i] <> w[i - 1])")
@@ -54,10 +59,12 @@ def bag_of_words(df: DataFrame, key: str, name: str) -> DataFrame:
     """
     require_columns(df, [key])
     require_columns(df, [name], "object")
+    return _bag(df, key, name, _repeats(df, key))
+
+
+def _bag(df: DataFrame, key: str, name: str, repeats: bool) -> DataFrame:
     counted = _counted(df, key, name)
-    if _repeats(df, key):
-        return counted.groupBy(ref(key), "word").agg(F.sum("n").alias("n"))
-    return counted
+    return counted.groupBy(ref(key), "word").agg(F.sum("n").alias("n")) if repeats else counted
 
 
 def tf_idf(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -67,9 +74,14 @@ def tf_idf(df: DataFrame, key: str, name: str) -> DataFrame:
     words' numbers of rows, which tasks count before they send them; a word of very many rows is a
     skewed key of a plain join, which adaptive execution splits.
     """
-    bag = bag_of_words(df, key, name)
+    require_columns(df, [key])
+    require_columns(df, [name], "object")
+    repeats = _repeats(df, key)
+    bag = _bag(df, key, name, repeats)
     rows = df.select(F.count(ref(name)).alias("n")).scalar()
-    spread = bag.groupBy(F.col("word").alias("__word")).agg(F.count("*").alias("__rows"))
+    # Where keys are unique the bag need not be made for the numbers of rows.
+    found = bag.select(F.col("word").alias("__word")) if repeats else df.select(F.explode(F.array_distinct(_words(name))).alias("__word"))
+    spread = found.groupBy("__word").agg(F.count("*").alias("__rows"))
     joined = bag.join(spread, F.col("word") == F.col("__word"))
     idf = F.log((rows + 1) / (F.col("__rows") + 1)) + 1
     return joined.select(ref(key), "word", "n", (F.col("n") * idf).alias("weight"))
