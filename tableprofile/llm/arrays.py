@@ -11,10 +11,6 @@ import pyarrow as pa
 SLICE = 1 << 19
 #: The first k bytes of eight, for k from 0.
 _FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[32, 9, 10, 11, 12, 13]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,10 +37,11 @@ def slices(bounds: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Words:
@@ -57,7 +54,8 @@ class Words:
         at = bounds[i : j + 1] - bounds[i]
         part = data[bounds[i] : bounds[j]]
         n = len(part)
-        word = _IS_WORD[part]
+        # Differences of bytes wrap, so a range takes one comparison.
+        word = (part != 32) & (part - np.uint8(9) > 4)
         begins = np.zeros(n + 1, bool)
         begins[at[:-1]] = True
         before = np.r_[False, word[:-1]] if n else word
@@ -68,7 +66,9 @@ class Words:
         self.bytes = part
         self.first = np.searchsorted(self.start, at)
         self.doc = np.repeat(np.arange(j - i), np.diff(self.first))
-        self.hash = self._hashes(_LOWER[part] if lower else part) if hashed else None
+        if lower and hashed:
+            part = part + ((part - np.uint8(65) < 26).view(np.uint8) << 5)
+        self.hash = self._hashes(part) if hashed else None
 
     def _hashes(self, part: np.ndarray) -> np.ndarray:
         """Every eight bytes of a word are mixed with their place, and the results added and mixed again.
@@ -76,17 +76,20 @@ class Words:
         The mixing is not linear, so that words built to collide under a polynomial do not.
         """
         size = self.end - self.start
-        blocks = (size + 7) >> 3
-        first = np.cumsum(blocks) - blocks
-        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
-        at = np.repeat(self.start, blocks) + 8 * place
-        left = np.minimum(np.repeat(size, blocks) - 8 * place, 8)
         padded = np.concatenate([part, np.zeros(8, np.uint8)])
-        eight = np.lib.stride_tricks.as_strided(padded, (len(part) + 1, 8), (1, 1))[at]
-        value = np.ascontiguousarray(eight).view("<u8")[:, 0] & _FIRST[left]
-        value = mixed(value ^ mixed(place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-        own = total[first + blocks] - total[first]
+        eight = np.ndarray(len(part) + 1, "<u8", padded, strides=(1,))
+        salt = mixed(np.arange(int(size.max() + 7 >> 3) if len(size) else 1, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        own = mixed((eight[self.start] & _FIRST[np.minimum(size, 8)]) ^ salt[0])
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            # The other blocks of longer words.
+            blocks = (size[long] - 1) >> 3
+            first = np.cumsum(blocks) - blocks
+            place = np.arange(int(blocks.sum())) - np.repeat(first, blocks) + 1
+            at = np.repeat(self.start[long], blocks) + 8 * place
+            left = np.minimum(np.repeat(size[long], blocks) - 8 * place, 8)
+            value = mixed((eight[at] & _FIRST[left]) ^ salt[place])
+            own[long] += np.add.reduceat(value, first)
         return mixed(own + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def grams(self, width: int) -> np.ndarray:

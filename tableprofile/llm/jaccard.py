@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprofile.llm.arrays import Words, mixed, slices, texts
@@ -41,97 +41,112 @@ BITS = 4096
 TOGETHER = 16
 #: Shingles counted at once in a task.
 CHUNK = 1 << 19
+#: Prefix rows that a task packs at once, and those of a part on average (24 bytes each).
+PART = 1 << 20
+#: Leaves the highest 23 bits of a shingle, by which most are told not to be frequent.
+SIEVE_SHIFT = np.uint64(40)
 _TOP = np.uint64(1 << 63)
 
 
-def _shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """Distinct 63-bit shingle hashes of every text, in order; fewer words than ``width`` are one shingle."""
+def _shingled(data: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct 63-bit shingle hashes, in order, of some texts after the other, where each text's begin and end, its words.
+
+    Fewer words than ``width`` are one shingle.
+    """
     for i, j in slices(bounds):
         words = Words(data, bounds, i, j, lower=True)
-        hashes, first = words.grams(width) >> np.uint64(1), words.first
-        short = {}
-        for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < width)):
+        hashes, first, kept = words.grams(width) >> np.uint64(1), words.first, words.fits(width)
+        n = np.diff(first)
+        short = (n > 0) & (n < width)
+        for d in np.flatnonzero(short).tolist():
             own = np.zeros(1, np.uint64)
             for k in range(first[d], first[d + 1]):
                 own = mixed(own + words.hash[k : k + 1])
-            short[d] = own >> np.uint64(1)
-        for d in range(j - i):
-            n = first[d + 1] - first[d]
-            if d in short:
-                yield short[d]
-            else:
-                yield np.unique(hashes[first[d] : first[d] + max(0, n - width + 1)])
-
-
-def _signature(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits that are equal for equal sets."""
-    if not len(shingles):
-        return 0, 0
-    with np.errstate(over="ignore"):
-        a = mixed(shingles).sum(dtype=np.uint64)
-        b = mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
-
-
-def _in_order(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Positions in the global order: by hash if rare, behind those by rank if frequent."""
-    if not len(frequent) or not len(shingles):
-        return shingles
-    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    found = frequent[at] == shingles
-    return np.sort(np.where(found, _TOP | rank[at], shingles))
-
-
-def _sizes(width: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(_shingle_sets(*texts(batch.column("text")), width))
-            keys = [_signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([k[0] for k in keys], pa.int64()),
-                    pa.array([k[1] for k in keys], pa.int64()),
-                ],
-                ["doc_id", "n_shingles", "key_a", "key_b"],
-            )
+            hashes[first[d]], kept[first[d]] = own[0] >> np.uint64(1), True
+        flat = hashes[kept]
+        starts = np.concatenate([[0], np.cumsum(np.where(short, 1, np.maximum(n - width + 1, 0)))])
+        ends = starts.tolist()
+        for begin, end in zip(ends[:-1], ends[1:]):
+            flat[begin:end].sort()
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        new[starts[:-1][np.diff(starts) > 0]] = True
+        yield flat[new], np.concatenate([[0], np.cumsum(new)])[starts], n
+
+
+def _shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Distinct 63-bit shingle hashes of every text, in order."""
+    for flat, starts, _ in _shingled(data, bounds, width):
+        ends = starts.tolist()
+        for begin, end in zip(ends[:-1], ends[1:]):
+            yield flat[begin:end]
+
+
+def _signatures(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every set that are equal for equal sets."""
+    out = []
+    for hashed in (mixed(flat), mixed(flat ^ np.uint64(0x5851F42D4C957F2D))):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed, dtype=np.uint64)])
+        out.append((total[starts[1:]] - total[starts[:-1]]).view(np.int64))
+    return out[0], out[1]
 
-    return run
 
+def _first_of_equal(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, seen: set) -> np.ndarray:
+    """Which sets have some shingles and are the first of their equals."""
+    out = np.zeros(len(sizes), bool)
+    for k, key in enumerate(zip(sizes.tolist(), a.tolist(), b.tolist())):
+        if key[0] and key not in seen:
+            seen.add(key)
+            out[k] = True
+    return out
 
-def _first_of_equal(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and shingles of the rows of a batch that have some, one of each set."""
-    seen = set()
-    for k, shingles in enumerate(_shingle_sets(*texts(batch.column("text")), width)):
-        if len(shingles):
-            key = _signature(shingles)
-            if key not in seen:
-                seen.add(key)
-                yield k, shingles
 
+def _repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand there more than once, and how often."""
+    values = np.sort(np.concatenate(parts))
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(at, len(values)))
+    return values[at[counts > 1]], counts[counts > 1]
 
-def _repeated(width: int) -> Callable:
-    """Shingles that different sets of a batch, some ``CHUNK`` shingles at a time, have in common."""
+
+def _sizes(width: int, schema: pa.Schema | None = None) -> Callable:
+    """Size and signature of every text's set, its number of words and the columns of ``schema``; in rows with a ``shingle``, how many sets of a batch have it.
+
+    Of the texts with an id, the different sets of a batch are counted some ``CHUNK`` shingles at a
+    time, and only shingles that several of them have get a row.
+    """
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        more = counts > 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(values[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], ["shingle", "n"]
-        )
+        values, counts = _repeated(parts)
+        none = pa.nulls(len(values), pa.int64())
+        n, shingle = pa.array(counts.astype(np.int64)), pa.array(values.view(np.int64))
+        return pa.RecordBatch.from_arrays([none, n, none, none, none, shingle, *[pa.nulls(len(values), t) for t in kinds]], names)
+
+    carried, kinds = (schema.names, schema.types) if schema else ([], [])
+    names = ["doc_id", "n_shingles", "key_a", "key_b", "n_words", "shingle", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, size = [], 0
-            for _, shingles in _first_of_equal(batch, width):
-                parts.append(shingles)
-                size += len(shingles)
+            has_id = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            keys, parts, size, row, seen = [], [], 0, 0, set()
+            for flat, starts, n_words in _shingled(*texts(batch.column("text")), width):
+                sizes, own = np.diff(starts), _signatures(flat, starts)
+                keys.append((sizes, *own, n_words))
+                ids = has_id[row : row + len(sizes)]
+                row += len(sizes)
+                wanted = _first_of_equal(np.where(ids, sizes, 0), *own, seen)
+                parts.append(flat[np.repeat(wanted, sizes)])
+                size += len(parts[-1])
                 if size >= CHUNK:
                     yield counted(parts)
                     parts, size = [], 0
-            if parts:
+            if size:
                 yield counted(parts)
+            if keys:
+                columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*keys)]
+                none = pa.nulls(batch.num_rows, pa.int64())
+                others = [batch.column(c) for c in carried]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, none, *others], names)
 
     return run
 
@@ -141,38 +156,88 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _prefixes(width: int, percent: int, table: Broadcast) -> Callable:
-    def rows(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        sizes = [len(own) for _, _, own in parts]
-        n = np.repeat(np.array([n for _, n, _ in parts], np.int64), sizes)
-        place = np.concatenate([np.arange(k, dtype=np.int64) for k in sizes])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([own for _, _, own in parts]).view(np.int64)),
-                pa.array(np.repeat(np.array([i for i, _, _ in parts], np.int64), sizes)),
-                pa.array((n << 32) | place),
-            ],
-            ["token", "doc", "place"],
-        )
+def _beginnings(
+    flat: np.ndarray, starts: np.ndarray, wanted: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray, sieve: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefixes of the wanted sets in the global order: token, number of the set, place in the order.
+
+    Rare shingles come by their hash, behind them frequent ones by rank, with the highest bit set.
+    """
+    sizes = np.diff(starts)
+    length = np.where(wanted, prefix_length(sizes, percent), 0)
+    common, ranks = np.zeros(len(flat), bool), np.zeros(len(flat), np.uint64)
+    maybe = np.flatnonzero(sieve[(flat >> SIEVE_SHIFT).astype(np.int64)])
+    if len(maybe):
+        at = np.minimum(np.searchsorted(frequent, flat[maybe]), len(frequent) - 1)
+        found = frequent[at] == flat[maybe]
+        common[maybe[found]], ranks[maybe[found]] = True, rank[at[found]]
+    before = np.concatenate([[0], np.cumsum(~common)])
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    place = before[:-1] - before[starts[:-1]][of]
+    take = np.flatnonzero(~common & (place < length[of]))
+    token, of, place = [flat[take]], [of[take]], [place[take]]
+    rare = before[starts[1:]] - before[starts[:-1]]
+    for d in np.flatnonzero(rare < length).tolist():
+        own = slice(starts[d], starts[d + 1])
+        last = np.sort(ranks[own][common[own]])[: length[d] - rare[d]]
+        token.append(last | _TOP)
+        of.append(np.full(len(last), d))
+        place.append(rare[d] + np.arange(len(last)))
+    return np.concatenate(token), np.concatenate(of), np.concatenate(place)
+
+
+def _prefixes(width: int, percent: int, table: Broadcast, n_parts: int) -> Callable:
+    """Prefixes as packed rows (token, doc, size and place), dealt to parts by the token, frequent ones by the document."""
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        token, doc, place = (np.concatenate(c) for c in zip(*found))
+        doc, place = doc.view(np.uint64), place.view(np.uint64)
+        part = (np.where(token >= _TOP, mixed(doc), token) % np.uint64(n_parts)).astype(np.uint16 if n_parts < 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        rows = np.stack([token, doc, place], axis=1)[order]
+        part = part[order]
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        offsets = (np.append(at, len(part)) * rows.itemsize * 3).astype(np.int32)
+        body = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+        return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int64)), body], ["part", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, rank = table.value
+        sieve = np.zeros(1 << 23, bool)
+        sieve[(frequent >> SIEVE_SHIFT).astype(np.int64)] = True
+        held, size = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            parts, size = [], 0
-            for k, shingles in _first_of_equal(batch, width):
-                n = len(shingles)
-                own = _in_order(shingles, *table.value)[: int(prefix_length(n, percent))]
-                parts.append((ids[k], n, own))
-                size += len(own)
-                if size >= CHUNK:
-                    yield rows(parts)
-                    parts, size = [], 0
-            if parts:
-                yield rows(parts)
+            row, seen = 0, set()
+            for flat, starts, _ in _shingled(*texts(batch.column("text")), width):
+                sizes = np.diff(starts)
+                wanted = _first_of_equal(sizes, *_signatures(flat, starts), seen)
+                token, of, place = _beginnings(flat, starts, wanted, percent, frequent, rank, sieve)
+                held.append((token, ids[row + of].astype(np.int64), (sizes[of].astype(np.int64) << 32) | place))
+                row += len(sizes)
+                size += len(token)
+                if size >= PART:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
 
     return run
 
 
+def _in_company(table: pa.Table) -> pa.Table:
+    """The rows of a part whose token is frequent, and so surely has company, or that another row has, too."""
+    rows = np.frombuffer(b"".join(x.as_buffer() for x in table.column("body")), np.uint64).reshape(-1, 3)
+    rows = rows[np.argsort(rows[:, 0])]
+    token = rows[:, 0]
+    same = token[1:] == token[:-1]
+    keep = token >= _TOP
+    keep[1:] |= same
+    keep[:-1] |= same
+    rows = rows[keep].view(np.int64)
+    return pa.table({name: np.ascontiguousarray(rows[:, k]) for k, name in enumerate(("token", "doc", "place"))})
+
+
 def _least(m: int, n: int, percent: int) -> int:
     """Smallest common number at which two sets of these sizes are alike."""
     return -(-percent * (m + n) // (100 + percent))
@@ -282,8 +347,7 @@ def _open(buckets: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFram
     placed = buckets.join(labels, F.col("doc") == labels["node"], "left").select(
         "token", "doc", "place", "m", F.coalesce("component", "doc").alias("component")
     )
-    # Buckets of two have been compared.
-    ends = placed.filter("m > 2").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    ends = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     members = placed.join(ends.filter("low < high").select("token"), "token").join(bitmaps, "doc")
     # A member meets its own block and every other one of its bucket.
     members = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
@@ -390,7 +454,14 @@ def _open_pairs(percent: int, sparse: bool) -> Callable:
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    percent: int = PERCENT,
+    **carried: Column,
+) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
 
     Words are runs of anything but ASCII white space, A-Z in lower case. A text with fewer words
@@ -398,13 +469,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and links with nothing. Rows are linked when 100 times the common shingles are at least
     ``percent`` times all shingles of both; ``component_id`` is the smallest id reachable. Repeated
     rows give a row each. A row with a null id has a null component and links nothing. Other columns
-    are ignored; ids are integers.
+    are ignored; ids are integers. With ``carried`` columns, long or string, rows have these and
+    ``n_words`` besides, so that who needs them does not read the texts again.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sized = rows.mapInArrow(_sizes(width), "doc_id long, n_shingles long, key_a long, key_b long")
-    sized = written(sized, "sizes")
+    others = docs.select(*[c.alias(name) for name, c in carried.items()]).schema
+    kinds = pa.schema([(f.name, pa.string() if f.dataType.typeName() == "string" else pa.int64()) for f in others])
+    texts_and_others = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        *[c.alias(name) for name, c in carried.items()],
+    )
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in others]
+    found = texts_and_others.mapInArrow(
+        _sizes(width, kinds),
+        ", ".join(["doc_id long, n_shingles long, key_a long, key_b long, n_words long, shingle long", *types]),
+    )
+    found = written(found, "sizes")
+    sized = found.filter("shingle IS NULL").drop("shingle")
     named = sized.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # Documents of equal sets are one class, which goes by its smallest id.
     member = with_first(named, ["n_shingles", "key_a", "key_b"], "doc_id")
@@ -412,7 +496,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = written(member, "classes")
 
     texted = rows.filter("doc_id IS NOT NULL")
-    counted = texted.mapInArrow(_repeated(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = found.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n_shingles").alias("n"))
     counted = written(counted.withColumn("level", F.floor(8 * F.log2("n"))), "counts")
     # Eight levels for each doubling; as many of the highest as the table holds.
     level, room = None, FREQUENT
@@ -421,17 +505,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         level, room = row["level"], room - row["k"]
     top = counted.filter(F.col("level") >= level if level is not None else F.lit(False)).select("shingle", "n").toArrow()
-    found, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order, rank = np.argsort(found), np.zeros(len(found), np.uint64)
-    rank[np.lexsort((found, n))] = np.arange(1, len(found) + 1, dtype=np.uint64)
-    table = spark.sparkContext.broadcast((found[order], rank[order]))
+    frequent, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order, rank = np.argsort(frequent), np.zeros(len(frequent), np.uint64)
+    rank[np.lexsort((frequent, n))] = np.arange(1, len(frequent) + 1, dtype=np.uint64)
+    table = spark.sparkContext.broadcast((frequent[order], rank[order]))
 
     # A rare token is counted where it lands; a frequent one is spread, as it surely has company.
-    prefixes = texted.mapInArrow(_prefixes(width, percent, table), "token long, doc long, place long")
-    spread = F.when(F.col("token") < 0, F.pmod(F.xxhash64("doc"), F.lit(1 << 12))).otherwise(F.lit(0))
-    prefixes = prefixes.withColumn("spread", spread)
-    company = F.count("*").over(Window.partitionBy("token", "spread"))
-    shared = prefixes.withColumn("n", company).filter("n > 1 OR token < 0").select("token", "doc", "place")
+    n_rows = named.agg(F.sum(F.expr(f"n_shingles - floor(({percent} * n_shingles + 99) / 100) + 1"))).first()[0] or 0
+    prefixes = texted.mapInArrow(_prefixes(width, percent, table, max(1, -(-n_rows // PART))), "part long, body binary")
+    shared = prefixes.groupBy("part").applyInArrow(_in_company, "token long, doc long, place long")
     shared = (
         shared.join(member, shared["doc"] == member["doc_id"])
         .groupBy("token", F.col("class").alias("doc"))
@@ -456,28 +538,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def verified(pairs: DataFrame) -> DataFrame:
         promising = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b")
         promising = written(promising.mapInArrow(_promising(percent), "a long, b long"), "promising")
-        both = promising.join(side("a", "text"), "a").join(side("b", "text"), "b")
+        # Only the texts of these pairs are sent.
+        ends = written(promising.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+        text = involved.select("doc_id", "text").join(ends, "doc_id", "leftsemi")
+        text_a, text_b = (text.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+        both = promising.join(text_a, "a").join(text_b, "b")
         return written(both.mapInArrow(_verified(width, percent), "a long, b long"), "links")
 
     tested = written(_pairs(_leaders(buckets), buckets, percent), "pairs")
     links = verified(tested)
     labels = connected_components(links)
     bitmaps = involved.select(F.col("doc_id").alias("doc"), "bits")
-    for sparse in (True, True, False):
-        found = _open(buckets, labels, bitmaps).mapInArrow(_open_pairs(percent, sparse), "a long, b long").distinct()
+    # Buckets of two have been compared, and small ones are in the first round, which takes all their pairs.
+    for sparse, compared in ((True, 2), (True, TOGETHER), (False, TOGETHER)):
+        found = _open(buckets.filter(F.col("m") > compared), labels, bitmaps).mapInArrow(_open_pairs(percent, sparse), "a long, b long").distinct()
         found = written(found, "open")
         if found.limit(1).count() == 0:
             break
         pairs = written(found.join(tested, ["a", "b"], "leftanti"), "pairs")
         tested = tested.unionAll(pairs)
-        links = links.unionAll(verified(pairs))
-        labels = connected_components(links)
+        more = verified(pairs)
+        if more.limit(1).count():
+            links = links.unionAll(more)
+            labels = connected_components(links)
 
     joined = member.join(labels, member["class"] == labels["node"], "left").select(
         F.col("doc_id").alias("id"), F.coalesce("component", "class").alias("component_id")
     )
     return sized.join(joined, sized["doc_id"] == joined["id"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        *(["n_words", *carried] if carried else []),
     )
 
 

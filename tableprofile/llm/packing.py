@@ -11,15 +11,16 @@ on sizes alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprofile.llm.scratch import written
-from tableprofile.llm.words import WORD, whole, words
+from tableprofile.llm.arrays import Words, slices, texts
+from tableprofile.llm.scratch import small_batches, written
+from tableprofile.llm.words import words
 
 #: Words in a training sequence.
 CAPACITY = 2048
@@ -122,6 +123,17 @@ def text_cluster(text: Column) -> Column:
     return F.xxhash64(F.array_join(words(F.lower(text)), " "))
 
 
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their text's words in its place, without those that have none."""
+    for batch in batches:
+        data, bounds = texts(batch.column("text"))
+        total = [np.diff(Words(data, bounds, i, j, hashed=False).first) for i, j in slices(bounds)]
+        total = np.concatenate(total).astype(np.int64) if total else np.zeros(0, np.int64)
+        columns = [batch.column(c) for c in ("doc_id", "source", "cluster")]
+        sized = pa.RecordBatch.from_arrays([*columns, pa.array(total)], ["doc_id", "source", "cluster", "total"])
+        yield sized.filter(pa.array(total > 0))
+
+
 def best_fit_packing(
     docs: DataFrame,
     capacity: int = CAPACITY,
@@ -140,25 +152,44 @@ def best_fit_packing(
     Repeated rows are copies of each other and are dealt one by one, as are rows without an id, whose
     copies are told by ``cluster``. Of pieces of one length those of smaller id go first. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     cluster = text_cluster(F.col("text")) if cluster is None else cluster.cast("long")
+    if clusters is not None:
+        given = clusters.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").cast("long").alias("given"))
+        given = written(given, "given")
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+        if ids.join(given.filter("given IS NOT NULL"), "doc_id", "leftanti").limit(1).count() == 0:
+            # What every id is given need not be told from its text.
+            cluster = F.when(F.col("doc_id").cast("long").isNull(), cluster)
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         cluster.alias("cluster"),
-        F.regexp_count(whole(F.col("text")), F.lit(WORD)).cast("long").alias("total"),
-    ).filter("total > 0")
+        F.col("text").cast("string").alias("text"),
+    ).mapInArrow(_sized, "doc_id long, source string, cluster long, total long")
     # Equal rows are counted where they are read, so that no key has more than a row per task.
     sized = written(sized.groupBy("doc_id", "source", "cluster", "total").agg(F.count("*").alias("copies")), "sizes")
     if clusters is not None:
-        given = clusters.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").cast("long").alias("given"))
         named = sized.filter("doc_id IS NOT NULL").join(given, "doc_id", "left")
         named = named.withColumn("cluster", F.coalesce("given", "cluster")).drop("given")
         dealt = named.unionByName(sized.filter("doc_id IS NULL"))
     else:
         dealt = sized
+    return _pieces_packed(dealt, capacity, shard)
+
+
+def pack_counted(counted: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """What ``best_fit_packing`` gives, out of ``doc_id``, ``source``, ``cluster`` and ``total``, the words, of every document."""
+    keys = ["doc_id", "source", "cluster", "total"]
+    sized = written(counted.filter("total > 0").groupBy(*keys).agg(F.count("*").alias("copies")), "sizes")
+    return _pieces_packed(sized, capacity, shard)
+
+
+def _pieces_packed(sized: DataFrame, capacity: int, shard: int) -> DataFrame:
+    """Bins of the pieces of documents, equal ones in one row with their number."""
     last = f"CAST(floor((total - 1) / {capacity}) AS bigint)"
     pieces = (
-        dealt.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+        sized.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
         .withColumn("piece", F.explode(F.expr(f"sequence(0L, {last})")))
         .select(
             "doc_id",

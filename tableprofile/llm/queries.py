@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tableprofile.llm import (
     bpe,
@@ -55,7 +56,11 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    return packing.best_fit_packing(docs, clusters=jaccard.jaccard_components(docs))
+    # Texts without an id have no component; equal words tell their copies.
+    words = F.when(F.col("doc_id").isNull(), packing.text_cluster(F.col("text")))
+    found = jaccard.jaccard_components(docs, source=F.col("source").cast("string"), words=words)
+    cluster = F.coalesce("component_id", "words").alias("cluster")
+    return packing.pack_counted(found.select("doc_id", "source", cluster, F.col("n_words").alias("total")))
 
 
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tableprofile.llm import jaccard
+from tableprofile.llm import arrays, jaccard
 from tableprofile.llm.components import connected_components
 
 
@@ -147,3 +149,28 @@ def test_one_row_of_repeated_ones_stays(documents, prose):
     assert kept.columns == documents(rows).columns
     got = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert len(got) == 4 and set(got) == {(1, prose(1)), (2, prose(2)), (None, prose(3)), (None, None)}
+
+
+def test_prefixes_in_company(prose):
+    """Packed prefixes hold the first shingles in the global order, and parts keep the tokens that others have, too."""
+    sets_of = [prose(k // 2, 5 + 7 * k % 120) + " end" * (k % 4) for k in range(60)] + [None, "", "a b", "A b", "a b c d e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets_of)), pa.int64()), pa.array(sets_of)], ["doc_id", "text"])
+    sets = list(jaccard._shingle_sets(*arrays.texts(batch.column("text")), 5))
+    counts = Counter(x for s in sets for x in s.tolist())
+    frequent = np.array(sorted(x for x, n in counts.items() if n > 1), np.uint64)
+    rank = np.random.default_rng(1).permutation(len(frequent)).astype(np.uint64) + np.uint64(1)
+    place = dict(zip(frequent.tolist(), ((1 << 63) | rank.astype(object)).tolist()))
+    expected, seen = [], set()
+    for k, s in enumerate(sets):
+        if len(s) and tuple(s.tolist()) not in seen:
+            seen.add(tuple(s.tolist()))
+            order = sorted(place.get(x, x) for x in s.tolist())[: int(jaccard.prefix_length(np.array(len(s))))]
+            expected += [(x, k, (len(s) << 32) | p) for p, x in enumerate(order)]
+    for n_parts in (1, 5, 70_000):
+        out = pa.Table.from_batches(jaccard._prefixes(5, 80, SimpleNamespace(value=(frequent, rank)), n_parts)(iter([batch])))
+        rows = [tuple(r) for b in out.column("body").to_pylist() for r in np.frombuffer(b, np.uint64).reshape(-1, 3).tolist()]
+        assert sorted(rows) == sorted(expected) and len(set(out.column("part").to_pylist())) == out.num_rows
+        kept = [jaccard._in_company(out.slice(k, 1)) for k in range(out.num_rows)]
+        met = Counter(x for x, _, _ in expected)
+        wanted = sorted((x, d, p) for x, d, p in expected if met[x] > 1 or x >= 1 << 63)
+        assert sorted((t % (1 << 64), d, p) for part in kept for t, d, p in zip(*part.to_pydict().values())) == wanted

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tableprofile.llm import jaccard, packing
+from tableprofile.llm import jaccard, packing, queries
 
 
 def brute(pieces, capacity):
@@ -112,3 +112,18 @@ def test_hot_ids_fill_many_shards(spark):
 def test_a_long_text_is_cut(documents, prose):
     out = packing.best_fit_packing(documents([(1, "word " * 200_001, "en", None)]), capacity=2048, shard=10).collect()
     assert sorted(r["first_word"] for r in out) == list(range(0, 200_001, 2048)) and sum(r["n_words"] for r in out) == 200_001
+
+
+def test_words_counted_with_the_components(spark, documents, prose, odd_rows, tmp_path):
+    """The query packs what the join counted on its way: the same sequences as from texts read again."""
+    rows = [(k, prose(k % 50, 40 + k % 50) + " more" * (k % 3), "en", f"s{k % 4}") for k in range(100, 220)]
+    rows += [(None, prose(3, 60), "en", "x"), (None, prose(3, 60).upper(), "en", "y")] + odd_rows
+    documents(rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = queries.documents(spark, str(tmp_path))
+    expected = packing.best_fit_packing(docs, clusters=jaccard.jaccard_components(docs)).collect()
+    out = queries.op6_packing(spark, str(tmp_path))
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, expected)) and len(expected) == 125
+    found = jaccard.jaccard_components(docs, source=F.col("source"))
+    assert found.columns == ["doc_id", "n_shingles", "component_id", "n_words", "source"]
+    counted = sorted((r["doc_id"] or 0, r["n_words"], r["source"] or "") for r in found.collect())
+    assert counted == sorted((r[0] or 0, len((r[1] or "").split()), (r[3] if len(r) > 3 else "s1") or "") for r in rows)
