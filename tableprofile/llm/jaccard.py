@@ -8,10 +8,10 @@ filter) most of the rest, and what is left is verified once per pair by its whol
 Large groups of near copies share their buckets, whose pairs grow with the square. Of buckets with the
 same members one is kept. Links are first sought between the members of a bucket and one leader. Then
 only pairs that no chain of links connects yet are left: they are compared inside the bucket, block by
-block in numpy, by lengths, positions and bitmaps of the shingles. Twice a block gives only as many of
-those that may be alike as connect its members, which are verified; what these leave open, the pairs
-that passed the bitmaps by accident and few others, is verified whole. So components are exact, and no
-table has a row per pair of a group.
+block in numpy, by lengths, positions and bitmaps of the shingles. Once, or twice where buckets are very
+large, a block gives only as many of those that may be alike as connect its members, which are verified;
+what these leave open, the pairs that passed the bitmaps by accident and few others, is verified whole.
+So components are exact, and no table has a row per pair of a group.
 """
 
 from __future__ import annotations
@@ -39,10 +39,13 @@ BLOCK = 2048
 #: Bits of a document's bitmap of shingles, and members up to which buckets are compared many at once.
 BITS = 4096
 TOGETHER = 16
+#: Pairs in large buckets for each document from which on two rounds are sparse; only changes how fast the join is.
+MANY = 256
 #: Shingles counted at once in a task.
 CHUNK = 1 << 19
-#: Prefix rows that a task packs at once, and those of a part on average (24 bytes each).
-PART = 1 << 20
+#: Prefix rows that a task packs at once (24 bytes each), and those of a part on average.
+PACK = 1 << 20
+PART = 1 << 18
 #: Leaves the highest 23 bits of a shingle, by which most are told not to be frequent.
 SIEVE_SHIFT = np.uint64(40)
 _TOP = np.uint64(1 << 63)
@@ -216,7 +219,7 @@ def _prefixes(width: int, percent: int, table: Broadcast, n_parts: int) -> Calla
                 held.append((token, ids[row + of].astype(np.int64), (sizes[of].astype(np.int64) << 32) | place))
                 row += len(sizes)
                 size += len(token)
-                if size >= PART:
+                if size >= PACK:
                     yield packed(held)
                     held, size = [], 0
         if size:
@@ -514,9 +517,11 @@ def jaccard_components(
     n_rows = named.agg(F.sum(F.expr(f"n_shingles - floor(({percent} * n_shingles + 99) / 100) + 1"))).first()[0] or 0
     prefixes = texted.mapInArrow(_prefixes(width, percent, table, max(1, -(-n_rows // PART))), "part long, body binary")
     shared = prefixes.groupBy("part").applyInArrow(_in_company, "token long, doc long, place long")
+    # Few documents go by another one's id, as a rule.
+    moved = written(member.filter("class <> doc_id"), "moved")
     shared = (
-        shared.join(member, shared["doc"] == member["doc_id"])
-        .groupBy("token", F.col("class").alias("doc"))
+        shared.join(moved, shared["doc"] == moved["doc_id"], "left")
+        .groupBy("token", F.coalesce("class", "doc").alias("doc"))
         .agg(F.min("place").alias("place"))
     )
     shared = written(shared, "prefixes")
@@ -527,7 +532,9 @@ def jaccard_components(
     met = met.filter("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
     buckets = written(shared.join(met, "token"), "buckets")
     wanted = buckets.select(F.col("doc").alias("doc_id")).distinct()
-    involved = texted.join(wanted, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
+    involved = texted.join(wanted, "doc_id", "leftsemi")
+    if sized.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        involved = involved.dropDuplicates(["doc_id"])
     involved = written(
         involved.mapInArrow(_counted(width), "doc_id long, text string, n long, counts binary, bits binary"), "texts"
     )
@@ -540,7 +547,7 @@ def jaccard_components(
         promising = written(promising.mapInArrow(_promising(percent), "a long, b long"), "promising")
         # Only the texts of these pairs are sent.
         ends = written(promising.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-        text = involved.select("doc_id", "text").join(ends, "doc_id", "leftsemi")
+        text = written(involved.select("doc_id", "text").join(ends, "doc_id", "leftsemi"), "ended")
         text_a, text_b = (text.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = promising.join(text_a, "a").join(text_b, "b")
         return written(both.mapInArrow(_verified(width, percent), "a long, b long"), "links")
@@ -550,7 +557,12 @@ def jaccard_components(
     labels = connected_components(links)
     bitmaps = involved.select(F.col("doc_id").alias("doc"), "bits")
     # Buckets of two have been compared, and small ones are in the first round, which takes all their pairs.
-    for sparse, compared in ((True, 2), (True, TOGETHER), (False, TOGETHER)):
+    rounds = [(True, 2), (False, TOGETHER)]
+    # Where large buckets have many pairs, another sparse round leaves fewer of them to the last one.
+    in_large = buckets.filter(F.col("m") > TOGETHER).agg(F.sum((F.col("m") - 1) / 2)).first()[0] or 0
+    if in_large > MANY * member.count():
+        rounds.insert(1, (True, TOGETHER))
+    for sparse, compared in rounds:
         found = _open(buckets.filter(F.col("m") > compared), labels, bitmaps).mapInArrow(_open_pairs(percent, sparse), "a long, b long").distinct()
         found = written(found, "open")
         if found.limit(1).count() == 0:
